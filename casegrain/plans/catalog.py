@@ -1,4 +1,4 @@
 """Importing the plan modules fills the registry."""
 
 from casegrain.plans.registry import ORACLES, QUERIES  # noqa: F401
-from casegrain.plans import relational  # noqa: F401
+from casegrain.plans import relational, values  # noqa: F401

@@ -98,4 +98,5 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def with_views(*names: str) -> str:
     """``WITH`` clause naming the views, to put before the comparison SQL."""
-    return "WITH " + ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in names) + "\n"
+    text = ",\n".join(f"{name} AS ({VIEWS[name][1]})" for name in names)
+    return f"WITH {text}\n".replace("explode(", "unnest(")  # the one spelling the engines do not share
