@@ -222,7 +222,7 @@ def anchors_with_duplicates(spark, sf):
     firsts = a.groupBy("id_type", "hash").agg(F.min_by("issuing_country", "id").alias("first_source"), F.min("id").alias("first_id"))
     repeated = C("id") > C("first_id")
     return (a.join(firsts, ["id_type", "hash"])
-            .select("id", F.array("id_type").alias("tags"), F.when(repeated, C("first_source")).alias("duplicate_db"),
+            .select("id", "id_type", F.array("id_type").alias("tags"), F.when(repeated, C("first_source")).alias("duplicate_db"),
                     F.when(repeated, C("id_type")).alias("duplicate_table")))
 
 
