@@ -23,8 +23,9 @@ def dup_groups(df: DataFrame, keys: Sequence[str], entity: str, max_items: int =
 
 def star_links(df: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
     """(entity_a, entity_b, keys): every entity of a group linked to the smallest one."""
-    pairs = df.where(F.col(keys[-1]).isNotNull()).select(*keys, F.col(entity).alias("entity_b")).distinct()
-    centres = df.groupBy(*keys).agg(F.min(entity).alias("entity_a"), F.max(entity).alias("_last"))
+    known = df.dropna(subset=list(keys))
+    pairs = known.select(*keys, F.col(entity).alias("entity_b")).distinct()
+    centres = known.groupBy(*keys).agg(F.min(entity).alias("entity_a"), F.max(entity).alias("_last"))
     centres = centres.where(F.col("entity_a") < F.col("_last")).drop("_last")
     return pairs.join(centres, list(keys)).where(F.col("entity_a") < F.col("entity_b"))
 
@@ -95,9 +96,8 @@ def canonical_ids(edges: DataFrame, entities: DataFrame, entity: str, max_rounds
     seen = state(links)
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        large = hang(both, larger=True).where("u <> v").distinct()
-        down = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
-        links = hang(down, larger=False).where("u <> v").distinct().checkpoint()
+        large = hang(both, larger=True).distinct()
+        links = hang(large, larger=False).distinct().checkpoint()
         now = state(links)
         if now == seen:
             break
