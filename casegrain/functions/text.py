@@ -68,12 +68,23 @@ def _field_tokens(field: T.StructField) -> Column | None:
     return None
 
 
-def tokens_typed(schema: T.StructType, key: str, skip: Sequence[str] = SYSTEM_COLUMNS) -> Column:
-    """Distinct tokens of a whole row by column type: words of text, plain integers and booleans, numbers with
-    two decimals, dates as year, month and day. The key and system columns are left out, as are single characters."""
+def all_tokens(schema: T.StructType, key: str, skip: Sequence[str] = SYSTEM_COLUMNS) -> Column:
+    """Tokens of a whole row by column type, repeats included: words of text, plain integers and booleans, numbers
+    with two decimals, dates as year, month and day. The key and system columns are left out."""
     parts = [t for f in schema.fields if f.name != key and f.name not in skip and (t := _field_tokens(f)) is not None]
-    tokens = F.concat(*parts) if parts else F.array().cast("array<string>")
-    return F.array_distinct(F.filter(tokens, lambda w: w.isNotNull() & (F.length(w) >= MIN_TOKEN)))
+    return F.concat(*parts) if parts else F.array().cast("array<string>")
+
+
+def plain_text(field: T.StructField) -> Column:
+    """Text in which every token of the field occurs."""
+    if isinstance(field.dataType, (T.FloatType, T.DoubleType, T.DecimalType)):
+        return F.col(field.name).try_cast("decimal(38,2)").cast("string")
+    return F.col(field.name).cast("string")
+
+
+def tokens_typed(schema: T.StructType, key: str, skip: Sequence[str] = SYSTEM_COLUMNS) -> Column:
+    """Distinct tokens of a whole row without single characters."""
+    return F.array_distinct(F.filter(all_tokens(schema, key, skip), lambda w: w.isNotNull() & (F.length(w) >= MIN_TOKEN)))
 
 
 def read_tagged_lines(lines: DataFrame) -> DataFrame:

@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, functions as F
 
 from casegrain.functions import identity, text, values
+from casegrain.operators.filters import any_of
 from casegrain.operators.skew import hot_keys
 
 LIST_SIZE = 65536
@@ -18,14 +20,27 @@ def postings(df: DataFrame, table_name: str, key: str, terms: Sequence[str] | No
 
     ``terms`` keeps only those tokens, before rows are multiplied: a search then shuffles hits and nothing else.
     """
-    tokens = text.tokens_typed(df.schema, key)
-    if terms is not None:
-        tokens = F.array_intersect(tokens, F.array(*[F.lit(t) for t in terms]))
+    if terms is None:
+        tokens = text.tokens_typed(df.schema, key)
+    else:
+        # A row without any of the terms as plain text cannot hold them as tokens: it is not even split.
+        cells = F.lower(F.concat_ws(" ", *[text.plain_text(f) for f in df.schema.fields if f.name != key]))
+        df = df.where(any_of(F.contains(cells, F.lit(t)) for t in terms))
+        tokens = F.array_intersect(text.all_tokens(df.schema, key), F.array(*[F.lit(t) for t in terms]))
     return (df.select(F.explode(tokens).alias("token"), F.col(key).cast("bigint").alias("pk"))
             .select("token", identity.pack_global_id(table_name, F.col("pk")).alias("global_id"),
                     F.lit(table_name).alias("table_name"), "pk"))
 
 
+def write_postings(index: DataFrame, path: str) -> None:
+    """Store postings ranged and sorted by token, so that a search for a few tokens skips all other files and row groups.
+
+    The range runs over (token, global_id): a token held by a large share of the rows spreads over several files.
+    """
+    (index.repartitionByRange("token", "global_id").sortWithinPartitions("token", "global_id")
+     .write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").parquet(path))
+
+
 def record_tokens(df: DataFrame, key: str, tokens: Column, unique_key: bool = False) -> DataFrame:
     """(key, token), each pair once. Tokens are distinct per row, so a unique key needs no further pass."""
     pairs = df.select(key, F.explode(tokens).alias("token"))
@@ -72,10 +87,14 @@ def token_stats(index: DataFrame) -> DataFrame:
 
 
 def token_bitmap(index: DataFrame) -> DataFrame:
-    """Mergeable set of row ids per token and table: one bitmap per id bucket, so each stays at 4 KB."""
+    """Mergeable set of row ids per token and table, as 64-bit words: bit ``pk mod 64`` of word ``pk div 64``.
+
+    A rare token costs a few words, a frequent one a bit per row, and words merge with ``bit_or`` in hash aggregation
+    with partial results before the shuffle. (Spark's own bitmap aggregate takes 4 KB for every token, and sorts.)
+    """
     pk = F.col("pk")
-    return (index.groupBy("token", "table_name", F.bitmap_bucket_number(pk).alias("bucket"))
-            .agg(F.bitmap_construct_agg(F.bitmap_bit_position(pk)).alias("ids")))
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), pk.bitwiseAND(F.lit(63)).cast("int"))
+    return (index.groupBy("token", "table_name", F.shiftright(pk, 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
 
 
 def merge_bitmaps(*bitmaps: DataFrame) -> DataFrame:
@@ -83,7 +102,23 @@ def merge_bitmaps(*bitmaps: DataFrame) -> DataFrame:
     merged = bitmaps[0]
     for other in bitmaps[1:]:
         merged = merged.unionByName(other)
-    return merged.groupBy("token", "table_name", "bucket").agg(F.bitmap_or_agg("ids").alias("ids"))
+    return merged.groupBy("token", "table_name", "word").agg(F.bit_or("bits").alias("bits"))
+
+
+def bitmap_sizes(bitmaps: DataFrame) -> DataFrame:
+    """Ids per token and table."""
+    return bitmaps.groupBy("token", "table_name").agg(F.sum(F.bit_count("bits")).alias("ids"))
+
+
+def bitmap_intersect(bitmaps: DataFrame, terms: Sequence[str]) -> DataFrame:
+    """(table_name, pk) of the rows that hold all terms: words are joined on their number and combined bit by bit."""
+    parts = [bitmaps.where(F.col("token") == t).select("table_name", "word", F.col("bits").alias(f"_{i}"))
+             for i, t in enumerate(dict.fromkeys(terms))]
+    both = reduce(lambda a, b: a.join(b, ["table_name", "word"]), parts)
+    bits = reduce(lambda a, b: a.bitwiseAND(b), [F.col(f"_{i}") for i in range(len(parts))])
+    positions = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("_bits"), i) == 1)
+    return (both.select("table_name", "word", bits.alias("_bits")).where("_bits <> 0")
+            .select("table_name", (F.col("word") * 64 + F.explode(positions)).alias("pk")))
 
 
 def entity_rows(df: DataFrame, table_name: str, key: str) -> DataFrame:

@@ -8,11 +8,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from casegrain.operators.index import grouped_lists
 from casegrain.operators.paging import top_per_group
-from casegrain.session import checkpoint_root
+from casegrain.session import stored
 
 
 def dup_groups(df: DataFrame, keys: Sequence[str], entity: str, max_items: int = 65536) -> DataFrame:
@@ -75,11 +75,9 @@ def canonical_ids(edges: DataFrame, entities: DataFrame, entity: str, max_rounds
 
     Alternates two steps on the links until nothing changes: each entity sends its larger neighbours to the smallest
     entity it sees, then each entity hangs itself and its smaller neighbours below the smallest. Rounds grow with the
-    logarithm of the longest chain. Every round is checkpointed in the shared folder, so lineage stays short and a lost
-    executor costs one round at most; only two numbers per round reach the driver.
+    logarithm of the longest chain. Every round is stored in the shared folder, so lineage stays short and a lost executor
+    costs one round at most; only two numbers per round reach the driver.
     """
-    checkpoint_root(edges.sparkSession)
-
     def hang(directed: DataFrame, larger: bool) -> DataFrame:
         lowest = directed.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         moved = directed.join(lowest, "u")
@@ -88,20 +86,22 @@ def canonical_ids(edges: DataFrame, entities: DataFrame, entity: str, max_rounds
         return moved.where(F.col("v") != F.col("m")).select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(
             lowest.where(F.col("u") != F.col("m")).select("u", F.col("m").alias("v")))
 
-    def state(links: DataFrame) -> tuple:
-        return tuple(links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).head())
+    def settle(links: DataFrame) -> tuple[DataFrame, dict]:
+        """The stored links and their fingerprint, taken while they are written."""
+        seen = Observation()
+        watched = links.observe(seen, F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("sum"))
+        return stored(watched, "links"), seen.get
 
     links = (edges.select(F.greatest("entity_a", "entity_b").alias("u"), F.least("entity_a", "entity_b").alias("v"))
-             .where("u <> v").distinct().checkpoint())
-    seen = state(links)
+             .where("u <> v").distinct())
+    links, seen = settle(links)
     for _ in range(max_rounds):
         both = links.unionByName(links.select(F.col("v").alias("u"), F.col("u").alias("v")))
         large = hang(both, larger=True).distinct()
-        links = hang(large, larger=False).distinct().checkpoint()
-        now = state(links)
-        if now == seen:
+        before = seen
+        links, seen = settle(hang(large, larger=False).distinct())
+        if seen == before:
             break
-        seen = now
     else:
         raise RuntimeError(f"links did not settle in {max_rounds} rounds")
     centre = links.groupBy("u").agg(F.min("v").alias("_centre")).withColumnRenamed("u", entity)

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql import types as T
 
 from casegrain.operators.paging import SortKey, order_by
-from casegrain.session import checkpoint_root
+from casegrain.session import stored
 
 BROADCAST_ROWS = 100_000
 
@@ -20,8 +20,7 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | N
     One counting pass with partial sums before its shuffle. The result holds at most rows / ``max_rows`` keys; it is
     stored, and marked for broadcast only when it was counted to be small.
     """
-    checkpoint_root(df.sparkSession)
-    counted = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > max_rows).checkpoint()
+    counted = stored(df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_total")).where(F.col("_total") > max_rows), "hot-keys")
     n = counted.count()
     if n == 0:
         return None

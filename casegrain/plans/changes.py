@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrain.operators import tags as tagging
+from casegrain.operators.index import bitmap_sizes
 from casegrain.operators.warehouse import union_all
 from casegrain.functions import text
 from casegrain.plans.files import write_event_lines
@@ -217,8 +218,7 @@ def drop_folder_stream(spark, sf):
 SELECT strftime(ts, '%Y-%m-%d-%H') AS hour_dir, count(*) AS events, CAST(min(time_bucket(INTERVAL 5 MINUTES, ts)) AS VARCHAR) AS first_slot FROM events GROUP BY 1""")
 def time_bucketed_sink(spark, sf):
     out = fresh_dir(spark, "buckets")
-    # Days are ranged over tasks, so an hour's rows reach few files.
-    events = event_stream(spark, sf).select("event_id", "event_type", utc_time("ts")).repartition(F.date_trunc("day", C("ts")))
+    events = event_stream(spark, sf).select("event_id", "event_type", utc_time("ts"))  # logs arrive in time order: no shuffle
     streams.run_available(streams.time_bucketed_sink(events, "ts", out), fresh_dir(spark, "ckpt"))
     schema = "event_id bigint, event_type string, ts timestamp, slot timestamp, year string, month string, day string, hour string"
     return (spark.read.schema(schema).json(out).groupBy(F.concat_ws("-", "year", "month", "day", "hour").alias("hour_dir"))
@@ -247,7 +247,7 @@ def dead_letter(spark, sf):
 
 
 @query("stream_token_bitmap", f"""
-SELECT token, CASE WHEN doc_id > 0 THEN (doc_id - 1) // 32768 + 1 ELSE 0 END AS bucket, count(*) AS ids FROM ({_DOC_TOKENS}) GROUP BY ALL""")
+SELECT token, count(*) AS ids FROM ({_DOC_TOKENS}) GROUP BY ALL""")
 def stream_token_bitmap(spark, sf):
     in_utc(spark)
     path = f"{sf}/documents.parquet"
@@ -256,7 +256,7 @@ def stream_token_bitmap(spark, sf):
     tokens = docs.select(F.explode(words).alias("token"), F.lit("documents").alias("table_name"), C("doc_id").alias("pk"))
     store = cdc.DeltaStore(spark, fresh_dir(spark, "bitmaps"))
     streams.run_available(tokens.writeStream.foreachBatch(cdc.bitmap_batch(store)), fresh_dir(spark, "ckpt"))
-    return cdc.stored_bitmaps(store).select("token", "bucket", F.bitmap_count("ids").alias("ids"))
+    return bitmap_sizes(cdc.stored_bitmaps(store)).select("token", "ids")
 
 
 @query("rate_windows", with_views("access_log") + """

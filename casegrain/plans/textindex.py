@@ -10,10 +10,11 @@ from casegrain.operators.warehouse import union_all
 from casegrain.plans.registry import query
 from casegrain.plans.values import anchors_with_duplicates
 from casegrain.plans.views import table, view, with_views
-from casegrain.session import fresh_dir
+from casegrain.session import fresh_dir, stored
 
 C = F.col
 INDEXED = {"part": "p_partkey", "customer": "c_custkey", "documents": "doc_id"}
+GONE = {"part": "p_size > 45", "customer": "c_acctbal < 0", "documents": "n_chars < 100"}  # rows treated as deleted
 LABELS = {"part": "p_name", "customer": "c_name", "documents": "source"}
 
 # ---- comparison SQL ------------------------------------------------------------------------------
@@ -43,7 +44,7 @@ _TYPED = {
     "documents": f"list_concat({_array('text')}, {_array('lang')}, {_array('source')}, [CAST(n_chars AS VARCHAR)])",
 }
 TOKENISED = "\nUNION ALL ".join(
-    f"SELECT '{t}' AS table_name, {INDEXED[t]} AS pk, {LABELS[t]} AS label, "
+    f"SELECT '{t}' AS table_name, {INDEXED[t]} AS pk, {LABELS[t]} AS label, {GONE[t]} AS gone, "
     f"CAST({identity.table_id(t)}::HUGEINT * 281474976710656 + {INDEXED[t]} AS UBIGINT) AS global_id, "
     f"list_distinct(list_filter({expr}, lambda w: length(w) >= 2)) AS tokens FROM {t}" for t, expr in _TYPED.items())
 POSTINGS = f"tokenised AS ({TOKENISED}), postings AS (SELECT table_name, pk, global_id, unnest(tokens) AS token FROM tokenised)"
@@ -122,7 +123,8 @@ def document_tokens(spark, sf):
 SELECT token, CAST(0 AS INT) AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS record_ids, count(*) AS frequency, false AS long_list
 FROM ({_PAIRS}) GROUP BY token""")
 def inverted_index(spark, sf):
-    out = index.inverted_index(document_tokens(spark, sf), "doc_id")
+    # The pairs are the index proper: stored once, then both counted and gathered into lists.
+    out = index.inverted_index(stored(document_tokens(spark, sf), "pairs"), "doc_id")
     return out.withColumn("record_ids", F.array_join(C("record_ids").cast("array<string>"), ","))
 
 
@@ -148,7 +150,7 @@ def postings(spark, sf, terms=None):
 
 def source_rows(spark, sf):
     return union_all([table(spark, sf, t).select(identity.pack_global_id(t, C(k)).alias("global_id"), F.lit(t).alias("table_name"),
-                                                 C(k).alias("pk"), C(LABELS[t]).alias("label")) for t, k in INDEXED.items()])
+                                                 C(k).alias("pk"), C(LABELS[t]).alias("label"), F.expr(GONE[t]).alias("gone")) for t, k in INDEXED.items()])
 
 
 @query("bulk_index", f"""WITH {POSTINGS}
@@ -162,7 +164,7 @@ def bulk_index(spark, sf):
         latest = df.select(identity.pack_global_id(name, C(key)).alias("global_id"), F.to_json(F.struct("*")).alias("original_data"),
                            F.lit(0).cast("tinyint").alias("is_deleted"))
         latest.write.parquet(f"{base}/rows/table_name={name}")
-        index.postings(df, name, key).drop("table_name").write.parquet(f"{base}/postings/table_name={name}")
+        index.write_postings(index.postings(df, name, key).drop("table_name"), f"{base}/postings/table_name={name}")
     stored = spark.read.parquet(f"{base}/postings")
     index.token_stats(stored).write.parquet(f"{base}/token_stats")
     return union_all([
@@ -205,10 +207,9 @@ def token_stats(spark, sf):
 
 
 @query("token_bitmap", f"""WITH {POSTINGS}
-SELECT token, table_name, CASE WHEN pk > 0 THEN (pk - 1) // 32768 + 1 ELSE pk // 32768 END AS bucket, count(*) AS ids
-FROM postings GROUP BY ALL""")
+SELECT token, table_name, pk // 64 AS word, count(*) AS ids FROM postings GROUP BY ALL""")
 def token_bitmap(spark, sf):
-    return index.token_bitmap(postings(spark, sf)).withColumn("ids", F.bitmap_count("ids"))
+    return index.token_bitmap(postings(spark, sf)).select("token", "table_name", "word", F.bit_count("bits").cast("bigint").alias("ids"))
 
 
 # ---- searches ------------------------------------------------------------------------------------
@@ -226,10 +227,9 @@ def postings_intersect_lenient(spark, sf):
     return search.postings_intersect_lenient(postings(spark, sf, terms), terms, ["table_name", "pk"])
 
 
-@query("postings_lookup", f"WITH {POSTINGS} SELECT table_name, pk, label FROM tokenised WHERE {has('building')} AND pk % 7 <> 0")
+@query("postings_lookup", f"WITH {POSTINGS} SELECT table_name, pk, label FROM tokenised WHERE {has('building')} AND NOT gone")
 def postings_lookup(spark, sf):
-    # Every seventh row carries a tombstone, as after deletions.
-    rows = source_rows(spark, sf).withColumn("is_deleted", (C("pk") % 7 == 0).cast("int"))
+    rows = source_rows(spark, sf).withColumn("is_deleted", C("gone").cast("int"))
     hits = search.postings_intersect(postings(spark, sf, ["building"]), ["building"], ["global_id"])
     return search.postings_lookup(hits, rows).select("table_name", "pk", "label")
 

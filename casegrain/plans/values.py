@@ -76,13 +76,13 @@ _masked("mask_lookahead", masking.mask_all_but_four,
 
 
 @query("mask_doc_number", with_views("identifier") + f"""
-SELECT entity_id, kind, CASE WHEN entity_id % 10 = 0 THEN 'STORED-' || entity_id
+SELECT entity_id, kind, CASE WHEN kind = 'voter_id' THEN 'STORED-' || entity_id
   WHEN kind = 'aadhaar' THEN 'XXXX-XXXX-' || right(regexp_replace(value, '[ -]', '', 'g'), 4)
   WHEN kind = 'pan' THEN 'XXXXX' || substr(upper(trim(value)), 6)
   WHEN kind = 'driving_license' THEN {_last("upper(trim(value))", 3, 10)}
   ELSE {_last("upper(trim(value))", 2, 7)} END AS masked FROM identifier""")
 def mask_doc_number(spark, sf):
-    stored = F.when(C("entity_id") % 10 == 0, F.concat(F.lit("STORED-"), C("entity_id"))).otherwise("")
+    stored = F.when(C("kind") == "voter_id", F.concat(F.lit("STORED-"), C("entity_id"))).otherwise("")
     return view(spark, sf, "identifier").select(
         "entity_id", "kind", masking.mask_document(F.upper("kind"), C("value"), stored).alias("masked"))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "casegrain", master: str | None = None, **conf: str) -> SparkSession:
@@ -43,6 +43,16 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root
 
 
+def stored(df: DataFrame, label: str) -> DataFrame:
+    """The rows written once to the shared folder and read back.
+
+    Cuts the lineage like a checkpoint, but computes the rows only once and keeps them columnar.
+    """
+    path = fresh_dir(df.sparkSession, label)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def fresh_dir(spark: SparkSession, label: str) -> str:
     """A folder name under the shared root that no other run uses."""
     return f"{checkpoint_root(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"

@@ -10,7 +10,7 @@ from operator import and_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql import types as T
 
-from casegrain.session import checkpoint_root
+from casegrain.session import stored
 
 EMPTY_SHARE = 0.99  # fixed value: columns emptier than this are dropped
 
@@ -102,11 +102,10 @@ def surrogate_key(df: DataFrame, order: Sequence[str], name: str = "s_indx") ->
     Rows are ranged over tasks and stored once; a row's number is its place in its range plus the sizes of the
     ranges before, of which there are as many as tasks.
     """
-    checkpoint_root(df.sparkSession)
     low = (1 << 33) - 1  # monotonically_increasing_id keeps the place within the partition in its low 33 bits
-    ranged = (df.repartitionByRange(*order).sortWithinPartitions(*order)
-              .withColumn("_range", F.spark_partition_id())
-              .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(low))).checkpoint())
+    ranged = stored(df.repartitionByRange(*order).sortWithinPartitions(*order)
+                    .withColumn("_range", F.spark_partition_id())
+                    .withColumn("_place", F.monotonically_increasing_id().bitwiseAND(F.lit(low))), "ranged")
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))

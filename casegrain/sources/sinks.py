@@ -18,9 +18,12 @@ REPORT_MAX = 10_000
 def warehouse_write(df: DataFrame, table: str, path: str, buckets: int = 256) -> None:
     """ORC table by (country, year), bucketed and sorted by entity, with bloom filters on contact columns.
 
-    Rows are brought together by bucket first: one task writes a bucket's file of every partition instead of all tasks.
+    Rows are placed by partition and bucket first, so each file has one writer, and a crowded country is still spread
+    over as many tasks as it has buckets. The bucket number is the one Spark itself gives a row.
     """
-    (df.repartition(buckets, "entity_id").write.mode("overwrite").format("orc")
+    bucket = F.pmod(F.hash("entity_id"), F.lit(buckets))
+    tasks = max(buckets, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    (df.repartition(tasks, "country", "year", bucket).write.mode("overwrite").format("orc")
      .partitionBy("country", "year").bucketBy(buckets, "entity_id").sortBy("entity_id")
      .option("compression", "snappy").option("orc.bloom.filter.columns", "primary_email,primary_phone")
      .option("path", path).saveAsTable(table))
