@@ -118,7 +118,7 @@ def bitmap_intersect(bitmaps: DataFrame, terms: Sequence[str]) -> DataFrame:
     bits = reduce(lambda a, b: a.bitwiseAND(b), [F.col(f"_{i}") for i in range(len(parts))])
     positions = F.filter(F.sequence(F.lit(0), F.lit(63)), lambda i: F.getbit(F.col("_bits"), i) == 1)
     return (both.select("table_name", "word", bits.alias("_bits")).where("_bits <> 0")
-            .select("table_name", (F.col("word") * 64 + F.explode(positions)).alias("pk")))
+            .select("table_name", F.explode(F.transform(positions, lambda i: F.col("word") * 64 + i)).alias("pk")))
 
 
 def entity_rows(df: DataFrame, table_name: str, key: str) -> DataFrame:

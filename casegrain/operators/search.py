@@ -14,6 +14,7 @@ from casegrain.operators.filters import any_of, contains_text
 from casegrain.operators.paging import keyset_page, order_by, page_with_total, top_per_group
 from casegrain.operators.warehouse import union_all
 
+SEARCH_KEYS = [("global_id", "desc"), ("table_name", "asc")]
 MAX_PER_COLUMN = 20  # fixed value: most hits one column may contribute
 
 
@@ -61,15 +62,15 @@ def postings_lookup(hits: DataFrame, rows: DataFrame, key: str = "global_id") ->
 
 
 def search_all_tokens(index: DataFrame, rows: DataFrame, terms: Sequence[str], limit: int,
-                      after: object | None = None) -> DataFrame:
+                      after: Sequence[object] | None = None) -> DataFrame:
     """Newest rows, over all tables, that hold every term: one page with ``has_more``.
 
-    Ids are paged first, so only the page's ids are joined to the rows. The index covers live rows only.
+    Ids are paged first, so only the page's ids are joined to the rows. The index covers live rows only. Table ids have
+    16 bits and can collide, so the table's name takes part in the order and in the join.
     """
-    keys = [("global_id", "desc")]
     hits = postings_intersect(index, terms, ["global_id", "table_name"])
-    page = keyset_page(hits.select("global_id"), keys, limit, None if after is None else (after,))
-    return rows.join(page, "global_id").orderBy(*order_by(keys))
+    page = keyset_page(hits, SEARCH_KEYS, limit, after)
+    return rows.join(page, ["global_id", "table_name"]).orderBy(*order_by(SEARCH_KEYS))
 
 
 def hits_by_table(hits: DataFrame, source: str = "table_name") -> DataFrame:

@@ -67,7 +67,7 @@ def apply_changes(spark, sf):
 
 
 @query("initial_sync", """
-SELECT o_orderstatus, count(*) AS n, sum(o_orderkey) AS keys, (SELECT max(o_orderkey) FROM orders) AS mark FROM orders GROUP BY 1""")
+SELECT o_orderstatus, count(*) AS n, CAST(sum(o_orderkey) AS BIGINT) AS keys, (SELECT max(o_orderkey) FROM orders) AS mark FROM orders GROUP BY 1""")
 def initial_sync(spark, sf):
     target = fresh_dir(spark, "sync")
     orders = table(spark, sf, "orders").select("o_orderkey", "o_orderstatus")
@@ -75,7 +75,7 @@ def initial_sync(spark, sf):
     mark = cdc.initial_sync(orders.where(C("o_orderkey") <= half), target, "o_orderkey")  # interrupted half way
     mark = cdc.initial_sync(orders, target, "o_orderkey", mark)
     return (spark.read.parquet(target).groupBy("o_orderstatus").agg(F.count(F.lit(1)).alias("n"), F.sum("o_orderkey").alias("keys"))
-            .withColumn("mark", F.lit(mark)))
+            .withColumn("mark", F.lit(mark).cast("bigint")))
 
 
 @query("incremental_sync", """
@@ -188,7 +188,7 @@ def log_tail_stream(spark, sf):
 
 
 @query("audit_stream", with_views("access_log") + """
-SELECT action, count(*) AS lines, sum(user_id) AS users FROM access_log GROUP BY action""")
+SELECT action, count(*) AS lines, CAST(sum(user_id) AS BIGINT) AS users FROM access_log GROUP BY action""")
 def audit_stream(spark, sf):
     in_utc(spark)
     logs, out = fresh_dir(spark, "audit"), fresh_dir(spark, "audit-out")
@@ -280,7 +280,7 @@ def access_log_rollup(spark, sf):
     return out.withColumn("window_start", C("window_start").cast("timestamp_ntz").cast("string"))
 
 
-@query("stream_event_dedup", with_views("change_log") + "SELECT op, count(*) AS events, sum(event_id) AS ids FROM change_log GROUP BY op")
+@query("stream_event_dedup", with_views("change_log") + "SELECT op, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM change_log GROUP BY op")
 def stream_event_dedup(spark, sf):
     out = fresh_dir(spark, "dedup")
     twice = change_stream(spark, sf).unionByName(change_stream(spark, sf))  # overlapping polls deliver every change twice

@@ -9,7 +9,7 @@ from casegrain.operators import filters, joins, paging, profile, resolve, search
 from casegrain.operators.warehouse import union_all
 from casegrain.plans.registry import query
 from casegrain.plans.views import VIEWS, table, view, with_views
-from casegrain.session import fresh_dir
+from casegrain.session import fresh_dir, stored
 
 C = F.col
 DETECTED = "1998-01-01 00:00:00"
@@ -320,7 +320,7 @@ def omni_search(spark, sf):
     masters = joins.match_by_either(hits, entities, "entity_id", "entity_id", ["primary_email", "primary_phone"])
     found = entities.join(masters.select(C("matched_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
     tagged = tags.tag_any(found, view(spark, sf, "tag"), [1])
-    page = paging.page_with_total(tagged, [("risk_score", "desc"), ("entity_id", "asc")], 20)
+    page = stored(paging.page_with_total(tagged, [("risk_score", "desc"), ("entity_id", "asc")], 20), "page")  # 20 rows, read often
     # Only the page is enriched: children are reduced to the page's entities before they are ranked.
     wanted = page.select("entity_id")
     children = [view(spark, sf, n).join(wanted, "entity_id", "left_semi") for n in ("anchor", "bank", "social", "property")]

@@ -253,7 +253,7 @@ def surrogate_key(spark, sf):
 
 
 @query("warehouse_write", with_views("entity") + """
-SELECT country, CAST(year(created_on) AS INT) AS year, count(*) AS entities, sum(CASE WHEN year(created_on) = 2021 THEN 100 ELSE risk_score END) AS risk
+SELECT country, CAST(year(created_on) AS INT) AS year, count(*) AS entities, CAST(sum(CASE WHEN year(created_on) = 2021 THEN 100 ELSE risk_score END) AS BIGINT) AS risk
 FROM entity GROUP BY ALL""")
 def warehouse_write(spark, sf):
     name, path = f"wh_entities_{uuid.uuid4().hex[:12]}", fresh_dir(spark, "warehouse")
@@ -266,7 +266,7 @@ def warehouse_write(spark, sf):
 
 
 @query("delimited_write", with_views("bank") + """
-SELECT 'comma' AS kind, count(*) AS rows, sum(entity_id) AS ids FROM bank UNION ALL SELECT 'tab', count(*), sum(entity_id) FROM bank""")
+SELECT kind, count(*) AS rows, CAST(sum(entity_id) AS BIGINT) AS ids FROM (SELECT 'comma' AS kind, entity_id FROM bank UNION ALL SELECT 'tab', entity_id FROM bank) GROUP BY kind""")
 def delimited_write(spark, sf):
     rows = view(spark, sf, "bank").select("entity_id", "bank_name", "account_type")
     out = []

@@ -247,7 +247,7 @@ _INCOMING = "SELECT DISTINCT o_custkey AS entity_id, CAST(substr(o_orderpriority
 
 
 @query("insert_absent", with_views("tag") + f"""
-SELECT category_id, count(*) AS n, sum(entity_id) AS ids FROM
+SELECT category_id, count(*) AS n, CAST(sum(entity_id) AS BIGINT) AS ids FROM
  (SELECT entity_id, category_id FROM tag UNION SELECT entity_id, category_id FROM ({_INCOMING})) GROUP BY category_id""")
 def insert_absent(spark, sf):
     key = ["entity_id", "category_id"]

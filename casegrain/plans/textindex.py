@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrain.functions import identity, text
-from casegrain.operators import index, search
+from casegrain.operators import index, paging, search
 from casegrain.operators.warehouse import union_all
 from casegrain.plans.registry import query
 from casegrain.plans.values import anchors_with_duplicates
@@ -58,7 +58,7 @@ def has(*terms: str) -> str:
 
 
 def _digest(tokens):
-    return [F.size(tokens).alias("n_tokens"), F.md5(F.array_join(F.sort_array(tokens), " ").cast("binary")).alias("digest")]
+    return [F.size(tokens).cast("bigint").alias("n_tokens"), F.md5(F.array_join(F.sort_array(tokens), " ").cast("binary")).alias("digest")]
 
 
 _DIGEST_SQL = "len({0}) AS n_tokens, md5(array_to_string(list_sort({0}), ' ')) AS digest"
@@ -241,8 +241,7 @@ def search_all_tokens(spark, sf):
     terms = search.query_terms("The EN the")
     hits, rows = postings(spark, sf, terms), source_rows(spark, sf)
     first = search.search_all_tokens(hits, rows, terms, 30)
-    cursor = first.agg(F.min("global_id")).head()[0]
-    page = search.search_all_tokens(hits, rows, terms, 30, cursor)
+    page = search.search_all_tokens(hits, rows, terms, 30, paging.next_cursor(first, search.SEARCH_KEYS))
     return page.select(C("global_id").cast("string").alias("global_id"), "table_name", "pk", "label", "has_more")
 
 
@@ -323,8 +322,7 @@ def search_sources(spark, sf):
 SELECT source_table, nationkey, id, name, position FROM (SELECT *, CAST(row_number() OVER (PARTITION BY source_table, nationkey ORDER BY id) AS INT) AS position FROM people)
 WHERE position <= 5""")
 def top_n_per_column(spark, sf):
-    from casegrain.operators.paging import top_per_group
-    return top_per_group(view(spark, sf, "people"), ["source_table", "nationkey"], [("id", "asc")], 5)
+    return paging.top_per_group(view(spark, sf, "people"), ["source_table", "nationkey"], [("id", "asc")], 5)
 
 
 _DUPS = """, firsts AS (SELECT id_type, id_number, arg_min(issuing_country, id) AS first_source, min(id) AS first_id FROM anchor GROUP BY id_type, id_number)

@@ -272,9 +272,9 @@ def validate_values(spark, sf):
 
 
 @query("unique_violations", with_views("anchor", "social", "case_role") + """
-SELECT 'anchor' AS rule, count(*) AS keys, sum(n) AS rows FROM (SELECT count(*) AS n FROM anchor GROUP BY id_type, id_number HAVING count(*) > 1)
-UNION ALL SELECT 'social', count(*), coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM social GROUP BY entity_id, platform, handle HAVING count(*) > 1)
-UNION ALL SELECT 'case_role', count(*), coalesce(sum(n), 0) FROM (SELECT count(*) AS n FROM case_role GROUP BY case_id, entity_id, role HAVING count(*) > 1)""")
+SELECT rule, keys, CAST(coalesce(rows, 0) AS BIGINT) AS rows FROM (SELECT 'anchor' AS rule, count(*) AS keys, sum(n) AS rows FROM (SELECT count(*) AS n FROM anchor GROUP BY id_type, id_number HAVING count(*) > 1)
+UNION ALL SELECT 'social', count(*), sum(n) FROM (SELECT count(*) AS n FROM social GROUP BY entity_id, platform, handle HAVING count(*) > 1)
+UNION ALL SELECT 'case_role', count(*), sum(n) FROM (SELECT count(*) AS n FROM case_role GROUP BY case_id, entity_id, role HAVING count(*) > 1))""")
 def unique_violations(spark, sf):
     anchors = view(spark, sf, "anchor").withColumn("hash", identity.id_hash(C("id_number"), fold=lambda c: c))
     checks = {"anchor": (anchors, ["id_type", "hash"]),

@@ -109,5 +109,6 @@ def surrogate_key(df: DataFrame, order: Sequence[str], name: str = "s_indx") ->
     sizes = ranged.groupBy("_range").agg(F.count(F.lit(1)).alias("_size"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     starts = sizes.select("_range", F.coalesce(F.sum("_size").over(before), F.lit(0)).alias("_start"))
-    return (ranged.join(starts, "_range").withColumn(name, F.col("_start") + F.col("_place") + 1)
+    numbered = ranged.join(F.broadcast(starts), "_range")  # one row per task of the write above
+    return (numbered.withColumn(name, F.col("_start") + F.col("_place") + 1)
             .drop("_range", "_place", "_start"))

@@ -37,12 +37,12 @@ def high_water_mark(df: DataFrame, key: str) -> int:
 
 
 def initial_sync(df: DataFrame, target: str, key: str, after: int | None = None) -> int:
-    """Copy the rows beyond ``after`` in ranges of the key and return the target's highest key.
+    """Copy the rows beyond ``after`` and return the target's highest key, which parquet keeps in its footers.
 
-    Run again with the returned mark after an interruption; it copies only what is missing.
+    The source is read in its own splits (a database in key ranges), so nothing is shuffled. Run again with the returned mark after an interruption; it copies only what is missing.
     """
     rows = df if after is None else df.where(F.col(key) > after)
-    rows.repartitionByRange(key).write.mode("append").parquet(target)
+    rows.write.mode("append").parquet(target)
     return high_water_mark(df.sparkSession.read.parquet(target), key)
 
 
