@@ -38,12 +38,12 @@ def classify_value(value: Column) -> Column:
 
     E-mail is judged on the text as given, every other type on its upper-cased form without space, - and /.
     """
-    compact = F.upper(F.regexp_replace(F.trim(value), "[ /-]", ""))
-    out = None
-    for kind, pattern in ID_PATTERNS:
-        matches = (F.lower(value) if kind == "email" else compact).rlike(pattern)
-        out = F.when(matches, kind) if out is None else out.when(matches, kind)
-    return out.otherwise("general")
+    def first_match(compact: Column) -> Column:
+        tests = [(F.lower(value) if kind == "email" else compact).rlike(pattern) for kind, pattern in ID_PATTERNS]
+        return F.coalesce(*[F.when(hit, kind) for hit, (kind, _) in zip(tests, ID_PATTERNS)], F.lit("general"))
+
+    # The lambda's argument is computed once per value, where a plain expression would be for every pattern.
+    return F.transform(F.array(F.upper(F.regexp_replace(F.trim(value), "[ /-]", ""))), first_match)[0]
 
 
 def _present(columns: Sequence[str], name: str) -> Column:

@@ -17,7 +17,7 @@ from casegrain.session import stored
 
 def dup_groups(df: DataFrame, keys: Sequence[str], entity: str, max_items: int = 65536) -> DataFrame:
     """Groups with more than one entity: their members (in parts when crowded) and their size."""
-    members = grouped_lists(df.select(*keys, entity).distinct(), keys, entity, max_items)
+    members = grouped_lists(df.dropna(subset=list(keys)).select(*keys, entity).distinct(), keys, entity, max_items)
     return members.where(F.col("frequency") > 1)
 
 

@@ -27,6 +27,10 @@ def hot_keys(df: DataFrame, keys: Sequence[str], max_rows: int) -> DataFrame | N
     return F.broadcast(counted) if n <= BROADCAST_ROWS else counted
 
 
+def first_part() -> Column:
+    return F.lit(0).cast("bigint")
+
+
 @dataclass
 class Lists:
     """Ordered lists, one row per (key, part); ``split`` tells whether any key has more than the part 0."""
@@ -37,17 +41,15 @@ class Lists:
 
 
 def _sort_value(df: DataFrame, name: str, direction: str) -> list[Column]:
-    """Values whose ascending order is the order asked for, nulls last."""
+    """Null flag and value whose ascending order is the order asked for, nulls last."""
     value, kind = F.col(name), df.schema[name].dataType
     if direction == "desc":
         if isinstance(kind, T.BooleanType):
             value = ~value
         elif isinstance(kind, T.DateType):
             value = -F.unix_date(value)
-        elif isinstance(kind, T.TimestampType):
-            value = -F.unix_micros(value)
-        elif isinstance(kind, T.TimestampNTZType):
-            value = -F.unix_micros(value.cast("timestamp"))
+        elif isinstance(kind, (T.TimestampType, T.TimestampNTZType)):
+            value = F.lit("2000-01-01").cast(kind) - value
         elif isinstance(kind, T.NumericType):
             value = -value
         else:
@@ -59,8 +61,8 @@ def ordered_lists(df: DataFrame, key: str, order: Sequence[SortKey], fields: Map
                   max_items: int = 10_000) -> Lists:
     """Child rows of each key as an ordered list of structs.
 
-    A key with more than ``max_items`` children is ranged over several tasks by the list order; each range becomes
-    one part, and the parts in ascending order are the whole list.
+    A key with more than ``max_items`` children is ranged over several tasks by the list order and cut every
+    ``max_items`` rows; the parts in ascending order are the whole list.
     """
     def collect(rows: DataFrame, *group: str) -> DataFrame:
         rank = [c for k, d in order for c in _sort_value(df, k, d)]
@@ -69,25 +71,29 @@ def ordered_lists(df: DataFrame, key: str, order: Sequence[SortKey], fields: Map
         sorted_items = F.sort_array(F.collect_list(item))
         return rows.groupBy(*group).agg(sorted_items["_item"].alias(name))
 
+    df = df.where(F.col(key).isNotNull())
     hot = hot_keys(df, [key], max_items)
     if hot is None:
-        return Lists(collect(df, key).withColumn("part", F.lit(0)), name, False)
-    usual = collect(df.join(hot, key, "left_anti"), key).withColumn("part", F.lit(0))
+        return Lists(collect(df, key).withColumn("part", first_part()), name, False)
+    usual = collect(df.join(hot, key, "left_anti"), key).withColumn("part", first_part())
+    # Row ids follow the order inside a range and leap between ranges: rows rounded down alike are neighbours in the list.
+    row_id = F.monotonically_increasing_id()
     crowded = (df.join(hot.select(key), key, "left_semi")
-               .repartitionByRange(F.col(key), *order_by(order))
-               .withColumn("part", F.spark_partition_id() + 1)
+               .repartitionByRange(F.col(key), *order_by(order)).sortWithinPartitions(F.col(key), *order_by(order))
+               .withColumn("part", row_id - row_id % max_items + 1)
                .repartition(key, "part"))
-    return Lists(usual.unionByName(collect(crowded, key, "part")), name, True)
+    # Stored, because ranges are drawn anew whenever the plan runs and every reader must see the same parts.
+    return Lists(usual.unionByName(stored(collect(crowded, key, "part"), "crowded")), name, True)
 
 
 def attach_lists(base: DataFrame, key: str, lists: Sequence[Lists]) -> DataFrame:
     """Base rows with their lists. Keys whose lists come in parts get further rows, numbered by ``part``."""
     if not any(child.split for child in lists):
-        out = base.withColumn("part", F.lit(0))
+        out = base.withColumn("part", first_part())
         for child in lists:
             out = out.join(child.df.drop("part"), key, "left")
         return out
-    rows = base.select(key, F.lit(0).alias("part"))
+    rows = base.select(key, first_part().alias("part"))
     for child in lists:
         rows = rows.unionByName(child.df.select(key, "part"))
     out = base.join(rows.distinct(), key)

@@ -30,7 +30,7 @@ def in_utc(spark):
 def event_stream(spark, sf):
     in_utc(spark)
     path = f"{sf}/events.parquet"
-    return streams.table_stream(spark, path, spark.read.parquet(path).schema, maxFilesPerTrigger="64")
+    return streams.table_stream(spark, path, table(spark, sf, "events").schema, maxFilesPerTrigger="64")
 
 
 def change_stream(spark, sf):
@@ -251,7 +251,7 @@ SELECT token, count(*) AS ids FROM ({_DOC_TOKENS}) GROUP BY ALL""")
 def stream_token_bitmap(spark, sf):
     in_utc(spark)
     path = f"{sf}/documents.parquet"
-    docs = streams.table_stream(spark, path, spark.read.parquet(path).schema, maxFilesPerTrigger="64")
+    docs = streams.table_stream(spark, path, table(spark, sf, "documents").schema, maxFilesPerTrigger="64")
     words = F.array_distinct(F.filter(text.split_words(C("text")), lambda w: F.length(w) >= 2))
     tokens = docs.select(F.explode(words).alias("token"), F.lit("documents").alias("table_name"), C("doc_id").alias("pk"))
     store = cdc.DeltaStore(spark, fresh_dir(spark, "bitmaps"))
@@ -293,7 +293,7 @@ def stream_event_dedup(spark, sf):
 def stream_counters(spark, sf):
     in_utc(spark)
     path = f"{sf}/events.parquet"
-    source = streams.table_stream(spark, path, spark.read.parquet(path).schema).select("event_id", C("_metadata.file_path").alias("file"))
+    source = streams.table_stream(spark, path, table(spark, sf, "events").schema).select("event_id", C("_metadata.file_path").alias("file"))
     # One line per table even where it is stored as a folder of files.
     unit = F.regexp_extract("file", r"(events\.parquet)", 1)
     store = cdc.DeltaStore(spark, fresh_dir(spark, "counters"))

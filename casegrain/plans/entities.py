@@ -156,7 +156,7 @@ def remark_summary(spark, sf):
     return profile.remark_summary(view(spark, sf, "remark")).select("entity_id", map_text(C("remark_summary")).alias("remarks"))
 
 
-@query("ordered_json_agg", with_views("bank") + f"SELECT entity_id, 0 AS part, bank_accounts FROM {_BANKS}")
+@query("ordered_json_agg", with_views("bank") + f"SELECT entity_id, CAST(0 AS BIGINT) AS part, bank_accounts FROM {_BANKS}")
 def ordered_json_agg(spark, sf):
     lists = profile.bank_list(view(spark, sf, "bank"), False, 10_000)
     return lists.df.select("entity_id", "part", joined("bank_accounts", *BANK_FIELDS).alias("bank_accounts"))
@@ -188,7 +188,7 @@ LEFT JOIN {_CASES} k USING (entity_id)"""
 
 
 @query("entity_profile", with_views(*_PROFILE_VIEWS) + f"""
-SELECT e.entity_id, 0 AS part, full_name, city || ':' || country AS addresses, 'phone:' || primary_phone || ';email:' || primary_email AS contacts,
+SELECT e.entity_id, CAST(0 AS BIGINT) AS part, full_name, city || ':' || country AS addresses, 'phone:' || primary_phone || ';email:' || primary_email AS contacts,
   anchors, social_accounts, bank_accounts, cases {_PROFILE_FROM}""")
 def entity_profile(spark, sf):
     return profiles(spark, sf).select(
@@ -219,7 +219,7 @@ def categories_of(spark, sf):
 
 
 @query("entity_360", with_views("entity", "anchor", "property", "bank", "social", "tag", "category", "remark") + f"""
-SELECT e.entity_id, 0 AS part, e.risk_score, e.status, anchors, properties, bank_accounts, social_accounts, tags, remarks
+SELECT e.entity_id, CAST(0 AS BIGINT) AS part, e.risk_score, e.status, anchors, properties, bank_accounts, social_accounts, tags, remarks
 FROM entity e LEFT JOIN {_ANCHORS} a USING (entity_id) LEFT JOIN {_PROPS} p USING (entity_id) LEFT JOIN {_BANKS} b USING (entity_id)
 LEFT JOIN {_SOCIAL} s USING (entity_id) LEFT JOIN {_TAGS} t USING (entity_id) LEFT JOIN {_REMARKS} r USING (entity_id)""")
 def entity_360(spark, sf):

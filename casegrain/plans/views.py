@@ -6,6 +6,7 @@ The text is portable SQL, so the same definition feeds Spark and, as a CTE, the
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 VIEWS: dict[str, tuple[tuple[str, ...], str]] = {
     "entity": (("customer", "nation", "region"), """
@@ -83,9 +84,16 @@ SELECT 'supplier' AS source_table, s_suppkey AS id, s_name AS name, s_nationkey
 }
 
 
+_SCHEMAS: dict[tuple[str, str], StructType] = {}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    """One of the driver's tables. Its schema is read from the footers once per application, not once per query."""
+    path = f"{sf_dir}/{name}.parquet"
+    known = (spark.sparkContext.applicationId, path)
+    if known not in _SCHEMAS:
+        _SCHEMAS[known] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[known]).parquet(path)
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

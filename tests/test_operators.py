@@ -61,6 +61,7 @@ def test_ordered_lists_stay_whole_and_ordered_when_split(spark, max_items):
     lists = skew.ordered_lists(df, "entity_id", order, {"id": F.col("id")}, "children", max_items)
     assert lists.split == (max_items == 4)
     got = lists.df.orderBy("entity_id", "part").collect()
+    assert max(len(r["children"]) for r in got) <= max_items
     for entity in (1, 2):
         wanted = sorted((r for r in rows if r[0] == entity), key=lambda r: (not r[2], r[3] is None, -(r[3] or 0), r[1]))
         assert [c["id"] for r in got if r["entity_id"] == entity for c in r["children"]] == [r[1] for r in wanted]
