@@ -4,13 +4,34 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from casegrain.functions.identity import FNV_OFFSET, FNV_PRIME, ROW_BITS
+from casegrain.functions.values import ID_PATTERNS
+
 
 def _keep_last(visible: int, short_prefix: int) -> str:
     return (f"CASE WHEN length(s) < {visible} THEN concat('{'X' * short_prefix}', s) "
             f"ELSE concat(repeat('X', length(s) - {visible}), right(s, {visible})) END")
 
 
+_CLASSIFY = "CASE " + " ".join(
+    f"WHEN {'lower(v)' if kind == 'email' else 'c'} RLIKE r'{pattern}' THEN '{kind}'" for kind, pattern in ID_PATTERNS
+) + " ELSE 'general' END"
+
+_BYTES = "transform(sequence(1, length(h) div 2), i -> CAST(conv(substr(h, CAST(i * 2 - 1 AS INT), 2), 16, 10) AS INT))"
+_FNV_STEP = (f"CAST((CAST(acc - acc % 256 + (CAST(acc % 256 AS INT) ^ b) AS DECIMAL(20,0)) * CAST({FNV_PRIME} AS DECIMAL(13,0))) "
+             f"% CAST({2**64} AS DECIMAL(20,0)) AS DECIMAL(38,0))")
+
 SCALARS = {
+    "classify_value": ("v STRING", "STRING",
+                       f"(SELECT {_CLASSIFY} FROM (SELECT upper(regexp_replace(trim(v), '[ /-]', '')) AS c))"),
+    "mask_document": ("kind STRING, number STRING", "STRING",
+                      "CASE lower(kind) WHEN 'aadhaar' THEN mask_aadhaar(number) WHEN 'pan' THEN mask_pan(number) "
+                      "WHEN 'driving_license' THEN mask_driving_license(number) ELSE mask_passport(number) END"),
+    "token_hash": ("t STRING", "DECIMAL(20,0)",
+                   f"CASE WHEN t = '' THEN CAST({FNV_OFFSET} AS DECIMAL(20,0)) ELSE (SELECT CAST(aggregate({_BYTES}, CAST({FNV_OFFSET} AS DECIMAL(38,0)), "
+                   f"(acc, b) -> {_FNV_STEP}) AS DECIMAL(20,0)) FROM (SELECT hex(lower(t)) AS h)) END"),
+    "global_id": ("table_id INT, row_id BIGINT", "DECIMAL(20,0)",
+                  f"CAST(CAST(table_id AS DECIMAL(20,0)) * {1 << ROW_BITS} + (row_id & {(1 << ROW_BITS) - 1}) AS DECIMAL(20,0))"),
     "mask_aadhaar": ("s STRING", "STRING", "concat('XXXX-XXXX-', right(regexp_replace(s, '[ -]', ''), 4))"),
     "mask_pan": ("s STRING", "STRING",
                  "concat('XXXXX', CASE WHEN length(trim(s)) < 5 THEN upper(trim(s)) ELSE substr(upper(trim(s)), 6) END)"),
@@ -31,7 +52,8 @@ SCALARS = {
 
 def register_scalars(spark: SparkSession) -> list[str]:
     """Create the scalar functions for this session and return their names."""
-    for name, (params, returns, body) in SCALARS.items():
+    for name in sorted(SCALARS, key=lambda n: n == "mask_document"):  # the one that calls others comes last
+        params, returns, body = SCALARS[name]
         spark.sql(f"CREATE OR REPLACE TEMPORARY FUNCTION {name}({params}) RETURNS {returns} RETURN {body}")
     return list(SCALARS)
 

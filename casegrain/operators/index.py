@@ -94,7 +94,8 @@ def token_bitmap(index: DataFrame) -> DataFrame:
     """
     pk = F.col("pk")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), pk.bitwiseAND(F.lit(63)).cast("int"))
-    return (index.groupBy("token", "table_name", F.shiftright(pk, 6).alias("word")).agg(F.bit_or(bit).alias("bits")))
+    updated = [F.max("updated_at").alias("updated_at")] if "updated_at" in index.columns else []
+    return index.groupBy("token", "table_name", F.shiftright(pk, 6).alias("word")).agg(F.bit_or(bit).alias("bits"), *updated)
 
 
 def merge_bitmaps(*bitmaps: DataFrame) -> DataFrame:
@@ -102,7 +103,8 @@ def merge_bitmaps(*bitmaps: DataFrame) -> DataFrame:
     merged = bitmaps[0]
     for other in bitmaps[1:]:
         merged = merged.unionByName(other)
-    return merged.groupBy("token", "table_name", "word").agg(F.bit_or("bits").alias("bits"))
+    updated = [F.max("updated_at").alias("updated_at")] if "updated_at" in merged.columns else []
+    return merged.groupBy("token", "table_name", "word").agg(F.bit_or("bits").alias("bits"), *updated)
 
 
 def bitmap_sizes(bitmaps: DataFrame) -> DataFrame:

@@ -19,13 +19,15 @@ def order_by(keys: Sequence[SortKey]) -> list[Column]:
 
 
 def after_cursor(keys: Sequence[SortKey], values: Sequence[object]) -> Column:
-    """Rows that come after ``values`` in the given order, for any mix of directions."""
+    """Rows that come after ``values`` in the given order, for any mix of directions; nulls come last in each."""
     steps = []
     for i, (name, direction) in enumerate(keys):
-        same = [F.col(c) == F.lit(v) for (c, _), v in zip(keys[:i], values)]
+        if values[i] is None:
+            continue  # nothing comes after null but what the later keys tell apart
+        same = [F.col(c).eqNullSafe(F.lit(v)) for (c, _), v in zip(keys[:i], values)]
         beyond = F.col(name) < F.lit(values[i]) if direction == "desc" else F.col(name) > F.lit(values[i])
-        steps.append(all_of([*same, beyond]))
-    return reduce(or_, steps)
+        steps.append(all_of([*same, beyond | F.col(name).isNull()]))
+    return reduce(or_, steps, F.lit(False))
 
 
 def keyset_page(df: DataFrame, keys: Sequence[SortKey], limit: int,
@@ -57,8 +59,8 @@ def decode_cursor(cursor: Column, schema: StructType) -> Column:
 
 def next_cursor(page: DataFrame, keys: Sequence[SortKey]) -> tuple | None:
     """Sort values of the last row of a page (one row reaches the caller)."""
-    turned = [(c, "asc" if d == "desc" else "desc") for c, d in keys]
-    last = page.orderBy(*order_by(turned)).select(*[c for c, _ in keys]).head()
+    backwards = [F.col(c).asc_nulls_first() if d == "desc" else F.col(c).desc_nulls_first() for c, d in keys]
+    last = page.orderBy(*backwards).select(*[c for c, _ in keys]).head()
     return None if last is None else tuple(last)
 
 

@@ -144,11 +144,12 @@ def fulltext_rank(df: DataFrame, fields: Sequence[str], term: str) -> DataFrame:
 
 
 def cross_source_match(df: DataFrame, value: str, source: str) -> DataFrame:
-    """Per value: rows, sources holding it, and whether more than one does.
+    """Per value: rows, the sources holding it with their matches, and whether more than one does.
 
     The number of sources is that of the registered databases, so the set per value stays small.
     """
     per_source = df.groupBy(value, source).agg(F.count(F.lit(1)).alias("_n"))
     return (per_source.groupBy(value)
-            .agg(F.sum("_n").alias("matches"), F.sort_array(F.collect_list(source)).alias("sources"))
+            .agg(F.sum("_n").alias("matches"),
+                 F.sort_array(F.collect_list(F.struct(F.col(source).alias("source"), F.col("_n").alias("matches")))).alias("sources"))
             .withColumn("has_duplicates", F.size("sources") > 1))

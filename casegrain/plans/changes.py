@@ -197,8 +197,8 @@ def audit_stream(spark, sf):
     pattern = r"user=(\d+) action=(\S+)"
     lines = streams.audit_stream(spark, logs, pattern)
     fields = lines.select(F.regexp_extract("value", pattern, 1).cast("bigint").alias("user_id"), F.regexp_extract("value", pattern, 2).alias("action"), "ingested_at")
-    streams.run_available(fields.writeStream.format("json").option("path", out).option("compression", "gzip"), fresh_dir(spark, "ckpt"))
-    return (spark.read.schema("user_id bigint, action string, ingested_at timestamp").json(out)
+    streams.run_available(streams.time_bucketed_sink(fields, "ingested_at", out, daily=True), fresh_dir(spark, "ckpt"))
+    return (spark.read.schema("user_id bigint, action string, ingested_at timestamp, year string, month string, day string").json(out)
             .groupBy("action").agg(F.count(F.lit(1)).alias("lines"), F.sum("user_id").alias("users")))
 
 

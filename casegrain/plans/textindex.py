@@ -353,8 +353,9 @@ def fulltext_rank(spark, sf):
 
 
 @query("cross_source_match", with_views("anchor") + """
-SELECT sha256(id_number) AS hash, count(*) AS matches, string_agg(DISTINCT issuing_country, ',' ORDER BY issuing_country) AS sources,
-  count(DISTINCT issuing_country) > 1 AS has_duplicates FROM anchor GROUP BY id_number""")
+SELECT sha256(id_number) AS hash, CAST(sum(n) AS BIGINT) AS matches, string_agg(issuing_country || '=' || n, ',' ORDER BY issuing_country) AS sources,
+  count(*) > 1 AS has_duplicates FROM (SELECT id_number, issuing_country, count(*) AS n FROM anchor GROUP BY ALL) GROUP BY id_number""")
 def cross_source_match(spark, sf):
     a = view(spark, sf, "anchor").select(identity.id_hash(C("id_number"), fold=lambda c: c).alias("hash"), "issuing_country")
-    return search.cross_source_match(a, "hash", "issuing_country").withColumn("sources", F.array_join("sources", ","))
+    counted = F.transform("sources", lambda s: F.concat_ws("=", s["source"], s["matches"].cast("string")))
+    return search.cross_source_match(a, "hash", "issuing_country").withColumn("sources", F.array_join(counted, ","))

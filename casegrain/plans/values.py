@@ -287,13 +287,20 @@ def unique_violations(spark, sf):
 
 @query("register_column_functions", with_views("identifier") + f"""
 SELECT entity_id, kind, {_last("trim(value)", 4, 6)} AS phone, {_EMAIL} AS email,
-  sha256(upper(trim(value))) AS hash, CAST(CAST('0x' || substr(md5(kind || ':' || entity_id), 1, 16) AS UBIGINT) AS VARCHAR) AS entity_key
+  sha256(upper(trim(value))) AS hash, CAST(CAST('0x' || substr(md5(kind || ':' || entity_id), 1, 16) AS UBIGINT) AS VARCHAR) AS entity_key,
+  {_CLASSIFY} AS value_type, CAST({_FNV.replace('(t)', '(lower(value))').replace('(t,', '(lower(value),')} AS VARCHAR) AS token_hash,
+  CAST({identity.table_id('identifier')}::HUGEINT * 281474976710656 + entity_id AS VARCHAR) AS global_id,
+  CASE WHEN kind = 'aadhaar' THEN 'XXXX-XXXX-' || right(regexp_replace(value, '[ -]', '', 'g'), 4)
+    WHEN kind = 'pan' THEN 'XXXXX' || substr(upper(trim(value)), 6) WHEN kind = 'driving_license' THEN {_last("upper(trim(value))", 3, 10)}
+    ELSE {_last("upper(trim(value))", 2, 7)} END AS document
 FROM identifier""")
 def register_column_functions(spark, sf):
     sql_functions.register_scalars(spark)
     view(spark, sf, "identifier").createOrReplaceTempView("identifier")
     return spark.sql("""SELECT entity_id, kind, mask_phone(value) AS phone, mask_email(value) AS email, id_hash(value) AS hash,
-        CAST(entity_key(kind, CAST(entity_id AS STRING)) AS STRING) AS entity_key FROM identifier""")
+        CAST(entity_key(kind, CAST(entity_id AS STRING)) AS STRING) AS entity_key, classify_value(value) AS value_type,
+        CAST(token_hash(value) AS STRING) AS token_hash, CAST(global_id(:table_id, entity_id) AS STRING) AS global_id,
+        mask_document(kind, value) AS document FROM identifier""", args={"table_id": identity.table_id("identifier")})
 
 
 @query("sql_table_functions", with_views("anchor", "entity", "tag") + """

@@ -53,7 +53,7 @@ def report_table(df: DataFrame, key: str, value: str, source: str, equals: str |
     rows = df if equals is None else df.where(F.col(value) == equals)
     page = rows.orderBy(key).limit(limit if 0 < limit <= REPORT_MAX else REPORT_ROWS)
     shared = cross_source_match(df.join(page.select(value), value, "left_semi"), value, source)
-    return page.join(shared.select(value, F.col("sources").alias("cross_refs"), "has_duplicates"), value, "left")
+    return page.join(shared.select(value, F.col("sources.source").alias("cross_refs"), "has_duplicates"), value, "left")
 
 
 def report_all_tables(tables: Mapping[str, tuple[DataFrame, str]], limit: int = REPORT_ROWS, per_table: int = 10) -> DataFrame:

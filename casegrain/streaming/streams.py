@@ -50,10 +50,11 @@ def time_parts(df: DataFrame, at: str) -> DataFrame:
                           "day": F.date_format("slot", "dd"), "hour": F.date_format("slot", "HH")}))
 
 
-def time_bucketed_sink(df: DataFrame, at: str, path: str, rows_per_file: int = 1_000_000) -> DataStreamWriter:
-    """Gzip JSON under year/month/day/hour. Files roll by trigger interval and by size in rows."""
+def time_bucketed_sink(df: DataFrame, at: str, path: str, rows_per_file: int = 1_000_000, daily: bool = False) -> DataStreamWriter:
+    """Gzip JSON under year/month/day and, unless ``daily``, hour. Files roll by trigger interval and by size in rows."""
+    folders = ["year", "month", "day"] if daily else ["year", "month", "day", "hour"]
     return (time_parts(df, at).writeStream.format("json").outputMode("append")
-            .partitionBy("year", "month", "day", "hour").option("compression", "gzip")
+            .partitionBy(*folders).option("compression", "gzip")
             .option("maxRecordsPerFile", rows_per_file).option("path", path))
 
 

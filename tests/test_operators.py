@@ -12,7 +12,8 @@ from casegrain.operators.joins import insert_absent
 
 def records(spark, n=57):
     rng = random.Random(3)
-    return spark.createDataFrame([(i, rng.randint(0, 5), rng.choice("xyz")) for i in range(n)], "id bigint, value int, kind string")
+    rows = [(i, rng.choice([None, 0, 1, 2, 3]), rng.choice("xyz")) for i in range(n)]
+    return spark.createDataFrame(rows, "id bigint, value int, kind string")
 
 
 @pytest.mark.parametrize("keys", [[("value", "desc"), ("id", "asc")], [("kind", "asc"), ("value", "desc"), ("id", "desc")], [("id", "asc")]])
