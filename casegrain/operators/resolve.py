@@ -16,16 +16,22 @@ from casegrain.session import stored
 
 
 def dup_groups(df: DataFrame, keys: Sequence[str], entity: str, max_items: int = 65536) -> DataFrame:
-    """Groups with more than one entity: their members (in parts when crowded) and their size."""
-    members = grouped_lists(df.dropna(subset=list(keys)).select(*keys, entity).distinct(), keys, entity, max_items)
+    """Groups with more than one entity: their members (in parts when crowded) and their size.
+
+    The pairs are stored first: they are read twice, and making them may mean hashing long texts.
+    """
+    pairs = stored(df.select(*keys, entity).distinct(), "members").dropna(subset=list(keys))
+    members = grouped_lists(pairs, keys, entity, max_items)
     return members.where(F.col("frequency") > 1)
 
 
 def star_links(df: DataFrame, keys: Sequence[str], entity: str) -> DataFrame:
-    """(entity_a, entity_b, keys): every entity of a group linked to the smallest one."""
-    known = df.dropna(subset=list(keys))
-    pairs = known.select(*keys, F.col(entity).alias("entity_b")).distinct()
-    centres = known.groupBy(*keys).agg(F.min(entity).alias("entity_a"), F.max(entity).alias("_last"))
+    """(entity_a, entity_b, keys): every entity of a group linked to the smallest one; null keys make no group.
+
+    ``df`` is read twice, so store keys that are costly to make, such as hashes of long texts, before.
+    """
+    pairs = df.select(*keys, F.col(entity).alias("entity_b")).distinct()
+    centres = df.groupBy(*keys).agg(F.min(entity).alias("entity_a"), F.max(entity).alias("_last"))
     centres = centres.where(F.col("entity_a") < F.col("_last")).drop("_last")
     return pairs.join(centres, list(keys)).where(F.col("entity_a") < F.col("entity_b"))
 

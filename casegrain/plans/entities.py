@@ -16,7 +16,8 @@ DETECTED = "1998-01-01 00:00:00"
 
 
 def hashed_anchors(spark, sf):
-    return view(spark, sf, "anchor").withColumn("id_hash", identity.id_hash(C("id_number"), fold=lambda c: c))
+    """(id_type, id_hash, entity_id) of the anchors."""
+    return view(spark, sf, "anchor").select("id_type", identity.id_hash(C("id_number"), fold=lambda c: c).alias("id_hash"), "entity_id")
 
 
 def joined(column, *fields):
@@ -45,7 +46,7 @@ _STAR = """, centre AS (SELECT id_type, id_number, min(entity_id) AS entity_a, c
 SELECT c.entity_a, a.entity_id AS entity_b, a.id_type, sha256(a.id_number) AS id_hash FROM anchor a
 JOIN centre c ON c.id_type = a.id_type AND c.id_number = a.id_number WHERE a.entity_id > c.entity_a""")
 def dup_pairs(spark, sf):
-    return resolve.star_links(hashed_anchors(spark, sf), ["id_type", "id_hash"], "entity_id")
+    return resolve.star_links(stored(hashed_anchors(spark, sf), "hashed"), ["id_type", "id_hash"], "entity_id")
 
 
 @query("dup_groups", with_views("anchor") + """
@@ -71,7 +72,7 @@ def shared_handles(spark, sf):
 SELECT DISTINCT c.entity_a, a.entity_id AS entity_b, 'EXACT_ID' AS match_type, 1.0::DOUBLE AS similarity, '{DETECTED}' AS detected_at FROM anchor a
 JOIN centre c ON c.id_type = a.id_type AND c.id_number = a.id_number WHERE a.entity_id > c.entity_a""")
 def dup_edges(spark, sf):
-    links = resolve.star_links(hashed_anchors(spark, sf), ["id_type", "id_hash"], "entity_id")
+    links = resolve.star_links(stored(hashed_anchors(spark, sf), "hashed"), ["id_type", "id_hash"], "entity_id")
     return resolve.typed_edges(links, "EXACT_ID", 1.0, F.lit(DETECTED))
 
 

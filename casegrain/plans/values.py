@@ -9,6 +9,7 @@ from casegrain.operators import tags as tagging
 from casegrain.operators.warehouse import union_all
 from casegrain.plans.registry import query
 from casegrain.plans.views import VIEWS, table, view, with_views
+from casegrain.session import stored
 
 C = F.col
 
@@ -218,7 +219,8 @@ def dup_tag(spark, sf):
 
 def anchors_with_duplicates(spark, sf):
     """Anchors with the source and type of the first record holding the same id, where that is another record."""
-    a = view(spark, sf, "anchor").withColumn("hash", identity.id_hash(C("id_number"), fold=lambda c: c))
+    hashed = view(spark, sf, "anchor").select("id", "id_type", "issuing_country", identity.id_hash(C("id_number"), fold=lambda c: c).alias("hash"))
+    a = stored(hashed, "hashed")  # texts are read and hashed once, not for both sides of the join
     firsts = a.groupBy("id_type", "hash").agg(F.min_by("issuing_country", "id").alias("first_source"), F.min("id").alias("first_id"))
     repeated = C("id") > C("first_id")
     return (a.join(firsts, ["id_type", "hash"])
