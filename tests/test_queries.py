@@ -19,8 +19,33 @@ def duck():
 
 @pytest.mark.parametrize("name", list(QUERIES))
 def test_query_matches_sql(spark, duck, name):
-    problem, _ = check.compare(spark, duck, name, QUERIES[name], ORACLES.get(name), SF)
+    made = []
+
+    def run(spark, sf):
+        made.append(QUERIES[name](spark, sf))
+        return made[0]
+
+    problem, _ = check.compare(spark, duck, name, run, ORACLES.get(name), SF)
     assert problem is None, problem
+    plan = plan_of(made[0])
+    assert not [op for op in ("CartesianProduct", "BroadcastNestedLoopJoin", "EvalPython", "InPandas") if op in plan]
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_filters_and_columns_reach_the_scan(spark):
+    plan = plan_of(QUERIES["eq_filters"](spark, SF))
+    assert re.search(r"PushedFilters: \[.*EqualTo\(o_orderstatus,F\)", plan)
+    assert "o_totalprice" not in plan and "o_orderdate" not in plan
+    assert "PartitionFilters: [isnotnull(o_orderpriority" in plan_of(QUERIES["external_scan"](spark, SF))
+    assert "TakeOrderedAndProject" in plan_of(QUERIES["keyset_page"](spark, SF))
+
+
+def test_whole_groups_never_meet_before_they_are_limited(spark):
+    for name in ("top_n_children", "children_order", "entity_360_topn", "work_sessions", "top_n_per_column"):
+        assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, SF))
 
 
 def test_every_query_has_sql():
