@@ -133,7 +133,7 @@ SELECT CASE WHEN substr(token, 1, 1) BETWEEN 'a' AND 'z' THEN substr(token, 1, 1
        count(DISTINCT token) AS tokens FROM ({_PAIRS}) GROUP BY 1""")
 def index_alpha_partitions(spark, sf):
     path = fresh_dir(spark, "alpha")
-    index.write_alpha_partitions(document_tokens(spark, sf), path)
+    index.write_alpha_partitions(stored(document_tokens(spark, sf), "pairs"), path)
     return (spark.read.parquet(path).groupBy("letter")
             .agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("token").alias("tokens")))
 
@@ -164,9 +164,10 @@ def bulk_index(spark, sf):
         latest = df.select(identity.pack_global_id(name, C(key)).alias("global_id"), F.to_json(F.struct("*")).alias("original_data"),
                            F.lit(0).cast("tinyint").alias("is_deleted"))
         latest.write.parquet(f"{base}/rows/table_name={name}")
-        index.write_postings(index.postings(df, name, key).drop("table_name"), f"{base}/postings/table_name={name}")
-    stored = spark.read.parquet(f"{base}/postings")
-    index.token_stats(stored).write.parquet(f"{base}/token_stats")
+        # Ranging looks at its input twice; texts are split into tokens once.
+        index.write_postings(stored(index.postings(df, name, key).drop("table_name"), "raw"), f"{base}/postings/table_name={name}")
+    whole = spark.read.parquet(f"{base}/postings")
+    index.token_stats(whole).write.parquet(f"{base}/token_stats")
     return union_all([
         spark.read.parquet(f"{base}/{part}").groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(part))
         for part in ("rows", "postings", "token_stats")])
