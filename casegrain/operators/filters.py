@@ -3,10 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Iterable, Mapping, Sequence
+from datetime import datetime
 from functools import reduce
 from operator import and_, or_
 
 from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import types as T
 
 
 def all_of(conditions: Iterable[Column]) -> Column:
@@ -17,6 +19,13 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(or_, conditions, F.lit(False))
 
 
+def typed_literal(value: object, kind: T.DataType) -> Column:
+    """A literal of a column's type. A time without zone goes in as text, or the session's zone would shift it."""
+    if isinstance(kind, T.TimestampNTZType) and isinstance(value, datetime):
+        value = value.isoformat(sep=" ")
+    return F.lit(value).cast(kind)
+
+
 def contains_text(column: Column | str, term: str, wildcards: bool = False) -> Column:
     """Case-insensitive containment. ``%`` and ``_`` are literal unless ``wildcards`` is set."""
     column = F.col(column) if isinstance(column, str) else column
@@ -76,7 +85,7 @@ def active_only(df: DataFrame, active: str | None = None, deleted: str | None =
 
 def current_as_of(df: DataFrame, at: str, valid_from: str, valid_to: str) -> DataFrame:
     """Rows valid at ``at``: start included, end excluded, a null end is open."""
-    moment = F.lit(at).cast(df.schema[valid_from].dataType)
+    moment = typed_literal(at, df.schema[valid_from].dataType)
     return df.where((F.col(valid_from) <= moment) & (F.col(valid_to).isNull() | (F.col(valid_to) > moment)))
 
 

@@ -9,7 +9,7 @@ from operator import or_
 from pyspark.sql import Column, DataFrame, Window, functions as F
 from pyspark.sql.types import StructType
 
-from casegrain.operators.filters import all_of
+from casegrain.operators.filters import all_of, typed_literal
 
 SortKey = tuple[str, str]  # (column, "asc" | "desc"); the last key must make the order total
 
@@ -18,14 +18,15 @@ def order_by(keys: Sequence[SortKey]) -> list[Column]:
     return [F.col(c).desc_nulls_last() if d == "desc" else F.col(c).asc_nulls_last() for c, d in keys]
 
 
-def after_cursor(keys: Sequence[SortKey], values: Sequence[object]) -> Column:
+def after_cursor(schema: StructType, keys: Sequence[SortKey], values: Sequence[object]) -> Column:
     """Rows that come after ``values`` in the given order, for any mix of directions; nulls come last in each."""
+    literals = [typed_literal(v, schema[c].dataType) for (c, _), v in zip(keys, values)]
     steps = []
     for i, (name, direction) in enumerate(keys):
         if values[i] is None:
             continue  # nothing comes after null but what the later keys tell apart
-        same = [F.col(c).eqNullSafe(F.lit(v)) for (c, _), v in zip(keys[:i], values)]
-        beyond = F.col(name) < F.lit(values[i]) if direction == "desc" else F.col(name) > F.lit(values[i])
+        same = [F.col(c).eqNullSafe(v) for (c, _), v in zip(keys[:i], literals)]
+        beyond = F.col(name) < literals[i] if direction == "desc" else F.col(name) > literals[i]
         steps.append(all_of([*same, beyond | F.col(name).isNull()]))
     return reduce(or_, steps, F.lit(False))
 
@@ -37,7 +38,7 @@ def keyset_page(df: DataFrame, keys: Sequence[SortKey], limit: int,
     One row more than asked for is fetched; Spark keeps only ``limit + 1`` rows per task
     (TakeOrderedAndProject), so the numbering below never sees more than that.
     """
-    rows = df if after is None else df.where(after_cursor(keys, after))
+    rows = df if after is None else df.where(after_cursor(df.schema, keys, after))
     fetched = rows.orderBy(*order_by(keys)).limit(limit + 1)
     page = Window.partitionBy(F.lit(0))
     return (fetched

@@ -6,6 +6,7 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from casegrain.operators.filters import typed_literal
 from casegrain.operators.warehouse import union_all
 
 
@@ -25,7 +26,7 @@ def snapshot_import(df: DataFrame, target: str, where: Column | None = None, col
 
 def incremental_import(df: DataFrame, target: str, check: str, watermark: object):
     """Append the rows after the watermark and return the next watermark (unchanged when nothing is new)."""
-    fresh = df.where(F.col(check) > F.lit(watermark).cast(df.schema[check].dataType))
+    fresh = df.where(F.col(check) > typed_literal(watermark, df.schema[check].dataType))
     fresh.write.mode("append").parquet(target)
     newest = fresh.agg(F.max(check)).head()[0]
     return watermark if newest is None else newest

@@ -29,6 +29,19 @@ def test_keyset_pages_add_up_to_the_sorted_table(spark, keys):
     assert seen == [r["id"] for r in df.orderBy(*paging.order_by(keys)).collect()]
 
 
+def test_pages_of_times_without_zone_do_not_depend_on_the_session(spark):
+    df = spark.range(30).select("id", F.expr("TIMESTAMP_NTZ '2024-03-10 00:00:00' + make_dt_interval(0, 0, 20 * CAST(id AS INT))").alias("at"))
+    zone = spark.conf.get("spark.sql.session.timeZone")
+    spark.conf.set("spark.sql.session.timeZone", "America/New_York")
+    try:
+        keys = [("at", "desc"), ("id", "asc")]
+        first = paging.keyset_page(df, keys, 10)
+        second = paging.keyset_page(df, keys, 10, paging.next_cursor(first, keys))
+        assert sorted(r["id"] for r in second.collect()) == list(range(10, 20))
+    finally:
+        spark.conf.set("spark.sql.session.timeZone", zone)
+
+
 def test_total_survives_an_offset_past_the_end(spark):
     df = records(spark)
     assert paging.offset_page(df, [("id", "asc")], 10, 1000).count() == 0
