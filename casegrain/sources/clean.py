@@ -50,10 +50,14 @@ def column_emptiness(df: DataFrame) -> DataFrame:
     return ratios.unpivot([], list(df.columns), "column_name", "empty_ratio")
 
 
+def empty_columns(df: DataFrame, threshold: float = EMPTY_SHARE) -> set[str]:
+    """Columns whose share of empty values is above the threshold (at most one row per column is read back)."""
+    return {r["column_name"] for r in column_emptiness(df).where(F.col("empty_ratio") > threshold).collect()}
+
+
 def drop_empty_columns(df: DataFrame, threshold: float = EMPTY_SHARE) -> DataFrame:
-    """Without the columns whose share of empty values is above the threshold (one row of ratios is read back)."""
-    empty = {r["column_name"] for r in column_emptiness(df).where(F.col("empty_ratio") > threshold).collect()}
-    return df.select(*[c for c in df.columns if c not in empty])
+    """Without the columns whose share of empty values is above the threshold."""
+    return df.drop(*empty_columns(df, threshold))
 
 
 def coerce(name: str, target: str) -> Column:

@@ -90,9 +90,12 @@ def quarantine(df: DataFrame, reason: str) -> tuple[DataFrame, DataFrame]:
 
 
 def csv_ingest(spark: SparkSession, path: str, encoding: str = "UTF-8") -> DataFrame:
-    """Delimited text of unknown dialect: lines of another width skipped, empty and repeated rows and empty columns dropped."""
-    rows = good_rows(read_delimited(spark, path, sniff(spark, path, encoding), encoding))
-    return clean.drop_empty_columns(clean.drop_empty_rows(clean.dedup_rows(rows)))
+    """Delimited text of unknown dialect: lines of another width skipped, empty and repeated rows and empty columns dropped.
+
+    Which columns are empty is decided before repeats are dropped: that pass reads the file but shuffles nothing.
+    """
+    rows = clean.drop_empty_rows(good_rows(read_delimited(spark, path, sniff(spark, path, encoding), encoding)))
+    return clean.dedup_rows(rows).drop(*clean.empty_columns(rows))
 
 
 def _tidy_json(df: DataFrame) -> DataFrame:

@@ -1,12 +1,13 @@
 """Column functions on small literal rows: short values, nulls, unusual input."""
 
 import hashlib
+import random
 
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from casegrain.functions import identity, masking, text, values
+from casegrain.functions import identity, masking, sql_functions, text, values
 from casegrain.operators import filters, paging, tags
 
 
@@ -39,6 +40,32 @@ def test_masks(spark, fn, given, wanted):
     assert one(spark, fn(F.col("v")), v=given) == wanted
 
 
+def test_masks_keep_the_length_and_hide_all_but_the_end(spark):
+    rng = random.Random(8)
+    words = ["".join(rng.choice("0123456789ABCX") for _ in range(rng.randint(4, 30))) for _ in range(200)]
+    df = spark.createDataFrame([(w,) for w in words], "v string")
+    for fn, visible in ((masking.mask_phone, 4), (masking.mask_bank_account, 4), (masking.mask_passport, 2),
+                        (masking.mask_driving_license, 3), (masking.mask_all_but_four, 4)):
+        for row in df.select("v", fn(F.col("v")).alias("m")).collect():
+            assert row["m"] == "X" * (len(row["v"]) - visible) + row["v"][-visible:]
+
+
+def test_sql_functions_agree_with_the_column_functions(spark):
+    sql_functions.register_scalars(spark)
+    given = ["", "a", "K12345678", "jo@ex.org", "j@x.y", "@", " 9876543210 ", "1234 5678-9012", "straße", "abcde1234f", None]
+    spark.createDataFrame([(i, v) for i, v in enumerate(given)], "i bigint, v string").createOrReplaceTempView("given")
+    c = F.col("v")
+    pairs = {"mask_aadhaar(v)": masking.mask_aadhaar(c), "mask_pan(v)": masking.mask_pan(c), "mask_passport(v)": masking.mask_passport(c),
+             "mask_driving_license(v)": masking.mask_driving_license(c), "mask_phone(v)": masking.mask_phone(c),
+             "mask_bank_account(v)": masking.mask_bank_account(c), "mask_email(v)": masking.mask_email(c),
+             "mask_all_but_four(v)": masking.mask_all_but_four(c), "id_hash(v)": identity.id_hash(c), "token_hash(v)": identity.token_hash(c),
+             "mask_document('PAN', v)": masking.mask_document(F.lit("PAN"), c)}
+    for call, column in pairs.items():
+        ours = [r[0] for r in spark.table("given").select(column, "i").orderBy("i").collect()]
+        theirs = [r[0] for r in spark.sql(f"SELECT {call}, i FROM given ORDER BY i").collect()]
+        assert ours == theirs, call
+
+
 def test_stored_mask_wins_and_unknown_types_use_the_passport_rule(spark):
     mask = masking.mask_document(F.col("k"), F.col("n"), F.col("s"))
     assert one(spark, mask, k="PAN", n="abcde1234f", s="KEPT") == "KEPT"
