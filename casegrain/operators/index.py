@@ -41,8 +41,13 @@ def write_postings(index: DataFrame, path: str) -> None:
      .write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").parquet(path))
 
 
-def record_tokens(df: DataFrame, key: str, tokens: Column, unique_key: bool = False) -> DataFrame:
-    """(key, token), each pair once. Tokens are distinct per row, so a unique key needs no further pass."""
+def record_tokens(df: DataFrame, key: str, tokens: Column, unique_key: bool = False,
+                  terms: Sequence[str] | None = None) -> DataFrame:
+    """(key, token), each pair once. Tokens are distinct per row, so a unique key needs no further pass.
+
+    ``terms`` keeps only those tokens, before rows are multiplied.
+    """
+    tokens = tokens if terms is None else F.array_intersect(tokens, F.array(*[F.lit(t) for t in terms]))
     pairs = df.select(key, F.explode(tokens).alias("token"))
     return pairs if unique_key else pairs.distinct()
 
@@ -136,9 +141,13 @@ def entity_rows(df: DataFrame, table_name: str, key: str) -> DataFrame:
     )
 
 
-def entity_tokens(entities: DataFrame) -> DataFrame:
-    """Second layer: (token, entity_key), each pair once."""
-    return entities.select(F.explode(text.tokens_words(F.col("searchable_text"))).alias("token"), "entity_key")
+def entity_tokens(entities: DataFrame, terms: Sequence[str] | None = None) -> DataFrame:
+    """Second layer: (token, entity_key, entity_type), each entity once per token. ``terms`` keeps only those tokens."""
+    tokens = text.tokens_words(F.col("searchable_text"))
+    if terms is not None:
+        entities = entities.where(any_of(F.contains(F.col("searchable_text"), F.lit(t)) for t in terms))
+        tokens = F.array_intersect(tokens, F.array(*[F.lit(t) for t in terms]))
+    return entities.select(F.explode(tokens).alias("token"), "entity_key", "entity_type")
 
 
 def alpha_partition(token: Column) -> Column:

@@ -193,11 +193,9 @@ SELECT token, CAST(0 AS INT) AS part, string_agg(CAST(entity_key AS VARCHAR), ',
   string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS entity_types
 FROM (SELECT entity_key, entity_type, unnest({tokens_words_sql('txt')}) AS token FROM keyed) GROUP BY token""")
 def entity_index(spark, sf):
-    entities = entity_layer(spark, sf)
-    pairs = index.entity_tokens(entities)
+    pairs = stored(index.entity_tokens(entity_layer(spark, sf)), "entity-tokens")
     lists = index.grouped_lists(pairs, ["token"], "entity_key")
-    kinds = (entities.select(F.explode(text.tokens_words(C("searchable_text"))).alias("token"), "entity_type")
-             .groupBy("token").agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entity_types")))
+    kinds = (pairs.groupBy("token").agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entity_types")))
     return lists.join(kinds, "token").select("token", "part", F.array_join(C("items").cast("array<string>"), ",").alias("entity_keys"),
                                              "frequency", "entity_types")
 
@@ -258,7 +256,8 @@ SELECT CAST(entity_key AS VARCHAR) AS entity_key, entity_type, entity_name, p.p_
 FROM hits JOIN part p ON p.p_partkey = row_id ORDER BY hits.entity_key LIMIT 40""")
 def search_three_layer(spark, sf):
     entities = entity_layer(spark, sf)
-    hits = search.postings_intersect_lenient(index.entity_tokens(entities), ["red", "standard", "zzzz"], ["entity_key"])
+    terms = ["red", "standard", "zzzz"]
+    hits = search.postings_intersect_lenient(index.entity_tokens(entities, terms), terms, ["entity_key"])
     page = hits.orderBy("entity_key").limit(40).withColumn("total", hits.agg(F.count(F.lit(1))).scalar())
     parts = table(spark, sf, "part").select(C("p_partkey").cast("string").alias("row_id"), C("p_brand").alias("brand"))
     found = page.join(entities, "entity_key").where("source_table = 'part'").join(parts, "row_id")
@@ -270,8 +269,9 @@ SELECT doc_id, len(list_intersect(tokens, ['the', 'that', 'her', 'with', 'ion'])
 FROM (SELECT doc_id, {tokens_words_sql('text')} AS tokens FROM documents)
 WHERE len(list_intersect(tokens, ['the', 'that', 'her', 'with', 'ion'])) > 0""")
 def search_any_ranked(spark, sf):
-    pairs = table(spark, sf, "documents").select("doc_id", F.explode(text.tokens_words(C("text"))).alias("token"))
-    ranked = search.search_any_ranked(pairs, ["the", "that", "her", "with", "ion"], ["doc_id"])
+    terms = ["the", "that", "her", "with", "ion"]
+    pairs = index.record_tokens(table(spark, sf, "documents"), "doc_id", text.tokens_words(C("text")), unique_key=True, terms=terms)
+    ranked = search.search_any_ranked(pairs, terms, ["doc_id"])
     return ranked.withColumn("matched_terms", C("matched_terms").cast("bigint"))
 
 
