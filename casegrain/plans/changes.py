@@ -156,7 +156,7 @@ def purge_expired(spark, sf):
 
 @query("work_sessions", with_views("work_session") + """
 SELECT session_id, user_id, CAST(started_at AS VARCHAR) AS started_at, CAST(ended_at AS VARCHAR) AS ended_at,
-  date_diff('second', started_at, ended_at) AS duration_seconds, CAST(row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, session_id) AS INT) AS position
+  CAST(date_diff('second', started_at, ended_at) AS VARCHAR) AS duration_seconds, CAST(row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, session_id) AS INT) AS position
 FROM work_session QUALIFY position <= 10""")
 def work_sessions(spark, sf):
     from casegrain.operators.paging import top_per_group
@@ -167,7 +167,7 @@ def work_sessions(spark, sf):
     sessions = maintain.work_sessions(opened.unionByName(closed), "session_id", "user_id")
     latest = top_per_group(sessions, ["user_id"], [("started_at", "desc"), ("session_id", "asc")], 10)
     return latest.select("session_id", "user_id", C("started_at").cast("string").alias("started_at"), C("ended_at").cast("string").alias("ended_at"),
-                         "duration_seconds", "position")
+                         C("duration_seconds").cast("string").alias("duration_seconds"), "position")
 
 
 # ---- streams -------------------------------------------------------------------------------------
@@ -235,13 +235,14 @@ def stream_upsert(spark, sf):
 
 @query("dead_letter", with_views("change_log") + """
 , bad AS (SELECT * FROM change_log WHERE NOT (value <= 60))
-SELECT 'dead' AS kind, count(*) AS rows, min(event_id) AS min_id, max(event_id) AS max_id FROM bad
+SELECT 'dead' AS kind, count(*) AS rows, CAST(min(event_id) AS VARCHAR) AS min_id, CAST(max(event_id) AS VARCHAR) AS max_id FROM bad
 UNION ALL SELECT 'applied', count(DISTINCT pk), NULL, NULL FROM change_log WHERE value <= 60""")
 def dead_letter(spark, sf):
     good, errors = (cdc.DeltaStore(spark, fresh_dir(spark, n)) for n in ("good", "dead"))
     write = cdc.dead_letter_batch(good, errors, C("value") <= 60, "change_log", "pk", "event_id", ORDER, "value out of range")
     streams.run_available(change_stream(spark, sf).writeStream.foreachBatch(write), fresh_dir(spark, "ckpt"))
-    dead = errors.versions().agg(F.sum("rows").alias("rows"), F.min("min_id").alias("min_id"), F.max("max_id").alias("max_id"))
+    dead = errors.versions().agg(F.sum("rows").alias("rows"), F.min("min_id").cast("string").alias("min_id"),
+                                 F.max("max_id").cast("string").alias("max_id"))
     applied = cdc.latest_version(good.versions(), "pk", ORDER).agg(F.count(F.lit(1)).alias("rows"))
     return union_all([dead.withColumn("kind", F.lit("dead")), applied.withColumn("kind", F.lit("applied"))])
 

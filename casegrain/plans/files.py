@@ -217,8 +217,8 @@ def drop_empty_columns(spark, sf):
 
 
 @query("coerce_types", """
-SELECT o_orderkey AS id, CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS customer, o_totalprice AS price,
-  CASE o_orderstatus WHEN 'F' THEN true WHEN 'O' THEN false END AS flag FROM orders""")
+SELECT o_orderkey AS id, CAST(CASE WHEN o_orderstatus = 'P' THEN NULL ELSE o_custkey END AS VARCHAR) AS customer, o_totalprice AS price,
+  CASE o_orderstatus WHEN 'F' THEN 'true' WHEN 'O' THEN 'false' END AS flag FROM orders""")
 def coerce_types(spark, sf):
     o = table(spark, sf, "orders")
     raw = o.select(
@@ -226,7 +226,8 @@ def coerce_types(spark, sf):
         F.when(C("o_orderstatus") == "P", F.concat(C("o_custkey").cast("string"), F.lit(".5"))).otherwise(C("o_custkey").cast("string")).alias("customer"),
         F.concat(F.when(C("o_orderstatus") == "F", "$").otherwise("€"), F.format_number("o_totalprice", 2)).alias("price"),
         F.when(C("o_orderstatus") == "F", "Yes").when(C("o_orderstatus") == "O", "0").otherwise("maybe").alias("flag"))
-    return clean.coerce_types(raw, {"id": "BIGINT", "customer": "BIGINT", "price": "NUMERIC", "flag": "BOOLEAN"})
+    typed = clean.coerce_types(raw, {"id": "BIGINT", "customer": "BIGINT", "price": "NUMERIC", "flag": "BOOLEAN"})
+    return typed.withColumns({c: C(c).cast("string") for c in ("customer", "flag")})  # nullable columns compare best as text
 
 
 @query("dedup_rows", "SELECT DISTINCT o_custkey, o_orderstatus, o_orderpriority FROM orders")
