@@ -1 +1,10 @@
-"""Operators for training-data pipelines. Nothing else in the package imports this one."""
+"""Operators for training-data pipelines. Nothing else in the package imports this one.
+
+Functions that run in Python workers travel by value, so executors need not have this package installed.
+"""
+
+import sys
+
+from pyspark import cloudpickle
+
+cloudpickle.register_pickle_by_value(sys.modules[__name__])

@@ -90,20 +90,22 @@ def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
-_SPACE = np.zeros(256, dtype=bool)
-_SPACE[[32, 9, 10, 11, 12, 13]] = True
+#: ASCII white space and punctuation, which stand between words.
+_BREAK = np.zeros(256, dtype=bool)
+_BREAK[[c for c in range(128) if not chr(c).isalnum()]] = True
 
 
 def hashed_words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """A 64-bit hash per word of all texts, and the offsets where each text's words begin, the end last.
 
-    Words are runs without ASCII white space. All words are hashed at once: differences of a running polynomial sum.
+    Words are runs without ASCII white space, punctuation and control characters, in lower case. All words are hashed at
+    once: differences of a running polynomial sum.
     """
-    encoded = [t.encode("utf-8", "surrogatepass") for t in texts]
+    encoded = [t.lower().encode("utf-8", "surrogatepass") for t in texts]
     data = np.frombuffer(b" ".join(encoded) + b" ", dtype=np.uint8)
     begins = np.zeros(len(texts) + 1, dtype=np.int64)
     np.cumsum([len(e) + 1 for e in encoded], out=begins[1:])
-    space = _SPACE[data]
+    space = _BREAK[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
     up, down = _powers(len(data))

@@ -1,4 +1,4 @@
 """Importing the operator modules fills the registry."""
 
 from casegrain.llm.common import ORACLES, QUERIES  # noqa: F401
-from casegrain.llm import chat  # noqa: F401
+from casegrain.llm import bagminhash, chat  # noqa: F401
