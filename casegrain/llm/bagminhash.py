@@ -14,7 +14,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window, functions as F
 
 from casegrain.llm.common import mixed, query, shingles, table, text_batches
 from casegrain.operators.resolve import canonical_ids
@@ -25,6 +25,9 @@ LEAST = 0.8
 #: With 24 bands of 4 registers a pair at similarity 0.8 shares no band with probability (1 - 0.8^4)^24, 3 in a million.
 BANDS, ROWS = 24, 4
 
+#: Families of more texts than this are searched by their differences instead of pair by pair.
+SMALL_FAMILY = 16
+
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 6.0
 
@@ -121,54 +124,120 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
             .mapInArrow(sketch, f"doc_id {kind}, node bigint, keys array<bigint>"))
 
 
-def _similar(a: np.ndarray, b: np.ndarray, least: float) -> bool:
-    """Whether the weighted Jaccard similarity of two sorted multisets is at least ``least``."""
-    if min(len(a), len(b)) < least * max(len(a), len(b)) - 1e-9:
-        return False
+def _shared(a: np.ndarray, b: np.ndarray) -> int:
+    """Size of the intersection of two sorted multisets."""
     x, nx = np.unique(a, return_counts=True)
     y, ny = np.unique(b, return_counts=True)
     at = np.minimum(np.searchsorted(x, y), len(x) - 1)
-    shared = int(np.where(x[at] == y, np.minimum(nx[at], ny), 0).sum())
-    return shared >= least * (len(a) + len(b) - shared) - 1e-9
+    return int(np.where(x[at] == y, np.minimum(nx[at], ny), 0).sum())
+
+
+def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Names of what two sorted multisets have beyond each other; the side and the how-manieth copy are part of a name."""
+    both = np.concatenate([a, b])
+    names, where = np.unique(both, return_inverse=True)
+    in_a, in_b = (np.bincount(w, minlength=len(names)) for w in (where[:len(a)], where[len(a):]))
+    out = []
+    for side, more in ((1, in_a - in_b), (2, in_b - in_a)):
+        at = np.repeat(np.arange(len(names)), np.maximum(more, 0))
+        copy = np.arange(len(at)) - np.searchsorted(at, at)
+        out.append(mixed(names[at] ^ mixed((copy * 4 + side).astype(np.uint64))))
+    return np.concatenate(out).view(np.int64)
 
 
-def verified(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
-    """The pairs (a, b) whose multisets, looked up in ``contents`` (node, bag), are similar enough."""
+def compared(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
+    """Pairs (a, b, large) with ``linked``: whether their multisets in ``contents`` (node, bag) are similar enough.
+
+    Also ``total`` (size of their difference), ``need`` and ``over`` as `_across` uses them, and for large families the names
+    of the difference.
+    """
+    part = least / (1 + least)
 
     def test(batches) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            left, right = batch.column(2), batch.column(3)
-            keep = [i for i in range(batch.num_rows) if _similar(
-                np.frombuffer(left[i].as_py(), dtype=np.uint64), np.frombuffer(right[i].as_py(), dtype=np.uint64), least)]
-            yield batch.select([0, 1]).take(pa.array(keep, type=pa.int64()))
+            rows = []
+            for large, x, y in zip(*(batch.column(i) for i in (2, 3, 4))):
+                x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
+                close = min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9
+                if not close and not large.as_py():
+                    rows.append((False, 0, 0.0, 0.0, None))
+                    continue
+                shared = _shared(x, y)
+                gone, new = len(x) - shared, len(y) - shared
+                need = (1 - part) * gone + part * new
+                rows.append((shared >= least * (len(x) + len(y) - shared) - 1e-9, gone + new, need,
+                             need - (1 - 2 * part) * len(x), _difference(x, y) if large.as_py() else None))
+            kinds = (pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+            made = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made],
+                                             names=["a", "b", "linked", "total", "need", "over", "names"])
 
     joined = (pairs.join(contents.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
               .join(contents.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b"))
-    return joined.select("a", "b", "bag_a", "bag_b").mapInArrow(test, "a bigint, b bigint")
+    return joined.select("a", "b", "large", "bag_a", "bag_b").mapInArrow(
+        test, "a bigint, b bigint, linked boolean, total bigint, need double, over double, names array<bigint>")
+
+
+def _within(family: DataFrame) -> DataFrame:
+    """Pairs of members of one small family that are in different groups."""
+    x = family.select("a", F.col("b").alias("x"), F.col("group").alias("group_x"))
+    y = family.select("a", F.col("b").alias("y"), F.col("group").alias("group_y"))
+    return x.join(y, "a").where("x < y and group_x <> group_y").select("x", "y")
+
+
+def _across(family: DataFrame, least: float) -> DataFrame:
+    """Pairs of members of one large family that are in different groups and may be similar enough.
+
+    With the family's first text as origin, the intersection of two members follows from what their differences to it have
+    in common: similarity is at least ``least`` just if that is need(x) + over(y), where a member is linked to the origin if
+    ``over`` is not positive. Members that share so much of their differences share a name among the rarest names of both, at
+    a place that leaves room for the rest (prefix filter), so only such pairs are made: near copies that were edited in
+    different places share common names alone and do not meet.
+    """
+    named = family.select("a", "b", "group", "total", "need", "over", F.explode("names").alias("name"))
+    named = named.withColumn("key", F.xxhash64("a", "name"))
+    often = named.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    own = Window.partitionBy("a", "b")
+    shared = named.join(often, "key").withColumn(
+        "place", F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "key")))
+    shared = stored(shared.where(F.col("place") <= F.col("total") - F.ceil(F.greatest(
+        F.least(F.col("need"), F.col("over") * (1 + least)), F.lit(1.0)) - 1e-6) + 1)
+        .select("key", "b", "group", "total", "need", "over", "place"), "rare-names")
+
+    def side(name: str) -> DataFrame:
+        return shared.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("b", "group", "total", "need", "over", "place")])
+
+    must = F.ceil(F.col("need_y") + F.col("over_x") - 1e-6)
+    return (side("x").where("over_x > 0").join(side("y"), "key")
+            .where((F.col("group_x") != F.col("group_y"))
+                   & (F.col("place_x") <= F.col("total_x") - must + 1) & (F.col("place_y") <= F.col("total_y") - must + 1))
+            .select(F.least("b_x", "b_y").alias("x"), F.greatest("b_x", "b_y").alias("y")))
 
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS,
-                    width: int = SHINGLE_WORDS) -> DataFrame:
+                    width: int = SHINGLE_WORDS, small: int = SMALL_FAMILY) -> DataFrame:
     """(doc_id, node, class_id): documents linked by a weighted Jaccard similarity of at least ``least``.
 
     Every row of ``docs`` (doc_id, text) comes back once. ``class_id`` is the smallest doc_id of the connected texts; ``node``
-    is a 64-bit hash of the text. Words are lower-case runs without ASCII white space and punctuation; a text of fewer than ``width`` words is one
-    shingle. Texts that are equal are one node, so copies are never paired. A null or wordless text is similar to nothing
-    but its own copies are still one class. Repeated rows and ids are kept; the smallest id that is not null names a class,
-    and it is null only where all ids are. An empty table gives an empty result, other columns are not read.
-
-    Candidates share a band. In every bucket each text is first compared with the smallest one. Only where that leaves
-    a bucket with texts of several connected groups, texts outside the first group are compared with all texts of other
-    groups, so no link between groups that share a bucket is lost and no bucket is cut.
+    is a 64-bit hash of the text. Words are lower-case runs without ASCII white space and punctuation; a text of fewer than
+    ``width`` words is one shingle. Texts that are equal are one node, so copies are never paired. A null or wordless text is
+    similar to nothing but its own copies are still one class. Repeated rows and ids are kept; the smallest id that is not
+    null names a class, and it is null only where all ids are. An empty table gives an empty result, other columns are not read.
+
+    Candidates share a band. The smallest node of a bucket is the origin of a family: every text of its buckets is compared
+    with it. Pairs inside a family that this leaves in different groups come next: in a family of up to ``small`` texts all
+    of them, in a larger one those that `_across` cannot rule out. No bucket is cut and no link between texts that share a
+    bucket is lost.
     """
-    spark = docs.sparkSession
     rows_in = stored(sketches(docs, bands, rows, width), "sketches")
     texts = stored(rows_in.groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("keys").alias("keys")), "texts")
     keyed = texts.select("node", F.explode("keys").alias("key"))
     buckets = stored(keyed.groupBy("key").agg(F.min("node").alias("first"), F.max("node").alias("last"))
                      .where("first < last").select("key", "first"), "buckets")
-    members = stored(keyed.join(buckets, "key"), "members")
-    pairs = stored(members.where("node <> first").select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "pairs")
+    met = stored(keyed.join(buckets, "key").where("node <> first")
+                 .select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "met")
+    size = met.groupBy("a").agg((F.count(F.lit(1)) > small).alias("large"))
+    pairs = met.join(size, "a")
 
     def bag(batches) -> Iterator[pa.RecordBatch]:
         for batch, own in text_batches(batches):
@@ -176,7 +245,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
             packed = [hashes[a:b].tobytes() for a, b in zip(offsets[:-1], offsets[1:])]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(packed, type=pa.binary())], names=["node", "bag"])
 
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "lead"), "node")
+    wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "lead"), "node")
     rows_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"), "text")
     found = rows_of.join(wanted, (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
     contents = stored(found.select(F.col("_node").alias("node"), "text").mapInArrow(bag, "node bigint, bag binary"), "bags")
@@ -185,15 +254,12 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
         edges = links.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
         return canonical_ids(edges, texts.select("node"), "node").select("node", F.col("canonical_id").alias("group"))
 
-    links = stored(verified(pairs, contents, least), "links")
-    grouped = members.join(groups(links), "node")
-    leads = grouped.where("node = first").select("key", F.col("group").alias("lead_group"))
-    grouped = stored(grouped.join(leads, "key"), "grouped")
-    outside = grouped.where("group <> lead_group").select("key", F.col("node").alias("x"), F.col("group").alias("group_x"))
-    more = (outside.join(grouped.select("key", F.col("node").alias("y"), "group"), "key").where("group <> group_x")
-            .select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-            .join(pairs, ["a", "b"], "left_anti"))
-    links = links.unionByName(stored(verified(more, contents, least), "more-links"))
+    first = stored(compared(pairs, contents, least), "compared")
+    links = first.where("linked").select("a", "b")
+    family = stored(first.join(groups(links).withColumnRenamed("node", "b"), "b"), "families")
+    more = (_within(family.where("names is null")).unionByName(_across(family.where("names is not null"), least)).distinct()
+            .select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("large")))
+    links = links.unionByName(stored(compared(more, contents, least).where("linked").select("a", "b"), "more-links"))
     classes = texts.select("node", "lead").join(groups(links), "node")
     names = classes.groupBy("group").agg(F.min("lead").alias("class_id"))
     named = stored(classes.join(names, "group").select("node", "class_id"), "classes")
