@@ -75,12 +75,27 @@ def code_points(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     return points, offsets
 
 
+def folded(texts: Sequence[str], digits: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Code points of the texts in lower case and their offsets; what is no letter (or digit, where asked for) of ASCII is one
+    space, and each text begins and ends with one."""
+    points, offsets = code_points([f" {t.lower()} " for t in texts])
+    blank = (_NO_WORD if digits else _NO_LETTER)[np.minimum(points, 127)]
+    keep = ~blank
+    keep[1:] |= ~blank[:-1]
+    keep[offsets[:-1]] = True
+    points = np.where(blank, np.uint32(32), points)[keep]
+    return points, np.append(0, np.cumsum(keep))[offsets]
+
+
+_NO_WORD = np.array([not chr(c).isalnum() for c in range(127)] + [False])
+_NO_LETTER = np.array([not chr(c).isalpha() for c in range(127)] + [False])
+
 _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     if not _POWERS or len(_POWERS["up"]) < n:
         size = max(n, 1 << 19)
         for name, base in (("up", _BASE), ("down", _INVERSE)):
@@ -108,7 +123,7 @@ def hashed_words(texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     space = _BREAK[data]
     edge = np.flatnonzero(np.diff(space, prepend=True))
     starts, ends = edge[0::2], edge[1::2]
-    up, down = _powers(len(data))
+    up, down = powers(len(data))
     sums = np.zeros(len(data) + 1, dtype=np.uint64)
     np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up, out=sums[1:])
     words = mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64))

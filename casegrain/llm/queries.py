@@ -1,4 +1,4 @@
 """Importing the operator modules fills the registry."""
 
 from casegrain.llm.common import ORACLES, QUERIES  # noqa: F401
-from casegrain.llm import bagminhash, chat, mixing, packing, secrets, toxicity  # noqa: F401
+from casegrain.llm import bagminhash, chat, language, mixing, packing, phrases, secrets, toxicity  # noqa: F401

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from casegrain.llm.common import code_points, held_out, mixed, query, table, text_batches
+from casegrain.llm.common import folded, held_out, query, table, text_batches
 
 N_GRAMS = (3, 4, 5)
 BUCKETS = 1 << 19
@@ -26,15 +26,7 @@ def features(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
 
     n-grams are taken over lower-case words of letters and digits; anything else is one space, before and after a text too.
     """
-    padded = [f" {t.lower()} " for t in texts]
-    points, offsets = code_points(padded)
-    low = np.minimum(points, 127)
-    wordless = _PLAIN[low]
-    points = np.where(wordless, np.uint32(32), points)
-    keep = ~wordless | np.append(True, ~wordless[:-1])
-    keep[offsets[:-1]] = True
-    points = points[keep]
-    offsets = np.append(0, np.cumsum(keep))[offsets]
+    points, offsets = folded(texts, digits=True)
     found = []
     for n in N_GRAMS:
         if len(points) < n:
@@ -56,9 +48,6 @@ def features(texts: list[str], buckets: int = BUCKETS) -> tuple[np.ndarray, np.n
     return np.concatenate(out) if out else np.zeros(0, np.int32), ends
 
 
-_PLAIN = np.array([not chr(c).isalnum() for c in range(127)] + [False])
-
-
 @dataclass
 class Model:
     """``weight`` per bucket (log-count ratio times fitted weight) and ``bias``; a text's log odds are their sum over its
