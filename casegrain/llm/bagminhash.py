@@ -28,6 +28,7 @@ BANDS, ROWS = 24, 4
 #: Families of more texts than this are searched by their differences instead of pair by pair.
 SMALL_FAMILY = 16
 
+_BITS = 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 6.0
 
@@ -149,7 +150,7 @@ def compared(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, large) with ``linked``: whether their multisets in ``contents`` (node, bag) are similar enough.
 
     Also ``total`` (size of their difference), ``need`` and ``over`` as `_across` uses them, and for large families the names
-    of the difference.
+    of the difference and ``bits``: for each of `_BITS` remainders whether an odd number of names has it.
     """
     part = least / (1 + least)
 
@@ -160,22 +161,24 @@ def compared(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
                 x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
                 close = min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9
                 if not close and not large.as_py():
-                    rows.append((False, 0, 0.0, 0.0, None))
+                    rows.append((False, 0, 0.0, 0.0, None, None))
                     continue
                 shared = _shared(x, y)
                 gone, new = len(x) - shared, len(y) - shared
                 need = (1 - part) * gone + part * new
+                names = _difference(x, y) if large.as_py() else None
+                odd = None if names is None else np.packbits(np.bincount(names & (_BITS - 1), minlength=_BITS) & 1).view(np.int64)
                 rows.append((shared >= least * (len(x) + len(y) - shared) - 1e-9, gone + new, need,
-                             need - (1 - 2 * part) * len(x), _difference(x, y) if large.as_py() else None))
-            kinds = (pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()))
+                             need - (1 - 2 * part) * len(x), names, odd))
+            kinds = (pa.bool_(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64()), pa.list_(pa.int64()))
             made = [pa.array([r[i] for r in rows], type=k) for i, k in enumerate(kinds)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made],
-                                             names=["a", "b", "linked", "total", "need", "over", "names"])
+                                             names=["a", "b", "linked", "total", "need", "over", "names", "bits"])
 
     joined = (pairs.join(contents.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
               .join(contents.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b"))
     return joined.select("a", "b", "large", "bag_a", "bag_b").mapInArrow(
-        test, "a bigint, b bigint, linked boolean, total bigint, need double, over double, names array<bigint>")
+        test, "a bigint, b bigint, linked boolean, total bigint, need double, over double, names array<bigint>, bits array<bigint>")
 
 
 def _within(family: DataFrame) -> DataFrame:
@@ -192,9 +195,11 @@ def _across(family: DataFrame, least: float) -> DataFrame:
     in common: similarity is at least ``least`` just if that is need(x) + over(y), where a member is linked to the origin if
     ``over`` is not positive. Members that share so much of their differences share a name among the rarest names of both, at
     a place that leaves room for the rest (prefix filter), so only such pairs are made: near copies that were edited in
-    different places share common names alone and do not meet.
+    different places share common names alone and do not meet. Where ``bits`` differ, so do the names, which caps what two
+    members share before any text is looked at.
     """
-    named = family.select("a", "b", "group", "total", "need", "over", F.explode("names").alias("name"))
+    cols = ["group", "total", "need", "over", "bits"]
+    named = family.select("a", "b", *cols, F.explode("names").alias("name"))
     named = named.withColumn("key", F.xxhash64("a", "name"))
     often = named.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
     own = Window.partitionBy("a", "b")
@@ -202,14 +207,15 @@ def _across(family: DataFrame, least: float) -> DataFrame:
         "place", F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "key")))
     shared = stored(shared.where(F.col("place") <= F.col("total") - F.ceil(F.greatest(
         F.least(F.col("need"), F.col("over") * (1 + least)), F.lit(1.0)) - 1e-6) + 1)
-        .select("key", "b", "group", "total", "need", "over", "place"), "rare-names")
+        .select("key", "b", *cols, "place"), "rare-names")
 
     def side(name: str) -> DataFrame:
-        return shared.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("b", "group", "total", "need", "over", "place")])
+        return shared.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("b", *cols, "place")])
 
     must = F.ceil(F.col("need_y") + F.col("over_x") - 1e-6)
+    differ = sum((F.bit_count(F.col("bits_x")[i].bitwiseXOR(F.col("bits_y")[i])) for i in range(_BITS // 64)), F.lit(0))
     return (side("x").where("over_x > 0").join(side("y"), "key")
-            .where((F.col("group_x") != F.col("group_y"))
+            .where((F.col("group_x") != F.col("group_y")) & (F.col("total_x") + F.col("total_y") - differ >= 2 * must)
                    & (F.col("place_x") <= F.col("total_x") - must + 1) & (F.col("place_y") <= F.col("total_y") - must + 1))
             .select(F.least("b_x", "b_y").alias("x"), F.greatest("b_x", "b_y").alias("y")))
 
