@@ -222,10 +222,10 @@ def _across(family: DataFrame, least: float) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, rows: int = ROWS,
                     width: int = SHINGLE_WORDS, small: int = SMALL_FAMILY) -> DataFrame:
-    """(doc_id, node, class_id): documents linked by a weighted Jaccard similarity of at least ``least``.
+    """(doc_id, node, group, class_id): documents linked by a weighted Jaccard similarity of at least ``least``.
 
     Every row of ``docs`` (doc_id, text) comes back once. ``class_id`` is the smallest doc_id of the connected texts; ``node``
-    is a 64-bit hash of the text. Words are lower-case runs without ASCII white space and punctuation; a text of fewer than
+    is a 64-bit hash of the text and ``group`` the smallest node of the connected texts. Words are lower-case runs without ASCII white space and punctuation; a text of fewer than
     ``width`` words is one shingle. Texts that are equal are one node, so copies are never paired. A null or wordless text is
     similar to nothing but its own copies are still one class. Repeated rows and ids are kept; the smallest id that is not
     null names a class, and it is null only where all ids are. An empty table gives an empty result, other columns are not read.
@@ -268,8 +268,8 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     links = links.unionByName(stored(compared(more, contents, least).where("linked").select("a", "b"), "more-links"))
     classes = texts.select("node", "lead").join(groups(links), "node")
     names = classes.groupBy("group").agg(F.min("lead").alias("class_id"))
-    named = stored(classes.join(names, "group").select("node", "class_id"), "classes")
-    return rows_in.select("doc_id", "node").join(named, "node").select("doc_id", "node", "class_id")
+    named = stored(classes.join(names, "group").select("node", "group", "class_id"), "classes")
+    return rows_in.select("doc_id", "node").join(named, "node").select("doc_id", "node", "group", "class_id")
 
 
 @query("op10_bagminhash")

@@ -7,7 +7,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from casegrain.llm.common import query, table
 from casegrain.session import stored
@@ -52,6 +52,11 @@ class Mix:
     taken: DataFrame
 
 
+def row_key() -> Column:
+    """A hash of a row's id and text, by which sources are shuffled."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(F.coalesce("text", F.lit("")))))
+
+
 def schedule(spark, need: list[int], block: int) -> DataFrame:
     """(slot, source_ix, rank): which source each block of the mix comes from, and the how-manieth of its source it is.
 
@@ -120,10 +125,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST
     of all rows is spread over many tasks.
     """
     spark = docs.sparkSession
-    text = F.coalesce("text", F.lit(""))
-    sized = stored(docs.select(
-        "doc_id", "source", F.regexp_count(text, F.lit(WORDS)).cast("bigint").alias("size"),
-        F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.lit(":"), F.md5(text))).alias("key")), "sized")
+    size = F.regexp_count(F.coalesce("text", F.lit("")), F.lit(WORDS)).cast("bigint")
+    sized = stored(docs.select("doc_id", "source", size.alias("size"), row_key().alias("key")), "sized")
     sources = sized.groupBy("source").agg(F.sum("size").alias("size"), F.count(F.lit(1)).alias("n")).collect()
     if not sources:
         return None

@@ -63,7 +63,7 @@ class Model:
 
 
 def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, buckets: int = BUCKETS, smoothing: float = 1.0,
-        least_z: float = 4.0, penalty: float = 1e-3, rounds: int = 200) -> Model:
+        least_z: float = 5.0, penalty: float = 1e-3, rounds: int = 200) -> Model:
     """Log-count ratios of the labelled rows' buckets, then logistic regression on the scaled features.
 
     A bucket counts only where its shares of the two labels' rows differ by ``least_z`` standard errors: long texts have
