@@ -6,6 +6,7 @@ decisions need only how many there are of each length, at most ``capacity`` numb
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -22,17 +23,26 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: A run of these after a letter and before white space is a token of its own (apostrophes and marks of special ids are not in it).
+_TAIL = re.compile(rb"""([a-z])([.,;:!?)*#%&$"\]]++)(?=[ \n])""")
+
+
 class WordEncoder:
     """Token ids of many texts, each distinct word encoded once.
 
-    For tokenizers that split at white space and drop it: a text's ids are then the ids of its words in order. The words
-    that are remembered are forgotten when they or their ids exceed ``most``.
+    For tokenizers that lower letters, split at white space and drop it, and keep letters apart from other characters: a
+    text's ids are then the ids of its words in order. The words that are remembered are forgotten when they are more than
+    ``most``, or their ids more than eight times as many.
     """
 
-    def __init__(self, path: str, most: int = 200_000):
+    def __init__(self, path: str, most: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
+        # Ids that end a word: then many words of letters can be encoded as one text.
+        vocabulary = self.tokenizer.get_vocab()
+        self.last = np.zeros(max(vocabulary.values()) + 1, dtype=bool)
+        self.last[[i for token, i in vocabulary.items() if token.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -40,18 +50,35 @@ class WordEncoder:
         self.begins = np.zeros(1, dtype=np.int64)
         self.ids = np.zeros(0, dtype=np.uint32)
 
+    def _encoded(self, words: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
+        """Words in some order, their ids in one array, and how many each has."""
+        plain, other = [], []
+        for w in words:
+            (plain if w.isalpha() else other).append(w)
+        ids = np.zeros(0, dtype=np.uint32)
+        if plain:
+            made = self.tokenizer.encode_batch_fast([" ".join(plain[i:i + 256]) for i in range(0, len(plain), 256)], add_special_tokens=False)
+            ids = np.concatenate([np.array(m.ids, dtype=np.uint32) for m in made])
+        ends = np.flatnonzero(self.last[ids]) + 1
+        if len(ends) != len(plain) or len(plain) and ends[-1] != len(ids):  # some word of letters is several to the tokenizer
+            plain, other, ids, ends = [], words, ids[:0], ends[:0]
+        rest = [m.ids for m in self.tokenizer.encode_batch_fast(other, add_special_tokens=False)] if other else []
+        return ([*plain, *other], np.concatenate([ids, *(np.array(r, dtype=np.uint32) for r in rest)]),
+                np.append(np.diff(ends, prepend=0), np.array([len(r) for r in rest], dtype=np.int64)))
+
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the offsets of the texts, the end last."""
-        lines = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ") for t in texts]
+        joined = "\n".join([t.replace("\n", " ") for t in texts]) + "\n"
+        lines = _TAIL.sub(rb"\1 \2", joined.encode("utf-8", "surrogatepass").lower()).decode("utf-8", "surrogatepass")
+        lines = lines.replace("\t", " ").replace("\r", " ").split("\n")[:-1]
         words = " ".join(lines).split(" ")
         if len(self.known) > self.most or len(self.ids) > 8 * self.most:
             self.clear()
         if fresh := list(set(words).difference(self.known)):
-            made = [e.ids for e in self.tokenizer.encode_batch(fresh, add_special_tokens=False)]
+            fresh, made, sizes = self._encoded(fresh)
             self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.ids = np.concatenate([self.ids, *(np.array(m, dtype=np.uint32) for m in made)])
-            ends = self.begins[-1] + np.cumsum([len(m) for m in made])
-            self.begins = np.append(self.begins, ends)
+            self.ids = np.concatenate([self.ids, made])
+            self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(sizes))
         code = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         sizes = self.begins[code + 1] - self.begins[code]
         upto = np.append(0, np.cumsum(sizes))
