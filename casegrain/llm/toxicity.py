@@ -6,16 +6,23 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from casegrain.llm.common import folded, held_out, query, table, text_batches
+from casegrain.session import stored
 
 N_GRAMS = (3, 4, 5)
 BUCKETS = 1 << 19
 #: Labelled rows that a model is fitted on, at most this many of each label, chosen by a hash of id and text.
 FIT_ROWS = 3000
+#: Buckets that a model keeps, at most, and the least significance of one.
+FEATURES, LEAST_Z = 20_000, 5.0
+#: Labels of up to this many rows (16 bytes each) are sent to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 2_000_000
+_BLOCK = 1024
 THRESHOLD = 0.3
 
 _FACTORS = np.array([0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 0x27D4EB2F, 0x165667B1], dtype=np.uint32)
@@ -62,79 +69,106 @@ class Model:
         return sums[ends[1:]] - sums[ends[:-1]] + self.bias
 
 
-def fit(rows: list[np.ndarray], labels: np.ndarray, prior: float, buckets: int = BUCKETS, smoothing: float = 1.0,
-        least_z: float = 5.0, penalty: float = 1e-3, rounds: int = 200) -> Model:
-    """Log-count ratios of the labelled rows' buckets, then logistic regression on the scaled features.
+def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, prior: float, penalty: float = 1e-3,
+        rounds: int = 200) -> tuple[np.ndarray, float]:
+    """Weights and bias of a logistic regression on rows of feature numbers, each feature scaled by its ratio.
 
-    A bucket counts only where its shares of the two labels' rows differ by ``least_z`` standard errors: long texts have
-    thousands of n-grams, whose chance differences would else add up. Each label has half of the weight; the bias is then
-    moved to the share ``prior`` of label 1.
+    Each label has half of the weight; the bias is then moved to the share ``prior`` of label 1.
     """
+    share = float(np.log(prior / (1 - prior)))
     labels = np.asarray(labels, dtype=np.float64)
-    if not len(rows) or labels.min() == labels.max():
-        share = min(max(prior, 1e-3), 1 - 1e-3)
-        return Model(np.zeros(buckets, dtype=np.float32), float(np.log(share / (1 - share))))
-    sizes = np.array([len(r) for r in rows])
-    flat = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), sizes)
-    positive = np.bincount(flat[labels[doc] == 1], minlength=buckets) + smoothing
-    negative = np.bincount(flat[labels[doc] == 0], minlength=buckets) + smoothing
-    n1, n0 = labels.sum(), (1 - labels).sum()
-    ratio = (np.log(positive / (n1 + 2 * smoothing)) - np.log(negative / (n0 + 2 * smoothing))).astype(np.float32)
-    both = (positive + negative - 2 * smoothing) / len(labels)
-    error = np.sqrt(np.maximum(both * (1 - both), 1e-12) * (1 / n1 + 1 / n0))
-    ratio[np.abs((positive - smoothing) / n1 - (negative - smoothing) / n0) < least_z * error] = 0
-    worth = np.where(labels == 1, 0.5 / n1, 0.5 / n0)
-    scaled = ratio[flat]
-    used = scaled != 0
-    flat, doc, scaled = flat[used], doc[used], scaled[used]
-    names, column = np.unique(flat, return_inverse=True)
-    w, b = np.zeros(len(names)), 0.0
-    g2, gb2 = np.full(len(names), 1e-12), 1e-12
-    for step in range(rounds):
+    if not len(rows) or labels.min() == labels.max() or not len(ratio):
+        return np.zeros(len(ratio)), share
+    column = np.concatenate(rows)
+    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
+    scaled = ratio[column]
+    worth = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
+    w, b = np.zeros(len(ratio)), 0.0
+    g2, gb2 = np.full(len(ratio), 1e-12), 1e-12
+    for _ in range(rounds):
         z = np.bincount(doc, weights=scaled * w[column], minlength=len(rows)) + b
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * worth
-        grad = np.bincount(column, weights=scaled * error[doc], minlength=len(names)) + penalty * w / len(names) ** 0.5
+        grad = np.bincount(column, weights=scaled * error[doc], minlength=len(ratio)) + penalty * w / len(ratio) ** 0.5
         g2 += grad ** 2
         gb2 += error.sum() ** 2
         w -= 0.1 * grad / np.sqrt(g2)
         b -= 0.1 * error.sum() / np.sqrt(gb2)
-    weight = np.zeros(buckets, dtype=np.float32)
-    weight[names] = w * ratio[names]
-    share = min(max(prior, 1e-3), 1 - 1e-3)
-    return Model(weight, float(b + np.log(share / (1 - share))))
+    return w * ratio, b + share
+
+
+def tallies(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
+    """(bucket, ones, zeros): in how many rows of ``labelled`` (toxic, text) of each label a bucket occurs.
+
+    Every task sums its rows first and sends blocks of counts, so what is shuffled grows with the tasks and not the n-grams.
+    """
+    def tally(batches) -> Iterator[pa.RecordBatch]:
+        found = np.zeros((2, buckets), dtype=np.int64)
+        for batch, texts in text_batches(batches):
+            flat, ends = features(texts, buckets)
+            label = np.repeat(np.asarray(batch.column(0)), np.diff(ends))
+            for k in (0, 1):
+                found[k] += np.bincount(flat[label == k], minlength=buckets)
+        cut = found.reshape(2, -1, _BLOCK)
+        yield pa.RecordBatch.from_arrays([pa.array(np.arange(cut.shape[1], dtype=np.int32)), *(
+            pa.array([c.tobytes() for c in cut[k]], type=pa.binary()) for k in (1, 0))], names=["block", "ones", "zeros"])
+
+    def added(key, frame: pd.DataFrame) -> pd.DataFrame:
+        ones, zeros = (sum(np.frombuffer(b, dtype=np.int64) for b in frame[c]) for c in ("ones", "zeros"))
+        at = np.flatnonzero(ones + zeros)
+        return pd.DataFrame({"bucket": (key[0] * _BLOCK + at).astype("int32"), "ones": ones[at], "zeros": zeros[at]})
+
+    return (labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(tally, "block int, ones binary, zeros binary")
+            .groupBy("block").applyInPandas(added, "bucket int, ones bigint, zeros bigint"))
 
 
-def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS) -> Model:
+def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS, kept: int = FEATURES,
+          least_z: float = LEAST_Z, smoothing: float = 1.0) -> Model:
     """A model of ``labelled`` (doc_id, text, toxic 0 or 1; other labels are left out).
 
-    At most ``fit_rows`` rows of each label are used, those with the smallest hash of id and text, so reruns agree; the share
-    of label 1 is that of all rows. The driver gets the rows' distinct buckets, at most ``buckets`` each.
+    Log-count ratios come from all rows. A bucket counts only where its shares of the two labels' rows differ by ``least_z``
+    standard errors (long texts have thousands of n-grams, whose chance differences would else add up), and of those the
+    ``kept`` most significant. Their weights are fitted on at most ``fit_rows`` rows of each label, those with the smallest
+    hash of id and text, so reruns agree. The driver gets the kept buckets and their numbers in those rows.
     """
     rows = labelled.where(F.col("toxic").isin(0, 1))
     counts = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
-    total = sum(counts.values())
+    n1, n0 = counts.get(1, 0), counts.get(0, 0)
+    prior = min(max(n1 / max(1, n1 + n0), 1e-3), 1 - 1e-3)
+    weight = np.zeros(buckets, dtype=np.float32)
+    if not n1 or not n0:
+        return Model(weight, float(np.log(prior / (1 - prior))))
+    both = (F.col("ones") + F.col("zeros")) / float(n1 + n0)
+    error = F.sqrt(F.greatest(both * (1 - both), F.lit(1e-12)) * (1 / n1 + 1 / n0))
+    z = F.abs(F.col("ones") / n1 - F.col("zeros") / n0) / error
+    best = (tallies(rows, buckets).withColumn("z", z).where(F.col("z") >= least_z)
+            .orderBy(F.desc("z"), "bucket").limit(kept).collect())
+    best.sort(key=lambda r: r["bucket"])
+    names = np.array([r["bucket"] for r in best], dtype=np.int64)
+    ones, zeros = (np.array([r[c] for r in best], dtype=np.float64) for c in ("ones", "zeros"))
+    ratio = np.log((ones + smoothing) / (n1 + 2 * smoothing)) - np.log((zeros + smoothing) / (n0 + 2 * smoothing))
+    number = np.full(buckets, -1, dtype=np.int32)
+    number[names] = np.arange(len(names))
+
     pick = F.xxhash64("doc_id", F.coalesce("text", F.lit("")))
     share = F.pmod(pick, F.lit(1 << 30)) / float(1 << 30)
-    chosen = None
-    for label, n in counts.items():
-        # Hashes are spread evenly: the share holds more than fit_rows rows, of which the smallest stay.
-        most = min(1.0, (fit_rows + 6 * fit_rows ** 0.5 + 40) / n)
-        part = (rows.where((F.col("toxic") == label) & (share <= most)).select("toxic", "text", pick.alias("pick"))
-                .orderBy("pick", "text").limit(fit_rows))
-        chosen = part if chosen is None else chosen.unionByName(part)
-    if chosen is None:
-        return fit([], np.zeros(0), 0.0, buckets)
 
     def found(batches) -> Iterator[pa.RecordBatch]:
         for batch, texts in text_batches(batches):
             flat, ends = features(texts, buckets)
-            own = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:])]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int32()), pa.array(own, type=pa.binary())], names=["toxic", "found"])
-
-    kept = chosen.select("toxic", "text").mapInArrow(found, "toxic int, found binary").collect()
-    return fit([np.frombuffer(bytes(r["found"]), dtype=np.int32) for r in kept], np.array([r["toxic"] for r in kept]),
-               counts.get(1, 0) / total, buckets)
+            own = [number[flat[a:b]] for a, b in zip(ends[:-1], ends[1:])]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(
+                [o[o >= 0].tobytes() for o in own], type=pa.binary())], names=["toxic", "pick", "found"])
+
+    # Hashes are spread evenly: the share of a label holds more than fit_rows rows, of which the smallest stay.
+    near = (fit_rows + 6 * fit_rows ** 0.5 + 40)
+    sample = rows.where(share <= F.when(F.col("toxic") == 1, near / n1).otherwise(near / n0))
+    seen = sample.select(F.col("toxic").cast("int").alias("toxic"), pick.alias("pick"), "text").mapInArrow(
+        found, "toxic int, pick bigint, found binary").collect()
+    seen.sort(key=lambda r: (r["toxic"], r["pick"], bytes(r["found"])))
+    chosen = [r for k in (0, 1) for r in [r for r in seen if r["toxic"] == k][:fit_rows]]
+    weights, bias = fit([np.frombuffer(bytes(r["found"]), dtype=np.int32) for r in chosen], np.array([r["toxic"] for r in chosen]), ratio, prior)
+    weight[names] = weights
+    return Model(weight, float(bias))
 
 
 def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataFrame:
@@ -161,7 +195,8 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Labelled documents that are not held out: crc32 of the id mod 4 is not 2. A null id has no label."""
     kept = docs.where(~held_out(4, 2)).select("doc_id", "text")
-    return kept.join(labels.select("doc_id", "toxic").where("toxic is not null").distinct(), "doc_id")
+    given = stored(labels.where("toxic is not null").select("doc_id", "toxic").distinct(), "labels")
+    return kept.join(F.broadcast(given) if given.count() <= BROADCAST_LABELS else given, "doc_id")
 
 
 @query("op8_nb_toxicity")
