@@ -15,6 +15,13 @@ ORACLES: dict[str, str] = {}
 BATCH_CHARS = 400_000
 
 
+def worker_state() -> dict:
+    """A dictionary that lives as long as the Python worker, which serves many tasks."""
+    import pyspark
+
+    return vars(pyspark).setdefault("_document_worker_state", {})
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name`` with its comparison SQL, if there is one."""
 

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from casegrain.llm.common import query, table, text_batches, with_columns
+from casegrain.llm.common import query, table, text_batches, with_columns, worker_state
 from casegrain.session import stored
 
 CAPACITY = 2048
@@ -35,7 +35,7 @@ class WordEncoder:
     ``most``, or their ids more than eight times as many.
     """
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 400_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -75,10 +75,11 @@ class WordEncoder:
         if len(self.known) > self.most or len(self.ids) > 8 * self.most:
             self.clear()
         if fresh := list(set(words).difference(self.known)):
-            fresh, made, sizes = self._encoded(fresh)
-            self.known.update(zip(fresh, range(len(self.known), len(self.known) + len(fresh))))
-            self.ids = np.concatenate([self.ids, made])
-            self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(sizes))
+            for at in range(0, len(fresh), 8192):
+                some, made, sizes = self._encoded(fresh[at:at + 8192])
+                self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
+                self.ids = np.concatenate([self.ids, made])
+                self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(sizes))
         code = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
         sizes = self.begins[code + 1] - self.begins[code]
         upto = np.append(0, np.cumsum(sizes))
@@ -167,7 +168,8 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     """
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
-        encode, task = WordEncoder(tokenizer), TaskContext.get().partitionId()
+        known, task = worker_state(), TaskContext.get().partitionId()
+        encode = known.get(tokenizer) or known.setdefault(tokenizer, WordEncoder(tokenizer))
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch, texts in text_batches(batches):
             ids, offsets = encode(texts)
