@@ -79,6 +79,11 @@ def page_with_total(df: DataFrame, keys: Sequence[SortKey], limit: int, offset:
     return offset_page(df, keys, limit, offset).withColumn("total_count", total(df).scalar())
 
 
+def children_in_order(df: DataFrame, key: str, keys: Sequence[SortKey]) -> DataFrame:
+    """All rows by parent and, below each, in the given order. Ranges of the order go to tasks, so a crowded parent is spread."""
+    return df.orderBy(F.col(key), *order_by(keys))
+
+
 def top_per_group(df: DataFrame, group: Sequence[str], keys: Sequence[SortKey], n: int,
                   position: str = "position") -> DataFrame:
     """First ``n`` rows of each group in order.

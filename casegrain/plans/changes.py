@@ -18,17 +18,7 @@ C = F.col
 ORDER = ["updated_at", "event_id"]
 
 
-def utc_time(name):
-    """Event time with a zone, which watermarks need; the session runs in UTC."""
-    return C(name).cast("timestamp").alias(name)
-
-
-def in_utc(spark):
-    spark.conf.set("spark.sql.session.timeZone", "UTC")
-
-
 def event_stream(spark, sf):
-    in_utc(spark)
     path = f"{sf}/events.parquet"
     return streams.table_stream(spark, path, table(spark, sf, "events").schema, maxFilesPerTrigger="64")
 
@@ -87,11 +77,11 @@ def incremental_sync(spark, sf):
 
 
 @query("poll_changes", with_views("change_log") + f"""
-SELECT {_VERSION_COLS}, op FROM change_log WHERE updated_at > TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 6 HOURS AND updated_at <= TIMESTAMP '2024-01-10 12:00:00'
-ORDER BY change_log.updated_at, event_id LIMIT 1000""")
+SELECT {_VERSION_COLS}, op FROM change_log WHERE updated_at > TIMESTAMP '2024-01-10 12:00:00' - INTERVAL 6 HOURS AND updated_at <= TIMESTAMP '2024-01-10 12:00:00'""")
 def poll_changes(spark, sf):
     at = F.lit("2024-01-10 12:00:00").cast("timestamp_ntz")
-    return versions_out(cdc.poll_changes(view(spark, sf, "change_log"), at, "updated_at", "event_id", seconds=6 * 3600), "op")
+    polled = cdc.poll_all(view(spark, sf, "change_log"), at, "updated_at", "event_id", fresh_dir(spark, "polled"), seconds=6 * 3600)
+    return versions_out(polled, "op")
 
 
 _DOC_TOKENS = "SELECT unnest(list_distinct(list_filter(regexp_split_to_array(lower(text), '[\\s\\p{Z}]+'), lambda w: length(w) >= 2))) AS token, doc_id FROM documents"
@@ -156,18 +146,15 @@ def purge_expired(spark, sf):
 
 @query("work_sessions", with_views("work_session") + """
 SELECT session_id, user_id, CAST(started_at AS VARCHAR) AS started_at, CAST(ended_at AS VARCHAR) AS ended_at,
-  CAST(date_diff('second', started_at, ended_at) AS VARCHAR) AS duration_seconds, CAST(row_number() OVER (PARTITION BY user_id ORDER BY started_at DESC, session_id) AS INT) AS position
-FROM work_session QUALIFY position <= 10""")
+  CAST(date_diff('second', started_at, ended_at) AS VARCHAR) AS duration_seconds
+FROM work_session""")
 def work_sessions(spark, sf):
-    from casegrain.operators.paging import top_per_group
-
     opened = table(spark, sf, "orders").select(C("o_orderkey").alias("session_id"), C("o_custkey").alias("user_id"), F.lit("open").alias("kind"), C("o_orderdate").alias("at"))
     closed = (table(spark, sf, "lineitem").join(table(spark, sf, "orders").where("o_orderstatus <> 'P'"), C("l_orderkey") == C("o_orderkey"))
               .select(C("l_orderkey").alias("session_id"), C("o_custkey").alias("user_id"), F.lit("close").alias("kind"), C("l_shipdate").alias("at")))
     sessions = maintain.work_sessions(opened.unionByName(closed), "session_id", "user_id")
-    latest = top_per_group(sessions, ["user_id"], [("started_at", "desc"), ("session_id", "asc")], 10)
-    return latest.select("session_id", "user_id", C("started_at").cast("string").alias("started_at"), C("ended_at").cast("string").alias("ended_at"),
-                         C("duration_seconds").cast("string").alias("duration_seconds"), "position")
+    return sessions.select("session_id", "user_id", C("started_at").cast("string").alias("started_at"), C("ended_at").cast("string").alias("ended_at"),
+                         C("duration_seconds").cast("string").alias("duration_seconds"))
 
 
 # ---- streams -------------------------------------------------------------------------------------
@@ -178,7 +165,6 @@ EVENT_SCHEMA = "event_id bigint, user_id bigint, event_type string, value double
 @query("log_tail_stream", """
 SELECT event_id, user_id, event_type, CAST(json_extract_string(props, '$.k') AS INT) AS k, true AS has_origin FROM events""")
 def log_tail_stream(spark, sf):
-    in_utc(spark)
     logs, out = fresh_dir(spark, "logs"), fresh_dir(spark, "parsed")
     write_event_lines(spark, sf, logs)
     parsed = streams.json_lines(streams.log_stream(spark, logs), EVENT_SCHEMA)
@@ -190,7 +176,6 @@ def log_tail_stream(spark, sf):
 @query("audit_stream", with_views("access_log") + """
 SELECT action, count(*) AS lines, CAST(sum(user_id) AS BIGINT) AS users FROM access_log GROUP BY action""")
 def audit_stream(spark, sf):
-    in_utc(spark)
     logs, out = fresh_dir(spark, "audit"), fresh_dir(spark, "audit-out")
     a = view(spark, sf, "access_log")
     a.select(F.format_string("audit user=%d action=%s endpoint=%s", "user_id", "action", "endpoint").alias("value")).write.text(logs)
@@ -204,7 +189,6 @@ def audit_stream(spark, sf):
 
 @query("drop_folder_stream", "SELECT event_type, count(*) AS n, count(DISTINCT event_id) AS events FROM events GROUP BY event_type")
 def drop_folder_stream(spark, sf):
-    in_utc(spark)
     incoming, archive, out, ckpt = (fresh_dir(spark, n) for n in ("drop", "archive", "dropped", "ckpt"))
     events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
     for kinds in ("event_type IN ('click', 'view')", "event_type NOT IN ('click', 'view')"):  # files already there, then new ones
@@ -218,7 +202,7 @@ def drop_folder_stream(spark, sf):
 SELECT strftime(ts, '%Y-%m-%d-%H') AS hour_dir, count(*) AS events, CAST(min(time_bucket(INTERVAL 5 MINUTES, ts)) AS VARCHAR) AS first_slot FROM events GROUP BY 1""")
 def time_bucketed_sink(spark, sf):
     out = fresh_dir(spark, "buckets")
-    events = event_stream(spark, sf).select("event_id", "event_type", utc_time("ts"))  # logs arrive in time order: no shuffle
+    events = event_stream(spark, sf).select("event_id", "event_type", C("ts"))  # logs arrive in time order: no shuffle
     streams.run_available(streams.time_bucketed_sink(events, "ts", out), fresh_dir(spark, "ckpt"))
     schema = "event_id bigint, event_type string, ts timestamp, slot timestamp, year string, month string, day string, hour string"
     return (spark.read.schema(schema).json(out).groupBy(F.concat_ws("-", "year", "month", "day", "hour").alias("hour_dir"))
@@ -250,7 +234,6 @@ def dead_letter(spark, sf):
 @query("stream_token_bitmap", f"""
 SELECT token, count(*) AS ids FROM ({_DOC_TOKENS}) GROUP BY ALL""")
 def stream_token_bitmap(spark, sf):
-    in_utc(spark)
     path = f"{sf}/documents.parquet"
     docs = streams.table_stream(spark, path, table(spark, sf, "documents").schema, maxFilesPerTrigger="64")
     words = F.array_distinct(F.filter(text.split_words(C("text")), lambda w: F.length(w) >= 2))
@@ -264,39 +247,35 @@ def stream_token_bitmap(spark, sf):
 SELECT CAST(time_bucket(INTERVAL 1 HOUR, created_at) AS VARCHAR) AS window_start, user_id, action, count(*) AS requests, count(*) > 2 AS over_limit
 FROM access_log GROUP BY ALL""")
 def rate_windows(spark, sf):
-    log = event_stream(spark, sf).select("user_id", C("event_type").alias("action"), utc_time("ts")).withWatermark("ts", "1 hour")
-    counted = streams.rate_windows(log, "ts", "user_id", "action", "1 hour", 2)
+    log = event_stream(spark, sf).select("user_id", C("event_type").alias("action"), C("ts"))
     store = cdc.DeltaStore(spark, fresh_dir(spark, "rates"))
-    streams.run_available(counted.writeStream.outputMode("update").foreachBatch(streams.update_batch(store)), fresh_dir(spark, "ckpt"))
-    out = streams.newest_groups(store, ["window_start", "user_id", "action"])
+    write = streams.partial_batch(store, lambda batch: streams.rate_windows(batch, "ts", "user_id", "action", "1 hour", 2).drop("over_limit"))
+    streams.run_available(log.writeStream.foreachBatch(write), fresh_dir(spark, "ckpt"))
+    out = streams.summed(store, ["window_start", "user_id", "action"], "requests", 2)
     return out.withColumn("window_start", C("window_start").cast("timestamp_ntz").cast("string"))
 
 
 @query("access_log_rollup", with_views("access_log") + """
 SELECT CAST(time_bucket(INTERVAL 1 HOUR, created_at) AS VARCHAR) AS window_start, user_id, action, count(*) AS accesses FROM access_log GROUP BY ALL""")
 def access_log_rollup(spark, sf):
-    in_utc(spark)
-    log = view(spark, sf, "access_log").select("user_id", "action", utc_time("created_at"))
+    log = view(spark, sf, "access_log").select("user_id", "action", C("created_at"))
     out = streams.access_log_rollup(log, "created_at", "user_id", "action")
     return out.withColumn("window_start", C("window_start").cast("timestamp_ntz").cast("string"))
 
 
 @query("stream_event_dedup", with_views("change_log") + "SELECT op, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM change_log GROUP BY op")
 def stream_event_dedup(spark, sf):
-    out = fresh_dir(spark, "dedup")
+    store = cdc.DeltaStore(spark, fresh_dir(spark, "dedup"))
     twice = change_stream(spark, sf).unionByName(change_stream(spark, sf))  # overlapping polls deliver every change twice
-    once = streams.dedup_events(twice.withColumn("updated_at", utc_time("updated_at")), "updated_at", "event_id", "1 hour")
-    streams.run_available(once.writeStream.format("parquet").option("path", out), fresh_dir(spark, "ckpt"))
-    return spark.read.parquet(out).groupBy("op").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))
+    streams.run_available(twice.writeStream.foreachBatch(streams.once_batch(store, "event_id")), fresh_dir(spark, "ckpt"))
+    return streams.once(store, "event_id").groupBy("op").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))
 
 
 @query("stream_counters", "SELECT 'events.parquet' AS unit, count(*) AS rows FROM events")
 def stream_counters(spark, sf):
-    in_utc(spark)
     path = f"{sf}/events.parquet"
     source = streams.table_stream(spark, path, table(spark, sf, "events").schema).select("event_id", C("_metadata.file_path").alias("file"))
-    # One line per table even where it is stored as a folder of files.
-    unit = F.regexp_extract("file", r"(events\.parquet)", 1)
+    unit = F.regexp_extract("file", r"([^/]+)$", 1)  # one line per file
     store = cdc.DeltaStore(spark, fresh_dir(spark, "counters"))
     streams.run_available(source.writeStream.foreachBatch(streams.counter_batch(store, unit)), fresh_dir(spark, "ckpt"))
     return store.versions().groupBy("unit").agg(F.sum("rows").alias("rows"))

@@ -301,6 +301,7 @@ def multi_filter_search(spark, sf):
     page = paging.page_with_total(found, [("rank", "desc"), ("entity_id", "desc")], 20)
     kinds = profile.distinct_sorted(view(spark, sf, "bank"), "entity_id", "account_type", "id_types")
     return (page.join(categories_of(spark, sf).select("entity_id", "category_names"), "entity_id", "left").join(kinds, "entity_id", "left")
+            .orderBy(F.desc("rank"), F.desc("entity_id"))
             .select("entity_id", "status", "risk_score", F.round("rank", 6).alias("rank"), F.array_join("category_names", ",").alias("tags"),
                     F.array_join("id_types", ",").alias("id_types"), "total_count"))
 
@@ -327,7 +328,7 @@ def omni_search(spark, sf):
     children = [view(spark, sf, n).join(wanted, "entity_id", "left_semi") for n in ("anchor", "bank", "social", "property")]
     out = profile.entity_360_top(page, *children, categories_of(spark, sf).join(wanted, "entity_id", "left_semi"),
                                  view(spark, sf, "remark").join(wanted, "entity_id", "left_semi"))
-    return out.select(
+    return out.orderBy(F.desc("risk_score"), "entity_id").select(
         "entity_id", "full_name", "risk_score", joined("bank_accounts", "bank_name", "account_type", "is_primary").alias("bank_accounts"),
         joined("social_accounts", *SOCIAL_FIELDS).alias("social_accounts"), joined("properties", "property_type", "current_value").alias("properties"),
         F.array_join("category_names", ",").alias("tags"), map_text(C("remark_summary")).alias("remarks"), "total_count")

@@ -295,7 +295,7 @@ def report_table(spark, sf):
 SELECT source AS _source_table, id, name FROM (
   SELECT 'customer' AS source, 0 AS t, * FROM (SELECT c_custkey AS id, c_name AS name FROM customer ORDER BY c_custkey LIMIT 10)
   UNION ALL SELECT 'supplier', 1, * FROM (SELECT s_suppkey, s_name FROM supplier ORDER BY s_suppkey LIMIT 10)
-  UNION ALL SELECT 'part', 2, * FROM (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 10)) ORDER BY t, CAST(id AS VARCHAR) LIMIT 25""")
+  UNION ALL SELECT 'part', 2, * FROM (SELECT p_partkey, p_name FROM part ORDER BY p_partkey LIMIT 10)) ORDER BY t, id LIMIT 25""")
 def report_all_tables(spark, sf):
     keys = {"customer": ("c_custkey", "c_name"), "supplier": ("s_suppkey", "s_name"), "part": ("p_partkey", "p_name")}
     tables = {t: (table(spark, sf, t).select(C(k).alias("id"), C(n).alias("name")), "id") for t, (k, n) in keys.items()}

@@ -165,14 +165,12 @@ def offset_page(spark, sf):
 
 
 @query("children_order", with_views("bank") + """
-SELECT entity_id, id, is_primary, CAST(opened_at AS VARCHAR) AS opened_at, position FROM (
-  SELECT *, CAST(row_number() OVER (PARTITION BY entity_id ORDER BY is_primary DESC, opened_at DESC NULLS LAST, id) AS INT) AS position
-  FROM bank WHERE is_active) WHERE position <= 3""")
+SELECT entity_id, id, is_primary, CAST(opened_at AS VARCHAR) AS opened_at FROM bank WHERE is_active
+ORDER BY entity_id, is_primary DESC, opened_at DESC NULLS LAST, id""")
 def children_order(spark, sf):
     live = view(spark, sf, "bank").where("is_active")
     order = [("is_primary", "desc"), ("opened_at", "desc"), ("id", "asc")]
-    top = paging.top_per_group(live, ["entity_id"], order, 3)
-    return top.select("entity_id", "id", "is_primary", text("opened_at"), "position")
+    return paging.children_in_order(live, "entity_id", order).select("entity_id", "id", "is_primary", text("opened_at"))
 
 
 @query("page_with_total", with_views("entity") + """

@@ -27,15 +27,18 @@ def build_session(app: str = "casegrain", master: str | None = None, **conf: str
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The folder the cluster names in ``spark.checkpoint.dir``.
+    """The folder the cluster names in ``spark.checkpoint.dir``, else the context's checkpoint folder.
 
-    Only where that setting is absent (tests, a laptop) a fresh folder is made.
+    Only in local mode, where there is one machine, a fresh folder is made where neither is set.
     """
     context = spark.sparkContext
-    root = spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+    root = (spark.conf.get("spark.checkpoint.dir", None) or context.getConf().get("spark.checkpoint.dir")
+            or context.getCheckpointDir())
     if not root:
         root = getattr(context, "_casegrain_root", None)
         if root is None:
+            if not context.master.startswith("local"):
+                raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
             root = tempfile.mkdtemp(prefix="casegrain-")
             context._casegrain_root = root
     if context.getCheckpointDir() is None:

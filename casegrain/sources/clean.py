@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Mapping, Sequence
 from functools import reduce
+from itertools import chain, count
 from operator import and_
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
@@ -17,17 +18,21 @@ EMPTY_SHARE = 0.99  # fixed value: columns emptier than this are dropped
 
 def clean_columns(names: Sequence[str]) -> list[str]:
     """Lower-case names of letters, digits and single underscores; unusable ones are numbered, repeats suffixed."""
-    used: dict[str, int] = {}
-    out = []
+    plain = []
     for position, raw in enumerate(names):
-        name = re.sub(r"[^A-Za-z0-9]+", "_", raw.strip()).strip("_").lower()
-        if not name or name.isdigit():
-            name = f"column_{position}"
-        if name[0].isdigit():
-            name = f"col_{name}"
-        repeat = used.get(name)
-        used[name] = 0 if repeat is None else repeat + 1
-        out.append(name if repeat is None else f"{name}_{repeat + 1}")
+        name = "_".join(re.findall(r"[a-z0-9]+", raw.lower()))
+        plain.append(f"column_{position}" if not name or name.isdigit() else f"col_{name}" if name[0].isdigit() else name)
+    return numbered(plain)
+
+
+def numbered(names: Sequence[str]) -> list[str]:
+    """The names, repeats with the lowest free number from 1; no name is given out twice, also not one that has a number."""
+    given: set[str] = set()
+    out = []
+    for name in names:
+        free = next(n for n in chain([name], (f"{name}_{i}" for i in count(1))) if n not in given)
+        given.add(free)
+        out.append(free)
     return out
 
 
@@ -83,8 +88,8 @@ def dedup_rows(df: DataFrame) -> DataFrame:
 
 
 def flatten_json(df: DataFrame) -> DataFrame:
-    """Nested objects as ``a_b`` columns, arrays and maps as one JSON text."""
-    def leaves(schema: T.StructType, path: tuple[str, ...]) -> list[Column]:
+    """Nested objects as ``a_b`` columns, arrays and maps as one JSON text. Names that meet are numbered."""
+    def leaves(schema: T.StructType, path: tuple[str, ...]) -> list[tuple[str, Column]]:
         out = []
         for field in schema.fields:
             here = (*path, field.name)
@@ -92,12 +97,13 @@ def flatten_json(df: DataFrame) -> DataFrame:
             if isinstance(field.dataType, T.StructType):
                 out += leaves(field.dataType, here)
             elif isinstance(field.dataType, (T.ArrayType, T.MapType)):
-                out.append(F.to_json(column).alias("_".join(here)))
+                out.append(("_".join(here), F.to_json(column)))
             else:
-                out.append(column.alias("_".join(here)))
+                out.append(("_".join(here), column))
         return out
 
-    return df.select(*leaves(df.schema, ()))
+    found = leaves(df.schema, ())
+    return df.select(*[c.alias(n) for n, (_, c) in zip(numbered([n for n, _ in found]), found)])
 
 
 def surrogate_key(df: DataFrame, order: Sequence[str], name: str = "s_indx") -> DataFrame:

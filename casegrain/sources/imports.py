@@ -25,11 +25,17 @@ def snapshot_import(df: DataFrame, target: str, where: Column | None = None, col
 
 
 def incremental_import(df: DataFrame, target: str, check: str, watermark: object):
-    """Append the rows after the watermark and return the next watermark (unchanged when nothing is new)."""
-    fresh = df.where(F.col(check) > typed_literal(watermark, df.schema[check].dataType))
-    fresh.write.mode("append").parquet(target)
+    """Append the rows after the watermark and return the next watermark (unchanged when nothing is new).
+
+    The next watermark is taken first and bounds the copy, so rows that arrive meanwhile are left for the next run.
+    """
+    kind = df.schema[check].dataType
+    fresh = df.where(F.col(check) > typed_literal(watermark, kind))
     newest = fresh.agg(F.max(check)).head()[0]
-    return watermark if newest is None else newest
+    if newest is None:
+        return watermark
+    fresh.where(F.col(check) <= typed_literal(newest, kind)).write.mode("append").parquet(target)
+    return newest
 
 
 def multi_table_fanin(tables: Mapping[tuple[str, str], DataFrame | None]) -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import csv
+import re
 from collections.abc import Sequence
 from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
@@ -16,6 +18,7 @@ DELIMITERS = [",", ";", "\t", "|", " "]
 SNIFF_LINES = 10
 SUPPORTED = [".csv", ".txt", ".json", ".jsonl"]
 CORRUPT = "_corrupt_record"
+QUOTED = re.compile(r'"(?:[^"]|"")*"')
 
 
 @dataclass(frozen=True)
@@ -37,7 +40,7 @@ def best_delimiter(lines: Sequence[str]) -> str:
     """The delimiter giving most columns: its count where all lines agree, else its mean count."""
     best, most = ",", 0
     for delimiter in DELIMITERS:
-        counts = [line.count(delimiter) for line in lines]
+        counts = [QUOTED.sub("", line).count(delimiter) for line in lines]
         columns = counts[0] if len(set(counts)) == 1 else sum(counts) // len(counts)
         if columns > most:
             best, most = delimiter, columns
@@ -60,16 +63,27 @@ def sniff(spark: SparkSession, path: str, encoding: str = "UTF-8") -> Dialect:
     if not lines:
         return Dialect(",", False, 1)
     delimiter = best_delimiter(lines)
-    rows = [[c.strip('"') for c in line.split(delimiter)] for line in lines[:2]]
+    rows = list(csv.reader(lines[:2], delimiter=delimiter))
     return Dialect(delimiter, len(rows) == 2 and looks_like_header(*rows), len(rows[0]))
 
 
+def has_open_quotes(spark: SparkSession, path: str, encoding: str = "UTF-8") -> bool:
+    """Whether a line of the files has an odd number of quotes, as records that go on in the next line have."""
+    quotes = F.length("value") - F.length(F.replace(F.col("value"), F.lit('"'), F.lit("")))
+    return bool(spark.read.option("encoding", encoding).text(path).where(quotes % 2 == 1).head(1))
+
+
 def read_delimited(spark: SparkSession, path: str, dialect: Dialect, encoding: str = "UTF-8") -> DataFrame:
-    """All columns as text plus ``_corrupt_record``, which holds lines of another width."""
-    reader = (spark.read.option("sep", dialect.delimiter).option("encoding", encoding).option("mode", "PERMISSIVE")
+    """All columns as text plus ``_corrupt_record``, which holds lines of another width.
+
+    Doubled quotes stand for one. Files with quoted line breaks are read whole, one task each; others in splits.
+    """
+    settings = {"sep": dialect.delimiter, "encoding": encoding, "quote": '"', "escape": '"',
+                "multiLine": has_open_quotes(spark, path, encoding)}
+    reader = (spark.read.options(**settings).option("mode", "PERMISSIVE")
               .option("ignoreLeadingWhiteSpace", True).option("columnPruning", False))
     if dialect.header:
-        names = spark.read.option("sep", dialect.delimiter).option("header", True).option("encoding", encoding).csv(path).columns
+        names = spark.read.options(**settings).option("header", True).csv(path).columns
     else:
         names = [f"column_{i}" for i in range(dialect.columns)]
     fields = [T.StructField(n, T.StringType()) for n in [*clean.clean_columns(names), CORRUPT]]
@@ -131,16 +145,20 @@ def ingest_folder(spark: SparkSession, folder: str, target: str, recursive: bool
     """Load every supported file into its own table under ``target`` and report (file, table, status, rows, error).
 
     Every file becomes a table of its own, so each is its own Spark job, ``at_once`` of them side by side;
-    a file that fails is reported and the rest go on.
+    a file that fails is reported and the rest go on. Tables are named by their path below the folder with its extension;
+    where that is the same for two files, they are numbered.
     """
-    def load(path: str) -> tuple:
-        name = clean.clean_columns([path.removeprefix("file:").removeprefix(folder).rsplit(".", 1)[0]])[0]
+    def load(named: tuple[str, str]) -> tuple:
+        path, name = named
         try:
             ingest_file(spark, path).write.mode("overwrite").parquet(f"{target}/{name}")
             return path, name, "ok", spark.read.parquet(f"{target}/{name}").count(), None
         except Exception as err:  # noqa: BLE001 - whatever a file does, the others are still loaded
             return path, name, "failed", 0, type(err).__name__
 
+    files = list_files(spark, folder, recursive)
+    below = [path[path.find(folder.split(":")[-1]) + len(folder.split(":")[-1]):] for path in files]
+    names = clean.numbered([f"table_{n}" if n[0].isdigit() else n for n in ("_".join(re.findall(r"[a-z0-9]+", p.lower())) for p in below)])
     with ThreadPoolExecutor(at_once) as pool:
-        report = list(pool.map(load, list_files(spark, folder, recursive)))
+        report = list(pool.map(load, zip(files, names)))
     return spark.createDataFrame(report, "file string, table_name string, status string, rows bigint, error string")

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 
 from casegrain.operators.paging import top_per_group
 from casegrain.operators.search import cross_source_match
@@ -48,21 +48,24 @@ def report_table(df: DataFrame, key: str, value: str, source: str, equals: str |
                  limit: int = REPORT_ROWS) -> DataFrame:
     """First rows of a table in key order with the sources that hold the same value and whether several do.
 
-    Cross references are looked up for the report's values only.
+    Cross references are looked up for the report's values only. The limit may be 1 to ``REPORT_MAX``.
     """
+    if not 0 < limit <= REPORT_MAX:
+        raise ValueError(f"a report has 1 to {REPORT_MAX} rows, not {limit}")
     rows = df if equals is None else df.where(F.col(value) == equals)
-    page = rows.orderBy(key).limit(limit if 0 < limit <= REPORT_MAX else REPORT_ROWS)
+    page = rows.orderBy(key).limit(limit)
     shared = cross_source_match(df.join(page.select(value), value, "left_semi"), value, source)
-    return page.join(shared.select(value, F.col("sources.source").alias("cross_refs"), "has_duplicates"), value, "left")
+    return page.join(shared.select(value, F.col("sources.source").alias("cross_refs"), "has_duplicates"), value, "left").orderBy(key)
 
 
 def report_all_tables(tables: Mapping[str, tuple[DataFrame, str]], limit: int = REPORT_ROWS, per_table: int = 10) -> DataFrame:
-    """Ten rows of every table (name -> (DataFrame, key)), tables in the order given, until the limit."""
+    """Ten rows of every table (name -> (DataFrame, key)), tables in the order given, rows by their key, until the limit."""
     parts = []
     for position, (name, (df, key)) in enumerate(tables.items()):
         first = df.orderBy(key).limit(per_table)
-        parts.append(first.withColumns({"_source_table": F.lit(name), "_table": F.lit(position), "_key": F.col(key).cast("string")}))
-    return union_all(parts).orderBy("_table", "_key").limit(limit).drop("_table", "_key")
+        place = F.row_number().over(Window.orderBy(key))  # of ``per_table`` rows
+        parts.append(first.withColumns({"_source_table": F.lit(name), "_table": F.lit(position), "_place": place}))
+    return union_all(parts).orderBy("_table", "_place").limit(limit).drop("_table", "_place")
 
 
 def sample_report(df: DataFrame, source: str, table: str, key: str, tags: str, tables: int = 10, rows: int = 100) -> DataFrame:

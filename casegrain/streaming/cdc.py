@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F
+from pyspark.sql.types import StructType
 
+from casegrain.operators.filters import typed_literal
 from casegrain.operators.index import merge_bitmaps, token_bitmap
 
 POLL_ROWS = 1000  # fixed value: changes taken per table and poll
@@ -51,10 +53,31 @@ def incremental_sync(df: DataFrame, key: str, after: int, limit: int) -> DataFra
     return df.where(F.col(key) > after).orderBy(key).limit(limit)
 
 
-def poll_changes(df: DataFrame, at: Column, changed: str, tie: str, seconds: int = 10, limit: int = POLL_ROWS) -> DataFrame:
-    """Rows changed in the last ``seconds`` before ``at``, oldest first. Polls overlap; applying twice is harmless."""
-    return (df.where((F.col(changed) > at - F.make_dt_interval(secs=F.lit(seconds))) & (F.col(changed) <= at))
-            .orderBy(changed, tie).limit(limit))
+def poll_changes(df: DataFrame, at: Column, changed: str, tie: str, seconds: int = 10, limit: int = POLL_ROWS,
+                 after: tuple | None = None) -> DataFrame:
+    """Rows changed in the last ``seconds`` before ``at``, oldest first, at most ``limit``. Applying rows twice is harmless.
+
+    ``after`` is the (changed, tie) of the last row of the poll before; with it, a window of more than ``limit`` rows comes in
+    several polls and nothing is lost.
+    """
+    due = df.where((F.col(changed) > at - F.make_dt_interval(secs=F.lit(seconds))) & (F.col(changed) <= at))
+    if after is not None:
+        time, last = (typed_literal(v, df.schema[c].dataType) for v, c in zip(after, (changed, tie)))
+        due = due.where((F.col(changed) > time) | ((F.col(changed) == time) & (F.col(tie) > last)))
+    return due.orderBy(changed, tie).limit(limit)
+
+
+def poll_all(df: DataFrame, at: Column, changed: str, tie: str, target: str, seconds: int = 10, limit: int = POLL_ROWS) -> DataFrame:
+    """All rows of the window, polled ``limit`` at a time and appended to ``target``; the cursor is one row per poll."""
+    after, rows = None, df.sparkSession.read.schema(df.schema)
+    while True:
+        page = poll_changes(df, at, changed, tie, seconds, limit, after)
+        seen = Observation()
+        (page.observe(seen, F.count(F.lit(1)).alias("n"), F.max(F.struct(changed, tie)).alias("last"))
+         .write.mode("append").parquet(target))
+        if seen.get["n"] < limit:
+            return rows.parquet(target)
+        after = tuple(seen.get["last"])
 
 
 def sync_stats(df: DataFrame, name: str, key: str, changed: str, live: Column, synced_until: Column) -> DataFrame:
@@ -83,36 +106,58 @@ class DeltaStore:
     """Row versions appended by a stream, merged when read.
 
     Each micro-batch writes one folder named by its batch id, so a repeated batch replaces itself and no batch rewrites
-    older state. ``compact`` folds everything so far into a new base, which keeps reads short.
+    older state. ``compact`` folds the batches so far into a new base and then removes what it folded. A base or batch counts
+    once its writer has marked it as finished. A store that holds nothing reads as an empty frame of ``schema``.
     """
 
-    def __init__(self, spark: SparkSession, root: str):
+    def __init__(self, spark: SparkSession, root: str, schema: str | StructType = ""):
         self.spark, self.root = spark, root
+        self.schema = schema or StructType()
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
 
-    def _base(self) -> tuple[DataFrame | None, int]:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/base")
-        if not path.getFileSystem(self.spark._jsc.hadoopConfiguration()).exists(path):
-            return None, -1
-        bases = self.spark.read.parquet(f"{self.root}/base")
-        newest = bases.agg(F.max("upto")).head()[0]
-        return bases.where(F.col("upto") == newest).drop("upto"), newest
-
-    def versions(self) -> DataFrame:
-        """All versions not yet folded, with the folded base."""
-        base, upto = self._base()
-        deltas = self.spark.read.parquet(f"{self.root}/delta").where(F.col("batch_id") > upto).drop("batch_id")
-        return deltas if base is None else base.unionByName(deltas)
+    def _finished(self, kind: str) -> list[int]:
+        """Numbers of the folders ``kind/name=number`` whose write has ended."""
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
+        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
+        if not files.exists(path):
+            return []
+        done = [f.getPath() for f in files.listStatus(path) if f.isDirectory()]
+        return sorted(int(p.getName().split("=")[1]) for p in done
+                      if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
+
+    def _remove(self, folder: str) -> None:
+        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
+        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+    def versions(self, upto: int | None = None) -> DataFrame:
+        """All versions not yet folded, with the folded base; only those of batches up to ``upto`` where that is given."""
+        bases = self._finished("base")
+        folded = bases[-1] if bases else -1
+        batches = [b for b in self._finished("delta") if b > folded and (upto is None or b <= upto)]
+        folders = [f"{self.root}/base/upto={folded}"] * bool(bases) + [f"{self.root}/delta/batch_id={b}" for b in batches]
+        if not folders:
+            return self.spark.createDataFrame([], self.schema)
+        return self.spark.read.parquet(*folders)
 
     def last_batch(self) -> int:
-        return self.spark.read.parquet(f"{self.root}/delta").agg(F.max("batch_id")).head()[0]
+        return max([-1, *self._finished("base"), *self._finished("delta")])
 
     def compact(self, merge) -> None:
-        """Write ``merge(versions)`` as the base for everything up to the newest batch."""
-        upto = self.last_batch()
-        merge(self.versions()).write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
+        """Write ``merge(versions)`` as the base of all batches so far, then drop those batches and older bases.
+
+        Batches that land meanwhile have higher numbers and stay.
+        """
+        upto, old = self.last_batch(), self._finished("base")
+        if upto < 0 or upto in old:
+            return
+        batches = [b for b in self._finished("delta") if b <= upto]
+        merge(self.versions(upto)).write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
+        for batch in batches:
+            self._remove(f"delta/batch_id={batch}")
+        for base in old:
+            self._remove(f"base/upto={base}")
 
 
 def upsert_batch(store: DeltaStore, key: str, order: Sequence[str]):

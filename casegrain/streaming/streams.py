@@ -77,24 +77,31 @@ def access_log_rollup(log: DataFrame, at: str, who: str, action: str, length: st
             .select(F.col("window.start").alias("window_start"), who, action, "accesses"))
 
 
-def update_batch(store: DeltaStore):
-    """``foreachBatch`` function for ``update`` mode: append the groups that changed."""
+def partial_batch(store: DeltaStore, counts):
+    """``foreachBatch`` function: append what ``counts(batch)`` finds in this batch alone. However late a row is, it counts."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(batch.withColumn("_batch", F.lit(batch_id)), batch_id)
+        store.append(counts(batch), batch_id)
 
     return write
 
 
-def newest_groups(store: DeltaStore, keys: list[str]) -> DataFrame:
-    """Last written state of every group."""
-    rows = store.versions()
-    newest = F.max_by(F.struct(*[c for c in rows.columns if c not in keys]), "_batch").alias("_row")
-    return rows.groupBy(*keys).agg(newest).select(*keys, "_row.*").drop("_batch")
+def summed(store: DeltaStore, keys: list[str], count: str, limit: int | None = None) -> DataFrame:
+    """Groups with the counts of all batches added up, and whether they exceed the limit where one is given."""
+    out = store.versions().groupBy(*keys).agg(F.sum(count).alias(count))
+    return out if limit is None else out.withColumn("over_limit", F.col(count) > limit)
 
 
-def dedup_events(events: DataFrame, at: str, key: str, delay: str) -> DataFrame:
-    """Re-delivered events once; state is dropped when the watermark has passed."""
-    return events.withWatermark(at, delay).dropDuplicatesWithinWatermark([key])
+def once_batch(store: DeltaStore, key: str):
+    """``foreachBatch`` function: append each event of the batch once."""
+    def write(batch: DataFrame, batch_id: int) -> None:
+        store.append(batch.dropDuplicates([key]), batch_id)
+
+    return write
+
+
+def once(store: DeltaStore, key: str) -> DataFrame:
+    """Every event once, whichever batches delivered it and however late."""
+    return store.versions().dropDuplicates([key])
 
 
 def counter_batch(store: DeltaStore, group: Column):

@@ -45,7 +45,7 @@ def test_filters_and_columns_reach_the_scan(spark):
 
 
 def test_whole_groups_never_meet_before_they_are_limited(spark):
-    for name in ("top_n_children", "children_order", "entity_360_topn", "work_sessions", "top_n_per_column"):
+    for name in ("top_n_children", "entity_360_topn", "top_n_per_column"):
         assert "WindowGroupLimit" in plan_of(QUERIES[name](spark, SF))
 
 

@@ -87,33 +87,63 @@ def test_bitmap_stream_equals_batch(spark, events, tmp_path):
     same(cdc.stored_bitmaps(store).select(*columns), index.token_bitmap(tokens(batch)).select(*columns))
 
 
-def test_rate_windows_stream_equals_batch(spark, events, tmp_path):
-    path, batch = events
+def test_rate_windows_count_rows_however_late(spark, events, tmp_path):
+    path, batch = events  # files are not in time order
     store = cdc.DeltaStore(spark, str(tmp_path / "rates"))
     keys = ["window_start", "pk", "op"]
-    # Files are not in time order, so the watermark has to span the whole day.
-    live = streams.rate_windows(source(spark, path).withWatermark("updated_at", "2 days"), "updated_at", "pk", "op", "1 hour", 2)
-    streams.run_available(live.writeStream.outputMode("update").foreachBatch(streams.update_batch(store)), str(tmp_path / "ckpt"))
+    write = streams.partial_batch(store, lambda b: streams.rate_windows(b, "updated_at", "pk", "op", "1 hour", 2).drop("over_limit"))
+    streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / "ckpt"))
+    assert store.last_batch() == 5
     columns = [*keys, "requests", "over_limit"]
-    same(streams.newest_groups(store, keys).select(*columns), streams.rate_windows(batch, "updated_at", "pk", "op", "1 hour", 2).select(*columns))
+    same(streams.summed(store, keys, "requests", 2).select(*columns), streams.rate_windows(batch, "updated_at", "pk", "op", "1 hour", 2).select(*columns))
 
 
 def test_access_rollup_stream_equals_batch(spark, events, tmp_path):
     path, batch = events
     store = cdc.DeltaStore(spark, str(tmp_path / "rollup"))
-    live = streams.access_log_rollup(source(spark, path).withWatermark("updated_at", "2 days"), "updated_at", "pk", "op")
-    streams.run_available(live.writeStream.outputMode("update").foreachBatch(streams.update_batch(store)), str(tmp_path / "ckpt"))
+    write = streams.partial_batch(store, lambda b: streams.access_log_rollup(b, "updated_at", "pk", "op"))
+    streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / "ckpt"))
     columns = ["window_start", "pk", "op", "accesses"]
-    same(streams.newest_groups(store, columns[:3]).select(*columns), streams.access_log_rollup(batch, "updated_at", "pk", "op").select(*columns))
+    same(streams.summed(store, columns[:3], "accesses").select(*columns), streams.access_log_rollup(batch, "updated_at", "pk", "op").select(*columns))
 
 
 def test_redelivered_events_count_once(spark, events, tmp_path):
     path, batch = events
     twice = source(spark, path).unionByName(source(spark, path))
-    out = str(tmp_path / "out")
-    once = streams.dedup_events(twice, "updated_at", "event_id", "2 days")
-    streams.run_available(once.writeStream.format("parquet").option("path", out), str(tmp_path / "ckpt"))
-    same(spark.read.parquet(out).select("event_id"), batch.select("event_id"))
+    store = cdc.DeltaStore(spark, str(tmp_path / "once"))
+    streams.run_available(twice.writeStream.foreachBatch(streams.once_batch(store, "event_id")), str(tmp_path / "ckpt"))
+    same(streams.once(store, "event_id").select("event_id"), batch.select("event_id"))
+
+
+def test_stream_queries_are_exact_on_many_unordered_files(spark, tmp_path):
+    from casegrain.plans import catalog
+
+    sf, folder = "/root/testdata/sf0.01", tmp_path / "many"
+    folder.mkdir()
+    events = spark.read.parquet(f"{sf}/events.parquet")
+    events.repartition(130, F.hash("event_id")).write.parquet(f"{folder}/events.parquet")
+    assert catalog.QUERIES["rate_windows"](spark, str(folder)).agg(F.sum("requests")).first()[0] == events.count()
+    assert catalog.QUERIES["stream_event_dedup"](spark, str(folder)).agg(F.sum("events")).first()[0] == events.count()
+
+
+def test_batches_that_land_during_compaction_stay(spark, tmp_path):
+    store = cdc.DeltaStore(spark, str(tmp_path / "store"), "unit string, rows bigint")
+    assert store.versions().count() == 0 and store.last_batch() == -1
+    add = lambda n: store.append(spark.createDataFrame([("a", 1)], "unit string, rows bigint"), n)
+    total = lambda: store.versions().agg(F.sum("rows")).first()[0]
+    add(0)
+    add(1)
+
+    def merge(versions):
+        add(2)  # lands while the others are folded
+        return versions.groupBy("unit").agg(F.sum("rows").alias("rows"))
+
+    store.compact(merge)
+    assert total() == 3
+    store.compact(lambda v: v.groupBy("unit").agg(F.sum("rows").alias("rows")))
+    add(3)
+    (tmp_path / "store" / "base" / "upto=9").mkdir()  # a base whose writer died
+    assert total() == 4 and sorted(p.name for p in (tmp_path / "store" / "delta").iterdir()) == ["batch_id=3"]
 
 
 def test_drop_folder_takes_every_file_once(spark, tmp_path):
@@ -136,6 +166,8 @@ def test_sync_resumes_and_polls_are_bounded(spark, events, tmp_path):
     latest = batch.agg(F.max("updated_at")).scalar()
     polled = cdc.poll_changes(batch, latest, "updated_at", "event_id", seconds=3600, limit=7).collect()
     assert len(polled) == 7 and polled == sorted(polled, key=lambda r: (r["updated_at"], r["event_id"]))
+    whole = cdc.poll_changes(batch, latest, "updated_at", "event_id", seconds=3600, limit=10_000)
+    same(cdc.poll_all(batch, latest, "updated_at", "event_id", str(tmp_path / "polled"), seconds=3600, limit=7), whole)
 
 
 def test_purge_keeps_unknown(spark):
