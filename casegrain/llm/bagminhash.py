@@ -149,8 +149,8 @@ def _difference(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 def compared(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
     """Pairs (a, b, large) with ``linked``: whether their multisets in ``contents`` (node, bag) are similar enough.
 
-    Also ``total`` (size of their difference), ``need`` and ``over`` as `_across` uses them, and for large families the names
-    of the difference and ``bits``: for each of `_BITS` remainders whether an odd number of names has it.
+    Also ``total`` (size of their difference, or more where sizes alone rule a link out), ``need`` and ``over`` as `_across`
+    uses them, and for large families the names of the difference and ``bits``: for each of `_BITS` remainders whether an odd number of names has it.
     """
     part = least / (1 + least)
 
@@ -161,7 +161,7 @@ def compared(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
                 x, y = (np.frombuffer(v.as_py(), dtype=np.uint64) for v in (x, y))
                 close = min(len(x), len(y)) >= least * max(len(x), len(y)) - 1e-9
                 if not close and not large.as_py():
-                    rows.append((False, 0, 0.0, 0.0, None, None))
+                    rows.append((False, len(x) + len(y), 0.0, 0.0, None, None))
                     continue
                 shared = _shared(x, y)
                 gone, new = len(x) - shared, len(y) - shared
@@ -191,7 +191,7 @@ def _within(family: DataFrame) -> DataFrame:
 def _across(family: DataFrame, least: float) -> DataFrame:
     """Pairs of members of one large family that are in different groups and may be similar enough.
 
-    With the family's first text as origin, the intersection of two members follows from what their differences to it have
+    With the family's centre as origin, the intersection of two members follows from what their differences to it have
     in common: similarity is at least ``least`` just if that is need(x) + over(y), where a member is linked to the origin if
     ``over`` is not positive. Members that share so much of their differences share a name among the rarest names of both, at
     a place that leaves room for the rest (prefix filter), so only such pairs are made: near copies that were edited in
@@ -231,9 +231,10 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     null names a class, and it is null only where all ids are. An empty table gives an empty result, other columns are not read.
 
     Candidates share a band. The smallest node of a bucket is the origin of a family: every text of its buckets is compared
-    with it. Pairs inside a family that this leaves in different groups come next: in a family of up to ``small`` texts all
-    of them, in a larger one those that `_across` cannot rule out. No bucket is cut and no link between texts that share a
-    bucket is lost.
+    with it. In a family of more than ``small`` texts all are compared once more, with the text nearest to the origin, which
+    among edited copies is likely the one they come from. Pairs inside a family that this leaves in different groups come
+    next: in a small family all of them, in a large one those that `_across` cannot rule out. No bucket is cut and no link
+    between texts that share a bucket is lost.
     """
     rows_in = stored(sketches(docs, bands, rows, width), "sketches")
     texts = stored(rows_in.groupBy("node").agg(F.min("doc_id").alias("lead"), F.first("keys").alias("keys")), "texts")
@@ -242,8 +243,6 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
                      .where("first < last").select("key", "first"), "buckets")
     met = stored(keyed.join(buckets, "key").where("node <> first")
                  .select(F.col("first").alias("a"), F.col("node").alias("b")).distinct(), "met")
-    size = met.groupBy("a").agg((F.count(F.lit(1)) > small).alias("large"))
-    pairs = met.join(size, "a")
 
     def bag(batches) -> Iterator[pa.RecordBatch]:
         for batch, own in text_batches(batches):
@@ -260,10 +259,17 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
         edges = links.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
         return canonical_ids(edges, texts.select("node"), "node").select("node", F.col("canonical_id").alias("group"))
 
-    first = stored(compared(pairs, contents, least), "compared")
-    links = first.where("linked").select("a", "b")
-    family = stored(first.join(groups(links).withColumnRenamed("node", "b"), "b"), "families")
-    more = (_within(family.where("names is null")).unionByName(_across(family.where("names is not null"), least)).distinct()
+    first = stored(compared(met.withColumn("large", F.lit(False)), contents, least), "compared")
+    size = first.groupBy("a").agg((F.count(F.lit(1)) > small).alias("crowded"), F.min(F.struct("total", "b")).alias("near"))
+    size = stored(size.select("a", "crowded", F.col("near.b").alias("centre")), "families")
+    crowded = size.where("crowded").select("a", "centre")
+    again = (met.join(crowded, "a").select("centre", "b").unionByName(crowded.select("centre", F.col("a").alias("b")))
+             .where("centre <> b").select(F.col("centre").alias("a"), "b", F.lit(True).alias("large")).distinct())
+    second = stored(compared(again, contents, least), "recentred")
+    links = first.where("linked").unionByName(second.where("linked")).select("a", "b")
+    grouped = stored(groups(links).withColumnRenamed("node", "b"), "groups")
+    few = first.join(size.where("not crowded").select("a"), "a", "left_semi")
+    more = (_within(few.join(grouped, "b")).unionByName(_across(second.join(grouped, "b"), least)).distinct()
             .select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("large")))
     links = links.unionByName(stored(compared(more, contents, least).where("linked").select("a", "b"), "more-links"))
     classes = texts.select("node", "lead").join(groups(links), "node")
