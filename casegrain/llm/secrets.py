@@ -18,6 +18,7 @@ from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
 from casegrain.llm.common import code_points, query, table, text_batches, with_columns
+from casegrain.session import stored
 
 # The kinds and their patterns.
 KINDS = ("assign", "access", "hex")
@@ -200,7 +201,7 @@ def train(docs: DataFrame, fit_values: int = FIT_VALUES) -> dict[str, Automaton]
             yield pa.RecordBatch.from_arrays([pa.array([kinds[i] for i in kept], type=pa.string()),
                                               pa.array([values[i] for i in kept], type=pa.string())], names=["kind", "value"])
 
-    found = docs.select("text").mapInArrow(labelled, "kind string, value string").distinct()
+    found = stored(docs.select("text").mapInArrow(labelled, "kind string, value string").distinct(), "labelled-values")
     found = found.withColumn("pick", F.xxhash64("value"))
     picked = None
     for kind in (*KINDS, *ORDINARY):
