@@ -68,7 +68,7 @@ def next_level(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
     length = np.diff(np.append(at, len(symbols)))
     single = symbols[at]
     names, first = _run_names(single, length), begin[at]
-    tags = labels(names, first)
+    tags = labels(single, first)
     border = first.copy()
     if len(tags) > 2:
         border[1:-1] |= (tags[1:-1] < tags[:-2]) & (tags[1:-1] < tags[2:]) & ~first[2:]
@@ -83,8 +83,7 @@ def next_level(symbols: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np
 
 
 def _run_names(symbols: np.ndarray, length: np.ndarray) -> np.ndarray:
-    names = symbols.astype(np.uint64)
-    names = mixed(names + np.uint64(1)) if symbols.dtype == np.uint32 else names.copy()
+    names = symbols.astype(np.uint64) + np.uint64(1)
     long = length > 1
     names[long] = mixed(names[long] ^ (length[long].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
     return names
@@ -113,10 +112,10 @@ def likeness(a: list[np.ndarray], b: list[np.ndarray]) -> float:
     """Estimated Jaccard similarity of the phrase sets, the mean of the levels; 1 for two texts without phrases."""
     shares = []
     for x, y in zip(a, b):
-        if len(x) or len(y):
-            both = np.union1d(x, y)[:KEPT]
-            shares.append(len(np.intersect1d(np.intersect1d(x, y, assume_unique=True), both, assume_unique=True)) / len(both))
-    return float(np.mean(shares)) if shares else 1.0
+        x, y = set(x.tolist()), set(y.tolist())
+        if both := sorted(x | y)[:KEPT]:
+            shares.append(sum(n in x and n in y for n in both) / len(both))
+    return sum(shares) / len(shares) if shares else 1.0
 
 
 def in_order(docs: DataFrame) -> DataFrame:
