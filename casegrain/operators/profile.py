@@ -30,15 +30,35 @@ def distinct_sorted(df: DataFrame, key: str, value: str, name: str) -> DataFrame
     return df.groupBy(key).agg(F.sort_array(F.collect_set(value)).alias(name))
 
 
+def stored_mask(df: DataFrame, name: str) -> Column | None:
+    """The mask that the records hold already, or None where the table has no such column."""
+    return F.nullif(F.col(name), F.lit("")) if name in df.columns else None
+
+
+def document_number(anchors: DataFrame) -> Column:
+    """Masked by document type; a stored mask wins."""
+    return masking.mask_document(F.col("id_type"), F.col("id_number"), stored_mask(anchors, "id_masked"))
+
+
+def account_number(banks: DataFrame) -> Column:
+    computed, stored = masking.mask_bank_account(F.col("account_number")), stored_mask(banks, "account_masked")
+    return computed if stored is None else F.coalesce(stored, computed)
+
+
+def contact_points(entities: DataFrame) -> DataFrame:
+    """(entity_id, contact_type, value): phone, then email, where there is one."""
+    both = F.array(*[F.struct(F.lit(kind).alias("contact_type"), F.col(f"primary_{kind}").alias("value")) for kind in ("phone", "email")])
+    return entities.select("entity_id", F.inline(both)).where("value is not null")
+
+
 def bank_list(banks: DataFrame, unmask: bool, max_items: int) -> Lists:
-    number = F.col("account_number") if unmask else masking.mask_bank_account(F.col("account_number"))
+    number = F.col("account_number") if unmask else account_number(banks)
     fields = {"bank_name": F.col("bank_name"), "account": number, "account_type": F.col("account_type"),
               "is_primary": F.col("is_primary")}
     return ordered_lists(banks.where("is_active"), "entity_id", BANK_ORDER, fields, "bank_accounts", max_items)
 
 
-def anchor_list(anchors: DataFrame, unmask: bool, max_items: int) -> Lists:
-    number = F.col("id_number") if unmask else masking.mask_all_but_four(F.col("id_number"))
+def anchor_list(anchors: DataFrame, number: Column, max_items: int) -> Lists:
     fields = {"id_type": F.col("id_type"), "id_number": number, "is_verified": F.col("is_verified"),
               "issuing_country": F.col("issuing_country")}
     return ordered_lists(anchors, "entity_id", ANCHOR_ORDER, fields, "identity_anchors", max_items)
@@ -69,7 +89,7 @@ def entity_profile(entities: DataFrame, anchors: DataFrame, socials: DataFrame,
     addresses = F.array(F.struct(F.col("city"), F.col("country")))
     base = entities.withColumns({"contacts": contacts, "addresses": addresses})
     return attach_lists(base, "entity_id", [
-        anchor_list(anchors, unmask, max_items), social_list(socials, max_items),
+        anchor_list(anchors, F.col("id_number") if unmask else document_number(anchors), max_items), social_list(socials, max_items),
         bank_list(banks, unmask, max_items), case_list(cases, roles, max_items)])
 
 
@@ -82,7 +102,7 @@ def entity_360(entities: DataFrame, anchors: DataFrame, properties: DataFrame, b
     flat = (entities.join(categories.select("entity_id", F.col("category_names").alias("category_tags")), "entity_id", "left")
             .join(remark_summary(remarks), "entity_id", "left"))
     return attach_lists(flat, "entity_id", [
-        anchor_list(anchors, False, max_items), property_list(properties, max_items),
+        anchor_list(anchors, masking.mask_all_but_four(F.col("id_number")), max_items), property_list(properties, max_items),
         bank_list(banks, False, max_items), social_list(socials, max_items)])
 
 
@@ -133,11 +153,12 @@ def profile_sections(entities: DataFrame, anchors: DataFrame, socials: DataFrame
     parts = [
         _section(bio, "bio", [c("col.field"), c("col.value")], [c("pos")]),
         _section(entities, "addresses", [c("city"), c("country")], [F.lit(0)]),
-        _section(anchors, "documents", [c("id_type"), masking.mask_all_but_four(c("id_number")), c("issuing_country"), yes_no(c("is_verified"))],
+        _section(anchors, "documents", [c("id_type"), document_number(anchors), c("issuing_country"), yes_no(c("is_verified"))],
                  [~c("is_primary"), F.lpad(c("id").cast("string"), 20, "0")]),
+        _section(contact_points(entities), "contacts", [c("contact_type"), c("value")], [c("contact_type") != "phone"]),
         _section(socials, "social", [c("platform"), c("handle"), c("follower_count"), yes_no(c("is_active"))],
                  [F.lpad(c("id").cast("string"), 20, "0")]),
-        _section(banks, "bank", [masking.mask_bank_account(c("account_number")), c("bank_name"), c("account_type"), yes_no(c("is_primary"))],
+        _section(banks, "bank", [account_number(banks), c("bank_name"), c("account_type"), yes_no(c("is_primary"))],
                  [~c("is_primary"), F.lpad(c("id").cast("string"), 20, "0")]),
         _section(linked, "cases", [c("case_number"), c("status"), c("category"), c("role")],
                  [F.lpad(c("case_id").cast("string"), 20, "0"), c("role")]),

@@ -130,6 +130,14 @@ _SOCIAL = ("(SELECT entity_id, string_agg(concat_ws(':', platform, handle, follo
            "FROM social WHERE is_active GROUP BY entity_id)")
 _ANCHORS = ("(SELECT entity_id, md5(string_agg(concat_ws(':', id_type, " + _MASKED_TEXT.format("id_number") +
             ", is_verified, issuing_country), ';' ORDER BY is_primary DESC, id)) AS anchors FROM anchor GROUP BY entity_id)")
+# One engine writes the capital of ß as SS, the other as one letter.
+_DOC_MASK = """CASE lower(id_type) WHEN 'aadhaar' THEN 'XXXX-XXXX-' || right(regexp_replace(id_number, '[ -]', '', 'g'), 4)
+  WHEN 'pan' THEN 'XXXXX' || CASE WHEN length(replace(trim(id_number), 'ß', 'SS')) < 5 THEN upper(replace(trim(id_number), 'ß', 'SS')) ELSE substr(upper(replace(trim(id_number), 'ß', 'SS')), 6) END
+  WHEN 'driving_license' THEN CASE WHEN length(replace(trim(id_number), 'ß', 'SS')) < 3 THEN 'XXXXXXXXXX' || upper(replace(trim(id_number), 'ß', 'SS'))
+    ELSE repeat('X', length(replace(trim(id_number), 'ß', 'SS')) - 3) || right(upper(replace(trim(id_number), 'ß', 'SS')), 3) END
+  ELSE CASE WHEN length(replace(trim(id_number), 'ß', 'SS')) < 2 THEN 'XXXXXXX' || upper(replace(trim(id_number), 'ß', 'SS'))
+    ELSE repeat('X', length(replace(trim(id_number), 'ß', 'SS')) - 2) || right(upper(replace(trim(id_number), 'ß', 'SS')), 2) END END"""
+_DOCUMENTS = _ANCHORS.replace(_MASKED_TEXT.format("id_number"), _DOC_MASK)
 _PROPS = ("(SELECT entity_id, string_agg(concat_ws(':', property_type, current_value), ';' ORDER BY current_value DESC NULLS LAST, id) AS properties "
           "FROM property WHERE is_active GROUP BY entity_id)")
 _CASES = ("(SELECT r.entity_id, string_agg(concat_ws(':', c.case_number, c.status, c.category, r.role), ';' ORDER BY c.created_at DESC, c.case_id, r.role) AS cases "
@@ -184,7 +192,7 @@ def profiles(spark, sf, unmask=False):
 
 
 _PROFILE_VIEWS = ("entity", "anchor", "social", "bank", "case_file", "case_role")
-_PROFILE_FROM = f"""FROM entity e LEFT JOIN {_ANCHORS} a USING (entity_id) LEFT JOIN {_SOCIAL} s USING (entity_id) LEFT JOIN {_BANKS} b USING (entity_id)
+_PROFILE_FROM = f"""FROM entity e LEFT JOIN {_DOCUMENTS} a USING (entity_id) LEFT JOIN {_SOCIAL} s USING (entity_id) LEFT JOIN {_BANKS} b USING (entity_id)
 LEFT JOIN {_CASES} k USING (entity_id)"""
 
 
@@ -194,24 +202,20 @@ SELECT e.entity_id, CAST(0 AS BIGINT) AS part, full_name, city || ':' || country
 def entity_profile(spark, sf):
     return profiles(spark, sf).select(
         "entity_id", "part", "full_name", joined("addresses", "city", "country").alias("addresses"),
-        joined("contacts", "contact_type", "value").alias("contacts"), anchors_digest("identity_anchors", *ANCHOR_FIELDS).alias("anchors"),
-        joined("social_accounts", *SOCIAL_FIELDS).alias("social_accounts"), joined("bank_accounts", *BANK_FIELDS).alias("bank_accounts"),
-        joined("cases", "case_number", "status", "category", "role").alias("cases"))
-
-
-@query("case_profiles", with_views(*_PROFILE_VIEWS) + """
-SELECT c.case_id, r.role, e.entity_id, e.full_name, coalesce(b.n, 0) AS banks, coalesce(s.n, 0) AS socials, k.n AS cases
-FROM case_file c JOIN case_role r ON r.case_id = c.case_id JOIN entity e ON e.entity_id = r.entity_id
-LEFT JOIN (SELECT entity_id, count(*) AS n FROM bank WHERE is_active GROUP BY 1) b ON b.entity_id = e.entity_id
-LEFT JOIN (SELECT entity_id, count(*) AS n FROM social WHERE is_active GROUP BY 1) s ON s.entity_id = e.entity_id
-LEFT JOIN (SELECT r2.entity_id, count(*) AS n FROM case_role r2 JOIN case_file c2 ON c2.case_id = r2.case_id WHERE NOT c2.is_deleted GROUP BY 1) k ON k.entity_id = e.entity_id
-WHERE NOT c.is_deleted""")
-def case_profiles(spark, sf):
-    def n(column):
-        return F.coalesce(F.size(column), F.lit(0)).cast("bigint")
+        joined("contacts", "contact_type", "value").alias("contacts"), *profile_columns())
+
+
+def profile_columns():
+    return [anchors_digest("identity_anchors", *ANCHOR_FIELDS).alias("anchors"), joined("social_accounts", *SOCIAL_FIELDS).alias("social_accounts"),
+            joined("bank_accounts", *BANK_FIELDS).alias("bank_accounts"), joined("cases", "case_number", "status", "category", "role").alias("cases")]
 
+
+@query("case_profiles", with_views(*_PROFILE_VIEWS) + f"""
+SELECT x.case_id, x.role, e.entity_id, CAST(0 AS BIGINT) AS part, e.full_name, anchors, social_accounts, bank_accounts, cases {_PROFILE_FROM}
+JOIN (SELECT c.case_id, r.role, r.entity_id FROM case_file c JOIN case_role r ON r.case_id = c.case_id WHERE NOT c.is_deleted) x USING (entity_id)""")
+def case_profiles(spark, sf):
     linked = joins.entity_cases(view(spark, sf, "case_file"), view(spark, sf, "case_role")).select("case_id", "role", "entity_id")
-    full = profiles(spark, sf).select("entity_id", "full_name", n("bank_accounts").alias("banks"), n("social_accounts").alias("socials"), n("cases").alias("cases"))
+    full = profiles(spark, sf).select("entity_id", "part", "full_name", *profile_columns())
     return linked.join(full, "entity_id")
 
 
@@ -266,18 +270,31 @@ def profile_export_json(spark, sf):
                        joined("cases", "case_number", "status", "category", "role").alias("cases"))
 
 
-@query("profile_export_sections", with_views(*_PROFILE_VIEWS) + """
-SELECT 'bio' AS section, 5 * count(*) AS lines, count(DISTINCT entity_id) AS entities FROM entity
-UNION ALL SELECT 'addresses', count(*), count(DISTINCT entity_id) FROM entity
-UNION ALL SELECT 'documents', count(*), count(DISTINCT entity_id) FROM anchor
-UNION ALL SELECT 'social', count(*), count(DISTINCT entity_id) FROM social
-UNION ALL SELECT 'bank', count(*), count(DISTINCT entity_id) FROM bank
-UNION ALL SELECT 'cases', count(*), count(DISTINCT r.entity_id) FROM case_file c JOIN case_role r ON r.case_id = c.case_id WHERE NOT c.is_deleted""")
+_YES = "CASE WHEN {0} THEN 'Yes' ELSE 'No' END"
+
+
+def _lines(section, source, *fields):
+    values = ", ".join(f"coalesce(CAST({f} AS VARCHAR), '')" for f in fields)
+    return f"SELECT entity_id, '{section}' AS section, CAST(to_json([{values}]) AS VARCHAR) AS values FROM {source}"
+
+
+_BIO = (("ID", "entity_id"), ("Full Name", "full_name"), ("Primary Phone", "primary_phone"), ("Primary Email", "primary_email"), ("Created At", "created_on"))
+
+
+@query("profile_export_sections", with_views(*_PROFILE_VIEWS) + "\nUNION ALL ".join([
+    *(_lines("bio", "entity", f"'{label}'", field) for label, field in _BIO),
+    _lines("addresses", "entity", "city", "country"),
+    _lines("documents", "anchor", "id_type", _DOC_MASK, "issuing_country", _YES.format("is_verified")),
+    _lines("contacts", "entity WHERE primary_phone IS NOT NULL", "'phone'", "primary_phone"),
+    _lines("contacts", "entity WHERE primary_email IS NOT NULL", "'email'", "primary_email"),
+    _lines("social", "social", "platform", "handle", "follower_count", _YES.format("is_active")),
+    _lines("bank", "bank", _MASKED_TEXT.format("account_number"), "bank_name", "account_type", _YES.format("is_primary")),
+    _lines("cases", "case_file c JOIN case_role r ON r.case_id = c.case_id WHERE NOT c.is_deleted", "case_number", "status", "category", "role")]))
 def profile_export_sections(spark, sf):
     path = fresh_dir(spark, "sections")
     profile.write_sections(profile.profile_sections(*[view(spark, sf, n) for n in _PROFILE_VIEWS]), path)
     back = spark.read.option("header", True).schema("entity_id bigint, values string, sort_key string, section string").csv(path)
-    return back.groupBy("section").agg(F.count(F.lit(1)).alias("lines"), F.count_distinct("entity_id").alias("entities"))
+    return back.select("entity_id", "section", "values")
 
 
 # ---- composed searches ---------------------------------------------------------------------------
