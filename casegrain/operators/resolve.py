@@ -50,29 +50,37 @@ def contact_edges(df: DataFrame, entity: str, handles: Sequence[str]) -> DataFra
     return merged.distinct()
 
 
-def deletions(name: Column) -> Column:
-    """The text itself and every text that one deletion makes of it."""
-    cut = F.transform(F.sequence(F.lit(1), F.length(name)),
-                      lambda i: F.concat(F.substr(name, F.lit(1), i - 1), F.substr(name, i + 1)))
-    return F.when(F.length(name) == 0, F.array(name)).otherwise(F.array_distinct(F.concat(F.array(name), cut)))
-
-
-def fuzzy_name_edges(df: DataFrame, entity: str, name: str, threshold: float = 0.8) -> DataFrame:
-    """Links between entities with the same or almost the same name, with their similarity.
-
-    Equal names are linked as a star. Different names at edit distance 1 always share a text that at most one
-    deletion makes of either, so an equi join on those texts finds all of them. At most
-    (length + 1) * alphabet different names lead to the same text: no block grows with the data.
+def deletions(name: Column, edits: int = 1) -> Column:
+    """The text itself and every text that up to ``edits`` deletions make of it."""
+    def shorter(text: Column) -> Column:
+        cut = F.transform(F.sequence(F.lit(1), F.length(text)),
+                          lambda i: F.concat(F.substr(text, F.lit(1), i - 1), F.substr(text, i + 1)))
+        return F.when(F.length(text) == 0, F.array(text)).otherwise(cut)
+
+    out = F.array(name)
+    for _ in range(edits):
+        out = F.array_distinct(F.concat(F.array(name), F.flatten(F.transform(out, shorter)), out))
+    return out
+
+
+def fuzzy_name_edges(df: DataFrame, entity: str, name: str, threshold: float = 0.8, edits: int = 1) -> DataFrame:
+    """Links between entities whose names are equal or at most ``edits`` edits apart, with their similarity.
+
+    Of those, links below ``threshold`` fall out; names further apart are never linked, however long they are. Equal names
+    are linked as a star. Two names within ``edits`` edits share a text that at most as many deletions make of either, so
+    an equi join on hashes of those texts finds all of them; a name of n letters has about n ** edits / edits! of them. The
+    names themselves travel once per pair.
     """
     folded = df.select(F.col(entity).alias("_id"), F.lower(F.trim(F.col(name))).alias("_name"))
-    names = folded.groupBy("_name").agg(F.min("_id").alias("_id"))
+    names = stored(folded.groupBy("_name").agg(F.min("_id").alias("_id")), "names")
     equal = star_links(folded, ["_name"], "_id").select("entity_a", "entity_b", F.lit(1.0).alias("similarity"))
-    keyed = names.withColumn("_cut", F.explode(deletions(F.col("_name"))))
-    left = keyed.select("_cut", F.col("_id").alias("entity_a"), F.col("_name").alias("_a"))
-    right = keyed.select("_cut", F.col("_id").alias("entity_b"), F.col("_name").alias("_b"))
+    cuts = names.select("_id", F.explode(F.transform(deletions(F.col("_name"), edits), lambda c: F.xxhash64(c))).alias("_cut"))
+    pairs = (cuts.select("_cut", F.col("_id").alias("entity_a")).join(cuts.select("_cut", F.col("_id").alias("entity_b")), "_cut")
+             .where("entity_a < entity_b").select("entity_a", "entity_b").distinct())
+    named = (pairs.join(names.select(F.col("_id").alias("entity_a"), F.col("_name").alias("_a")), "entity_a")
+             .join(names.select(F.col("_id").alias("entity_b"), F.col("_name").alias("_b")), "entity_b"))
     similarity = 1 - F.levenshtein("_a", "_b") / F.greatest(F.length("_a"), F.length("_b"))
-    near = (left.join(right, "_cut").where((F.col("entity_a") < F.col("entity_b")) & (F.levenshtein("_a", "_b") == 1))
-            .select("entity_a", "entity_b", similarity.alias("similarity")).distinct())
+    near = named.where(F.levenshtein("_a", "_b") <= edits).select("entity_a", "entity_b", similarity.alias("similarity"))
     return equal.unionByName(near.where(F.col("similarity") >= threshold))
 
 
