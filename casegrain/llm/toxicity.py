@@ -20,8 +20,8 @@ BUCKETS = 1 << 19
 FIT_ROWS = 3000
 #: Buckets that a model keeps, at most, and the least significance of one.
 FEATURES, LEAST_Z = 20_000, 5.0
-#: Labels of up to this many rows (16 bytes each) are sent to the documents; more are joined by a shuffle.
-BROADCAST_LABELS = 2_000_000
+#: Labels of up to this many rows (about 100 MB as a hash table) are sent to the documents; more are joined by a shuffle.
+BROADCAST_LABELS = 250_000
 _BLOCK = 1024
 THRESHOLD = 0.3
 
