@@ -201,7 +201,9 @@ def _across(family: DataFrame, least: float) -> DataFrame:
     cols = ["group", "total", "need", "over", "bits"]
     named = family.select("a", "b", *cols, F.explode("names").alias("name"))
     named = named.withColumn("key", F.xxhash64("a", "name"))
-    often = named.groupBy("key").agg(F.count(F.lit(1)).alias("often")).where("often > 1")
+    # Names of one group alone join no others; in the order of names they stand before all that are looked at.
+    often = (named.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("group").alias("least"), F.max("group").alias("most"))
+             .where("least < most").select("key", "often"))
     own = Window.partitionBy("a", "b")
     shared = named.join(often, "key").withColumn(
         "place", F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "key")))
