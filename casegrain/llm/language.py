@@ -16,7 +16,7 @@ from casegrain.llm.common import folded, held_out, query, table, text_batches, w
 BUCKETS = 1 << 13
 N_GRAMS = (1, 2, 3)
 CENTROIDS = 4
-#: Rows per language that centroids are made of, at most, chosen by a hash of the text.
+#: Different texts per language that centroids are made of, at most, chosen by a hash of the text.
 FIT_ROWS = 300
 UNDETERMINED = "und"
 _ROWS = 64
@@ -80,12 +80,12 @@ class Model:
 def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) -> Model:
     """A model of ``labelled`` (text, lang); rows without text or lang are left out.
 
-    Document frequencies count all rows. Centroids are clustered from at most ``fit_rows`` rows per language, in one task per
-    language. The driver gets one count per bucket and ``k`` centroids per language.
+    Document frequencies count all rows. Centroids are clustered from at most ``fit_rows`` different texts per language, in one
+    task per language; copies of a text count once. The driver gets one count per bucket and ``k`` centroids per language.
     """
-    spark = labelled.sparkSession
     rows = labelled.where("text is not null and lang is not null").select("text", F.col("lang").cast("string").alias("lang"))
-    sizes = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
+    hashed = rows.withColumn("_hash", F.xxhash64("text"))
+    sizes = hashed.select("lang", "_hash").distinct().groupBy("lang").agg(F.count(F.lit(1)).alias("_n"))
 
     def frequencies(batches) -> Iterator[pa.RecordBatch]:
         found, seen = np.zeros(BUCKETS, dtype=np.int64), 0
@@ -102,7 +102,7 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) ->
     idf = (np.log((1 + total[-1]) / (1 + found)) + 1).astype(np.float32)
 
     def centres(key, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["pick", "text"]).head(fit_rows)
+        frame = frame.sort_values(["pick", "_hash"]).head(fit_rows)
         own = np.concatenate([vectors(counts, idf) for _, counts in term_counts(frame["text"].tolist())])
         made = clustered(own, k)
         near = own @ made.T
@@ -111,12 +111,14 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, k: int = CENTROIDS) ->
         reach = [float(np.quantile(away[best == j], 0.995)) + 0.1 if (best == j).any() else 1.0 for j in range(len(made))]
         return pd.DataFrame({"lang": key[0], "centroid": [m.astype(np.float32).tobytes() for m in made], "reach": reach})
 
-    # Hashes are spread evenly, so this share holds more than fit_rows rows of a language; exactly fit_rows stay.
-    pick = F.xxhash64("text")
+    # Hashes are spread evenly, so this share holds more than fit_rows different texts of a language, or all it has; the
+    # fit_rows smallest stay. Copies are merged in the map tasks, before the shuffle.
     share = (fit_rows + 6 * fit_rows ** 0.5 + 40) / F.col("_n")
-    sample = (rows.join(F.broadcast(sizes), "lang").withColumn("pick", pick)
-              .where(F.pmod("pick", F.lit(1 << 30)) / float(1 << 30) <= share).select("lang", "text", "pick"))
+    sample = (hashed.withColumn("pick", F.pmod("_hash", F.lit(1 << 30))).join(F.broadcast(sizes), "lang")
+              .where(F.col("pick") / float(1 << 30) <= share).groupBy("lang", "pick", "_hash").agg(F.min("text").alias("text")))
     made = sample.groupBy("lang").applyInPandas(centres, "lang string, centroid binary, reach double").collect()
+    if not made:
+        return Model(idf, [], np.zeros((0, BUCKETS), dtype=np.float32), np.zeros(0))
     made.sort(key=lambda r: (r["lang"], bytes(r["centroid"])))
     return Model(idf, [r["lang"] for r in made], np.stack([np.frombuffer(bytes(r["centroid"]), dtype=np.float32) for r in made]),
                  np.array([r["reach"] for r in made]))

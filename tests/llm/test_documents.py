@@ -81,6 +81,29 @@ def test_far_text_is_rejected(spark):
     assert collected(language.identify(strange, model))[0]["lang_rejected"]
 
 
+def test_language_made_of_copies_only(spark):
+    words = {"aa": "the cat and the dog run to a house ", "bb": "der hund und die katze gehen nach haus ",
+             "cc": "zwykly kot oraz pies idzie do swojego domu "}
+    large = spark.range(3000).selectExpr(f"concat('{words['aa']}', id) text", "'aa' lang")
+    # ten thousand rows of a few texts each: a share of the rows would miss most of them, and with them their language
+    copies = spark.range(10_000).selectExpr(f"concat('{words['bb']}', repeat('und ', cast(id % 3 as int))) text", "'bb' lang")
+    hot = spark.range(10_000).selectExpr(f"'{words['cc']}' text", "'cc' lang")
+    model = language.train(large.union(copies).union(hot))
+    assert Counter(model.languages) == {"aa": language.CENTROIDS, "bb": 3, "cc": 1}
+    asked = spark.createDataFrame([(lang, text) for lang, text in words.items()], "lang string, text string")
+    assert all(r["lang_nearest"] == r["lang"] for r in collected(language.identify(asked, model)))
+    for text in range(12):
+        alone = language.train(spark.range(2000).selectExpr(f"concat('{words['bb']}', '{chr(97 + text) * 5}') text", "'bb' lang"))
+        assert alone.languages == ["bb"]
+
+
+def test_copies_do_not_change_the_language_sample(spark):
+    docs = spark.range(2500).selectExpr("translate(md5(string(id)), '0123456789', 'ghijklmnop') text", "'aa' lang")
+    seen = language.train(docs, fit_rows=200, k=1)
+    again = language.train(docs.union(docs).union(docs).repartition(5), fit_rows=200, k=1)
+    assert np.allclose(seen.centroids, again.centroids, atol=1e-3)
+
+
 # mixing
 
 def test_targets_stop_at_three_times_the_size():
