@@ -28,6 +28,12 @@ GENDERS = ["M", "F", "O"]
 ENTITY_STATUSES = ["active", "inactive", "flagged", "deceased", "unknown"]
 SEVERITIES = ["INFO", "LOW", "MEDIUM", "HIGH", "CRITICAL"]
 ID_TYPES = ["AADHAAR", "PAN", "PASSPORT", "DRIVING_LICENSE", "VOTER_ID", "NPR", "SSN", "NIN", "OTHER"]
+PROPERTY_TYPES = ["RESIDENTIAL", "COMMERCIAL", "AGRICULTURAL", "INDUSTRIAL", "VACANT_LAND", "VEHICLE", "VESSEL", "AIRCRAFT", "JEWELRY",
+                  "INTELLECTUAL_PROPERTY", "OTHER"]
+ACCOUNT_TYPES = ["SAVINGS", "CURRENT", "FIXED_DEPOSIT", "NRE", "NRO", "DEMAT", "CREDIT_CARD", "LOAN", "CRYPTO", "OTHER"]
+PLATFORMS = ["TWITTER", "FACEBOOK", "INSTAGRAM", "LINKEDIN", "YOUTUBE", "TELEGRAM", "WHATSAPP", "REDDIT", "TIKTOK", "GITHUB", "EMAIL",
+             "PHONE", "OTHER"]
+REMARK_TYPES = ["GENERAL", "ALERT", "CASE_NOTE", "VERIFICATION", "SOURCE_INTEL", "FIELD_REPORT", "LEGAL", "FINANCIAL"]
 
 # Fields that lead the searchable text of a record.
 PRIORITY_FIELDS = ["first_name", "last_name", "company_name", "email1", "mobile1", "city", "state"]
@@ -147,6 +153,22 @@ def entity_rules() -> dict[str, Column]:
     }
 
 
+def table_rules(table: str, columns: Sequence[str]) -> dict[str, Column]:
+    """Domains and ranges of the entity model's table as far as it has the columns: rule name -> check.
+
+    A null passes. The model's own check of the gender lists NULL as a value and so refuses nothing; here other values break it.
+    """
+    domains = {"entity": {"gender": GENDERS, "status": ENTITY_STATUSES}, "anchor": {"id_type": ID_TYPES},
+               "property": {"property_type": PROPERTY_TYPES}, "bank": {"account_type": ACCOUNT_TYPES},
+               "social": {"platform": PLATFORMS}, "remark": {"remark_type": REMARK_TYPES, "severity": SEVERITIES}}
+    ranges = {"entity": {"risk_score": (0, 100)}, "property": {"ownership_percent": ("0.01", "100.00")}}
+    rules = {f"{c}_domain": F.col(c).isin(allowed) for c, allowed in domains[table].items() if c in columns}
+    for c, (least, most) in ranges.get(table, {}).items():
+        if c in columns:
+            rules[f"{c}_range"] = F.col(c).between(F.lit(least).cast("decimal(5,2)"), F.lit(most).cast("decimal(5,2)"))
+    return rules
+
+
 def unique_violations(df: DataFrame, key: Sequence[str]) -> DataFrame:
     """Keys that occur more than once, with their number of rows."""
     return df.groupBy(*key).agg(F.count(F.lit(1)).alias("copies")).where(F.col("copies") > 1)

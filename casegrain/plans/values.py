@@ -273,6 +273,29 @@ def validate_values(spark, sf):
     return broken.groupBy("rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
+@query("validate_tables", with_views("entity", "anchor", "property", "bank", "social", "remark") + """
+SELECT table_name, rule, count(*) AS rows FROM (
+  SELECT 'entity' AS table_name, 'status_domain' AS rule FROM entity WHERE status NOT IN ('active', 'inactive', 'flagged', 'deceased', 'unknown')
+  UNION ALL SELECT 'entity', 'risk_score_range' FROM entity WHERE risk_score NOT BETWEEN 0 AND 100
+  UNION ALL SELECT 'anchor', 'id_type_domain' FROM anchor
+    WHERE id_type NOT IN ('AADHAAR', 'PAN', 'PASSPORT', 'DRIVING_LICENSE', 'VOTER_ID', 'NPR', 'SSN', 'NIN', 'OTHER')
+  UNION ALL SELECT 'property', 'property_type_domain' FROM property WHERE property_type NOT IN ('RESIDENTIAL', 'COMMERCIAL', 'AGRICULTURAL',
+    'INDUSTRIAL', 'VACANT_LAND', 'VEHICLE', 'VESSEL', 'AIRCRAFT', 'JEWELRY', 'INTELLECTUAL_PROPERTY', 'OTHER')
+  UNION ALL SELECT 'bank', 'account_type_domain' FROM bank
+    WHERE account_type NOT IN ('SAVINGS', 'CURRENT', 'FIXED_DEPOSIT', 'NRE', 'NRO', 'DEMAT', 'CREDIT_CARD', 'LOAN', 'CRYPTO', 'OTHER')
+  UNION ALL SELECT 'social', 'platform_domain' FROM social WHERE platform NOT IN ('TWITTER', 'FACEBOOK', 'INSTAGRAM', 'LINKEDIN', 'YOUTUBE',
+    'TELEGRAM', 'WHATSAPP', 'REDDIT', 'TIKTOK', 'GITHUB', 'EMAIL', 'PHONE', 'OTHER')
+  UNION ALL SELECT 'remark', 'severity_domain' FROM remark WHERE severity NOT IN ('INFO', 'LOW', 'MEDIUM', 'HIGH', 'CRITICAL'))
+GROUP BY table_name, rule""")
+def validate_tables(spark, sf):
+    parts = []
+    for name in ("entity", "anchor", "property", "bank", "social", "remark"):
+        rows = view(spark, sf, name)
+        broken = values.violations(values.table_rules(name, rows.columns))
+        parts.append(rows.select(F.lit(name).alias("table_name"), F.explode(broken).alias("rule")))
+    return union_all(parts).groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("unique_violations", with_views("anchor", "social", "case_role") + """
 SELECT rule, keys, CAST(coalesce(rows, 0) AS BIGINT) AS rows FROM (SELECT 'anchor' AS rule, count(*) AS keys, sum(n) AS rows FROM (SELECT count(*) AS n FROM anchor GROUP BY id_type, id_number HAVING count(*) > 1)
 UNION ALL SELECT 'social', count(*), sum(n) FROM (SELECT count(*) AS n FROM social GROUP BY entity_id, platform, handle HAVING count(*) > 1)

@@ -164,3 +164,20 @@ def test_tagged_lines_skip_comments_and_bad_ids(spark):
 def test_cursor_that_is_none_gives_null(spark):
     schema = T.StructType([T.StructField("id", T.LongType())])
     assert one(spark, paging.decode_cursor(F.col("v"), schema), v="not-a-cursor") in (None, T.Row(id=None))
+
+
+def test_every_domain_and_range_of_the_tables_is_checked(spark):
+    cases = {
+        "entity": [("gender", "F", "X"), ("status", "active", "gone"), ("risk_score", "100", "101")],
+        "anchor": [("id_type", "PAN", "pan")],
+        "property": [("property_type", "VESSEL", "BOAT"), ("ownership_percent", "0.01", "0.00"), ("ownership_percent", "100.00", "100.01")],
+        "bank": [("account_type", "NRE", "PIGGY")],
+        "social": [("platform", "GITHUB", "MYSPACE")],
+        "remark": [("remark_type", "ALERT", "RUMOUR"), ("severity", "INFO", "info")]}
+    for table, columns in cases.items():
+        for name, good, bad in columns:
+            kind = {"risk_score": "int", "ownership_percent": "decimal(5,2)"}.get(name, "string")
+            df = spark.createDataFrame([(v,) for v in (good, bad, None)], f"{name} string").select(F.col(name).cast(kind).alias(name))
+            broken = [r[0] for r in df.select(values.violations(values.table_rules(table, [name]))).collect()]
+            rule = f"{name}_range" if kind != "string" else f"{name}_domain"
+            assert broken == [[], [rule], []]
