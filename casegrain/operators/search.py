@@ -65,12 +65,33 @@ def search_all_tokens(index: DataFrame, rows: DataFrame, terms: Sequence[str], l
                       after: Sequence[object] | None = None) -> DataFrame:
     """Newest rows, over all tables, that hold every term: one page with ``has_more``.
 
-    Ids are paged first, so only the page's ids are joined to the rows. The index covers live rows only. Table ids have
-    16 bits and can collide, so the table's name takes part in the order and in the join.
+    Rows with ``is_deleted`` other than 0 (if there is the column) leave the hits before these are paged, so they take no
+    place on a page and do not count for ``has_more``. Only the page's ids are joined to the rows. Table ids have 16 bits
+    and can collide, so the table's name takes part in the order and in the joins.
     """
-    hits = postings_intersect(index, terms, ["global_id", "table_name"])
+    record = ["global_id", "table_name"]
+    hits = postings_intersect(index, terms, record)
+    if "is_deleted" in rows.columns:
+        rows = rows.where(F.col("is_deleted") == 0).drop("is_deleted")
+        hits = hits.join(rows.select(*record), record, "left_semi")
     page = keyset_page(hits, SEARCH_KEYS, limit, after)
-    return rows.join(page, ["global_id", "table_name"]).orderBy(*order_by(SEARCH_KEYS))
+    return rows.join(page, record).orderBy(*order_by(SEARCH_KEYS))
+
+
+def search_three_layer(index: DataFrame, entities: DataFrame, sources: Mapping[str, tuple[DataFrame, str]], terms: Sequence[str],
+                       limit: int) -> DataFrame:
+    """First entities by key that hold every term that occurs, each with its row of its own source, and the ``total``.
+
+    ``sources``: source table -> (rows, key); every source of ``entities`` belongs there. Columns that a source lacks are null.
+    """
+    hits = postings_intersect_lenient(index, terms, ["entity_key"])
+    page = hits.orderBy("entity_key").limit(limit).withColumn("total", hits.agg(F.count(F.lit(1))).scalar())
+    found = entities.join(page, "entity_key")
+    parts = []
+    for name, (rows, key) in sources.items():
+        rows = rows.withColumn("row_id", F.col(key).cast("string"))
+        parts.append(found.where(F.col("source_table") == name).join(rows, "row_id"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), parts)
 
 
 def hits_by_table(hits: DataFrame, source: str = "table_name") -> DataFrame:
@@ -116,18 +137,39 @@ def search_sources(sources: Mapping[str, Mapping[str, tuple[DataFrame, str]]], t
     return found.withColumn("query_type", values.classify_value(F.lit(term)))
 
 
+def _equal_first_text(tables: Mapping[str, tuple[DataFrame, str]], term: str, limit: int) -> dict[str, tuple[DataFrame, str]]:
+    """Per table the rows whose first text column equals the term, half the limit by key, with that key's name."""
+    return {name: (df.where(F.col(text_columns(df)[0]) == term).orderBy(key).limit(limit // 2), key) for name, (df, key) in tables.items()}
+
+
 def search_global_duplicates(tables: Mapping[str, tuple[DataFrame, str]], term: str, limit: int = 20) -> DataFrame:
     """Rows whose first text column equals the term, half the limit per table, tagged with duplicate references."""
     parts = []
-    for name, (df, key) in tables.items():
-        first = text_columns(df)[0]
-        hits = df.where(F.col(first) == term).orderBy(key).limit(limit // 2)
+    for name, (hits, key) in _equal_first_text(tables, term, limit).items():
         tagged = values.with_duplicate_tag(hits)
         parts.append(tagged.select(F.lit(name).alias("table_name"), F.col(key).cast("bigint").alias("pk"), "tags",
                                    F.col("_has_duplicate_ref").alias("has_ref")))
     return union_all(parts)
 
 
+def global_duplicates_by_table(found: DataFrame) -> DataFrame:
+    """What ``search_global_duplicates`` found, one row per table: its rows by key (at most half the limit) and their number."""
+    rows = F.sort_array(F.collect_list(F.struct("pk", "tags", "has_ref")))
+    return found.groupBy("table_name").agg(rows.alias("results"), F.count(F.lit(1)).alias("total_results"))
+
+
+def global_duplicate_refs(tables: Mapping[str, tuple[DataFrame, str]], term: str, limit: int = 20) -> DataFrame:
+    """Different duplicate references (database and table both named) of the rows that ``search_global_duplicates`` finds."""
+    pair = ["duplicate_db", "duplicate_table"]
+    parts = [hits.where((F.col(pair[0]) != "") & (F.col(pair[1]) != ""))
+             .select(F.col(pair[0]).alias("ref_database"), F.col(pair[1]).alias("ref_table"))
+             for hits, _ in _equal_first_text(tables, term, limit).values() if set(pair) <= set(hits.columns)]
+    if not parts:
+        first = next(iter(tables.values()))[0]
+        return first.sparkSession.createDataFrame([], "ref_database string, ref_table string, ref_type string")
+    return union_all(parts).distinct().withColumn("ref_type", F.lit("duplicate"))
+
+
 def fulltext_rank(df: DataFrame, fields: Sequence[str], term: str) -> DataFrame:
     """Rows whose fields together hold every word of the query, with a score between 0 and 1.
 

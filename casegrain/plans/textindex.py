@@ -244,6 +244,17 @@ def search_all_tokens(spark, sf):
     return page.select(C("global_id").cast("string").alias("global_id"), "table_name", "pk", "label", "has_more")
 
 
+@query("search_all_tokens_live", f"""WITH {POSTINGS}
+SELECT CAST(global_id AS VARCHAR) AS global_id, table_name, pk, label, (SELECT count(*) > 60 FROM tokenised WHERE {has('en', 'the')} AND NOT gone) AS has_more
+FROM tokenised WHERE {has('en', 'the')} AND NOT gone ORDER BY tokenised.global_id DESC LIMIT 30 OFFSET 30""")
+def search_all_tokens_live(spark, sf):
+    terms = search.query_terms("The EN the")
+    hits, rows = postings(spark, sf, terms), source_rows(spark, sf).withColumn("is_deleted", C("gone").cast("int")).drop("gone")
+    first = search.search_all_tokens(hits, rows, terms, 30)
+    page = search.search_all_tokens(hits, rows, terms, 30, paging.next_cursor(first, search.SEARCH_KEYS))
+    return page.select(C("global_id").cast("string").alias("global_id"), "table_name", "pk", "label", "has_more")
+
+
 @query("hits_by_table", f"WITH {POSTINGS} SELECT table_name, count(*) AS hits FROM tokenised WHERE {has('19')} GROUP BY table_name")
 def hits_by_table(spark, sf):
     hits = search.postings_intersect(postings(spark, sf, ["19"]), ["19"], ["table_name", "pk"])
@@ -255,15 +266,28 @@ def hits_by_table(spark, sf):
 SELECT CAST(entity_key AS VARCHAR) AS entity_key, entity_type, entity_name, p.p_brand AS brand, (SELECT count(*) FROM hits) AS total
 FROM hits JOIN part p ON p.p_partkey = row_id ORDER BY hits.entity_key LIMIT 40""")
 def search_three_layer(spark, sf):
-    entities = entity_layer(spark, sf)
-    terms = ["red", "standard", "zzzz"]
-    hits = search.postings_intersect_lenient(index.entity_tokens(entities, terms), terms, ["entity_key"])
-    page = hits.orderBy("entity_key").limit(40).withColumn("total", hits.agg(F.count(F.lit(1))).scalar())
-    parts = table(spark, sf, "part").select(C("p_partkey").cast("string").alias("row_id"), C("p_brand").alias("brand"))
-    found = page.join(entities, "entity_key").where("source_table = 'part'").join(parts, "row_id")
+    found = three_layer(spark, sf, ["red", "standard", "zzzz"])
     return found.select(C("entity_key").cast("string").alias("entity_key"), "entity_type", "entity_name", "brand", "total")
 
 
+def three_layer(spark, sf, terms):
+    entities = entity_layer(spark, sf)
+    sources = {"part": (table(spark, sf, "part").select("p_partkey", C("p_brand").alias("brand")), "p_partkey"),
+               "customer": (table(spark, sf, "customer").select("c_custkey", C("c_mktsegment").alias("segment")), "c_custkey"),
+               "supplier": (table(spark, sf, "supplier").select("s_suppkey", C("s_nationkey").alias("nation")), "s_suppkey")}
+    return search.search_three_layer(index.entity_tokens(entities, terms), entities, sources, terms, 40)
+
+
+@query("search_three_layer_customers", f"""WITH {_ENTITY_SQL}, hits AS (
+  SELECT * FROM keyed WHERE list_contains({tokens_words_sql('txt')}, 'building'))
+SELECT CAST(entity_key AS VARCHAR) AS entity_key, entity_type, entity_name, p.p_brand AS brand, c.c_mktsegment AS segment, (SELECT count(*) FROM hits) AS total
+FROM hits LEFT JOIN part p ON source_table = 'part' AND p.p_partkey = row_id
+  LEFT JOIN customer c ON source_table = 'customer' AND c.c_custkey = row_id ORDER BY hits.entity_key LIMIT 40""")
+def search_three_layer_customers(spark, sf):
+    found = three_layer(spark, sf, ["building", "zzzz"])
+    return found.select(C("entity_key").cast("string").alias("entity_key"), "entity_type", "entity_name", "brand", "segment", "total")
+
+
 @query("search_any_ranked", f"""
 SELECT doc_id, len(list_intersect(tokens, ['the', 'that', 'her', 'with', 'ion'])) AS matched_terms
 FROM (SELECT doc_id, {tokens_words_sql('text')} AS tokens FROM documents)
@@ -334,10 +358,30 @@ FROM (SELECT * FROM anchor WHERE id_type = 'en' ORDER BY id LIMIT 100) a JOIN fi
 
 @query("search_global_dups", with_views("anchor") + _DUPS)
 def search_global_dups(spark, sf):
+    found = search.search_global_duplicates(duplicate_tables(spark, sf), "en", 200)
+    return found.withColumn("tags", F.array_join("tags", ";"))
+
+
+def duplicate_tables(spark, sf):
     anchors = anchors_with_duplicates(spark, sf).drop("tags")
     parts = table(spark, sf, "part").select("p_partkey", "p_type")
-    found = search.search_global_duplicates({"anchors": (anchors, "id"), "parts": (parts, "p_partkey")}, "en", 200)
-    return found.withColumn("tags", F.array_join("tags", ";"))
+    return {"anchors": (anchors, "id"), "parts": (parts, "p_partkey")}
+
+
+@query("search_global_dups_by_table", with_views("anchor") + f"""SELECT table_name, string_agg(pk || ':' || tags, ',' ORDER BY pk) AS results, count(*) AS total_results
+FROM ({_DUPS.replace(", firsts AS", "WITH firsts AS")}) GROUP BY table_name""")
+def search_global_dups_by_table(spark, sf):
+    found = search.search_global_duplicates(duplicate_tables(spark, sf), "en", 200)
+    grouped = search.global_duplicates_by_table(found.withColumn("tags", F.array_join("tags", ";")))
+    named = F.transform("results", lambda r: F.concat_ws(":", r["pk"].cast("string"), r["tags"]))
+    return grouped.withColumn("results", F.array_join(named, ","))
+
+
+@query("search_global_dup_refs", with_views("anchor") + f"""SELECT DISTINCT split_part(substr(tags, 15), '.', 1) AS ref_database,
+  split_part(substr(tags, 15), '.', 2) AS ref_table, 'duplicate' AS ref_type
+FROM ({_DUPS.replace(", firsts AS", "WITH firsts AS")}) WHERE has_ref""")
+def search_global_dup_refs(spark, sf):
+    return search.global_duplicate_refs(duplicate_tables(spark, sf), "en", 200)
 
 
 _FT_FIELDS = ["first_name", "last_name", "primary_email", "primary_phone", "city", "country"]

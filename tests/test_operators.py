@@ -197,3 +197,32 @@ def test_patch_keeps_what_is_not_supplied(spark):
     patch = spark.createDataFrame([(1, "", "new")], "k int, a string, b string")
     out = tags.patch_update(base, patch, "k", ["a", "b"], F.lit("now")).orderBy("k").collect()
     assert [tuple(r) for r in out] == [(1, "x", "new", "now"), (2, "x", "y", "old")]
+
+
+def test_deleted_rows_take_no_place_on_a_page(spark):
+    index_rows = spark.createDataFrame([(i, "t", w) for i in range(10) for w in ("a", "b")], "global_id long, table_name string, token string")
+    rows = spark.createDataFrame([(i, "t", int(i >= 6)) for i in range(10)], "global_id long, table_name string, is_deleted int")
+    page = search.search_all_tokens(index_rows, rows, ["a", "b"], 4)
+    assert [(r["global_id"], r["has_more"]) for r in page.collect()] == [(i, True) for i in (5, 4, 3, 2)]
+    rest = search.search_all_tokens(index_rows, rows, ["a", "b"], 4, paging.next_cursor(page, search.SEARCH_KEYS))
+    assert [(r["global_id"], r["has_more"]) for r in rest.collect()] == [(1, False), (0, False)]
+
+
+def test_every_source_of_a_page_is_looked_up(spark):
+    named = spark.createDataFrame([(k, s, str(k % 4), "red") for k, s in enumerate("abcabcabcabc")],
+                                  "entity_key long, source_table string, row_id string, token string")
+    sources = {s: (spark.range(4).selectExpr(f"id AS {s}_id", f"concat('{s}', id) AS {s}_name"), f"{s}_id") for s in "abc"}
+    found = search.search_three_layer(named.select("entity_key", "token"), named.drop("token"), sources, ["red", "none"], 7).collect()
+    assert sorted((r["entity_key"], r[f"{r['source_table']}_name"], r["total"]) for r in found) == [
+        (k, f"{'abc'[k % 3]}{k % 4}", 12) for k in range(7)]
+
+
+def test_global_duplicates_by_table_and_their_references(spark):
+    with_refs = spark.createDataFrame([(i, "x", "db", f"t{i % 2}") for i in range(4)] + [(4, "x", "", "t"), (5, "x", None, None), (6, "y", "other", "t")],
+                                      "id long, word string, duplicate_db string, duplicate_table string")
+    plain = spark.createDataFrame([(1, "x"), (2, "y")], "id long, word string")
+    tables = {"refs": (with_refs, "id"), "plain": (plain, "id")}
+    assert sorted(map(tuple, search.global_duplicate_refs(tables, "x").collect())) == [("db", "t0", "duplicate"), ("db", "t1", "duplicate")]
+    assert search.global_duplicate_refs({"plain": (plain, "id")}, "x").count() == 0
+    by_table = search.global_duplicates_by_table(search.search_global_duplicates(tables, "x")).collect()
+    assert {r["table_name"]: ([x["pk"] for x in r["results"]], r["total_results"]) for r in by_table} == {"refs": ([*range(6)], 6), "plain": ([1], 1)}
