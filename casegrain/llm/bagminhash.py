@@ -255,7 +255,9 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     wanted = met.select(F.explode(F.array("a", "b")).alias("node")).distinct().join(texts.select("node", "lead"), "node")
     rows_of = docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("_node"), "text")
     found = rows_of.join(wanted, (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
-    contents = stored(found.select(F.col("_node").alias("node"), "text").mapInArrow(bag, "node bigint, bag binary"), "bags")
+    # Rows that repeat both text and id match as often as they are there; one bag for each node stays.
+    once = found.groupBy(F.col("_node").alias("node")).agg(F.min("text").alias("text"))
+    contents = stored(once.mapInArrow(bag, "node bigint, bag binary"), "bags")
 
     def groups(links: DataFrame) -> DataFrame:
         edges = links.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))

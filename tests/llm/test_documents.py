@@ -506,6 +506,23 @@ def test_near_duplicates_of_no_rows(spark):
     assert bagminhash.near_duplicates(none(spark)).collect() == []
 
 
+def test_repeated_rows_are_compared_once(spark, monkeypatch):
+    text = " ".join(f"w{i}" for i in range(200))
+    rows = [(1, text)] * 6 + [(2, text + " more")] * 5 + [(None, text + " again")] * 4 + [(None, "nothing like the others at all")]
+    docs, seen, whole = spark.createDataFrame(rows, "doc_id long, text string"), [], bagminhash.compared
+
+    def counting(pairs, contents, least):
+        out = whole(pairs, contents, least)
+        seen.append((pairs.count(), out.count(), contents.count(), contents.select("node").distinct().count()))
+        return out
+
+    monkeypatch.setattr(bagminhash, "compared", counting)
+    out = collected(bagminhash.near_duplicates(docs))
+    assert sorted((str(r["doc_id"]), str(r["class_id"])) for r in out) == sorted(
+        (str(i), "None" if t.startswith("nothing") else "1") for i, t in rows)
+    assert seen[0] == (2, 2, 3, 3) and all(a == b for a, b, *_ in seen)
+
+
 # pipeline
 
 def test_pipeline_stages_keep_what_they_should(spark):
