@@ -26,11 +26,12 @@ WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 WORD = re.compile(r"[A-Za-z]+")
+DIGIT = re.compile(r"[0-9]")
 LEAST_ASSIGN, LEAST_ACCESS, LEAST_HEX = 6, 20, 24
 
 #: Labelled values per kind that an automaton is learned from, at most, chosen by a hash of the value; longer ones are left out.
 FIT_VALUES, FIT_LENGTH = 600, 128
-#: Tokens that are scored: this long and with a digit.
+#: Tokens that are scored: this long. Those with a digit are what numbers are learned from.
 LEAST_TOKEN = 16
 #: Natural log of how much likelier a credential's format must be than an ordinary token's.
 LEAST_GAIN = 12.0
@@ -41,8 +42,6 @@ _TOKEN = np.zeros(128, dtype=bool)
 _TOKEN[[c for c in range(128) if chr(c).isalnum() or chr(c) in "+/_=-"]] = True
 _HEX = np.zeros(128, dtype=bool)
 _HEX[[ord(c) for c in "0123456789abcdef"]] = True
-_DIGIT = np.zeros(128, dtype=bool)
-_DIGIT[[ord(c) for c in "0123456789"]] = True
 
 
 def symbols(value: str) -> str:
@@ -144,20 +143,16 @@ def learn(values: Sequence[str], confidence: float = 0.05) -> Automaton:
 
 
 def runs(texts: Sequence[str]) -> tuple[list[list[tuple[int, int]]], list[list[tuple[int, int]]]]:
-    """Per text the (start, end) of its long lower-case hexadecimal runs and of its long tokens with a digit."""
+    """Per text the (start, end) of its long lower-case hexadecimal runs and of its long tokens."""
     points, offsets = code_points([t + "\n" for t in texts])
     low = np.minimum(points, 127)
     low = np.where(points > 126, 10, low)
     out = []
-    for kind, least, digits in ((_HEX, LEAST_HEX, False), (_TOKEN, LEAST_TOKEN, True)):
+    for kind, least in ((_HEX, LEAST_HEX), (_TOKEN, LEAST_TOKEN)):
         edge = np.flatnonzero(np.diff(kind[low], prepend=False))
         start, end = edge[0::2], edge[1::2]
         long = end - start >= least
         start, end = start[long], end[long]
-        if digits and len(start):
-            upto = np.append(0, np.cumsum(_DIGIT[low]))
-            has = upto[end] > upto[start]
-            start, end = start[has], end[has]
         doc = np.searchsorted(offsets, start, side="right") - 1
         lists: list[list[tuple[int, int]]] = [[] for _ in texts]
         for d, a, b in zip(doc.tolist(), (start - offsets[doc]).tolist(), (end - offsets[doc]).tolist()):
@@ -194,7 +189,7 @@ def train(docs: DataFrame, fit_values: int = FIT_VALUES) -> dict[str, Automaton]
                 base = base_spans(text, hexes)
                 kinds += [f[2] for f in base]
                 values += [f[3] for f in base]
-                numbers = [text[a:b] for a, b in free(tokens, base)]
+                numbers = [text[a:b] for a, b in free(tokens, base) if DIGIT.search(text, a, b)]
                 kinds += [*["number"] * len(numbers), "word"]
                 values += [*numbers, max(WORD.findall(text), key=len, default="none")]
             kept = [i for i, v in enumerate(values) if len(v) <= FIT_LENGTH]

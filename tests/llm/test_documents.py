@@ -265,6 +265,20 @@ def test_automata_know_formats_they_were_shown():
     assert secrets.format_kind("international2024", learned) is None
 
 
+def test_credentials_without_a_digit_are_scored(spark):
+    rng = random.Random(12)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ"
+    value = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    learned = {"hex": secrets.learn([]), "access": secrets.learn([]),
+               "assign": secrets.learn([value(letters + "0123456789", 20) for _ in range(300)]),
+               "word": secrets.learn([value("etaoinshrdlu", rng.randint(8, 20)) for _ in range(300)]),
+               "number": secrets.learn([value("0123456789", 16) for _ in range(300)])}
+    texts = [f"key {value(letters, 20)} of uncharacteristically" for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    spans = [[(s["start"], s["end"], s["kind"]) for s in r["secrets"]] for r in collected(secrets.scan(docs, learned))]
+    assert sum(s == [(4, 24, "like_assign")] for s in spans) >= 36 and all(s in ([], [(4, 24, "like_assign")]) for s in spans)
+
+
 def test_secrets_of_odd_rows_are_cut_out(spark):
     automata = secrets.train(odd(spark))
     scanned = secrets.scan(odd(spark), automata)
