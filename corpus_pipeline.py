@@ -44,17 +44,28 @@ def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents as often as the mix takes them, in whole documents: one that is taken to half or more counts as taken."""
+    """Documents as often as the mix takes them, in whole documents: one that is taken to half or more counts as taken.
+
+    So a source ends within half of its one cut document from its target. Where that is the source's first document and would
+    leave nothing, the document nearest to the target in words stands for the source.
+    """
     docs = docs.select(*COLUMNS)
     mixed = mixing.mix(docs)
     if mixed is None:
         return docs
-    counts = mixing.counted(docs, mixed)
-    copies = (counts.where("taken > 0").withColumn("copies", F.floor(F.col("taken") / F.col("size") + 0.5))
-              .groupBy("key").agg(F.sum("copies").alias("copies")).where("copies > 0").withColumnRenamed("key", "_key"))
+    counts = mixing.counted(docs, mixed).where("taken > 0").select(
+        "source", "key", F.floor(F.col("taken") / F.col("size") + 0.5).alias("copies"))
+    # The first document with words is the only one at 0; taken to less than half, it leaves its source without any.
+    empty = mixed.rows.where("size > 0 and start = 0 and target > 0 and 2 * need < size").select("source_ix")
+    nearest = F.min(F.struct(F.abs(F.col("size") - F.col("target")), "key", "source")).alias("near")
+    stand_in = (mixed.rows.where("size > 0").join(empty, "source_ix").groupBy("source_ix").agg(nearest)
+                .select("near.source", "near.key", F.lit(1).cast("bigint").alias("copies")))
+    copies = (counts.unionByName(stand_in).groupBy("source", "key").agg(F.sum("copies").alias("copies")).where("copies > 0")
+              .select(F.col("source").alias("_source"), F.col("key").alias("_key"), "copies"))
     keyed = docs.withColumn("_key", mixing.row_key())
-    same = Window.partitionBy("_key").orderBy("source", "lang", "n_chars")
-    return (keyed.join(copies, "_key").withColumn("_n", F.row_number().over(same)).where("_n = 1")
+    same = Window.partitionBy("_key", "source").orderBy("lang", "n_chars")
+    return (keyed.join(copies, "_key").where(F.col("source").eqNullSafe(F.col("_source")))
+            .withColumn("_n", F.row_number().over(same)).where("_n = 1")
             .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select(*COLUMNS))
 
 

@@ -564,6 +564,20 @@ def test_pipeline_stages_keep_what_they_should(spark):
         docs = out
 
 
+def test_mix_leaves_no_source_without_documents(spark):
+    row = lambda i, words, source: (i, " ".join(f"w{i}" for _ in range(words)), "en", source, words)
+    rows = [row(i, 1000, "ab"[i % 2]) for i in range(80)] + [row(100, 100_000, "c")]
+    docs = spark.createDataFrame(rows, SCHEMA)
+    targets = {r["source"]: r["target"] for r in collected(mixing.counted(docs, mixing.mix(docs)))}
+    assert 0 < targets["c"] < 50_000
+    out = collected(corpus_pipeline.mix_sources(spark, docs, SF))
+    assert Counter(r["doc_id"] for r in out if r["source"] == "c") == {100: 1}
+    assert {r["source"] for r in out} == {"a", "b", "c"}
+    same = [(1, "one and the same text " * 3, "en", s, 1) for s in ("a", "b", None)]
+    out = collected(corpus_pipeline.mix_sources(spark, spark.createDataFrame(same, SCHEMA), SF))
+    assert {r["source"] for r in out} == {"a", "b", None}
+
+
 def test_pipeline_of_no_rows(spark):
     docs = none(spark)
     for _, stage in corpus_pipeline.STAGES:
