@@ -64,6 +64,44 @@ def with_columns(batch: pa.RecordBatch, keep: Sequence[str], new: dict[str, pa.A
     return pa.RecordBatch.from_arrays(list(columns.values()), names=list(columns))
 
 
+def packed_block(numbers: np.ndarray) -> bytes:
+    """Numbers as compressed bytes."""
+    return pa.compress(np.ascontiguousarray(numbers).tobytes(), codec="zstd", asbytes=True)
+
+
+def unpacked_block(block: bytes, kind: str, length: int) -> np.ndarray:
+    size = length * np.dtype(kind).itemsize
+    return np.frombuffer(pa.decompress(block, decompressed_size=size, codec="zstd", asbytes=True), dtype=kind)
+
+
+def summed_blocks(parts: DataFrame, kind: str, length: int, most: int | None = None) -> DataFrame:
+    """(slice, block): the sum of all compressed blocks of a slice, at most ``most`` in each place where that is given.
+
+    Blocks (slice int, block binary) of one slice follow each other in a task, which holds one sum at a time however many there are.
+    """
+
+    def add(batches) -> Iterator[pa.RecordBatch]:
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([packed_block(total.astype(kind))], type=pa.binary())],
+                                              names=["slice", "block"])
+
+        at, total = None, None
+        for batch in batches:
+            for key, block in zip(batch.column(0).to_pylist(), batch.column(1)):
+                if key != at:
+                    if at is not None:
+                        yield row()
+                    at, total = key, np.zeros(length, dtype=np.int64)
+                total += unpacked_block(block.as_py(), kind, length)
+                if most is not None:
+                    np.minimum(total, most, out=total)
+        if at is not None:
+            yield row()
+
+    return (parts.select("slice", "block").repartition("slice").sortWithinPartitions("slice")
+            .mapInArrow(add, "slice int, block binary"))
+
+
 def mixed(x: np.ndarray) -> np.ndarray:
     """A bijection of 64-bit numbers that spreads every input bit over the whole word (in place for fresh arrays)."""
     x = x ^ (x >> np.uint64(33))
