@@ -5,9 +5,9 @@ groups by the prefix they begin with: a prefix is one word, or as many more as i
 memory of one group, and groups take prefixes in order until that memory is full. Each group builds the part of the tree below
 its prefixes for itself, and a phrase's count is the sum of the leaf totals below its node.
 
-A first pass bounds the counts of words and word pairs from above, by adding them up in hashed slots. What stays below the
-least count there cannot be part of a phrase that reaches it, so suffixes end before it. That loses no occurrence of a phrase
-that counts.
+Two passes bound counts from above before, by adding them up in hashed slots: first those of words and word pairs, then those of
+longer runs whose pairs are left. What stays below the least count there cannot be part of a phrase that reaches it, so suffixes
+end before it. That loses no occurrence of a phrase that counts.
 """
 
 from __future__ import annotations
@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from casegrain.llm.common import mixed, packed_block, query, summed_blocks, table, text_batches, unpacked_block
+from casegrain.llm.common import mixed, query, released, table, text_batches
 from casegrain.operators.paging import top_per_group
 from casegrain.session import stored
 
@@ -30,9 +30,12 @@ KEEP = 2000
 SHARE = 100
 #: Leaves that one group holds; a prefix with more is split by its next word.
 GROUP_LEAVES = 200_000
-#: Slots (a power of two) and slices of the table of upper bounds.
-SLOT_BITS, SLICES = 24, 128
-_CHUNK = 4_000_000
+#: Slots (powers of two) of a table of upper bounds: about one for every ``BYTES_A_SLOT`` bytes of text. A task reads one bit of each.
+LEAST_BITS, MOST_BITS, SLICE_BITS = 24, 30, 18
+BYTES_A_SLOT = 24
+_CHUNK = 2_000_000
+#: Different suffixes that a task adds up before it sends them on.
+_HELD = 1_000_000
 
 #: What ends a piece, and what stands between its words.
 _ENDS = b".,;:!?\x0a\x0b\x0c\x0d"
@@ -81,49 +84,102 @@ def by_language(batches: Iterable[pa.RecordBatch]) -> Iterator[tuple[str, np.nda
                 yield lang, *numbered(data)
 
 
-def slots_of(lang: str, ids: np.ndarray, names: list[bytes], bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The slot of each position's word, and of the pair it makes with the next; where there is none, the slot is arbitrary."""
+def slots_of(lang: str, ids: np.ndarray, names: list[bytes], words: int, bits: int) -> Iterator[np.ndarray]:
+    """For runs of 1 word, 2 words, ... the slots of the runs at all positions; where a run passes a piece end, any slot."""
     import xxhash
 
     seed = xxhash.xxh3_64_intdigest(lang.encode("utf-8", "surrogatepass"))
-    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in names), dtype=np.uint64, count=len(names))
-    if not len(names):
-        return np.zeros(len(ids), dtype=np.int64), np.zeros(len(ids), dtype=np.int64)
-    own = hashes[ids]
-    pair = mixed(own * np.uint64(0x9E3779B97F4A7C15) + np.append(own[1:], np.uint64(0)))
-    down = np.uint64(64 - bits)
-    return (own >> down).astype(np.int64), (pair >> down).astype(np.int64)
+    hashes = np.fromiter((xxhash.xxh3_64_intdigest(w, seed) for w in [*names, b""]), dtype=np.uint64, count=len(names) + 1)
+    own = np.append(hashes[ids], np.zeros(words, dtype=np.uint64))
+    run, down = own[:len(ids)], np.uint64(64 - bits)
+    yield (run >> down).astype(np.int64)
+    for k in range(1, words):
+        run = mixed(run * np.uint64(0x9E3779B97F4A7C15) + own[k:k + len(ids)])
+        yield (run >> down).astype(np.int64)
 
 
-def bounds(docs: DataFrame, least: int, bits: int) -> tuple[DataFrame, bytes]:
-    """(lang, n): all words by language; and one bit per slot, set where words or pairs of the slot together reach ``least``."""
-    slices, kind = SLICES, np.uint8 if least <= 255 else np.uint32
+def reaching(tables: list[np.ndarray], lang: str, ids: np.ndarray, names: list[bytes], words: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For runs of 1 word, 2 words, ...: their slots, and the positions where the run lies inside a piece and may still reach the least count.
+
+    That is so where it and all runs inside it lie in slots that do. ``tables``: the bits of single words and pairs, then those of longer runs.
+    """
+    inside = ids >= 0
+    for k, slot in enumerate(slots_of(lang, ids, names, words, bits), 1):
+        if k > 1:  # the run from the next position that ends at the same word
+            inside = inside & np.append(inside[1:], False)
+        if (k > 2) < len(tables):
+            table = tables[k > 2]
+            at = np.flatnonzero(inside)
+            own = slot[at]
+            inside = np.zeros(len(ids), dtype=bool)
+            inside[at] = (table[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1 == 1
+        yield slot, inside
+
+
+def bounds(docs: DataFrame, least: int, words: int, bits: int, known: list[bytes]) -> tuple[DataFrame, bytes]:
+    """(lang, n): all words by language; and one bit per slot, set where the runs of the slot together reach ``least``.
+
+    Without ``known`` bits the runs are single words and pairs, with those of these all longer ones that may still reach it.
+    """
+    sent = docs.sparkSession.sparkContext.broadcast(known)
+    wanted = range(1, 3) if not known else range(3, words + 1)
+    mask = (1 << SLICE_BITS) - 1
 
     def tally(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=kind)
-        words: dict[str, int] = {}
+        tables = [np.frombuffer(x, dtype=np.uint8) for x in sent.value]
+        slots, counts, total = [np.zeros(0, dtype=np.int64)], [np.zeros(0, dtype=np.int64)], {}
+
+        def merged(slot: np.ndarray, count: np.ndarray) -> None:
+            order = np.argsort(slot, kind="stable")
+            slot = slot[order]
+            first = np.flatnonzero(np.append(True, np.diff(slot) != 0)[:len(slot)])
+            slots[:], counts[:] = [slot[first]], [np.minimum(np.add.reduceat(count[order], first), least) if len(first) else count]
+
         for lang, ids, names in by_language(batches):
-            one, two = slots_of(lang, ids, names, bits)
-            is_word = ids >= 0
-            pair = is_word & np.append(is_word[1:], False)
-            slot, count = np.unique(np.concatenate([one[is_word], two[pair]]), return_counts=True)
-            total[slot] = np.minimum(total[slot].astype(np.int64) + count, least)
-            words[lang] = words.get(lang, 0) + int(is_word.sum())
-        cut = total.reshape(slices, -1)
-        some = np.flatnonzero(cut.any(axis=1))
-        empty = [None] * len(some)
+            for k, (slot, inside) in enumerate(reaching(tables, lang, ids, names, words if known else 2, bits), 1):
+                if k in wanted:
+                    some, count = np.unique(slot[inside], return_counts=True)
+                    slots.append(some)
+                    counts.append(count)
+            total[lang] = total.get(lang, 0) + int((ids >= 0).sum())
+            if sum(map(len, slots[1:])) > max(4_000_000, len(slots[0])):
+                merged(np.concatenate(slots), np.concatenate(counts))
+        merged(np.concatenate(slots), np.concatenate(counts))
+        slot, count = slots[0], counts[0].astype(np.uint32)
+        cuts = np.append(np.flatnonzero(np.append(True, np.diff(slot >> SLICE_BITS) != 0)[:len(slot)]), len(slot))
+        blocks = [pa.compress(np.concatenate([np.diff(slot[a:b] & mask, prepend=0).astype(np.uint32), count[a:b]]).tobytes(), codec="zstd", asbytes=True)
+                  for a, b in zip(cuts[:-1], cuts[1:])]
+        sizes, empty = np.diff(cuts).tolist(), [None] * (len(cuts) - 1)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([*words, *empty], type=pa.string()), pa.array([*words.values(), *empty], type=pa.int64()),
-             pa.array([None] * len(words) + some.tolist(), type=pa.int32()),
-             pa.array([None] * len(words) + [packed_block(cut[s]) for s in some], type=pa.binary())], names=["lang", "n", "slice", "block"])
-
-    made = stored(docs.mapInArrow(tally, "lang string, n bigint, slice int, block binary"), "bounds")
-    length = (1 << bits) // slices
-    enough = np.zeros((slices, length), dtype=bool)
-    for r in summed_blocks(made.where("slice is not null"), np.dtype(kind).name, length, least).collect():
-        enough[r["slice"]] = unpacked_block(r["block"], np.dtype(kind).name, length) >= least
-    totals = made.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n"))
-    return totals, np.packbits(enough.reshape(-1)).tobytes()
+            [pa.array([*total, *empty], type=pa.string()), pa.array([*total.values(), *sizes], type=pa.int64()),
+             pa.array([None] * len(total) + (slot[cuts[:-1]] >> SLICE_BITS).tolist(), type=pa.int32()),
+             pa.array([None] * len(total) + blocks, type=pa.binary())], names=["lang", "n", "slice", "block"])
+
+    def enough(batches) -> Iterator[pa.RecordBatch]:
+        def row():
+            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([np.packbits(sums >= least).tobytes()], type=pa.binary())],
+                                              names=["slice", "bits"])
+
+        at, sums = None, None
+        for batch in batches:
+            for key, n, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if key != at:
+                    if at is not None:
+                        yield row()
+                    at, sums = key, np.zeros(1 << SLICE_BITS, dtype=np.int64)
+                both = np.frombuffer(pa.decompress(block.as_py(), decompressed_size=8 * n, codec="zstd", asbytes=True), dtype=np.uint32)
+                sums[np.cumsum(both[:n], dtype=np.int64)] += both[n:]
+        if at is not None:
+            yield row()
+
+    made = stored(docs.mapInArrow(released(tally), "lang string, n bigint, slice int, block binary"), "bounds")
+    # Blocks of a slice follow each other in a task, which holds one sum at a time.
+    sums = (made.where("slice is not null").select("slice", "n", "block").repartition("slice").sortWithinPartitions("slice")
+            .mapInArrow(enough, "slice int, bits binary"))
+    passed = np.zeros((1 << bits >> SLICE_BITS, 1 << SLICE_BITS >> 3), dtype=np.uint8)
+    for r in sums.collect():
+        passed[r["slice"]] = np.frombuffer(r["bits"], dtype=np.uint8)
+    return made.where("lang is not null").groupBy("lang").agg(F.sum("n").alias("n")), passed.tobytes()
 
 
 def equal_rows(columns: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -150,37 +206,43 @@ def phrases_of(names: pa.Array, columns: list[np.ndarray]) -> pa.Array:
     return pc.binary_join_element_wise(*parts, " ", null_handling="skip")
 
 
-def leaves_of(docs: DataFrame, enough: bytes, bits: int, words: int) -> DataFrame:
-    """(lang, leaf, n): the different suffixes of at most ``words`` words and how often each begins."""
-    known = docs.sparkSession.sparkContext.broadcast(enough)
+def added_up(leaves: list[pa.Table]) -> pa.Table:
+    """Leaves of several parts of the texts, each once."""
+    return pa.concat_tables(leaves).group_by(["lang", "leaf"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "leaf", "n"])
 
-    def suffixes(batches) -> Iterator[pa.RecordBatch]:
-        passed = np.frombuffer(known.value, dtype=np.uint8)
 
-        def reaches(slot):
-            return (passed[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+def leaves_of(docs: DataFrame, words: int, bits: int, known: list[bytes]) -> DataFrame:
+    """(lang, leaf, n): the different suffixes of at most ``words`` words and how often each begins."""
+    sent = docs.sparkSession.sparkContext.broadcast(known)
 
+    def suffixes(batches) -> Iterator[pa.RecordBatch]:
+        tables, held, rows = [np.frombuffer(x, dtype=np.uint8) for x in sent.value], [], 0
         for lang, ids, names in by_language(batches):
-            one, two = slots_of(lang, ids, names, bits)
-            begins = (ids >= 0) & reaches(one)
-            goes_on = begins & np.append(begins[1:], False) & reaches(two)
-            at = np.flatnonzero(begins)
+            depth = np.zeros(len(ids), dtype=np.int64)
+            for _, inside in reaching(tables, lang, ids, names, words, bits):
+                depth += inside
+            at = np.flatnonzero(depth)
             if not len(at):
                 continue
             padded = np.append(ids, np.full(words, -1))
-            more = np.append(goes_on, np.zeros(words, dtype=bool))
-            columns, alive = [ids[at]], np.ones(len(at), dtype=bool)
-            for k in range(1, words):
-                alive = alive & more[at + k - 1]
-                columns.append(np.where(alive, padded[at + k], -1))
+            columns = [np.where(depth[at] > k, padded[at + k], -1) for k in range(words)]
             order, new = equal_rows(columns)
             first = np.flatnonzero(new)
             counts = np.diff(np.append(first, len(order)))
             chosen = [c[order[first]] for c in columns]
             texts = phrases_of(pa.array(names, type=pa.binary()).cast(pa.string()), chosen)
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), type=pa.string()), texts, pa.array(counts)], names=["lang", "leaf", "n"])
-
-    parts = docs.mapInArrow(suffixes, "lang string, leaf string, n bigint")
+            held.append(pa.table({"lang": pa.repeat(pa.scalar(lang, pa.string()), len(first)), "leaf": texts, "n": pa.array(counts)}))
+            rows += len(first)
+            if rows > _HELD:
+                held = [added_up(held)]
+                rows = len(held[0])
+                if rows > _HELD // 2:
+                    yield from held.pop().to_batches(max_chunksize=50_000)
+                    rows = 0
+        if held:
+            yield from added_up(held).to_batches(max_chunksize=50_000)
+
+    parts = docs.mapInArrow(released(suffixes), "lang string, leaf string, n bigint")
     return parts.groupBy("lang", "leaf").agg(F.sum("n").alias("n"))
 
 
@@ -259,17 +321,19 @@ def counted(grouped: DataFrame, least: int, words: int) -> DataFrame:
     return nodes.groupBy("lang", "phrase", "size").agg(F.sum("a").alias("a")).where(F.col("a") >= least)
 
 
-def counts(docs: DataFrame, least: int = LEAST, words: int = WORDS, budget: int = GROUP_LEAVES,
-           bits: int = SLOT_BITS) -> tuple[DataFrame, DataFrame]:
+def counts(docs: DataFrame, least: int = LEAST, words: int = WORDS, budget: int = GROUP_LEAVES) -> tuple[DataFrame, DataFrame]:
     """(lang, n) with all words by language, and (lang, phrase, size, a): phrases of one word or more and their occurrences."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
-    totals, enough = bounds(docs, least, bits)
-    leaves = stored(leaves_of(docs, enough, bits, words), "leaves")
+    size = docs.agg(F.sum(F.octet_length("text"))).head()[0] or 0
+    bits = min(max((size // BYTES_A_SLOT).bit_length(), LEAST_BITS), MOST_BITS)
+    totals, short = bounds(docs, least, words, bits, [])
+    _, long = bounds(docs, least, words, bits, [short])
+    leaves = stored(leaves_of(docs, words, bits, [short, long]), "leaves")
     return totals, stored(counted(grouped_by_prefix(leaves, budget, words), least, words), "phrases")
 
 
 def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, keep: int = KEEP, share: int = SHARE,
-                 budget: int = GROUP_LEAVES, bits: int = SLOT_BITS) -> DataFrame:
+                 budget: int = GROUP_LEAVES) -> DataFrame:
     """(lang, rank, phrase, a, l, r, n, score): each language's ``keep`` phrases whose words stick together most.
 
     ``docs`` has lang (null: ``und``) and text (null: empty); other columns are not read. Letters A to Z are lower-cased; pieces
@@ -280,7 +344,7 @@ def collocations(docs: DataFrame, least: int = LEAST, words: int = WORDS, keep:
     then the phrase's bytes. Texts of any length are counted whole, repeated rows each for themselves; an empty table, or one
     without such phrases, gives an empty result.
     """
-    totals, found = counts(docs, least, words, budget, bits)
+    totals, found = counts(docs, least, words, budget)
     phrases = found.where("size > 1").withColumn("w", F.split("phrase", " "))
     part = lambda first, n: F.array_join(F.slice("w", first, n), " ")
     cuts = (phrases.select("lang", "phrase", "a", "size", "w", F.explode(F.sequence(F.lit(1), F.col("size") - 1)).alias("k"))

@@ -22,6 +22,25 @@ def worker_state() -> dict:
     return vars(pyspark).setdefault("_document_worker_state", {})
 
 
+def released(fn):
+    """``fn`` for ``mapInArrow``, after which the worker gives memory that is free back to the machine, for whatever runs there next."""
+
+    def run(batches):
+        try:
+            yield from fn(batches)
+        finally:
+            import ctypes
+            import gc
+
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+            if trim:
+                trim(0)
+
+    return run
+
+
 def query(name: str, sql: str | None = None):
     """Register ``fn(spark, sf_dir)`` under ``name`` with its comparison SQL, if there is one."""
 
@@ -74,15 +93,15 @@ def unpacked_block(block: bytes, kind: str, length: int) -> np.ndarray:
     return np.frombuffer(pa.decompress(block, decompressed_size=size, codec="zstd", asbytes=True), dtype=kind)
 
 
-def summed_blocks(parts: DataFrame, kind: str, length: int, most: int | None = None) -> DataFrame:
-    """(slice, block): the sum of all compressed blocks of a slice, at most ``most`` in each place where that is given.
+def summed_blocks(parts: DataFrame, kind: str, out: str, length: int) -> DataFrame:
+    """(slice, block): the sum of all compressed blocks of a slice, from numbers of one kind to numbers of another.
 
     Blocks (slice int, block binary) of one slice follow each other in a task, which holds one sum at a time however many there are.
     """
 
     def add(batches) -> Iterator[pa.RecordBatch]:
         def row():
-            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([packed_block(total.astype(kind))], type=pa.binary())],
+            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([packed_block(total)], type=pa.binary())],
                                               names=["slice", "block"])
 
         at, total = None, None
@@ -91,10 +110,8 @@ def summed_blocks(parts: DataFrame, kind: str, length: int, most: int | None = N
                 if key != at:
                     if at is not None:
                         yield row()
-                    at, total = key, np.zeros(length, dtype=np.int64)
+                    at, total = key, np.zeros(length, dtype=out)
                 total += unpacked_block(block.as_py(), kind, length)
-                if most is not None:
-                    np.minimum(total, most, out=total)
         if at is not None:
             yield row()
 
@@ -140,13 +157,20 @@ _INVERSE = pow(_BASE, -1, 1 << 64)
 _POWERS: dict[str, np.ndarray] = {}
 
 
+_KEPT_POWERS = 1 << 19
+
+
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if not _POWERS or len(_POWERS["up"]) < n:
-        size = max(n, 1 << 19)
-        for name, base in (("up", _BASE), ("down", _INVERSE)):
-            steps = np.full(size, base, dtype=np.uint64)
-            steps[0] = 1
-            _POWERS[name] = np.multiply.accumulate(steps)
+    """The first powers of the base and of its inverse. Few are kept for later calls, more are made anew."""
+    def made(base: int, size: int) -> np.ndarray:
+        steps = np.full(size, base, dtype=np.uint64)
+        steps[:1] = 1
+        return np.multiply.accumulate(steps)
+
+    if n > _KEPT_POWERS:
+        return made(_BASE, n), made(_INVERSE, n)
+    if not _POWERS:
+        _POWERS.update(up=made(_BASE, _KEPT_POWERS), down=made(_INVERSE, _KEPT_POWERS))
     return _POWERS["up"][:n], _POWERS["down"][:n]
 
 
