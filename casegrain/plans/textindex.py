@@ -5,16 +5,15 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from casegrain.functions import identity, text
-from casegrain.operators import index, paging, search
+from casegrain.operators import index, paging, postings, search
 from casegrain.operators.warehouse import union_all
+from casegrain.plans.indexes import GONE, INDEXED, entity_index as stored_entities, entity_layer, rows_index, tokens_index, words_index
 from casegrain.plans.registry import query
 from casegrain.plans.values import anchors_with_duplicates
 from casegrain.plans.views import table, view, with_views
-from casegrain.session import fresh_dir, stored
+from casegrain.session import fresh_dir
 
 C = F.col
-INDEXED = {"part": "p_partkey", "customer": "c_custkey", "documents": "doc_id"}
-GONE = {"part": "p_size > 45", "customer": "c_acctbal < 0", "documents": "n_chars < 100"}  # rows treated as deleted
 LABELS = {"part": "p_name", "customer": "c_name", "documents": "source"}
 
 # ---- comparison SQL ------------------------------------------------------------------------------
@@ -116,15 +115,14 @@ _PAIRS = f"SELECT doc_id, unnest({TOKENS_INDEX}) AS token FROM documents"
 
 
 def document_tokens(spark, sf):
-    return index.record_tokens(table(spark, sf, "documents"), "doc_id", text.tokens_index(C("text")), unique_key=True)
+    return tokens_index(spark, sf).live().select(C("pk").alias("doc_id"), "token")
 
 
 @query("inverted_index", f"""
 SELECT token, CAST(0 AS INT) AS part, string_agg(CAST(doc_id AS VARCHAR), ',' ORDER BY doc_id) AS record_ids, count(*) AS frequency, false AS long_list
 FROM ({_PAIRS}) GROUP BY token""")
 def inverted_index(spark, sf):
-    # The pairs are the index proper: stored once, then both counted and gathered into lists.
-    out = index.inverted_index(stored(document_tokens(spark, sf), "pairs"), "doc_id")
+    out = index.inverted_index(document_tokens(spark, sf), "doc_id")
     return out.withColumn("record_ids", F.array_join(C("record_ids").cast("array<string>"), ","))
 
 
@@ -133,7 +131,7 @@ SELECT CASE WHEN substr(token, 1, 1) BETWEEN 'a' AND 'z' THEN substr(token, 1, 1
        count(DISTINCT token) AS tokens FROM ({_PAIRS}) GROUP BY 1""")
 def index_alpha_partitions(spark, sf):
     path = fresh_dir(spark, "alpha")
-    index.write_alpha_partitions(stored(document_tokens(spark, sf), "pairs"), path)
+    index.write_alpha_partitions(document_tokens(spark, sf), path)
     return (spark.read.parquet(path).groupBy("letter")
             .agg(F.count(F.lit(1)).alias("postings"), F.count_distinct("token").alias("tokens")))
 
@@ -144,33 +142,45 @@ def index_counters(spark, sf):
     return index.index_counters(table(spark, sf, "documents"), "doc_id", text.tokens_index(C("text")))
 
 
-def postings(spark, sf, terms=None):
-    return union_all([index.postings(table(spark, sf, t), t, k, terms) for t, k in INDEXED.items()])
-
-
-def source_rows(spark, sf):
-    return union_all([table(spark, sf, t).select(identity.pack_global_id(t, C(k)).alias("global_id"), F.lit(t).alias("table_name"),
-                                                 C(k).alias("pk"), C(LABELS[t]).alias("label"), F.expr(GONE[t]).alias("gone")) for t, k in INDEXED.items()])
-
-
 @query("bulk_index", f"""WITH {POSTINGS}
 SELECT 'rows' AS output, table_name, count(*) AS n FROM tokenised GROUP BY table_name
 UNION ALL SELECT 'postings', table_name, count(*) FROM postings GROUP BY table_name
 UNION ALL SELECT 'token_stats', table_name, count(DISTINCT token) FROM postings GROUP BY table_name""")
 def bulk_index(spark, sf):
     base = fresh_dir(spark, "bulk")
-    for name, key in INDEXED.items():
-        df = table(spark, sf, name)
-        latest = df.select(identity.pack_global_id(name, C(key)).alias("global_id"), F.to_json(F.struct("*")).alias("original_data"),
-                           F.lit(0).cast("tinyint").alias("is_deleted"))
-        latest.write.parquet(f"{base}/rows/table_name={name}")
-        # Ranging looks at its input twice; texts are split into tokens once.
-        index.write_postings(stored(index.postings(df, name, key).drop("table_name"), "raw"), f"{base}/postings/table_name={name}")
-    whole = spark.read.parquet(f"{base}/postings")
-    index.token_stats(whole).write.parquet(f"{base}/token_stats")
-    return union_all([
-        spark.read.parquet(f"{base}/{part}").groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(part))
-        for part in ("rows", "postings", "token_stats")])
+    versions = union_all([
+        table(spark, sf, t).select(F.lit(t).alias("table_name"), C(k).alias("pk"), F.to_json(F.struct("*")).alias("original_data"),
+                                   F.expr(f"cast({GONE[t]} as tinyint)").alias("is_deleted")) for t, k in INDEXED.items()])
+    versions.write.partitionBy("table_name").parquet(f"{base}/rows")
+    # All tables are one union: their texts are split once, and one shuffle deals the postings of all.
+    postings.write_batch(union_all([postings.row_postings(table(spark, sf, t), t, k) for t, k in INDEXED.items()]), f"{base}/postings", 0)
+    whole = postings.PostingsIndex(spark, f"{base}/postings", 0)
+    index.token_stats(whole.live()).write.parquet(f"{base}/token_stats")
+    parts = {"rows": spark.read.parquet(f"{base}/rows"), "postings": whole.live(), "token_stats": spark.read.parquet(f"{base}/token_stats")}
+    return union_all([df.groupBy("table_name").agg(F.count(F.lit(1)).alias("n")).withColumn("output", F.lit(part)) for part, df in parts.items()])
+
+
+_UPKEEP = " UNION ALL ".join(f"SELECT '{t}' AS table_name, {k} AS pk, unnest(list_distinct(list_filter({e}, lambda w: length(w) >= 2))) AS token FROM {t} WHERE NOT ({g})" for t, k, e, g in (
+    ("part", "p_partkey", _TYPED["part"].replace("CAST(p_size AS VARCHAR)", "CAST(CASE WHEN p_size < 10 THEN p_size + 1000 ELSE p_size END AS VARCHAR)"), GONE["part"]),
+    ("customer", "c_custkey", _TYPED["customer"].replace(_array("c_mktsegment"), f"CASE WHEN c_nationkey = 7 THEN ['moved', 'away'] ELSE {_array('c_mktsegment')} END"), GONE["customer"])))
+
+
+@query("index_upkeep", f"SELECT table_name, token, count(*) AS records FROM ({_UPKEEP}) GROUP BY ALL")
+def index_upkeep(spark, sf):
+    """Token counts of an index that was built once and then kept up by two batches of changed and deleted rows."""
+    path = fresh_dir(spark, "upkeep")
+    keys = {t: INDEXED[t] for t in ("part", "customer")}
+    part, customer = (table(spark, sf, t) for t in keys)
+    now = {"part": part.withColumn("p_size", F.when(C("p_size") < 10, C("p_size") + 1000).otherwise(C("p_size"))),
+           "customer": customer.withColumn("c_mktsegment", F.when(C("c_nationkey") == 7, "moved away").otherwise(C("c_mktsegment")))}
+    postings.write_batch(union_all([postings.row_postings(df, t, keys[t]) for t, df in (("part", part), ("customer", customer))]), path, 0)
+    changed = {"part": "p_size < 10 or p_size > 1000", "customer": "c_nationkey = 7"}
+    old = [postings.row_postings(df.where(changed[t]), t, keys[t], sign=-1) for t, df in (("part", part), ("customer", customer))]
+    new = [postings.row_postings(df.where(changed[t]), t, keys[t]) for t, df in now.items()]
+    postings.write_batch(postings.changed_postings(old, new), path, 1)
+    gone = [postings.row_postings(now[t].where("p_size between 46 and 999" if t == "part" else GONE[t]), t, keys[t], sign=-1) for t in keys]
+    postings.write_batch(postings.changed_postings(gone, []), path, 2)
+    return index.token_stats(postings.PostingsIndex(spark, path).live())
 
 
 _ENTITY_COLS = {"part": ["p_name", "p_brand", "p_type"], "customer": ["c_name", "c_mktsegment"]}
@@ -181,19 +191,13 @@ rows AS (SELECT 'customer' AS source_table, c_custkey AS row_id, 'person' AS ent
 keyed AS (SELECT *, CAST('0x' || substr(md5(source_table || ':' || row_id), 1, 16) AS UBIGINT) AS entity_key FROM rows)"""
 
 
-def entity_layer(spark, sf):
-    c = table(spark, sf, "customer").select(C("c_custkey").alias("id"), C("c_name").alias("first_name"), C("c_mktsegment").alias("segment"))
-    s = table(spark, sf, "supplier").select(C("s_suppkey").alias("id"), C("s_name").alias("company_name"), C("s_nationkey").alias("nation"))
-    p = table(spark, sf, "part").select(C("p_partkey").alias("id"), C("p_name").alias("product_name"), C("p_brand").alias("brand"), C("p_type").alias("type"))
-    return union_all([index.entity_rows(df, name, "id") for name, df in (("customer", c), ("supplier", s), ("part", p))])
-
-
 @query("entity_index", f"""WITH {_ENTITY_SQL}
 SELECT token, CAST(0 AS INT) AS part, string_agg(CAST(entity_key AS VARCHAR), ',' ORDER BY entity_key) AS entity_keys, count(*) AS frequency,
   string_agg(DISTINCT entity_type, ',' ORDER BY entity_type) AS entity_types
 FROM (SELECT entity_key, entity_type, unnest({tokens_words_sql('txt')}) AS token FROM keyed) GROUP BY token""")
 def entity_index(spark, sf):
-    pairs = stored(index.entity_tokens(entity_layer(spark, sf)), "entity-tokens")
+    kept, entities = stored_entities(spark, sf)
+    pairs = kept.live().select("token", C("table_name").alias("entity_type"), postings.unsigned_key("pk").alias("entity_key"))
     lists = index.grouped_lists(pairs, ["token"], "entity_key")
     kinds = (pairs.groupBy("token").agg(F.array_join(F.sort_array(F.collect_set("entity_type")), ",").alias("entity_types")))
     return lists.join(kinds, "token").select("token", "part", F.array_join(C("items").cast("array<string>"), ",").alias("entity_keys"),
@@ -202,13 +206,13 @@ def entity_index(spark, sf):
 
 @query("token_stats", f"WITH {POSTINGS} SELECT token, table_name, count(*) AS records FROM postings GROUP BY token, table_name")
 def token_stats(spark, sf):
-    return index.token_stats(postings(spark, sf))
+    return index.token_stats(rows_index(spark, sf, 0).live())
 
 
 @query("token_bitmap", f"""WITH {POSTINGS}
 SELECT token, table_name, pk // 64 AS word, count(*) AS ids FROM postings GROUP BY ALL""")
 def token_bitmap(spark, sf):
-    return index.token_bitmap(postings(spark, sf)).select("token", "table_name", "word", F.bit_count("bits").cast("bigint").alias("ids"))
+    return index.token_bitmap(rows_index(spark, sf, 0).live()).select("token", "table_name", "word", F.bit_count("bits").cast("bigint").alias("ids"))
 
 
 # ---- searches ------------------------------------------------------------------------------------
@@ -216,49 +220,51 @@ def token_bitmap(spark, sf):
 
 @query("postings_intersect", f"WITH {POSTINGS} SELECT table_name, pk FROM tokenised WHERE {has('red', 'economy')}")
 def postings_intersect(spark, sf):
-    terms = ["red", "economy"]
-    return search.postings_intersect(postings(spark, sf, terms), terms, ["table_name", "pk"])
+    return rows_index(spark, sf, 0).all_of(["red", "economy"])
 
 
 @query("postings_intersect_lenient", f"WITH {POSTINGS} SELECT table_name, pk FROM tokenised WHERE {has('red', 'economy')}")
 def postings_intersect_lenient(spark, sf):
-    terms = ["red", "nosuchtoken", "economy"]
-    return search.postings_intersect_lenient(postings(spark, sf, terms), terms, ["table_name", "pk"])
+    return rows_index(spark, sf, 0).all_known_of(["red", "nosuchtoken", "economy"])
 
 
 @query("postings_lookup", f"WITH {POSTINGS} SELECT table_name, pk, label FROM tokenised WHERE {has('building')} AND NOT gone")
 def postings_lookup(spark, sf):
-    rows = source_rows(spark, sf).withColumn("is_deleted", C("gone").cast("int"))
-    hits = search.postings_intersect(postings(spark, sf, ["building"]), ["building"], ["global_id"])
-    return search.postings_lookup(hits, rows).select("table_name", "pk", "label")
+    hits = rows_index(spark, sf).all_of(["building"])
+    return source_rows(spark, sf).join(hits, ["table_name", "pk"]).select("table_name", "pk", "label")
+
+
+def source_rows(spark, sf):
+    return union_all([rows.withColumns({"table_name": F.lit(t), "pk": C(k)}).select("table_name", "pk", "label") for t, (rows, k) in labelled(spark, sf).items()])
+
+
+def labelled(spark, sf):
+    return {t: (table(spark, sf, t).select(k, C(LABELS[t]).alias("label")), k) for t, k in INDEXED.items()}
+
+
+_ALL_TOKENS = f"""WITH {POSTINGS}, live AS (SELECT *, count(*) OVER (PARTITION BY table_name) AS table_hits, count(*) OVER () > 60 AS has_more FROM tokenised WHERE {has('en', 'the')} AND NOT gone)
+SELECT CAST(global_id AS VARCHAR) AS global_id, table_name, pk, label, has_more, table_hits FROM live ORDER BY live.global_id DESC LIMIT 30 OFFSET 30"""
 
 
-@query("search_all_tokens", f"""WITH {POSTINGS}
-SELECT CAST(global_id AS VARCHAR) AS global_id, table_name, pk, label, (SELECT count(*) > 60 FROM tokenised WHERE {has('en', 'the')}) AS has_more
-FROM tokenised WHERE {has('en', 'the')} ORDER BY tokenised.global_id DESC LIMIT 30 OFFSET 30""")
+@query("search_all_tokens", _ALL_TOKENS)
 def search_all_tokens(spark, sf):
-    terms = search.query_terms("The EN the")
-    hits, rows = postings(spark, sf, terms), source_rows(spark, sf)
-    first = search.search_all_tokens(hits, rows, terms, 30)
-    page = search.search_all_tokens(hits, rows, terms, 30, paging.next_cursor(first, search.SEARCH_KEYS))
-    return page.select(C("global_id").cast("string").alias("global_id"), "table_name", "pk", "label", "has_more")
+    """Second page of live records with both words, and how many hits each record's table has in all."""
+    terms, kept, tables = search.query_terms("The EN the"), rows_index(spark, sf), labelled(spark, sf)
+    first = postings.search_page(kept, tables, terms, 30)
+    page = postings.search_page(kept, tables, terms, 30, first.cursor)
+    own = F.coalesce(*[F.when(C("table_name") == t, F.lit(n)) for t, n in page.hits.items()])
+    return page.rows.select(C("global_id").cast("string").alias("global_id"), "table_name", F.coalesce(*INDEXED.values()).alias("pk"), "label",
+                            F.lit(page.has_more).alias("has_more"), own.cast("bigint").alias("table_hits"))
 
 
-@query("search_all_tokens_live", f"""WITH {POSTINGS}
-SELECT CAST(global_id AS VARCHAR) AS global_id, table_name, pk, label, (SELECT count(*) > 60 FROM tokenised WHERE {has('en', 'the')} AND NOT gone) AS has_more
-FROM tokenised WHERE {has('en', 'the')} AND NOT gone ORDER BY tokenised.global_id DESC LIMIT 30 OFFSET 30""")
+@query("search_all_tokens_live", _ALL_TOKENS.replace(", table_hits FROM live", " FROM live"))
 def search_all_tokens_live(spark, sf):
-    terms = search.query_terms("The EN the")
-    hits, rows = postings(spark, sf, terms), source_rows(spark, sf).withColumn("is_deleted", C("gone").cast("int")).drop("gone")
-    first = search.search_all_tokens(hits, rows, terms, 30)
-    page = search.search_all_tokens(hits, rows, terms, 30, paging.next_cursor(first, search.SEARCH_KEYS))
-    return page.select(C("global_id").cast("string").alias("global_id"), "table_name", "pk", "label", "has_more")
+    return search_all_tokens(spark, sf).drop("table_hits")
 
 
 @query("hits_by_table", f"WITH {POSTINGS} SELECT table_name, count(*) AS hits FROM tokenised WHERE {has('19')} GROUP BY table_name")
 def hits_by_table(spark, sf):
-    hits = search.postings_intersect(postings(spark, sf, ["19"]), ["19"], ["table_name", "pk"])
-    return search.hits_by_table(hits)
+    return search.hits_by_table(rows_index(spark, sf, 0).all_of(["19"]))
 
 
 @query("search_three_layer", f"""WITH {_ENTITY_SQL}, hits AS (
@@ -271,11 +277,11 @@ def search_three_layer(spark, sf):
 
 
 def three_layer(spark, sf, terms):
-    entities = entity_layer(spark, sf)
+    kept, entities = stored_entities(spark, sf)
     sources = {"part": (table(spark, sf, "part").select("p_partkey", C("p_brand").alias("brand")), "p_partkey"),
                "customer": (table(spark, sf, "customer").select("c_custkey", C("c_mktsegment").alias("segment")), "c_custkey"),
                "supplier": (table(spark, sf, "supplier").select("s_suppkey", C("s_nationkey").alias("nation")), "s_suppkey")}
-    return search.search_three_layer(index.entity_tokens(entities, terms), entities, sources, terms, 40)
+    return postings.search_layers(kept, entities, sources, terms, 40)
 
 
 @query("search_three_layer_customers", f"""WITH {_ENTITY_SQL}, hits AS (
@@ -293,10 +299,8 @@ SELECT doc_id, len(list_intersect(tokens, ['the', 'that', 'her', 'with', 'ion'])
 FROM (SELECT doc_id, {tokens_words_sql('text')} AS tokens FROM documents)
 WHERE len(list_intersect(tokens, ['the', 'that', 'her', 'with', 'ion'])) > 0""")
 def search_any_ranked(spark, sf):
-    terms = ["the", "that", "her", "with", "ion"]
-    pairs = index.record_tokens(table(spark, sf, "documents"), "doc_id", text.tokens_words(C("text")), unique_key=True, terms=terms)
-    ranked = search.search_any_ranked(pairs, terms, ["doc_id"])
-    return ranked.withColumn("matched_terms", C("matched_terms").cast("bigint"))
+    ranked = words_index(spark, sf).any_of(["the", "that", "her", "with", "ion"], ["pk"])
+    return ranked.select(C("pk").alias("doc_id"), C("matched_terms").cast("bigint").alias("matched_terms"))
 
 
 _REC = with_views("record")

@@ -62,5 +62,5 @@ def test_inventory_is_covered():
 
 def test_entry_gives_a_page(spark):
     page = entry(spark)
-    assert page.columns == ["global_id", "table_name", "pk", "label", "has_more"]
+    assert page.columns == ["global_id", "table_name", "pk", "label", "has_more", "table_hits"]
     assert 0 < page.count() <= 30
