@@ -108,7 +108,7 @@ def test_profile_is_unmasked_only_on_request(spark):
     banks = spark.sql("SELECT 1L AS id, 1L AS entity_id, 'b' AS bank_name, 's' AS account_type, '123456789' AS account_number, true AS is_active, true AS is_primary, DATE '2020-01-01' AS opened_at")
     cases = spark.sql("SELECT 1L AS case_id, 'C1' AS case_number, 'c' AS category, 'O' AS status, TIMESTAMP '2020-01-01 00:00:00' AS created_at, false AS is_deleted")
     roles = spark.sql("SELECT 1L AS case_id, 1L AS entity_id, 'suspect' AS role")
-    for unmask, id_number, account in ((False, "XXXXXX234F", "XXXXX6789"), (True, "ABCDE1234F", "123456789")):
+    for unmask, id_number, account in ((False, "XXXXX1234F", "XXXXX6789"), (True, "ABCDE1234F", "123456789")):
         row = profile.entity_profile(entities, anchors, socials, banks, cases, roles, unmask).head()
         assert row["identity_anchors"][0]["id_number"] == id_number and row["bank_accounts"][0]["account"] == account
         assert [c["contact_type"] for c in row["contacts"]] == ["email"]
