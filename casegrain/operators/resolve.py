@@ -84,6 +84,64 @@ def fuzzy_name_edges(df: DataFrame, entity: str, name: str, threshold: float = 0
     return equal.unionByName(near.where(F.col("similarity") >= threshold))
 
 
+def _most_edits(length: Column, threshold: float) -> Column:
+    """Edits that a name of this length, the longer of two, may be away from one that is still similar enough."""
+    return F.floor(length * (1 - threshold) + 1e-9).cast("int")
+
+
+def _segment(i: Column, length: Column, edits: Column) -> tuple[Column, Column]:
+    """Where segment ``i`` begins and how long it is, of a name cut into one segment more than ``edits``, as even as can be."""
+    n = edits + 1
+    each, longer_from = F.floor(length / n).cast("int"), n - length % n
+    return i * each + F.greatest(F.lit(0), i - longer_from), each + (i >= longer_from).cast("int")
+
+
+def similar_name_edges(df: DataFrame, entity: str, name: str, threshold: float = 0.8) -> DataFrame:
+    """Links between entities whose names are similar: 1 - edit distance / length of the longer one is at least ``threshold``.
+
+    No number of edits is bound beforehand. A name is cut into one segment more than the edits it may be away, so a similar name
+    that is not longer holds at least one of them unchanged, near the place where it stood: at most as far off as there can be
+    edits before it and, seen from the end, behind it. Names and their places are joined on length, segment number and text; the edit
+    distance is taken once of each pair that meets. Equal names are linked as a star. Names
+    are trimmed and lower-cased; null and empty names have no links but those to equal ones.
+    """
+    folded = df.select(F.col(entity).alias("_id"), F.lower(F.trim(F.col(name))).alias("_name"))
+    equal = star_links(folded, ["_name"], "_id").select("entity_a", "entity_b", F.lit(1.0).alias("similarity"))
+    names = stored(folded.where(F.length("_name") > 0).groupBy("_name").agg(F.min("_id").alias("_id"))
+                   .withColumn("_length", F.length("_name")), "names")
+    own = _most_edits(F.col("_length"), threshold)
+
+    def kept(i: Column) -> Column:
+        begin, size = _segment(i, F.col("_length"), own)
+        return F.struct(F.col("_length").alias("length"), i.alias("i"), F.substr("_name", begin + 1, size).alias("text"))
+
+    cut = names.select(F.col("_id").alias("x"), F.col("_name").alias("name_x"), F.explode(F.transform(F.sequence(F.lit(0), own), kept)).alias("s"))
+
+    def places(length: Column) -> Column:
+        edits, apart = _most_edits(length, threshold), length - F.col("_length")
+
+        def texts(i: Column) -> Column:
+            begin, size = _segment(i, length, edits)
+            low = F.greatest(begin - i, begin - apart - (edits - i), F.lit(0))
+            high = F.least(begin + i, begin - apart + (edits - i), F.col("_length") - size)
+            at = F.when(low <= high, F.sequence(low, high)).otherwise(F.array().cast("array<int>"))
+            return F.transform(F.array_distinct(F.transform(at, lambda q: F.substr("_name", q + 1, size))),
+                               lambda text: F.struct(length.alias("length"), i.alias("i"), text.alias("text")))
+
+        return F.flatten(F.transform(F.sequence(F.lit(0), edits), texts))
+
+    longest = F.least(F.floor(F.col("_length") / threshold + 1e-9), F.lit(names.agg(F.max("_length")).head()[0] or 0)).cast("int")
+    met = names.select(F.col("_id").alias("y"), F.col("_name").alias("name_y"), F.explode(F.flatten(F.transform(
+        F.sequence(F.col("_length"), longest), places))).alias("s"))
+    # Of two names of one length either may be the one that is cut; once is enough.
+    pairs = (cut.join(met, "s").where((F.length("name_x") > F.length("name_y")) | (F.col("name_x") < F.col("name_y")))
+             .select("x", "y", "name_x", "name_y").distinct())
+    close = pairs.withColumn("_d", F.levenshtein("name_x", "name_y")).where(F.col("_d") <= _most_edits(F.length("name_x"), threshold))
+    near = close.select(F.least("x", "y").alias("entity_a"), F.greatest("x", "y").alias("entity_b"),
+                        (1 - F.col("_d") / F.length("name_x")).alias("similarity"))
+    return equal.unionByName(near)
+
+
 def canonical_ids(edges: DataFrame, entities: DataFrame, entity: str, max_rounds: int = 50) -> DataFrame:
     """(entity, canonical_id, is_duplicate): the smallest id reachable over the links.
 

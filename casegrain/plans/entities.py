@@ -91,6 +91,21 @@ def fuzzy_name_edges(spark, sf):
     return edges.withColumn("similarity", F.round("similarity", 6))
 
 
+VIEWS["titled"] = (("documents", "nation", "part"), """
+SELECT doc_id * 10 AS id, substr(split_part(text, '.', 1), 1, 30) AS name FROM documents
+UNION ALL SELECT n_nationkey * 10 + 4, n_name FROM nation UNION ALL SELECT p_partkey * 10 + 3, p_name FROM part""")
+
+
+@query("similar_names", with_views("titled") + """, n AS (SELECT lower(trim(name)) AS name, min(id) AS id FROM titled GROUP BY 1)
+SELECT least(a.id, b.id) AS entity_a, greatest(a.id, b.id) AS entity_b, round(1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)), 6) AS similarity
+FROM n a JOIN n b ON a.name < b.name WHERE 1 - levenshtein(a.name, b.name) / greatest(length(a.name), length(b.name)) >= 0.8 - 1e-9
+UNION ALL SELECT n.id, m.id, 1.0 FROM titled m JOIN n ON n.name = lower(trim(m.name)) WHERE m.id > n.id""")
+def similar_names(spark, sf):
+    """Names (opening words of documents, nations, parts) with a similarity of 0.8 or more, however many edits that is."""
+    edges = resolve.similar_name_edges(view(spark, sf, "titled"), "id", "name", 0.8)
+    return edges.withColumn("similarity", F.round("similarity", 6))
+
+
 _CONTACT = """, links AS (
   SELECT m.a AS entity_a, e.entity_id AS entity_b FROM entity e JOIN (SELECT primary_email AS h, min(entity_id) AS a FROM entity GROUP BY 1) m ON m.h = e.primary_email WHERE e.entity_id > m.a
   UNION SELECT m.a, e.entity_id FROM entity e JOIN (SELECT primary_phone AS h, min(entity_id) AS a FROM entity GROUP BY 1) m ON m.h = e.primary_phone WHERE e.entity_id > m.a)"""

@@ -226,3 +226,31 @@ def test_global_duplicates_by_table_and_their_references(spark):
     assert search.global_duplicate_refs({"plain": (plain, "id")}, "x").count() == 0
     by_table = search.global_duplicates_by_table(search.search_global_duplicates(tables, "x")).collect()
     assert {r["table_name"]: ([x["pk"] for x in r["results"]], r["total_results"]) for r in by_table} == {"refs": ([*range(6)], 6), "plain": ([1], 1)}
+
+
+def test_similar_names_are_those_of_brute_force(spark):
+    draw = random.Random(8)
+    texts = ["".join(draw.choices("abc ", k=draw.randint(0, 14))) for _ in range(120)]
+    for text in list(texts):  # names a few edits away, long ones too
+        for edits in (1, 3):
+            letters = list(text * draw.choice((1, 3)))
+            for _ in range(edits):
+                at = draw.randint(0, len(letters))
+                letters[at:at + draw.choice((0, 1))] = draw.choices("abcd", k=draw.choice((0, 1)))
+            texts.append("".join(letters))
+    rows = [(i, t) for i, t in enumerate([*texts, "shared segment", None, None])] + [(1000 + i, f"shared segment {i:03d}") for i in range(60)]
+    df = spark.createDataFrame(rows, "id bigint, name string")
+    first = {}
+    for i, t in rows:
+        if t is not None:
+            first.setdefault(t.strip(" ").lower(), i)
+    for threshold in (0.6, 0.8, 0.9):
+        expected = {(first[t.strip(" ").lower()], i, 1.0) for i, t in rows if t is not None and first[t.strip(" ").lower()] != i}
+        names = sorted(n for n in first if n)
+        for k, a in enumerate(names):
+            for b in names[k + 1:]:
+                longer = max(len(a), len(b))
+                if abs(len(a) - len(b)) <= longer * (1 - threshold) + 1e-9 and levenshtein(a, b) <= longer * (1 - threshold) + 1e-9:
+                    expected.add((*sorted((first[a], first[b])), 1 - levenshtein(a, b) / longer))
+        found = {(r["entity_a"], r["entity_b"], r["similarity"]) for r in resolve.similar_name_edges(df, "id", "name", threshold).collect()}
+        assert {(a, b, round(s, 9)) for a, b, s in found} == {(a, b, round(s, 9)) for a, b, s in expected}
