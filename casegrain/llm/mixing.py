@@ -163,15 +163,21 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, repeats: int = MOST
 
 
 def counted(docs: DataFrame, mixed: Mix | None) -> DataFrame:
-    """(doc_id, key, source, size, source_size, target, taken): each document with the words that the mix takes of it."""
+    """(doc_id, key, source, size, source_size, target, taken, first_slot, n_slots): each document with the words that the slots of the
+    schedule take of it, the first slot that takes any (null where none does), and how many pieces of it slots take."""
+    def whole(n):
+        return F.lit(n).cast("bigint")
+
     if mixed is None:
-        return docs.select("doc_id", F.lit("").alias("key"), "source", *[F.lit(0).cast("bigint").alias(c) for c in ("size", "source_size")],
-                           F.lit(0.0).alias("target"), F.lit(0).cast("bigint").alias("taken"))
-    sums = mixed.taken.groupBy("source_ix", "start").agg(F.sum("words").alias("taken"))
-    whole = mixed.rows.where("size > 0").join(sums, ["source_ix", "start"], "left")
+        return docs.select("doc_id", F.lit("").alias("key"), "source", *[whole(0).alias(c) for c in ("size", "source_size")],
+                           F.lit(0.0).alias("target"), whole(0).alias("taken"), whole(None).alias("first_slot"), whole(0).alias("n_slots"))
+    sums = mixed.taken.groupBy("source_ix", "start").agg(
+        F.sum("words").alias("taken"), F.min("slot").alias("first_slot"), F.count(F.lit(1)).alias("n_slots"))
+    used = mixed.rows.where("size > 0").join(sums, ["source_ix", "start"], "left")
     names = ["doc_id", "key", "source", "size", "source_size", "target"]
-    return (whole.select(*names, F.coalesce("taken", F.lit(0)).cast("bigint").alias("taken"))
-            .unionByName(mixed.rows.where("size = 0").select(*names, F.lit(0).cast("bigint").alias("taken"))))
+    return (used.select(*names, F.coalesce("taken", whole(0)).alias("taken"), "first_slot", F.coalesce("n_slots", whole(0)).alias("n_slots"))
+            .unionByName(mixed.rows.where("size = 0").select(
+                *names, whole(0).alias("taken"), whole(None).alias("first_slot"), whole(0).alias("n_slots"))))
 
 
 @query("op2_source_mix", r"""
@@ -195,16 +201,32 @@ f as (select max(words) - coalesce(sum(3 * source_size) filter (full_up), 0) as
 t as (
   select c.source, c.source_size, case when full_up then (3 * source_size)::double
     else f.words::double / f.weights::double * w end as target from c, f),
+n as (select *, row_number() over (order by source nulls last) - 1 as ix, cast(floor(target + 0.5) as bigint) as need from t),
+g as (select *, cast(sum(need) over (order by ix) as double) / sum(need) over () as edge, (need + 2047) // 2048 as blocks from n),
+slots as (select unnest(range(cast((select sum(blocks) from g) as bigint))) as slot),
+points as (select slot, cast((cast(slot as uhugeint) * 11400714819323198485) % 18446744073709551616 as double) / 18446744073709551616.0 as point from slots),
+drawn as (select slot, least((select count(*) from g where edge <= point), (select max(ix) from g)) as ix from points),
+ranked as (select slot, ix, row_number() over (partition by ix order by slot) - 1 as rank from drawn),
+schedule as (
+  select slot, r.ix, rank from ranked r join g on g.ix = r.ix where rank < blocks
+  union all
+  select (select count(*) from slots), ix, unnest(range(coalesce(got, 0), blocks))
+  from g left join (select ix as drawn_ix, count(*) as got from ranked group by 1) on drawn_ix = ix where coalesce(got, 0) < blocks),
 p as (
-  select d.doc_id, d.size, t.source_size, t.target, cast(floor(t.target + 0.5) as bigint) as need,
+  select row_number() over () as row, d.doc_id, d.size, g.source_size, g.target, g.need, g.ix,
     cast(sum(d.size) over (partition by d.source order by d.key, d.doc_id, d.size rows between unbounded preceding and current row) as bigint)
       - d.size as start
-  from sized d join t on d.source is not distinct from t.source)
-select doc_id, cast(size as bigint) as size, source_size, target,
-  cast(least(size, greatest(0, need - start)) + least(size, greatest(0, need - start - source_size))
-    + least(size, greatest(0, need - start - 2 * source_size)) as bigint) as taken
-from p""")
+  from sized d join g on d.source is not distinct from g.source),
+turns as (select row, ix, start + e * source_size as low, least(start + e * source_size + size, need) as stop from p, range(3) as s(e)
+  where size > 0 and start + e * source_size < need),
+pieces as (select *, unnest(range(low // 2048, (stop - 1) // 2048 + 1)) as rank from turns),
+taken as (
+  select row, sum(least(stop, (rank + 1) * 2048) - greatest(low, rank * 2048)) as taken, min(slot) as first_slot, count(*) as n_slots
+  from pieces join schedule using (ix, rank) group by row)
+select doc_id, cast(size as bigint) as size, source_size, target, cast(coalesce(taken, 0) as bigint) as taken, first_slot,
+  coalesce(n_slots, 0) as n_slots
+from p left join taken using (row)""")
 def op2_source_mix(spark, sf_dir):
-    """Every document with its size and the words that the mix takes of it."""
+    """Every document with its size, the words that the mix takes of it, and the slots of the schedule that take them."""
     docs = table(spark, sf_dir, "documents")
-    return counted(docs, mix(docs)).select("doc_id", "size", "source_size", "target", "taken")
+    return counted(docs, mix(docs)).select("doc_id", "size", "source_size", "target", "taken", "first_slot", "n_slots")
