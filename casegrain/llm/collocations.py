@@ -98,28 +98,39 @@ def slots_of(lang: str, ids: np.ndarray, names: list[bytes], words: int, bits: i
         yield (run >> down).astype(np.int64)
 
 
+def in_pair(word: np.ndarray, bits: int) -> np.ndarray:
+    """The slots that tell whether the words of these slots are in a pair that may reach the least count."""
+    return (mixed(word.astype(np.uint64) + np.uint64(0xA24BAED4963EE407)) >> np.uint64(64 - bits)).astype(np.int64)
+
+
 def reaching(tables: list[np.ndarray], lang: str, ids: np.ndarray, names: list[bytes], words: int, bits: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """For runs of 1 word, 2 words, ...: their slots, and the positions where the run lies inside a piece and may still reach the least count.
 
-    That is so where it and all runs inside it lie in slots that do. ``tables``: the bits of single words and pairs, then those of longer runs.
+    That is so where it and all runs inside it lie in slots that do. ``tables``: the bits of single words and pairs, then those of longer
+    runs and of the words that are in such a pair: no others are parts of phrases.
     """
+    def passes(table: np.ndarray, slot: np.ndarray) -> np.ndarray:
+        return (table[slot >> 3] >> (7 - (slot & 7)).astype(np.uint8)) & 1 == 1
+
     inside = ids >= 0
     for k, slot in enumerate(slots_of(lang, ids, names, words, bits), 1):
         if k > 1:  # the run from the next position that ends at the same word
             inside = inside & np.append(inside[1:], False)
         if (k > 2) < len(tables):
-            table = tables[k > 2]
             at = np.flatnonzero(inside)
-            own = slot[at]
+            at = at[passes(tables[k > 2], slot[at])]
+            if k == 1 and len(tables) == 2:
+                at = at[passes(tables[1], in_pair(slot[at], bits))]
             inside = np.zeros(len(ids), dtype=bool)
-            inside[at] = (table[own >> 3] >> (7 - (own & 7)).astype(np.uint8)) & 1 == 1
+            inside[at] = True
         yield slot, inside
 
 
 def bounds(docs: DataFrame, least: int, words: int, bits: int, known: list[bytes]) -> tuple[DataFrame, bytes]:
     """(lang, n): all words by language; and one bit per slot, set where the runs of the slot together reach ``least``.
 
-    Without ``known`` bits the runs are single words and pairs, with those of these all longer ones that may still reach it.
+    Without ``known`` bits the runs are single words and pairs, with those of these all longer ones that may still reach it; then
+    the words of pairs that may reach it are marked as well.
     """
     sent = docs.sparkSession.sparkContext.broadcast(known)
     wanted = range(1, 3) if not known else range(3, words + 1)
@@ -137,6 +148,13 @@ def bounds(docs: DataFrame, least: int, words: int, bits: int, known: list[bytes
 
         for lang, ids, names in by_language(batches):
             for k, (slot, inside) in enumerate(reaching(tables, lang, ids, names, words if known else 2, bits), 1):
+                if k == 1:
+                    word = slot
+                if known and k == 2:
+                    pairs = np.flatnonzero(inside)
+                    some = np.unique(in_pair(word[np.concatenate([pairs, pairs + 1])], bits))
+                    slots.append(some)
+                    counts.append(np.full(len(some), least))
                 if k in wanted:
                     some, count = np.unique(slot[inside], return_counts=True)
                     slots.append(some)
