@@ -211,7 +211,7 @@ def time_bucketed_sink(spark, sf):
 
 @query("stream_upsert", with_views("change_log") + f", {_NEWEST} SELECT {_VERSION_COLS}, op = 'DELETE' AS deleted FROM newest")
 def stream_upsert(spark, sf):
-    store = cdc.DeltaStore(spark, fresh_dir(spark, "upsert"))
+    store = cdc.BatchTable(spark, fresh_dir(spark, "upsert"))
     writer = change_stream(spark, sf).writeStream.foreachBatch(cdc.upsert_batch(store, "pk", ORDER))
     streams.run_available(writer, fresh_dir(spark, "ckpt"))
     return versions_out(cdc.latest_version(store.versions(), "pk", ORDER), (C("is_deleted") == 1).alias("deleted"))
@@ -222,7 +222,7 @@ def stream_upsert(spark, sf):
 SELECT 'dead' AS kind, count(*) AS rows, CAST(min(event_id) AS VARCHAR) AS min_id, CAST(max(event_id) AS VARCHAR) AS max_id FROM bad
 UNION ALL SELECT 'applied', count(DISTINCT pk), NULL, NULL FROM change_log WHERE value <= 60""")
 def dead_letter(spark, sf):
-    good, errors = (cdc.DeltaStore(spark, fresh_dir(spark, n)) for n in ("good", "dead"))
+    good, errors = (cdc.BatchTable(spark, fresh_dir(spark, n)) for n in ("good", "dead"))
     write = cdc.dead_letter_batch(good, errors, C("value") <= 60, "change_log", "pk", "event_id", ORDER, "value out of range")
     streams.run_available(change_stream(spark, sf).writeStream.foreachBatch(write), fresh_dir(spark, "ckpt"))
     dead = errors.versions().agg(F.sum("rows").alias("rows"), F.min("min_id").cast("string").alias("min_id"),
@@ -238,7 +238,7 @@ def stream_token_bitmap(spark, sf):
     docs = streams.table_stream(spark, path, table(spark, sf, "documents").schema, maxFilesPerTrigger="64")
     words = F.array_distinct(F.filter(text.split_words(C("text")), lambda w: F.length(w) >= 2))
     tokens = docs.select(F.explode(words).alias("token"), F.lit("documents").alias("table_name"), C("doc_id").alias("pk"))
-    store = cdc.DeltaStore(spark, fresh_dir(spark, "bitmaps"))
+    store = cdc.BatchTable(spark, fresh_dir(spark, "bitmaps"))
     streams.run_available(tokens.writeStream.foreachBatch(cdc.bitmap_batch(store)), fresh_dir(spark, "ckpt"))
     return bitmap_sizes(cdc.stored_bitmaps(store)).select("token", "ids")
 
@@ -248,7 +248,7 @@ SELECT CAST(time_bucket(INTERVAL 1 HOUR, created_at) AS VARCHAR) AS window_start
 FROM access_log GROUP BY ALL""")
 def rate_windows(spark, sf):
     log = event_stream(spark, sf).select("user_id", C("event_type").alias("action"), C("ts"))
-    store = cdc.DeltaStore(spark, fresh_dir(spark, "rates"))
+    store = cdc.BatchTable(spark, fresh_dir(spark, "rates"))
     write = streams.partial_batch(store, lambda batch: streams.rate_windows(batch, "ts", "user_id", "action", "1 hour", 2).drop("over_limit"))
     streams.run_available(log.writeStream.foreachBatch(write), fresh_dir(spark, "ckpt"))
     out = streams.summed(store, ["window_start", "user_id", "action"], "requests", 2)
@@ -265,7 +265,7 @@ def access_log_rollup(spark, sf):
 
 @query("stream_event_dedup", with_views("change_log") + "SELECT op, count(*) AS events, CAST(sum(event_id) AS BIGINT) AS ids FROM change_log GROUP BY op")
 def stream_event_dedup(spark, sf):
-    store = cdc.DeltaStore(spark, fresh_dir(spark, "dedup"))
+    store = cdc.BatchTable(spark, fresh_dir(spark, "dedup"))
     twice = change_stream(spark, sf).unionByName(change_stream(spark, sf))  # overlapping polls deliver every change twice
     streams.run_available(twice.writeStream.foreachBatch(streams.once_batch(store, "event_id")), fresh_dir(spark, "ckpt"))
     return streams.once(store, "event_id").groupBy("op").agg(F.count(F.lit(1)).alias("events"), F.sum("event_id").alias("ids"))
@@ -276,6 +276,6 @@ def stream_counters(spark, sf):
     path = f"{sf}/events.parquet"
     source = streams.table_stream(spark, path, table(spark, sf, "events").schema).select("event_id", C("_metadata.file_path").alias("file"))
     unit = F.regexp_extract("file", r"([^/]+)$", 1)  # one line per file
-    store = cdc.DeltaStore(spark, fresh_dir(spark, "counters"))
+    store = cdc.BatchTable(spark, fresh_dir(spark, "counters"))
     streams.run_available(source.writeStream.foreachBatch(streams.counter_batch(store, unit)), fresh_dir(spark, "ckpt"))
     return store.versions().groupBy("unit").agg(F.sum("rows").alias("rows"))

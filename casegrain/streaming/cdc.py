@@ -11,6 +11,7 @@ from casegrain.operators.filters import typed_literal
 from casegrain.operators.index import merge_bitmaps, token_bitmap
 
 POLL_ROWS = 1000  # fixed value: changes taken per table and poll
+TRIES = 3  # fixed value: attempts before rows count as dead letters
 
 
 def latest_version(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
@@ -102,95 +103,82 @@ def dead_letters(bad: DataFrame, table: str, key: str, error: str, attempts: int
             .withColumns({"table_name": F.lit(table), "error": F.lit(error), "attempts": F.lit(attempts)}))
 
 
-class DeltaStore:
-    """Row versions appended by a stream, merged when read.
+class BatchTable:
+    """A Parquet folder partitioned by ``batch_id``, to which a stream appends what it makes of each micro-batch.
 
-    Each micro-batch writes one folder named by its batch id, so a repeated batch replaces itself and no batch rewrites
-    older state. ``compact`` folds the batches so far into a new base and then removes what it folded. A base or batch counts
-    once its writer has marked it as finished. A store that holds nothing reads as an empty frame of ``schema``.
+    A batch that runs again overwrites its own partition and no other; Spark's writers show a partition when it is complete, and
+    its readers list what is there. What the batches hold is merged when read, so no batch rewrites older state. ``schema`` is
+    what a table without any batch reads as. ``folded`` is an ordinary job that writes the merged rows as a new table, for which
+    the stream is started again.
     """
 
-    def __init__(self, spark: SparkSession, root: str, schema: str | StructType = ""):
-        self.spark, self.root = spark, root
-        self.schema = schema or StructType()
+    def __init__(self, spark: SparkSession, path: str, schema: str | StructType | None = None):
+        self.spark, self.path = spark, path
+        if schema is not None:
+            self.append(spark.createDataFrame([], schema), -1)
 
     def append(self, batch: DataFrame, batch_id: int) -> None:
-        batch.write.mode("overwrite").parquet(f"{self.root}/delta/batch_id={batch_id}")
-
-    def _finished(self, kind: str) -> list[int]:
-        """Numbers of the folders ``kind/name=number`` whose write has ended."""
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{kind}")
-        files = path.getFileSystem(self.spark._jsc.hadoopConfiguration())
-        if not files.exists(path):
-            return []
-        done = [f.getPath() for f in files.listStatus(path) if f.isDirectory()]
-        return sorted(int(p.getName().split("=")[1]) for p in done
-                      if files.exists(self.spark._jvm.org.apache.hadoop.fs.Path(p, "_SUCCESS")))
-
-    def _remove(self, folder: str) -> None:
-        path = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.root}/{folder}")
-        path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
-
-    def versions(self, upto: int | None = None) -> DataFrame:
-        """All versions not yet folded, with the folded base; only those of batches up to ``upto`` where that is given."""
-        bases = self._finished("base")
-        folded = bases[-1] if bases else -1
-        batches = [b for b in self._finished("delta") if b > folded and (upto is None or b <= upto)]
-        folders = [f"{self.root}/base/upto={folded}"] * bool(bases) + [f"{self.root}/delta/batch_id={b}" for b in batches]
-        if not folders:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.parquet(*folders)
-
-    def last_batch(self) -> int:
-        return max([-1, *self._finished("base"), *self._finished("delta")])
-
-    def compact(self, merge) -> None:
-        """Write ``merge(versions)`` as the base of all batches so far, then drop those batches and older bases.
-
-        Batches that land meanwhile have higher numbers and stay.
-        """
-        upto, old = self.last_batch(), self._finished("base")
-        if upto < 0 or upto in old:
-            return
-        batches = [b for b in self._finished("delta") if b <= upto]
-        merge(self.versions(upto)).write.mode("overwrite").parquet(f"{self.root}/base/upto={upto}")
-        for batch in batches:
-            self._remove(f"delta/batch_id={batch}")
-        for base in old:
-            self._remove(f"base/upto={base}")
-
-
-def upsert_batch(store: DeltaStore, key: str, order: Sequence[str]):
+        batch.write.mode("overwrite").parquet(f"{self.path}/batch_id={batch_id}")
+
+    def batches(self) -> DataFrame:
+        return self.spark.read.parquet(self.path)
+
+    def versions(self) -> DataFrame:
+        """The rows of all batches."""
+        return self.batches().drop("batch_id")
+
+    def folded(self, path: str, merge) -> BatchTable:
+        """A new table with ``merge(versions)`` in place of all batches so far; later batches have higher numbers."""
+        last = self.batches().agg(F.max("batch_id")).head()[0]
+        new = BatchTable(self.spark, path)
+        new.append(merge(self.versions()), -1 if last is None else last)
+        return new
+
+
+def upsert_batch(table: BatchTable, key: str, order: Sequence[str]):
     """``foreachBatch`` function: reduce the batch to the newest event per key and append it."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(latest_version(as_versions(batch), key, order), batch_id)
+        table.append(latest_version(as_versions(batch), key, order), batch_id)
 
     return write
 
 
-def dead_letter_batch(good: DeltaStore, errors: DeltaStore, valid: Column, table: str, key: str, row_id: str,
-                      order: Sequence[str], error: str):
-    """``foreachBatch`` function: apply what is valid by ``key``, describe the rest by ``row_id`` in the error table."""
+def dead_letter_batch(good: BatchTable, errors: BatchTable, valid: Column, table: str, key: str, row_id: str,
+                      order: Sequence[str], error: str, tries: int = TRIES, apply=None):
+    """``foreachBatch`` function: apply what is valid by ``key``, describe the rest by ``row_id`` in the error table.
+
+    ``apply(rows, batch_id)``, by default an append to ``good``, is tried up to ``tries`` times. Rows that it cannot take even then
+    go to the error table with that many attempts and the last error, and the stream goes on; invalid rows are not tried again.
+    """
+    apply = apply or good.append
+
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.persist()
         ok, bad = split_valid(batch, valid)
-        good.append(latest_version(as_versions(ok), key, order), batch_id)
-        errors.append(dead_letters(bad, table, row_id, error), batch_id)
+        letters = dead_letters(bad, table, row_id, error)
+        for attempt in range(1, tries + 1):
+            try:
+                apply(latest_version(as_versions(ok), key, order), batch_id)
+                break
+            except Exception as failure:  # whatever the target cannot take
+                if attempt == tries:
+                    letters = letters.unionByName(dead_letters(ok, table, row_id, str(failure).splitlines()[0][:200], attempt))
+        errors.append(letters, batch_id)
         batch.unpersist()
 
     return write
 
 
-def bitmap_batch(store: DeltaStore):
+def bitmap_batch(table: BatchTable):
     """``foreachBatch`` function: bitmaps of the batch's (token, table_name, pk), merged when read."""
     def write(batch: DataFrame, batch_id: int) -> None:
-        store.append(token_bitmap(batch), batch_id)
+        table.append(token_bitmap(batch), batch_id)
 
     return write
 
 
-def stored_bitmaps(store: DeltaStore) -> DataFrame:
-    return merge_bitmaps(store.versions())
+def stored_bitmaps(table: BatchTable) -> DataFrame:
+    return merge_bitmaps(table.versions())
 
 
 def token_ttl(tokens: DataFrame, updated: str, now: Column, days: int = 3) -> DataFrame:

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.streaming import DataStreamWriter
 from pyspark.sql.types import StructType
 
-from casegrain.streaming.cdc import DeltaStore
+from casegrain.streaming.cdc import BatchTable
 
 JSON_LINE = r"^\{.*\}$"  # fixed value: lines that count as log records
 
@@ -77,7 +77,7 @@ def access_log_rollup(log: DataFrame, at: str, who: str, action: str, length: st
             .select(F.col("window.start").alias("window_start"), who, action, "accesses"))
 
 
-def partial_batch(store: DeltaStore, counts):
+def partial_batch(store: BatchTable, counts):
     """``foreachBatch`` function: append what ``counts(batch)`` finds in this batch alone. However late a row is, it counts."""
     def write(batch: DataFrame, batch_id: int) -> None:
         store.append(counts(batch), batch_id)
@@ -85,13 +85,13 @@ def partial_batch(store: DeltaStore, counts):
     return write
 
 
-def summed(store: DeltaStore, keys: list[str], count: str, limit: int | None = None) -> DataFrame:
+def summed(store: BatchTable, keys: list[str], count: str, limit: int | None = None) -> DataFrame:
     """Groups with the counts of all batches added up, and whether they exceed the limit where one is given."""
     out = store.versions().groupBy(*keys).agg(F.sum(count).alias(count))
     return out if limit is None else out.withColumn("over_limit", F.col(count) > limit)
 
 
-def once_batch(store: DeltaStore, key: str):
+def once_batch(store: BatchTable, key: str):
     """``foreachBatch`` function: append each event of the batch once."""
     def write(batch: DataFrame, batch_id: int) -> None:
         store.append(batch.dropDuplicates([key]), batch_id)
@@ -99,12 +99,12 @@ def once_batch(store: DeltaStore, key: str):
     return write
 
 
-def once(store: DeltaStore, key: str) -> DataFrame:
+def once(store: BatchTable, key: str) -> DataFrame:
     """Every event once, whichever batches delivered it and however late."""
     return store.versions().dropDuplicates([key])
 
 
-def counter_batch(store: DeltaStore, group: Column):
+def counter_batch(store: BatchTable, group: Column):
     """``foreachBatch`` function: rows per group of the batch, for a live status."""
     def write(batch: DataFrame, batch_id: int) -> None:
         counts = batch.groupBy(group.alias("unit")).agg(F.count(F.lit(1)).alias("rows"), F.current_timestamp().alias("at"))

@@ -36,17 +36,19 @@ ORDER = ["updated_at", "event_id"]
 
 def test_upsert_stream_equals_batch_also_after_compaction(spark, events, tmp_path):
     path, batch = events
-    store = cdc.DeltaStore(spark, str(tmp_path / "store"))
+    store = cdc.BatchTable(spark, str(tmp_path / "store"))
     write = cdc.upsert_batch(store, "pk", ORDER)
     streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / "ckpt"))
-    assert store.last_batch() == 5
+    assert store.batches().agg(F.max("batch_id")).first()[0] == 5
     wanted = cdc.latest_version(cdc.as_versions(batch), "pk", ORDER).select("pk", "event_id", "is_deleted")
 
     def state():
         return cdc.latest_version(store.versions(), "pk", ORDER).select("pk", "event_id", "is_deleted")
 
     same(state(), wanted)
-    store.compact(lambda v: cdc.latest_version(v, "pk", ORDER))
+    store = store.folded(str(tmp_path / "folded"), lambda v: cdc.latest_version(v, "pk", ORDER))
+    write = cdc.upsert_batch(store, "pk", ORDER)
+    assert store.versions().count() == wanted.count()
     same(state(), wanted)
     late = spark.createDataFrame([(10_000, 1, "DELETE", 0.0)], "event_id bigint, pk bigint, op string, value double").withColumn(
         "updated_at", F.timestamp_seconds(F.lit(1_800_000_000)))
@@ -65,7 +67,7 @@ def test_applying_events_twice_changes_nothing(spark, events):
 
 def test_dead_letters_per_batch(spark, events, tmp_path):
     path, batch = events
-    good, dead = (cdc.DeltaStore(spark, str(tmp_path / n)) for n in ("good", "dead"))
+    good, dead = (cdc.BatchTable(spark, str(tmp_path / n)) for n in ("good", "dead"))
     write = cdc.dead_letter_batch(good, dead, F.col("value") <= 90, "t", "pk", "event_id", ORDER, "out of range")
     streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / "ckpt"))
     bad = batch.where("value > 90")
@@ -77,7 +79,7 @@ def test_dead_letters_per_batch(spark, events, tmp_path):
 
 def test_bitmap_stream_equals_batch(spark, events, tmp_path):
     path, batch = events
-    store = cdc.DeltaStore(spark, str(tmp_path / "bitmaps"))
+    store = cdc.BatchTable(spark, str(tmp_path / "bitmaps"))
 
     def tokens(df):
         return df.select(F.col("op").alias("token"), F.lit("t").alias("table_name"), F.col("event_id").alias("pk"))
@@ -89,18 +91,18 @@ def test_bitmap_stream_equals_batch(spark, events, tmp_path):
 
 def test_rate_windows_count_rows_however_late(spark, events, tmp_path):
     path, batch = events  # files are not in time order
-    store = cdc.DeltaStore(spark, str(tmp_path / "rates"))
+    store = cdc.BatchTable(spark, str(tmp_path / "rates"))
     keys = ["window_start", "pk", "op"]
     write = streams.partial_batch(store, lambda b: streams.rate_windows(b, "updated_at", "pk", "op", "1 hour", 2).drop("over_limit"))
     streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / "ckpt"))
-    assert store.last_batch() == 5
+    assert store.batches().agg(F.max("batch_id")).first()[0] == 5
     columns = [*keys, "requests", "over_limit"]
     same(streams.summed(store, keys, "requests", 2).select(*columns), streams.rate_windows(batch, "updated_at", "pk", "op", "1 hour", 2).select(*columns))
 
 
 def test_access_rollup_stream_equals_batch(spark, events, tmp_path):
     path, batch = events
-    store = cdc.DeltaStore(spark, str(tmp_path / "rollup"))
+    store = cdc.BatchTable(spark, str(tmp_path / "rollup"))
     write = streams.partial_batch(store, lambda b: streams.access_log_rollup(b, "updated_at", "pk", "op"))
     streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / "ckpt"))
     columns = ["window_start", "pk", "op", "accesses"]
@@ -110,7 +112,7 @@ def test_access_rollup_stream_equals_batch(spark, events, tmp_path):
 def test_redelivered_events_count_once(spark, events, tmp_path):
     path, batch = events
     twice = source(spark, path).unionByName(source(spark, path))
-    store = cdc.DeltaStore(spark, str(tmp_path / "once"))
+    store = cdc.BatchTable(spark, str(tmp_path / "once"))
     streams.run_available(twice.writeStream.foreachBatch(streams.once_batch(store, "event_id")), str(tmp_path / "ckpt"))
     same(streams.once(store, "event_id").select("event_id"), batch.select("event_id"))
 
@@ -126,24 +128,42 @@ def test_stream_queries_are_exact_on_many_unordered_files(spark, tmp_path):
     assert catalog.QUERIES["stream_event_dedup"](spark, str(folder)).agg(F.sum("events")).first()[0] == events.count()
 
 
-def test_batches_that_land_during_compaction_stay(spark, tmp_path):
-    store = cdc.DeltaStore(spark, str(tmp_path / "store"), "unit string, rows bigint")
-    assert store.versions().count() == 0 and store.last_batch() == -1
-    add = lambda n: store.append(spark.createDataFrame([("a", 1)], "unit string, rows bigint"), n)
-    total = lambda: store.versions().agg(F.sum("rows")).first()[0]
-    add(0)
-    add(1)
-
-    def merge(versions):
-        add(2)  # lands while the others are folded
-        return versions.groupBy("unit").agg(F.sum("rows").alias("rows"))
-
-    store.compact(merge)
-    assert total() == 3
-    store.compact(lambda v: v.groupBy("unit").agg(F.sum("rows").alias("rows")))
-    add(3)
-    (tmp_path / "store" / "base" / "upto=9").mkdir()  # a base whose writer died
-    assert total() == 4 and sorted(p.name for p in (tmp_path / "store" / "delta").iterdir()) == ["batch_id=3"]
+def test_batches_replace_themselves_and_fold_into_a_new_table(spark, tmp_path):
+    store = cdc.BatchTable(spark, str(tmp_path / "store"), "unit string, rows bigint")
+    assert store.versions().count() == 0
+    add = lambda table, n: table.append(spark.createDataFrame([("a", 1)], "unit string, rows bigint"), n)
+    total = lambda table: table.versions().agg(F.sum("rows")).first()[0]
+    for n in (0, 1, 1):
+        add(store, n)
+    assert total(store) == 2
+    new = store.folded(str(tmp_path / "new"), lambda v: v.groupBy("unit").agg(F.sum("rows").alias("rows")))
+    assert total(new) == 2 and new.versions().count() == 1
+    add(new, 2)
+    assert total(new) == 3 and total(store) == 2
+
+
+def test_attempts_are_counted_before_rows_are_dead_letters(spark, events, tmp_path):
+    path, batch = events
+    calls = []
+
+    def broken(until):
+        def apply(rows, batch_id):
+            calls.append(batch_id)
+            if calls.count(batch_id) <= until:
+                raise ValueError("target is away")
+            good.append(rows, batch_id)
+        return apply
+
+    for until, attempts in ((2, {1}), (9, {1, 3})):
+        calls.clear()
+        good, dead = (cdc.BatchTable(spark, str(tmp_path / f"{n}{until}"), schema) for n, schema in (("good", batch.schema), ("dead", None)))
+        write = cdc.dead_letter_batch(good, dead, F.col("value") <= 90, "t", "pk", "event_id", ORDER, "out of range", apply=broken(until))
+        streams.run_available(source(spark, path).writeStream.foreachBatch(write), str(tmp_path / f"ckpt{until}"))
+        found = dead.versions().collect()
+        assert {r["attempts"] for r in found} == attempts and set(map(calls.count, calls)) == {3}
+        assert {r["error"] for r in found if r["attempts"] == 3} == ({"target is away"} if until == 9 else set())
+        lost = batch.count() if until == 9 else batch.where("value > 90").count()
+        assert sum(r["rows"] for r in found) == lost
 
 
 def test_drop_folder_takes_every_file_once(spark, tmp_path):
