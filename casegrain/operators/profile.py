@@ -51,6 +51,13 @@ def contact_points(entities: DataFrame) -> DataFrame:
     return entities.select("entity_id", F.inline(both)).where("value is not null")
 
 
+def contact_list() -> Column:
+    """The entity's contact points as a list: phone, then email, where there is one."""
+    return F.array_compact(F.array(*[
+        F.when(F.col(f"primary_{kind}").isNotNull(), F.struct(F.lit(kind).alias("contact_type"), F.col(f"primary_{kind}").alias("value")))
+        for kind in ("phone", "email")]))
+
+
 def bank_list(banks: DataFrame, unmask: bool, max_items: int) -> Lists:
     number = F.col("account_number") if unmask else account_number(banks)
     fields = {"bank_name": F.col("bank_name"), "account": number, "account_type": F.col("account_type"),
@@ -83,9 +90,7 @@ def case_list(cases: DataFrame, roles: DataFrame, max_items: int) -> Lists:
 def entity_profile(entities: DataFrame, anchors: DataFrame, socials: DataFrame, banks: DataFrame, cases: DataFrame,
                    roles: DataFrame, unmask: bool = False, max_items: int = 10_000) -> DataFrame:
     """Every entity with its contact points, documents, social accounts, banks and live cases; masked unless ``unmask``."""
-    contacts = F.array_compact(F.array(
-        F.when(F.col("primary_phone").isNotNull(), F.struct(F.lit("phone").alias("contact_type"), F.col("primary_phone").alias("value"))),
-        F.when(F.col("primary_email").isNotNull(), F.struct(F.lit("email").alias("contact_type"), F.col("primary_email").alias("value")))))
+    contacts = contact_list()
     addresses = F.array(F.struct(F.col("city"), F.col("country")))
     base = entities.withColumns({"contacts": contacts, "addresses": addresses})
     return attach_lists(base, "entity_id", [
@@ -115,7 +120,8 @@ def top_children(df: DataFrame, order: Sequence[SortKey], n: int, fields: Sequen
 
 def entity_360_top(entities: DataFrame, anchors: DataFrame, banks: DataFrame, socials: DataFrame, properties: DataFrame,
                    categories: DataFrame, remarks: DataFrame) -> DataFrame:
-    """360 view with at most 10 anchors, 5 banks, 10 social accounts and 5 properties per entity."""
+    """360 view with contacts and at most 10 anchors, 5 banks, 10 social accounts and 5 properties per entity."""
+    entities = entities.withColumn("contacts", contact_list())
     masked = anchors.withColumn("id_masked", masking.mask_all_but_four(F.col("id_number")))
     children = [
         top_children(masked, ANCHOR_ORDER, 10, ["id_type", "id_masked", "is_verified"], "identity_anchors"),

@@ -125,9 +125,11 @@ def column_hits(df: DataFrame, table_name: str, key: str, term: str) -> DataFram
 
 
 def search_columns(tables: Mapping[str, tuple[DataFrame, str]], term: str, per_column: int = 5) -> DataFrame:
-    """At most ``per_column`` hits for every text column of every table (name -> (DataFrame, key))."""
+    """At most ``per_column`` hits for every text column of every table (name -> (DataFrame, key)); `MAX_PER_COLUMN` can be asked for."""
+    if per_column > MAX_PER_COLUMN:
+        raise ValueError(f"at most {MAX_PER_COLUMN} hits of a column can be asked for")
     hits = union_all([column_hits(df, name, key, term) for name, (df, key) in tables.items()])
-    return top_per_group(hits, ["table_name", "column_name"], [("pk", "asc")], min(per_column, MAX_PER_COLUMN))
+    return top_per_group(hits, ["table_name", "column_name"], [("pk", "asc")], per_column)
 
 
 def search_sources(sources: Mapping[str, Mapping[str, tuple[DataFrame, str]]], term: str, per_column: int = 5) -> DataFrame:
@@ -180,6 +182,10 @@ def fulltext_rank(df: DataFrame, fields: Sequence[str], term: str) -> DataFrame:
     terms = query_terms(term)
     wanted = F.array(*[F.lit(t) for t in terms])
     occurrences = F.size(F.filter("_words", lambda w: F.array_contains(wanted, w)))
+    # A row without one of the words as plain text cannot hold it as a word: it is not even split.
+    whole = F.lower(F.concat_ws(" ", *fields))
+    for term in terms:
+        df = df.where(F.contains(whole, F.lit(term)))
     return (df.withColumn("_words", words)
             .where(F.size(F.array_except(wanted, F.col("_words"))) == 0)
             .withColumn("rank", occurrences / (occurrences + 1)).drop("_words"))

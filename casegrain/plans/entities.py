@@ -261,18 +261,26 @@ _TOP_BANKS = _top("(SELECT * FROM bank WHERE is_active)", "is_primary DESC, open
 _TOP_SOCIAL = _top("(SELECT * FROM social WHERE is_active)", "follower_count DESC NULLS LAST, id", 10, "concat_ws(':', platform, handle, follower_count)", "social_accounts")
 _TOP_PROPS = _top("(SELECT * FROM property WHERE is_active)", "current_value DESC NULLS LAST, id", 5, "concat_ws(':', property_type, current_value)", "properties")
 
+_TOP_ANCHORS = ("(SELECT entity_id, md5(string_agg(concat_ws(':', id_type, " + _MASKED_TEXT.format("id_number") + ", is_verified), ';' ORDER BY rn)) AS anchors "
+                "FROM (SELECT *, row_number() OVER (PARTITION BY entity_id ORDER BY is_primary DESC, id) AS rn FROM anchor) WHERE rn <= 10 GROUP BY entity_id)")
+_CONTACTS = "concat_ws(';', 'phone:' || primary_phone, 'email:' || primary_email) AS contacts"
+
+
+def top_columns():
+    return [anchors_digest("identity_anchors", "id_type", "id_masked", "is_verified").alias("anchors"),
+            joined("contacts", "contact_type", "value").alias("contacts"), joined("bank_accounts", "bank_name", "account_type", "is_primary").alias("bank_accounts"),
+            joined("social_accounts", *SOCIAL_FIELDS).alias("social_accounts"), joined("properties", "property_type", "current_value").alias("properties"),
+            F.array_join("category_names", ",").alias("tags"), map_text(C("remark_summary")).alias("remarks")]
+
 
 @query("entity_360_topn", with_views("entity", "anchor", "property", "bank", "social", "tag", "category", "remark") + f"""
-SELECT e.entity_id, e.status, bank_accounts, social_accounts, properties, tags, remarks
-FROM entity e LEFT JOIN {_TOP_BANKS} b USING (entity_id) LEFT JOIN {_TOP_SOCIAL} s USING (entity_id) LEFT JOIN {_TOP_PROPS} p USING (entity_id)
+SELECT e.entity_id, e.status, anchors, {_CONTACTS}, bank_accounts, social_accounts, properties, tags, remarks
+FROM entity e LEFT JOIN {_TOP_ANCHORS} a USING (entity_id) LEFT JOIN {_TOP_BANKS} b USING (entity_id) LEFT JOIN {_TOP_SOCIAL} s USING (entity_id) LEFT JOIN {_TOP_PROPS} p USING (entity_id)
 LEFT JOIN {_TAGS} t USING (entity_id) LEFT JOIN {_REMARKS} r USING (entity_id)""")
 def entity_360_topn(spark, sf):
     out = profile.entity_360_top(*[view(spark, sf, n) for n in ("entity", "anchor", "bank", "social", "property")],
                                  categories_of(spark, sf), view(spark, sf, "remark"))
-    return out.select(
-        "entity_id", "status", joined("bank_accounts", "bank_name", "account_type", "is_primary").alias("bank_accounts"),
-        joined("social_accounts", *SOCIAL_FIELDS).alias("social_accounts"), joined("properties", "property_type", "current_value").alias("properties"),
-        F.array_join("category_names", ",").alias("tags"), map_text(C("remark_summary")).alias("remarks"))
+    return out.select("entity_id", "status", *top_columns())
 
 
 @query("profile_export_json", with_views(*_PROFILE_VIEWS) + f"SELECT e.entity_id, full_name, bank_accounts, cases {_PROFILE_FROM}")
@@ -330,7 +338,7 @@ def multi_filter_search(spark, sf):
     ranked = search.fulltext_rank(view(spark, sf, "entity"), fields, "Asia Customer")
     kept = filters.multi_filter(ranked, statuses=["building", "household", "machinery"], dob_from="1955-01-01", risk_min=10, risk_max=95)
     found = tags.tag_all(kept, view(spark, sf, "tag"), [1, 2])
-    page = paging.page_with_total(found, [("rank", "desc"), ("entity_id", "desc")], 20)
+    page = paging.page_counted(found, [("rank", "desc"), ("entity_id", "desc")], 20)
     kinds = profile.distinct_sorted(view(spark, sf, "bank"), "entity_id", "account_type", "id_types")
     return (page.join(categories_of(spark, sf).select("entity_id", "category_names"), "entity_id", "left").join(kinds, "entity_id", "left")
             .orderBy(F.desc("rank"), F.desc("entity_id"))
@@ -338,13 +346,13 @@ def multi_filter_search(spark, sf):
                     F.array_join("id_types", ",").alias("id_types"), "total_count"))
 
 
-@query("omni_search", with_views("entity", "tag", "category", "bank", "social", "property", "remark") + f"""
+@query("omni_search", with_views("entity", "anchor", "tag", "category", "bank", "social", "property", "remark") + f"""
 , hits AS (SELECT entity_id AS record_id, primary_email, primary_phone FROM entity WHERE list_contains({_FT}, 'asia') AND list_contains({_FT}, 'customer')),
 master AS (SELECT DISTINCT least((SELECT min(m.entity_id) FROM entity m WHERE m.primary_email = h.primary_email),
                                  (SELECT min(m.entity_id) FROM entity m WHERE m.primary_phone = h.primary_phone)) AS entity_id FROM hits h),
 tagged AS (SELECT m.entity_id FROM master m WHERE m.entity_id IN (SELECT entity_id FROM tag WHERE category_id = 1))
-SELECT e.entity_id, e.full_name, e.risk_score, bank_accounts, social_accounts, properties, tags, remarks, (SELECT count(*) FROM tagged) AS total_count
-FROM tagged x JOIN entity e USING (entity_id) LEFT JOIN {_TOP_BANKS} b USING (entity_id) LEFT JOIN {_TOP_SOCIAL} s USING (entity_id)
+SELECT e.entity_id, e.full_name, e.risk_score, anchors, {_CONTACTS}, bank_accounts, social_accounts, properties, tags, remarks, (SELECT count(*) FROM tagged) AS total_count
+FROM tagged x JOIN entity e USING (entity_id) LEFT JOIN {_TOP_ANCHORS} a USING (entity_id) LEFT JOIN {_TOP_BANKS} b USING (entity_id) LEFT JOIN {_TOP_SOCIAL} s USING (entity_id)
 LEFT JOIN {_TOP_PROPS} p USING (entity_id) LEFT JOIN {_TAGS} t USING (entity_id) LEFT JOIN {_REMARKS} r USING (entity_id)
 ORDER BY e.risk_score DESC, e.entity_id LIMIT 20""")
 def omni_search(spark, sf):
@@ -354,13 +362,11 @@ def omni_search(spark, sf):
     masters = joins.match_by_either(hits, entities, "entity_id", "entity_id", ["primary_email", "primary_phone"])
     found = entities.join(masters.select(C("matched_id").alias("entity_id")).distinct(), "entity_id", "left_semi")
     tagged = tags.tag_any(found, view(spark, sf, "tag"), [1])
-    page = stored(paging.page_with_total(tagged, [("risk_score", "desc"), ("entity_id", "asc")], 20), "page")  # 20 rows, read often
+    page = stored(paging.page_counted(tagged, [("risk_score", "desc"), ("entity_id", "asc")], 20), "page")  # 20 rows, read often
     # Only the page is enriched: children are reduced to the page's entities before they are ranked.
     wanted = page.select("entity_id")
     children = [view(spark, sf, n).join(wanted, "entity_id", "left_semi") for n in ("anchor", "bank", "social", "property")]
     out = profile.entity_360_top(page, *children, categories_of(spark, sf).join(wanted, "entity_id", "left_semi"),
                                  view(spark, sf, "remark").join(wanted, "entity_id", "left_semi"))
     return out.orderBy(F.desc("risk_score"), "entity_id").select(
-        "entity_id", "full_name", "risk_score", joined("bank_accounts", "bank_name", "account_type", "is_primary").alias("bank_accounts"),
-        joined("social_accounts", *SOCIAL_FIELDS).alias("social_accounts"), joined("properties", "property_type", "current_value").alias("properties"),
-        F.array_join("category_names", ",").alias("tags"), map_text(C("remark_summary")).alias("remarks"), "total_count")
+        "entity_id", "full_name", "risk_score", *top_columns(), "total_count")

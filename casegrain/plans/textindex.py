@@ -344,7 +344,7 @@ def search_sources(spark, sf):
     tables = column_tables(spark, sf)
     places = {t: v for t, v in tables.items() if t in ("nation", "region")}
     trade = {t: v for t, v in tables.items() if t not in places}
-    return search.search_sources({"places": places, "trade": trade}, "er", 100).drop("position")
+    return search.search_sources({"places": places, "trade": trade}, "er", search.MAX_PER_COLUMN).drop("position")
 
 
 @query("top_n_per_column", with_views("people") + """
