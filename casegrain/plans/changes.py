@@ -198,6 +198,33 @@ def drop_folder_stream(spark, sf):
     return spark.read.parquet(out).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("event_id").alias("events"))
 
 
+@query("drop_folder_ledger", """
+SELECT 'done' AS status, true AS moved, count(*) AS rows FROM events UNION ALL SELECT 'failed', true, count(*) FROM region UNION ALL SELECT 'loaded', true, count(*) FROM events""")
+def drop_folder_ledger(spark, sf):
+    """Files dropped in two rounds, a broken one among them: what was loaded, and where each file ended."""
+    incoming, archive, errors = (fresh_dir(spark, n) for n in ("incoming", "archive", "errors"))
+    target, ledger = cdc.BatchTable(spark, fresh_dir(spark, "loaded")), cdc.BatchTable(spark, fresh_dir(spark, "ledger"))
+    events = table(spark, sf, "events").select("event_id", "user_id", "event_type")
+    middle = events.agg(F.expr("(min(event_id) + max(event_id)) div 2")).scalar()
+    broken = table(spark, sf, "region").select(F.concat(F.lit('{"event_id": '), "r_name").alias("value"))
+    ckpt = fresh_dir(spark, "ckpt")
+    for part in (events.where(C("event_id") <= middle), events.where(C("event_id") > middle)):
+        part.write.mode("append").json(incoming)
+        if broken is not None:
+            broken.write.mode("append").text(incoming)
+            broken = None
+        dropped = streams.filed_stream(spark, incoming, "event_id bigint, user_id bigint, event_type string, _corrupt_record string")
+        streams.run_available(dropped.writeStream.foreachBatch(streams.filed_batch(target, ledger)), ckpt)
+        entries = streams.settle_files(ledger, incoming, archive, errors)
+    name = lambda c: F.element_at(F.split(c, "/"), -1)
+    ended = union_all([spark.read.format("binaryFile").load(folder).select(name("path").alias("name"), F.lit(status).alias("ended"))
+                       for folder, status in ((archive, "done"), (errors, "failed"))])
+    found = (entries.withColumn("name", name("file")).join(ended, "name", "left")
+             .groupBy("status", F.col("status").eqNullSafe(F.col("ended")).alias("moved")).agg(F.sum("rows").alias("rows")))
+    loaded = target.versions().agg(F.count(F.lit(1)).alias("rows")).select(F.lit("loaded").alias("status"), F.lit(True).alias("moved"), "rows")
+    return found.unionByName(loaded)
+
+
 @query("time_bucketed_sink", """
 SELECT strftime(ts, '%Y-%m-%d-%H') AS hour_dir, count(*) AS events, CAST(min(time_bucket(INTERVAL 5 MINUTES, ts)) AS VARCHAR) AS first_slot FROM events GROUP BY 1""")
 def time_bucketed_sink(spark, sf):

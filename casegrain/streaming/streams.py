@@ -64,6 +64,67 @@ def drop_folder_stream(spark: SparkSession, folder: str, archive: str, schema: S
             .option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_corrupt_record").json(folder))
 
 
+FILE_FIELDS = {"file": "file_path", "file_size": "file_size", "file_time": "file_modification_time"}
+
+
+def filed_stream(spark: SparkSession, folder: str, schema: StructType | str, **options: str) -> DataFrame:
+    """Records of JSON files dropped into a folder, each with its file's path, size and time; what cannot be read is in ``_corrupt_record``."""
+    lines = (spark.readStream.schema(schema).options(**options).option("mode", "PERMISSIVE")
+             .option("columnNameOfCorruptRecord", "_corrupt_record").json(folder))
+    return lines.select("*", *[F.col(f"_metadata.{field}").alias(name) for name, field in FILE_FIELDS.items()])
+
+
+def filed_batch(target: BatchTable, ledger: BatchTable):
+    """``foreachBatch`` function: load the files that can be read whole, and enter every file into the ledger.
+
+    A file with a record that cannot be read is failed, with its first such record as reason, and none of its rows are loaded. Files
+    stay where they are until `settle_files`, for a batch may run again.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.persist()
+        bad = F.col("_corrupt_record").isNotNull()
+        outcome = (batch.groupBy(*FILE_FIELDS).agg(F.count(F.lit(1)).alias("rows"), F.count_if(bad).alias("bad"), F.min("_corrupt_record").alias("first"))
+                   .select(*FILE_FIELDS, "rows", F.when(F.col("bad") > 0, "failed").otherwise("done").alias("status"),
+                           F.when(F.col("bad") > 0, F.concat(F.lit("cannot be read: "), F.substring("first", 1, 200))).alias("reason")))
+        ledger.append(outcome, batch_id)
+        failed = ledger.batches().where((F.col("batch_id") == batch_id) & (F.col("status") == "failed"))
+        target.append(batch.join(failed.select("file"), "file", "left_anti").drop("_corrupt_record", *FILE_FIELDS), batch_id)
+        batch.unpersist()
+
+    return write
+
+
+def settle_files(ledger: BatchTable, folder: str, archive: str, errors: str) -> DataFrame:
+    """Move the files that finished batches have entered: done ones to the archive, failed ones to the error folder.
+
+    Only files still in the folder are looked at, so it may run at any time and again. Returns the ledger: one row per path, size and
+    time, with status and reason.
+    """
+    spark = ledger.spark
+    entries = ledger.versions()
+    there = spark.read.format("binaryFile").load(folder).select(F.col("path").alias("file")) if _exists(spark, folder) else None
+    if there is not None:
+        due = entries.join(there, "file").select("file", "status").distinct()
+        for r in due.toLocalIterator():  # names of files in the drop folder
+            _move(spark, r["file"], errors if r["status"] == "failed" else archive)
+    return entries
+
+
+def _exists(spark: SparkSession, folder: str) -> bool:
+    """Whether there are files in a folder."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(folder, "[!._]*")
+    return bool(found.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(found))
+
+
+def _move(spark: SparkSession, file: str, folder: str) -> None:
+    """Move one file; the file system does it, no data passes through here."""
+    paths = spark._jvm.org.apache.hadoop.fs.Path
+    source, target = paths(file), paths(folder)
+    files = source.getFileSystem(spark._jsc.hadoopConfiguration())
+    files.mkdirs(target)
+    files.rename(source, paths(target, source.getName()))
+
+
 def rate_windows(log: DataFrame, at: str, who: str, endpoint: str, length: str = "1 minute", limit: int = 60) -> DataFrame:
     """Requests per caller, endpoint and fixed window, and whether they exceed the limit."""
     return (log.groupBy(F.window(at, length).alias("window"), who, endpoint)

@@ -175,6 +175,30 @@ def test_drop_folder_takes_every_file_once(spark, tmp_path):
     assert sorted(r[0] for r in spark.read.parquet(out).collect()) == list(range(20))
 
 
+def test_a_broken_file_ends_in_the_error_folder_with_its_reason(spark, tmp_path):
+    incoming, archive, errors = (str(tmp_path / n) for n in ("in", "archive", "errors"))
+    target, ledger = (cdc.BatchTable(spark, str(tmp_path / n)) for n in ("loaded", "ledger"))
+    (tmp_path / "in").mkdir()
+
+    def poll():
+        dropped = streams.filed_stream(spark, incoming, "event_id bigint, _corrupt_record string", maxFilesPerTrigger="2")
+        streams.run_available(dropped.writeStream.foreachBatch(streams.filed_batch(target, ledger)), str(tmp_path / "ckpt"))
+        return streams.settle_files(ledger, incoming, archive, errors)
+
+    for n in range(3):
+        (tmp_path / "in" / f"good{n}.json").write_text(f'{{"event_id": {2 * n}}}\n{{"event_id": {2 * n + 1}}}\n')
+    (tmp_path / "in" / "bad.json").write_text('{"event_id": 50}\n{"event_id": \n')
+    for _ in range(2):  # nothing new the second time
+        entries = {r["file"].rsplit("/", 1)[1]: r for r in poll().collect()}
+        assert {n: (r["status"], r["rows"]) for n, r in entries.items()} == {"bad.json": ("failed", 2)} | {f"good{n}.json": ("done", 2) for n in range(3)}
+        assert entries["bad.json"]["reason"].startswith('cannot be read: {"event_id":') and entries["good0.json"]["reason"] is None
+        assert sorted(r[0] for r in target.versions().collect()) == list(range(6))
+        names = [sorted(p.name for p in (tmp_path / d).iterdir() if p.suffix == ".json") for d in ("in", "archive", "errors")]
+        assert names == [[], [f"good{n}.json" for n in range(3)], ["bad.json"]]
+    (tmp_path / "in" / "late.json").write_text('{"event_id": 99}\n')
+    assert poll().count() == 5 and target.versions().count() == 7
+
+
 def test_sync_resumes_and_polls_are_bounded(spark, events, tmp_path):
     _, batch = events
     target = str(tmp_path / "sync")
