@@ -296,6 +296,27 @@ def validate_tables(spark, sf):
     return union_all(parts).groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("rows"))
 
 
+# Columns that no other view holds: gender, ownership percent, remark type.
+VIEWS["person"] = (("customer",), "SELECT c_custkey AS entity_id, substr(c_mktsegment, 1, 1) AS gender FROM customer")
+VIEWS["holding"] = (("lineitem",), "SELECT l_orderkey AS entity_id, CAST(l_quantity * 2.5 - 5 AS DECIMAL(5,2)) AS ownership_percent FROM lineitem")
+VIEWS["note"] = (("events",), """
+SELECT event_id AS entity_id, CASE event_type WHEN 'error' THEN 'ALERT' WHEN 'signup' THEN 'VERIFICATION' WHEN 'purchase' THEN 'FINANCIAL' ELSE event_type END AS remark_type
+FROM events""")
+
+
+@query("validate_details", with_views("person", "holding", "note") + """
+SELECT 'entity' AS table_name, 'gender_domain' AS rule, count(*) AS rows FROM person WHERE gender NOT IN ('M', 'F', 'O')
+UNION ALL SELECT 'property', 'ownership_percent_range', count(*) FROM holding WHERE ownership_percent NOT BETWEEN 0.01 AND 100
+UNION ALL SELECT 'remark', 'remark_type_domain', count(*) FROM note
+  WHERE remark_type NOT IN ('GENERAL', 'ALERT', 'CASE_NOTE', 'VERIFICATION', 'SOURCE_INTEL', 'FIELD_REPORT', 'LEGAL', 'FINANCIAL')""")
+def validate_details(spark, sf):
+    parts = []
+    for name, shape in (("entity", "person"), ("property", "holding"), ("remark", "note")):
+        rows = view(spark, sf, shape)
+        parts.append(rows.select(F.lit(name).alias("table_name"), F.explode(values.violations(values.table_rules(name, rows.columns))).alias("rule")))
+    return union_all(parts).groupBy("table_name", "rule").agg(F.count(F.lit(1)).alias("rows"))
+
+
 @query("unique_violations", with_views("anchor", "social", "case_role") + """
 SELECT rule, keys, CAST(coalesce(rows, 0) AS BIGINT) AS rows FROM (SELECT 'anchor' AS rule, count(*) AS keys, sum(n) AS rows FROM (SELECT count(*) AS n FROM anchor GROUP BY id_type, id_number HAVING count(*) > 1)
 UNION ALL SELECT 'social', count(*), sum(n) FROM (SELECT count(*) AS n FROM social GROUP BY entity_id, platform, handle HAVING count(*) > 1)

@@ -15,9 +15,24 @@ TRIES = 3  # fixed value: attempts before rows count as dead letters
 
 
 def latest_version(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
-    """Newest row of every key. Partial maxima are taken before the shuffle, so a busy key costs one row per task."""
-    newest = F.max_by(F.struct(*df.columns), F.struct(*order)).alias("_row")
-    return df.groupBy(F.col(key).alias("_key")).agg(newest).select("_row.*")
+    """Newest row of every key: highest in the first column of ``order``, among those in the next, and so on.
+
+    Only the key and the order columns are aggregated, by maxima of plain values in hash aggregates with partial results before their
+    shuffles; whole rows are neither sorted nor compared, a semi join picks them. A busy key is spread until the last step, which has
+    one row per value of the first order column and task. Of rows that are equal in all order columns the one with the highest hash
+    of its columns stays, and rows that are equal throughout are one. Null is oldest.
+    """
+    steps = [f"_o{i}" for i in range(len(order) + 1)]
+    values = [F.col(key).alias("_key"), *[F.col(c).alias(s) for c, s in zip(order, steps)], F.xxhash64(*df.columns).alias(steps[-1])]
+    slim = df.select(*values)
+    for i in reversed(range(len(steps))):
+        last = steps[i]
+        after = [F.coalesce(F.max_by(s, last), F.max(F.when(F.col(last).isNull(), F.col(s)))).alias(s) for s in steps[i + 1:]]
+        slim = slim.groupBy("_key", *steps[:i]).agg(F.max(last).alias(last), *after)
+    same = F.col("_key").eqNullSafe(F.col(key))
+    for c, s in zip([F.col(c) for c in order] + [F.xxhash64(*df.columns)], steps):
+        same = same & c.eqNullSafe(F.col(s))
+    return df.join(slim, same, "left_semi").distinct()
 
 
 def live_rows(df: DataFrame, key: str, order: Sequence[str]) -> DataFrame:
