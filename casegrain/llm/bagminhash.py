@@ -16,7 +16,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window, functions as F
 
-from casegrain.llm.common import mixed, query, shingles, table, text_batches
+from casegrain.llm.common import mixed, packed_block, query, released, shingles, summed_blocks, table, text_batches, unpacked_block
 from casegrain.operators.resolve import canonical_ids
 from casegrain.session import stored
 
@@ -29,6 +29,8 @@ BANDS, ROWS = 24, 4
 SMALL_FAMILY = 16
 
 _BITS = 512
+#: Counters of names (a power of two), and how many are summed at a time.
+_COUNTER_BITS, _COUNTER_SLICE = 22, 1 << 16
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 _SPARE = 6.0
 
@@ -122,7 +124,7 @@ def sketches(docs: DataFrame, bands: int = BANDS, rows: int = ROWS, width: int =
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     return (docs.select("doc_id", F.xxhash64(F.coalesce("text", F.lit(""))).alias("node"), "text")
-            .mapInArrow(sketch, f"doc_id {kind}, node bigint, keys array<bigint>"))
+            .mapInArrow(released(sketch), f"doc_id {kind}, node bigint, keys array<bigint>"))
 
 
 def _shared(a: np.ndarray, b: np.ndarray) -> int:
@@ -178,7 +180,7 @@ def compared(pairs: DataFrame, contents: DataFrame, least: float) -> DataFrame:
     joined = (pairs.join(contents.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a")
               .join(contents.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b"))
     return joined.select("a", "b", "large", "bag_a", "bag_b").mapInArrow(
-        test, "a bigint, b bigint, linked boolean, total bigint, need double, over double, names array<bigint>, bits array<bigint>")
+        released(test), "a bigint, b bigint, linked boolean, total bigint, need double, over double, names array<bigint>, bits array<bigint>")
 
 
 def _within(family: DataFrame) -> DataFrame:
@@ -188,28 +190,72 @@ def _within(family: DataFrame) -> DataFrame:
     return x.join(y, "a").where("x < y and group_x <> group_y").select("x", "y")
 
 
-def _across(family: DataFrame, least: float) -> DataFrame:
-    """Pairs of members of one large family that are in different groups and may be similar enough.
+def _rare_names(families: DataFrame, least: float) -> DataFrame:
+    """Members (a, b, total, need, over, bits) with ``rare``: keys (name in family) and places of the rarest names of their differences.
 
-    With the family's centre as origin, the intersection of two members follows from what their differences to it have
-    in common: similarity is at least ``least`` just if that is need(x) + over(y), where a member is linked to the origin if
-    ``over`` is not positive. Members that share so much of their differences share a name among the rarest names of both, at
-    a place that leaves room for the rest (prefix filter), so only such pairs are made: near copies that were edited in
-    different places share common names alone and do not meet. Where ``bits`` differ, so do the names, which caps what two
-    members share before any text is looked at.
+    Two members that are similar enough share a name among the rarest of both, at a place that leaves room for the rest (prefix
+    filter); any order that all members follow will do. Here names are ordered by how often a table of hashed counters has seen
+    them, which needs no join and has a fixed size. What a counter has seen once nobody else has, so it keeps its place and goes.
+    """
+    bits = _COUNTER_BITS
+
+    def keys_of(batch) -> Iterator[np.ndarray]:
+        for family, names in zip(batch.column(0).to_pylist(), batch.column(1)):
+            seed = mixed(np.array([family], dtype=np.int64).view(np.uint64))
+            yield mixed(np.asarray(names.values).view(np.uint64) ^ seed) if names.is_valid else np.zeros(0, dtype=np.uint64)
+
+    def tally(batches) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(1 << bits, dtype=np.int64)
+        for batch in batches:
+            slots = np.concatenate([*keys_of(batch), np.zeros(0, dtype=np.uint64)]) >> np.uint64(64 - bits)
+            slot, n = np.unique(slots.astype(np.int64), return_counts=True)
+            total[slot] += n
+        cut = total.reshape(-1, _COUNTER_SLICE)
+        some = np.flatnonzero(cut.any(axis=1))
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed_block(cut[i]) for i in some], type=pa.binary())],
+                                         names=["slice", "block"])
+
+    counters = np.zeros(1 << bits, dtype=np.int32)
+    parts = families.select("a", "names").mapInArrow(released(tally), "slice int, block binary")
+    for r in summed_blocks(parts, "int64", "int64", _COUNTER_SLICE).toLocalIterator():
+        low = r["slice"] * _COUNTER_SLICE
+        counters[low:low + _COUNTER_SLICE] = np.minimum(unpacked_block(bytes(r["block"]), "int64", _COUNTER_SLICE), 1 << 30)
+    sent = families.sparkSession.sparkContext.broadcast(counters)
+
+    def rarest(batches) -> Iterator[pa.RecordBatch]:
+        known = sent.value
+        for batch in batches:
+            found = []
+            for keys, total, need, over in zip(keys_of(batch), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
+                often = known[(keys >> np.uint64(64 - bits)).astype(np.int64)]
+                order = np.lexsort((keys, often))
+                # What they must share at least: a member that is linked to the origin meets only such as are not, which adds to its need.
+                must = need if over <= 0 else min(need, over * (1 + least))
+                upto = total - int(np.ceil(max(must, 1.0) - 1e-6)) + 1
+                place = np.flatnonzero(often[order][:max(upto, 0)] > 1)
+                found.append([{"key": k, "place": p} for k, p in zip(keys[order[place]].view(np.int64).tolist(), (place + 1).tolist())])
+            rare = pa.array(found, type=pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64())])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, 7)], rare],
+                                             names=["a", "b", "total", "need", "over", "bits", "rare"])
+
+    return families.select("a", "names", "b", "total", "need", "over", "bits").mapInArrow(
+        released(rarest), "a bigint, b bigint, total bigint, need double, over double, bits array<bigint>, rare array<struct<key:bigint,place:bigint>>")
+
+
+def _across(rare: DataFrame, grouped: DataFrame, least: float) -> DataFrame:
+    """Pairs of members of one large family that are in different groups (``grouped``: b, group) and may be similar enough.
+
+    With the family's centre as origin, the intersection of two members follows from what their differences to it have in
+    common: similarity is at least ``least`` just if that is need(x) + over(y), where a member is linked to the origin if ``over``
+    is not positive. Only members that share a rare name meet, see `_rare_names`: near copies that were edited in different
+    places do not. Where ``bits`` differ, so do the names, which caps what two members share before any text is looked at.
     """
     cols = ["group", "total", "need", "over", "bits"]
-    named = family.select("a", "b", *cols, F.explode("names").alias("name"))
-    named = named.withColumn("key", F.xxhash64("a", "name"))
-    # Names of one group alone join no others; in the order of names they stand before all that are looked at.
-    often = (named.groupBy("key").agg(F.count(F.lit(1)).alias("often"), F.min("group").alias("least"), F.max("group").alias("most"))
-             .where("least < most").select("key", "often"))
-    own = Window.partitionBy("a", "b")
-    shared = named.join(often, "key").withColumn(
-        "place", F.col("total") - F.count(F.lit(1)).over(own) + F.row_number().over(own.orderBy("often", "key")))
-    shared = stored(shared.where(F.col("place") <= F.col("total") - F.ceil(F.greatest(
-        F.least(F.col("need"), F.col("over") * (1 + least)), F.lit(1.0)) - 1e-6) + 1)
-        .select("key", "b", *cols, "place"), "rare-names")
+    named = rare.join(grouped, "b").select("b", *cols, F.explode("rare").alias("name"))
+    named = stored(named.select("b", *cols, "name.key", "name.place"), "rare-names")
+    # Names of one group alone join no others.
+    often = (named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
+    shared = named.join(often, "key", "left_semi")
 
     def side(name: str) -> DataFrame:
         return shared.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("b", *cols, "place")])
@@ -257,7 +303,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     found = rows_of.join(wanted, (F.col("_node") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("lead")), "left_semi")
     # Rows that repeat both text and id match as often as they are there; one bag for each node stays.
     once = found.groupBy(F.col("_node").alias("node")).agg(F.min("text").alias("text"))
-    contents = stored(once.mapInArrow(bag, "node bigint, bag binary"), "bags")
+    contents = stored(once.mapInArrow(released(bag), "node bigint, bag binary"), "bags")
 
     def groups(links: DataFrame) -> DataFrame:
         edges = links.select(F.col("a").alias("entity_a"), F.col("b").alias("entity_b"))
@@ -273,7 +319,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     links = first.where("linked").unionByName(second.where("linked")).select("a", "b")
     grouped = stored(groups(links).withColumnRenamed("node", "b"), "groups")
     few = first.join(size.where("not crowded").select("a"), "a", "left_semi")
-    more = (_within(few.join(grouped, "b")).unionByName(_across(second.join(grouped, "b"), least)).distinct()
+    more = (_within(few.join(grouped, "b")).unionByName(_across(_rare_names(second, least), grouped, least)).distinct()
             .select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("large")))
     links = links.unionByName(stored(compared(more, contents, least).where("linked").select("a", "b"), "more-links"))
     classes = texts.select("node", "lead").join(groups(links), "node")
