@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window, functions as F
 
-from casegrain.llm.common import query, table, text_batches, with_columns, worker_state
+from casegrain.llm.common import query, released, table, text_batches, with_columns, worker_state
 from casegrain.session import stored
 
 CAPACITY = 2048
@@ -35,7 +35,7 @@ class WordEncoder:
     ``most``, or their ids more than eight times as many.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    def __init__(self, path: str, most: int = 50_000):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -197,11 +197,11 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
                 "task": pa.array(np.full(len(doc), task, dtype=np.int32)), "rank": pa.array(rank)}
             if keep_ids:
                 columns["ids"] = pa.array([c.astype(np.int32) for c in cuts], type=pa.list_(pa.int32()))
-            yield with_columns(batch.take(pa.array(doc)), ["doc_id"], columns)
+            yield with_columns(batch.select(["doc_id"]).take(pa.array(doc)), ["doc_id"], columns)
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
-    return docs.select("doc_id", "text").mapInArrow(cut, schema + (", ids array<int>" if keep_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(released(cut), schema + (", ids array<int>" if keep_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
@@ -242,7 +242,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
     keep = ["doc_id", "piece", "start", "length", "ids_crc32"] + ["ids"] * keep_ids
     ranked = made.join(offsets, ["task", "length"]).withColumn("rank", F.col("rank") + F.col("before")).select(*keep, "rank")
     schema = ranked.drop("rank").schema.add("sequence_id", "long").add("offset", "long")
-    return ranked.mapInArrow(place, schema)
+    return ranked.mapInArrow(released(place), schema)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

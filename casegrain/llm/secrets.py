@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from casegrain.llm.common import code_points, query, table, text_batches, with_columns
+from casegrain.llm.common import code_points, query, released, table, text_batches, with_columns
 from casegrain.session import stored
 
 # The kinds and their patterns.
@@ -196,7 +196,7 @@ def train(docs: DataFrame, fit_values: int = FIT_VALUES) -> dict[str, Automaton]
             yield pa.RecordBatch.from_arrays([pa.array([kinds[i] for i in kept], type=pa.string()),
                                               pa.array([values[i] for i in kept], type=pa.string())], names=["kind", "value"])
 
-    found = stored(docs.select("text").mapInArrow(labelled, "kind string, value string").distinct(), "labelled-values")
+    found = stored(docs.select("text").mapInArrow(released(labelled), "kind string, value string").distinct(), "labelled-values")
     found = found.withColumn("pick", F.xxhash64("value"))
     picked = None
     for kind in (*KINDS, *ORDINARY):
@@ -243,7 +243,7 @@ def scan(docs: DataFrame, automata: dict[str, Automaton], least_gain: float = LE
                 out.append(sorted(spans, key=lambda s: s["start"]))
             yield with_columns(batch, batch.schema.names, {"secrets": pa.array(out, type=arrow)})
 
-    return docs.mapInArrow(find, T.StructType([*docs.schema.fields, T.StructField("secrets", span)]))
+    return docs.mapInArrow(released(find), T.StructType([*docs.schema.fields, T.StructField("secrets", span)]))
 
 
 def redacted(scanned: DataFrame) -> DataFrame:
@@ -262,7 +262,7 @@ def redacted(scanned: DataFrame) -> DataFrame:
             columns = [pa.array(out, type=pa.string()) if n == "text" else c for n, c in zip(batch.schema.names, batch.columns)]
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names).drop_columns(["secrets"])
 
-    return scanned.mapInArrow(cut, T.StructType([f for f in scanned.schema.fields if f.name != "secrets"]))
+    return scanned.mapInArrow(released(cut), T.StructType([f for f in scanned.schema.fields if f.name != "secrets"]))
 
 
 @query("op5_secret_formats")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql import types as T
 
-from casegrain.llm.common import folded, held_out, query, table, text_batches
+from casegrain.llm.common import folded, held_out, query, released, table, text_batches
 from casegrain.session import stored
 
 N_GRAMS = (3, 4, 5)
@@ -117,7 +117,7 @@ def tallies(labelled: DataFrame, buckets: int = BUCKETS) -> DataFrame:
         at = np.flatnonzero(ones + zeros)
         return pd.DataFrame({"bucket": (key[0] * _BLOCK + at).astype("int32"), "ones": ones[at], "zeros": zeros[at]})
 
-    return (labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(tally, "block int, ones binary, zeros binary")
+    return (labelled.select(F.col("toxic").cast("int").alias("toxic"), "text").mapInArrow(released(tally), "block int, ones binary, zeros binary")
             .groupBy("block").applyInPandas(added, "bucket int, ones bigint, zeros bigint"))
 
 
@@ -189,7 +189,7 @@ def scored(docs: DataFrame, model: Model, threshold: float = THRESHOLD) -> DataF
 
     schema = T.StructType([*docs.schema.fields, T.StructField("toxic_score", T.DoubleType()),
                            T.StructField("toxic_predicted", T.IntegerType())])
-    return docs.mapInArrow(score, schema)
+    return docs.mapInArrow(released(score), schema)
 
 
 def training_rows(docs: DataFrame, labels: DataFrame) -> DataFrame:
