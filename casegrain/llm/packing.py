@@ -23,6 +23,9 @@ END_ID = 0
 TOKENIZER = "word_bpe_49k.json"
 
 
+#: Words whose ids a Python worker remembers, about 150 bytes each: fewer take less memory and more encoding.
+REMEMBERED = 400_000
+
 #: A run of these after a letter and before white space is a token of its own (apostrophes and marks of special ids are not in it).
 _TAIL = re.compile(rb"""([a-z])([.,;:!?)*#%&$"\]]++)(?=[ \n])""")
 
@@ -35,7 +38,7 @@ class WordEncoder:
     ``most``, or their ids more than eight times as many.
     """
 
-    def __init__(self, path: str, most: int = 50_000):
+    def __init__(self, path: str, most: int = REMEMBERED):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most = Tokenizer.from_file(path), most
@@ -161,7 +164,7 @@ def best_fit_decreasing(counts: dict[int, int], capacity: int) -> tuple[list[tup
     return plan, opened
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """(doc_id, piece, start, length, ids_crc32, task, rank[, ids]): tokenised documents, cut where longer than a sequence.
 
     ``rank`` counts pieces of the same length within ``task``, so it holds only for a table that was stored.
@@ -169,7 +172,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
 
     def cut(batches) -> Iterator[pa.RecordBatch]:
         known, task = worker_state(), TaskContext.get().partitionId()
-        encode = known.get(tokenizer) or known.setdefault(tokenizer, WordEncoder(tokenizer))
+        encode = known.get((tokenizer, remembered)) or known.setdefault((tokenizer, remembered), WordEncoder(tokenizer, remembered))
         seen = np.zeros(capacity + 1, dtype=np.int64)
         for batch, texts in text_batches(batches):
             ids, offsets = encode(texts)
@@ -204,7 +207,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
     return docs.select("doc_id", "text").mapInArrow(released(cut), schema + (", ids array<int>" if keep_ids else ""))
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Pieces of documents with the ``sequence_id`` and ``offset`` they are packed at, and their ids where asked for.
 
     A document is the ids of its text and an end id (0); a null text is empty. A document longer than ``capacity`` is cut
@@ -215,7 +218,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bo
     ``tokenizer`` is the path of a tokenizer file that every executor has. The driver gets one count per length, at most
     ``capacity`` numbers, and sends back the placements: a few per length and distinct room left, whatever the table's size.
     """
-    made = stored(pieces(docs, tokenizer, capacity, keep_ids), "pieces")
+    made = stored(pieces(docs, tokenizer, capacity, keep_ids, remembered), "pieces")
     tallies = stored(made.groupBy("task", "length").agg(F.count(F.lit(1)).alias("n")), "tallies")
     counts = {r["length"]: r["n"] for r in tallies.groupBy("length").agg(F.sum("n").alias("n")).collect()}
     plan, _ = best_fit_decreasing(counts, capacity)
