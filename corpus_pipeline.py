@@ -70,8 +70,11 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Where each piece of each document goes: sequence and offset, sequences of 2048 ids."""
-    return packing.pack(docs, packing.public_tokenizer())
+    """Where each piece of each document goes: sequence and offset, sequences of 2048 ids.
+
+    The stages before have left little room in the executors, so workers remember fewer words than `op3` alone lets them.
+    """
+    return packing.pack(docs, packing.public_tokenizer(), remembered=50_000)
 
 
 STAGES = [
