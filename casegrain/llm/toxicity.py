@@ -22,6 +22,7 @@ FIT_ROWS = 3000
 FEATURES, LEAST_Z = 20_000, 5.0
 #: Labels of up to this many rows (about 100 MB as a hash table) are sent to the documents; more are joined by a shuffle.
 BROADCAST_LABELS = 250_000
+_PART = 500_000
 _BLOCK = 1024
 THRESHOLD = 0.3
 
@@ -79,16 +80,22 @@ def fit(rows: list[np.ndarray], labels: np.ndarray, ratio: np.ndarray, prior: fl
     labels = np.asarray(labels, dtype=np.float64)
     if not len(rows) or labels.min() == labels.max() or not len(ratio):
         return np.zeros(len(ratio)), share
-    column = np.concatenate(rows)
-    doc = np.repeat(np.arange(len(rows)), [len(r) for r in rows])
-    scaled = ratio[column]
+    # Sums go over a part of the rows at a time: what is held is their feature numbers and little else.
+    sizes = np.array([len(r) for r in rows])
+    column, ends = np.concatenate(rows), np.append(0, np.cumsum(sizes))
+    cuts = np.unique(np.append(np.searchsorted(ends, np.arange(0, ends[-1], _PART)), len(rows)))
+    parts = [(lo, hi, column[ends[lo]:ends[hi]]) for lo, hi in zip(cuts[:-1], cuts[1:])]
     worth = np.where(labels == 1, 0.5 / labels.sum(), 0.5 / (1 - labels).sum())
     w, b = np.zeros(len(ratio)), 0.0
     g2, gb2 = np.full(len(ratio), 1e-12), 1e-12
     for _ in range(rounds):
-        z = np.bincount(doc, weights=scaled * w[column], minlength=len(rows)) + b
+        z, scaled, grad = np.full(len(rows), b), ratio * w, np.zeros(len(ratio))
+        for lo, hi, own in parts:
+            z[lo:hi] += np.bincount(np.repeat(np.arange(hi - lo), sizes[lo:hi]), weights=scaled[own], minlength=hi - lo)
         error = (1 / (1 + np.exp(-np.clip(z, -40, 40))) - labels) * worth
-        grad = np.bincount(column, weights=scaled * error[doc], minlength=len(ratio)) + penalty * w / len(ratio) ** 0.5
+        for lo, hi, own in parts:
+            grad += np.bincount(own, weights=np.repeat(error[lo:hi], sizes[lo:hi]), minlength=len(ratio))
+        grad = grad * ratio + penalty * w / len(ratio) ** 0.5
         g2 += grad ** 2
         gb2 += error.sum() ** 2
         w -= 0.1 * grad / np.sqrt(g2)
@@ -166,7 +173,9 @@ def train(labelled: DataFrame, fit_rows: int = FIT_ROWS, buckets: int = BUCKETS,
         found, "toxic int, pick bigint, found binary").collect()
     seen.sort(key=lambda r: (r["toxic"], r["pick"], bytes(r["found"])))
     chosen = [r for k in (0, 1) for r in [r for r in seen if r["toxic"] == k][:fit_rows]]
-    weights, bias = fit([np.frombuffer(bytes(r["found"]), dtype=np.int32) for r in chosen], np.array([r["toxic"] for r in chosen]), ratio, prior)
+    found_in, labels = [np.frombuffer(r["found"], dtype=np.int32) for r in chosen], np.array([r["toxic"] for r in chosen])
+    del seen, chosen
+    weights, bias = fit(found_in, labels, ratio, prior)
     weight[names] = weights
     return Model(weight, float(bias))
 
