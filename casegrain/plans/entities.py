@@ -92,7 +92,7 @@ def fuzzy_name_edges(spark, sf):
 
 
 VIEWS["titled"] = (("documents", "nation", "part"), """
-SELECT doc_id * 10 AS id, substr(split_part(text, '.', 1), 1, 30) AS name FROM documents
+SELECT doc_id * 10 AS id, translate(substr(split_part(text, '.', 1), 1, 30), 'äöüßàâáãåæçéèêëîïíìôóòõøœûùúñÿÄÖÜÀÂÁÇÉÈÊËÎÏÍÔÓÛÙÚÑ¿¡', 'aousaaaaaaceeeeiiiiooooooiuunyAOUAAACEEEEIIIOOUUUN??') AS name FROM documents
 UNION ALL SELECT n_nationkey * 10 + 4, n_name FROM nation UNION ALL SELECT p_partkey * 10 + 3, p_name FROM part""")
 
 
