@@ -254,3 +254,11 @@ def test_similar_names_are_those_of_brute_force(spark):
                     expected.add((*sorted((first[a], first[b])), 1 - levenshtein(a, b) / longer))
         found = {(r["entity_a"], r["entity_b"], r["similarity"]) for r in resolve.similar_name_edges(df, "id", "name", threshold).collect()}
         assert {(a, b, round(s, 9)) for a, b, s in found} == {(a, b, round(s, 9)) for a, b, s in expected}
+
+
+def test_name_joins_never_broadcast_exploded_names(spark):
+    df = spark.createDataFrame([(i, f"name {i:05d}") for i in range(300)], "id bigint, name string")
+    for edges in [resolve.similar_name_edges(df, "id", "name", 0.8)]:
+        plan = edges._jdf.queryExecution().sparkPlan().toString()
+        joins = [line for line in plan.splitlines() if "Join" in line and ("_cut" in line or "s#" in line)]
+        assert joins and all("SortMergeJoin" in line for line in joins), plan
