@@ -258,7 +258,17 @@ def test_similar_names_are_those_of_brute_force(spark):
 
 def test_name_joins_never_broadcast_exploded_names(spark):
     df = spark.createDataFrame([(i, f"name {i:05d}") for i in range(300)], "id bigint, name string")
-    for edges in [resolve.similar_name_edges(df, "id", "name", 0.8)]:
+    for edges in (resolve.fuzzy_name_edges(df, "id", "name", 0.8), resolve.similar_name_edges(df, "id", "name", 0.8)):
         plan = edges._jdf.queryExecution().sparkPlan().toString()
         joins = [line for line in plan.splitlines() if "Join" in line and ("_cut" in line or "s#" in line)]
         assert joins and all("SortMergeJoin" in line for line in joins), plan
+
+
+def test_fuzzy_name_edges_move_no_names_that_are_further_apart(spark):
+    # All of these meet in one cut or more; few are one edit apart.
+    names = [f"{i:03d}" for i in range(200)]
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    edges = resolve.fuzzy_name_edges(df, "id", "name", 0.5)
+    assert edges.count() == sum(levenshtein(a, b) == 1 for a, b in itertools.combinations(names, 2))
+    plan = edges._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join Inner") == 2  # that of equal names, and the one in which others meet and are compared
