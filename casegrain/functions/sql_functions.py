@@ -17,9 +17,15 @@ _CLASSIFY = "CASE " + " ".join(
     f"WHEN {'lower(v)' if kind == 'email' else 'c'} RLIKE r'{pattern}' THEN '{kind}'" for kind, pattern in ID_PATTERNS
 ) + " ELSE 'general' END"
 
-_BYTES = "transform(sequence(1, length(h) div 2), i -> CAST(conv(substr(h, CAST(i * 2 - 1 AS INT), 2), 16, 10) AS INT))"
-_FNV_STEP = (f"CAST((CAST(acc - acc % 256 + (CAST(acc % 256 AS INT) ^ b) AS DECIMAL(20,0)) * CAST({FNV_PRIME} AS DECIMAL(13,0))) "
-             f"% CAST({2**64} AS DECIMAL(20,0)) AS DECIMAL(38,0))")
+_DIGITS = "'123456789ABCDEF'"
+_BYTES = (f"transform(sequence(1, length(h) div 2), i -> CAST(instr({_DIGITS}, substr(h, CAST(i * 2 - 1 AS INT), 1)) * 16 "
+          f"+ instr({_DIGITS}, substr(h, CAST(i * 2 AS INT), 1)) AS BIGINT))")
+# The hash as two halves of 32 bits in plain 64-bit numbers, none of which can overflow: the prime is 2^40 + _FNV_LOW.
+_FNV_LOW, _HALF = FNV_PRIME - 2**40, 2**32 - 1
+_FNV_START = f"named_struct('high', CAST({FNV_OFFSET >> 32} AS BIGINT), 'low', CAST({FNV_OFFSET & _HALF} AS BIGINT))"
+_FNV_STEP = (f"named_struct('high', (acc.high * {_FNV_LOW} + shiftright((acc.low ^ b) * {_FNV_LOW}, 32) + (acc.low ^ b) * 256) & CAST({_HALF} AS BIGINT), "
+             f"'low', ((acc.low ^ b) * {_FNV_LOW}) & CAST({_HALF} AS BIGINT))")
+_FNV_END = "CAST(CAST(acc.high AS DECIMAL(20,0)) * CAST(4294967296 AS DECIMAL(20,0)) + acc.low AS DECIMAL(20,0))"
 
 SCALARS = {
     "classify_value": ("v STRING", "STRING",
@@ -28,8 +34,8 @@ SCALARS = {
                       "CASE lower(kind) WHEN 'aadhaar' THEN mask_aadhaar(number) WHEN 'pan' THEN mask_pan(number) "
                       "WHEN 'driving_license' THEN mask_driving_license(number) ELSE mask_passport(number) END"),
     "token_hash": ("t STRING", "DECIMAL(20,0)",
-                   f"CASE WHEN t = '' THEN CAST({FNV_OFFSET} AS DECIMAL(20,0)) ELSE (SELECT CAST(aggregate({_BYTES}, CAST({FNV_OFFSET} AS DECIMAL(38,0)), "
-                   f"(acc, b) -> {_FNV_STEP}) AS DECIMAL(20,0)) FROM (SELECT hex(lower(t)) AS h)) END"),
+                   f"CASE WHEN t = '' THEN CAST({FNV_OFFSET} AS DECIMAL(20,0)) ELSE (SELECT aggregate({_BYTES}, {_FNV_START}, "
+                   f"(acc, b) -> {_FNV_STEP}, acc -> {_FNV_END}) FROM (SELECT hex(lower(t)) AS h)) END"),
     "global_id": ("table_id INT, row_id BIGINT", "DECIMAL(20,0)",
                   f"CAST(CAST(table_id AS DECIMAL(20,0)) * {1 << ROW_BITS} + (row_id & {(1 << ROW_BITS) - 1}) AS DECIMAL(20,0))"),
     "mask_aadhaar": ("s STRING", "STRING", "concat('XXXX-XXXX-', right(regexp_replace(s, '[ -]', ''), 4))"),

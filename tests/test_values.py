@@ -181,3 +181,20 @@ def test_every_domain_and_range_of_the_tables_is_checked(spark):
             broken = [r[0] for r in df.select(values.violations(values.table_rules(table, [name]))).collect()]
             rule = f"{name}_range" if kind != "string" else f"{name}_domain"
             assert broken == [[], [rule], []]
+
+
+def test_token_hash_in_sql_is_exact_and_uses_no_wide_decimals(spark):
+    sql_functions.register_scalars(spark)
+    words = ["", "a", "Hello", "straße", "日本", "x" * 50, "ÿ\u0000z"]
+    spark.createDataFrame([(w,) for w in words], "v string").createOrReplaceTempView("words")
+    assert [int(r[1]) for r in sorted(spark.sql("SELECT v, token_hash(v) FROM words").collect())] == [fnv(w.lower()) for w in sorted(words)]
+    assert "decimal(38" not in sql_functions.SCALARS["token_hash"][2].lower()
+
+
+def test_spread_deals_the_rows_of_one_large_task(spark):
+    from casegrain.session import spread
+
+    rows = spark.range(0, 4000, 1, 1)
+    sizes = [r["n"] for r in spread(rows).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= 400
+    assert sorted(r["id"] for r in spread(rows, "id").collect()) == list(range(4000))
