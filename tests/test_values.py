@@ -198,3 +198,11 @@ def test_spread_deals_the_rows_of_one_large_task(spark):
     sizes = [r["n"] for r in spread(rows).groupBy(F.spark_partition_id().alias("p")).agg(F.count(F.lit(1)).alias("n")).collect()]
     assert sum(sizes) == 4000 and max(sizes) <= 400
     assert sorted(r["id"] for r in spread(rows, "id").collect()) == list(range(4000))
+
+
+def test_keys_are_dealt_before_they_are_counted(spark):
+    df = spark.createDataFrame([(i // 2, "x") for i in range(10)] + [(None, "x")] * 3 + [(99, "y")], "a int, b string")
+    found = values.unique_violations(df, ["a", "b"])
+    assert sorted((r["a"] is None, r["a"] or 0, r["copies"]) for r in found.collect()) == [(False, i, 2) for i in range(5)] + [(True, 0, 3)]
+    plan = found._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") > plan.rindex("HashAggregate")
