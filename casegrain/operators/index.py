@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from casegrain.functions import identity, text, values
 from casegrain.operators.filters import any_of
 from casegrain.operators.skew import hot_keys
+from casegrain.session import spread
 
 LIST_SIZE = 65536
 LONG_LIST = 1_000_000  # fixed value: lists longer than this are flagged
@@ -45,8 +46,10 @@ def record_tokens(df: DataFrame, key: str, tokens: Column, unique_key: bool = Fa
                   terms: Sequence[str] | None = None) -> DataFrame:
     """(key, token), each pair once. Tokens are distinct per row, so a unique key needs no further pass.
 
-    ``terms`` keeps only those tokens, before rows are multiplied.
+    ``terms`` keeps only those tokens, before rows are multiplied. Where keys may repeat, rows are dealt by their key first: a
+    large file would be one task, that holds all its pairs; and pairs of a key need no second shuffle.
     """
+    df = df if unique_key else spread(df, key)
     tokens = tokens if terms is None else F.array_intersect(tokens, F.array(*[F.lit(t) for t in terms]))
     pairs = df.select(key, F.explode(tokens).alias("token"))
     return pairs if unique_key else pairs.distinct()
@@ -95,7 +98,7 @@ def token_bitmap(index: DataFrame) -> DataFrame:
     """Mergeable set of row ids per token and table, as 64-bit words: bit ``pk mod 64`` of word ``pk div 64``.
 
     A rare token costs a few words, a frequent one a bit per row, and words merge with ``bit_or`` in hash aggregation
-    with partial results before the shuffle. (Spark's own bitmap aggregate takes 4 KB for every token, and sorts.)
+    with partial results before the shuffle. Rows are best dealt to all tasks (`spread`) before they are split. (Spark's own bitmap aggregate takes 4 KB for every token, and sorts.)
     """
     pk = F.col("pk")
     bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), pk.bitwiseAND(F.lit(63)).cast("int"))

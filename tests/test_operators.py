@@ -272,3 +272,11 @@ def test_fuzzy_name_edges_move_no_names_that_are_further_apart(spark):
     assert edges.count() == sum(levenshtein(a, b) == 1 for a, b in itertools.combinations(names, 2))
     plan = edges._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("Join Inner") == 2  # that of equal names, and the one in which others meet and are compared
+
+
+def test_pairs_of_keys_that_repeat_are_dealt_before_they_are_made(spark):
+    df = spark.createDataFrame([(1, ["a", "b"]), (1, ["b"]), (2, ["a"]), (None, ["c"]), (None, ["c"])], "k int, t array<string>")
+    pairs = index.record_tokens(df, "k", F.col("t"))
+    assert sorted((r["k"] or 0, r["token"]) for r in pairs.collect()) == [(0, "c"), (1, "a"), (1, "b"), (2, "a")]
+    plan = pairs._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
+    assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") > plan.index("Generate")
