@@ -11,7 +11,7 @@ from casegrain.functions import text
 from casegrain.plans.files import write_event_lines
 from casegrain.plans.registry import query
 from casegrain.plans.views import table, view, with_views
-from casegrain.session import fresh_dir
+from casegrain.session import fresh_dir, spread
 from casegrain.streaming import cdc, maintain, streams
 
 C = F.col
@@ -264,6 +264,8 @@ def stream_token_bitmap(spark, sf):
     path = f"{sf}/documents.parquet"
     docs = streams.table_stream(spark, path, table(spark, sf, "documents").schema, maxFilesPerTrigger="64")
     words = F.array_distinct(F.filter(text.split_words(C("text")), lambda w: F.length(w) >= 2))
+    # Rows of one bitmap word meet in one task before they are split: a large file's task would hold the bitmaps of all its rows.
+    docs = spread(docs.select("doc_id", "text"), F.shiftright("doc_id", 6))
     tokens = docs.select(F.explode(words).alias("token"), F.lit("documents").alias("table_name"), C("doc_id").alias("pk"))
     store = cdc.BatchTable(spark, fresh_dir(spark, "bitmaps"))
     streams.run_available(tokens.writeStream.foreachBatch(cdc.bitmap_batch(store)), fresh_dir(spark, "ckpt"))
