@@ -98,17 +98,24 @@ def csv_ingest(spark, sf):
     return ingest.csv_ingest(spark, path)
 
 
+ARRAY_BYTES = 16 << 20  # about what one file of a JSON array holds: its reader takes it whole
+
+
 def write_json_arrays(spark, sf, path):
-    """Conversations as files that hold one JSON array each (with an empty object first), one file per 50,000 turns."""
+    """Conversations as files that hold one JSON array each (with an empty object first), one file per 16 MB of text.
+
+    Files are dealt to tasks by their number, and turns to files by hash and place, so that no task writes much more than another
+    and equal turns do not share a file.
+    """
     c = table(spark, sf, "conversations")
-    files = max(1, math.ceil(c.count() / 50_000))
-    file_no = F.pmod(F.xxhash64("conv_id", "turn"), F.lit(files)).cast("int").alias("file_no")
+    files = max(1, math.ceil((c.agg(F.sum(F.octet_length("text") + 100)).head()[0] or 0) / ARRAY_BYTES))
+    file_no = F.pmod(F.xxhash64("conv_id", "turn", F.monotonically_increasing_id()), F.lit(files)).cast("int").alias("file_no")
     record = F.to_json(F.struct("conv_id", "turn", F.struct("role", "text").alias("msg"), F.array("role", F.lit("chat")).alias("tags")))
     body = c.select(file_no, F.lit(1).alias("ord"), F.concat(F.lit(","), record).alias("value"))
-    marks = body.select("file_no").distinct()
-    frame = marks.select("file_no", F.lit(0).alias("ord"), F.lit("[{}").alias("value")).unionByName(
-        marks.select("file_no", F.lit(2).alias("ord"), F.lit("]").alias("value")))
-    (body.unionByName(frame).repartition(files, "file_no").sortWithinPartitions("file_no", "ord")
+    numbers = spark.range(files).select(C("id").cast("int").alias("file_no"))
+    frame = numbers.select("file_no", F.lit(0).alias("ord"), F.lit("[{}").alias("value")).unionByName(
+        numbers.select("file_no", F.lit(2).alias("ord"), F.lit("]").alias("value")))
+    (body.unionByName(frame).repartitionById(files, C("file_no")).sortWithinPartitions("file_no", "ord")
      .drop("ord").write.partitionBy("file_no").text(path))
 
 

@@ -112,3 +112,15 @@ def test_profile_is_unmasked_only_on_request(spark):
         row = profile.entity_profile(entities, anchors, socials, banks, cases, roles, unmask).head()
         assert row["identity_anchors"][0]["id_number"] == id_number and row["bank_accounts"][0]["account"] == account
         assert [c["contact_type"] for c in row["contacts"]] == ["email"]
+
+
+def test_json_arrays_are_even_also_where_turns_are_equal(spark, tmp_path, monkeypatch):
+    from casegrain.plans import files
+
+    monkeypatch.setattr(files, "ARRAY_BYTES", 20_000, raising=False)
+    sf = tmp_path / "tables"
+    spark.range(0, 2000, 1, 4).selectExpr("1L as conv_id", "0L as turn", "'user' as role", "repeat('x', 100) as text").write.parquet(f"{sf}/conversations.parquet")
+    files.write_json_arrays(spark, str(sf), f"{tmp_path}/out")
+    sizes = [p.stat().st_size for p in (tmp_path / "out").rglob("*.txt")]
+    assert len(sizes) == 20 and max(sizes) < 2 * sum(sizes) / len(sizes)
+    assert ingest.json_ingest(spark, f"{tmp_path}/out/*").count() == 2000
