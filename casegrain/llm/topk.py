@@ -20,6 +20,8 @@ from casegrain.session import stored
 SCALE = 256
 PIVOTS = 16
 QUERY_BLOCK, ROW_BLOCK = 256, 1024
+#: Bytes of the row blocks that a stripe holds, and of one block, at most or a little more; a task has all blocks of a stripe in memory.
+STRIPE_BYTES, BLOCK_BYTES = 32 << 20, 1 << 20
 NO_ID = (1 << 63) - 1
 
 
@@ -34,8 +36,8 @@ def usable(embeddings: DataFrame, scale: int = SCALE) -> DataFrame:
             .select(F.monotonically_increasing_id().alias("rid"), F.col("vec_id").cast("bigint").alias("vec_id"), scaled.alias("v")))
 
 
-def _matrix(vectors, width: int) -> np.ndarray:
-    out = np.zeros((len(vectors), width), dtype=np.int64)
+def _matrix(vectors, width: int, kind: type = np.int64) -> np.ndarray:
+    out = np.zeros((len(vectors), width), dtype=kind)
     for i, v in enumerate(vectors):
         out[i, :len(v)] = v
     return out
@@ -48,17 +50,19 @@ def _distances(rows: np.ndarray, pivots: np.ndarray) -> np.ndarray:
 
 def _scores(q: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products as 64-bit integers: in floating point where that is exact, which is much faster."""
-    most = float(np.abs(q).max(initial=0)) * float(np.abs(rows).max(initial=0)) * q.shape[-1]
-    return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if most < 2 ** 52 else rows @ q
+    most = float(np.abs(q.astype(np.int64)).max(initial=0)) * float(np.abs(rows.astype(np.int64)).max(initial=0)) * q.shape[-1]
+    return (rows.astype(np.float64) @ q.astype(np.float64)).astype(np.int64) if most < 2 ** 52 else rows.astype(np.int64) @ q.astype(np.int64)
 
 
-def blocks(rows: DataFrame, pivots: np.ndarray, size: int) -> DataFrame:
-    """Rows (rid, vec_id, v, cell) packed into blocks of about ``size`` rows of one cell: (cell, part, n, rids, ids, vectors)."""
+def blocks(rows: DataFrame, pivots: np.ndarray, size: int, kind: type = np.int64) -> DataFrame:
+    """Rows (rid, vec_id, v, cell) packed into blocks of about ``size`` rows of one cell, fewer where vectors are long:
+    (cell, part, n, rids, ids, vectors), components as numbers of this ``kind``."""
     width = pivots.shape[1]
+    size = min(size, max(16, BLOCK_BYTES // max(1, width * np.dtype(kind).itemsize)))
     sizes = rows.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / size).alias("parts"))
 
     def packed(key, frame: pd.DataFrame) -> pd.DataFrame:
-        own = _matrix(frame["v"].tolist(), width)
+        own = _matrix(frame["v"].tolist(), width, kind)
         return pd.DataFrame({"cell": [key[0]], "part": [key[1]], "n": [len(frame)], "rids": [frame["rid"].to_numpy(dtype=np.int64).tobytes()],
                              "ids": [frame["vec_id"].fillna(NO_ID).to_numpy(dtype=np.int64).tobytes()], "vectors": [own.tobytes()]})
 
@@ -114,7 +118,9 @@ def top_k(embeddings: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS,
     """
     spark = embeddings.sparkSession
     rows = stored(usable(embeddings, scale), "vectors")
-    width = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w")).first()["w"]
+    far = F.greatest(F.array_max("v"), -F.array_min("v"))
+    shape = rows.agg(F.coalesce(F.max(F.size("v")), F.lit(0)).alias("w"), F.coalesce(F.max(far), F.lit(0)).alias("far"), F.count(F.lit(1)).alias("n")).first()
+    width, kind = shape["w"], np.int16 if shape["far"] < 2 ** 15 else np.int32 if shape["far"] < 2 ** 31 else np.int64
     names = F.xxhash64("v")
     chosen = rows.groupBy(names.alias("name")).agg(F.first("v").alias("v")).orderBy("name").limit(pivots).collect()
     table_of = _matrix([r["v"] for r in chosen], width)
@@ -126,14 +132,16 @@ def top_k(embeddings: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS,
             yield batch.append_column("cell", pa.array(cell.astype(np.int32)))
 
     rows = stored(rows.mapInArrow(celled, "rid bigint, vec_id bigint, v array<bigint>, cell int"), "cells")
-    candidates = stored(blocks(rows, table_of, ROW_BLOCK), "row-blocks")
-    asked = stored(blocks(rows.where(queries), table_of, QUERY_BLOCK), "query-blocks")
+    candidates = stored(blocks(rows, table_of, ROW_BLOCK, kind), "row-blocks")
+    asked = stored(blocks(rows.where(queries), table_of, QUERY_BLOCK, kind), "query-blocks")
 
-    # Rows are blocks here: a session of its own passes few of them to Python at a time.
+    # Rows are blocks here: a session of its own reads few of them at a time and passes few to Python.
     own = spark.newSession()
     own.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 16)
-    stripes = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    own.conf.set("spark.sql.shuffle.partitions", stripes)
+    own.conf.set("spark.sql.parquet.columnarReaderBatchSize", 16)
+    own.conf.set("spark.sql.shuffle.partitions", spark.conf.get("spark.sql.shuffle.partitions"))
+    # Every stripe gets all query blocks, so there are no more than the memory of a task asks for and all tasks have work.
+    stripes = max(2 * spark.sparkContext.defaultParallelism, shape["n"] * (width * np.dtype(kind).itemsize + 16) // STRIPE_BYTES + 1)
     q = own.read.parquet(*asked.inputFiles()) if asked.inputFiles() else None
     if q is None or not candidates.inputFiles():
         return spark.createDataFrame([], "query_id bigint, rank int, vec_id bigint, score bigint")
@@ -144,8 +152,8 @@ def top_k(embeddings: DataFrame, queries: str, k: int = 5, pivots: int = PIVOTS,
         for batch in batches:
             found = []
             for r in batch.to_pylist():
-                ours = np.frombuffer(r["q_rids"], dtype=np.int64), np.frombuffer(r["q"], dtype=np.int64).reshape(-1, width)
-                theirs = (*(np.frombuffer(r[c], dtype=np.int64) for c in ("rids", "ids")), np.frombuffer(r["vectors"], dtype=np.int64).reshape(-1, width))
+                ours = np.frombuffer(r["q_rids"], dtype=np.int64), np.frombuffer(r["q"], dtype=kind).reshape(-1, width)
+                theirs = (*(np.frombuffer(r[c], dtype=np.int64) for c in ("rids", "ids")), np.frombuffer(r["vectors"], dtype=kind).reshape(-1, width))
                 floors = np.frombuffer(r["floors"], dtype=np.float64) if r.get("floors") else None
                 ids = dict(zip(*(np.frombuffer(r[c], dtype=np.int64).tolist() for c in ("q_rids", "q_ids"))))
                 found += [(a, ids[a], b, c, d) for a, b, c, d in _best(ours, theirs, table_of, k, floors)]

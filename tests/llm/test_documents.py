@@ -583,3 +583,15 @@ def test_pipeline_of_no_rows(spark):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs.select(*corpus_pipeline.COLUMNS), SF)
         assert docs.count() == 0
+
+
+def test_blocks_of_vectors_stay_small(spark):
+    """Components take the bytes they need, and blocks of long vectors have fewer rows."""
+    rows = spark.range(200).selectExpr("id as rid", "id as vec_id", "transform(sequence(1, 8192), x -> x % 100 + id % 7) as v", "0 as cell")
+    made = topk.blocks(rows, np.zeros((1, 8192), dtype=np.int64), 1024, np.int16).collect()
+    assert sum(r["n"] for r in made) == 200 and all(len(r["vectors"]) == r["n"] * 8192 * 2 for r in made)
+    assert max(len(r["vectors"]) for r in made) < 2 * topk.BLOCK_BYTES
+    far = [[i % 5, 2 ** (10 if i else 20)] for i in range(120)]  # more than 16 bits
+    found = topk.top_k(spark.createDataFrame([(i, [float(x) for x in v]) for i, v in enumerate(far)], "vec_id bigint, embedding array<double>"), "vec_id % 50 = 0")
+    scores = {q: max(256 * 256 * sum(a * b for a, b in zip(far[q], far[i])) for i in range(120) if i != q) for q in (0, 50, 100)}
+    assert {r["query_id"]: r["score"] for r in found.where("rank = 1").collect()} == scores
