@@ -1,7 +1,7 @@
 """A token index that is written once and read by every search.
 
-Postings (token, table_name, pk, sign) lie in plain Parquet folders by token bucket and batch, sorted by token, with bloom filters on
-it: a search prunes the folders of other buckets, skips the files and row groups of other tokens, and splits no text. Batch 0 is the
+Postings (token, table_name, pk, sign) lie in plain Parquet folders by token bucket and batch, sorted by token: a search prunes the
+folders of other buckets, skips the files, row groups and pages of other tokens by their least and greatest one, and splits no text. Batch 0 is the
 whole of the tables; each later batch holds what a set of changed rows adds (+1) and takes away (-1), and a record holds a token
 where the signs add up to more than zero. So deleted rows are no hits, and no file is ever rewritten; ``compacted`` folds the batches
 into a new index.
@@ -18,8 +18,8 @@ from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions
 from casegrain.functions import identity, text
 from casegrain.operators.paging import after_cursor, order_by
 
-#: Token buckets; rows of a bucket are dealt to so many files, so that a token that most rows hold is no task of its own.
-BUCKETS, SPREAD = 32, 4
+#: Token buckets, a folder each.
+BUCKETS = 32
 KEYS = ["token", "table_name", "pk"]
 
 
@@ -28,17 +28,21 @@ def bucket_of(token: Column) -> Column:
 
 
 def row_postings(df: DataFrame, table_name: str, key: str, tokens: Column | None = None, sign: int = 1) -> DataFrame:
-    """(token, table_name, pk, sign) for the tokens of every row, each once per row; by default those of all columns by type."""
+    """(token, table_name, pk, sign) for the tokens of every row, each once per row; by default those of all columns by type.
+
+    The rows are dealt out by their content before they are split: what moves is the rows, which are far less than their postings.
+    """
     tokens = text.tokens_typed(df.schema, key) if tokens is None else tokens
-    return df.select(F.explode(tokens).alias("token"), F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("pk"),
+    plain = [name for name, kind in df.dtypes if not kind.startswith(("map", "array", "struct", "variant"))]
+    return df.repartition(F.xxhash64(*plain)).select(F.explode(tokens).alias("token"), F.lit(table_name).alias("table_name"), F.col(key).cast("bigint").alias("pk"),
                      F.lit(sign).cast("tinyint").alias("sign"))
 
 
 def write_batch(postings: DataFrame, path: str, batch: int) -> None:
-    """Store one batch; written again it replaces itself. One shuffle, by bucket and a part of the row id."""
-    (postings.withColumn("bucket", bucket_of(F.col("token")))
-     .repartition(F.col("bucket"), F.pmod(F.xxhash64("pk"), F.lit(SPREAD))).sortWithinPartitions("bucket", "token", "table_name", "pk")
-     .write.mode("overwrite").option("parquet.bloom.filter.enabled#token", "true").partitionBy("bucket").parquet(f"{path}/batch={batch}"))
+    """Store one batch; written again it replaces itself. No shuffle: each task sorts what it has and adds a file to every bucket, so
+    a token that most rows hold is in the files of all tasks."""
+    (postings.withColumn("bucket", bucket_of(F.col("token"))).sortWithinPartitions("bucket", "token", "table_name", "pk")
+     .write.mode("overwrite").partitionBy("bucket").parquet(f"{path}/batch={batch}"))
 
 
 def changed_postings(before: Sequence[DataFrame], after: Sequence[DataFrame]) -> DataFrame:

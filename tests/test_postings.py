@@ -94,6 +94,13 @@ def test_rows_of_a_hot_token_are_spread_over_files(spark):
     assert len(files) > 1 and max(r["count"] for r in files) < 4000
 
 
+def test_rows_move_before_they_are_split_and_their_postings_stay(spark):
+    made = postings.row_postings(table(spark, [(1, "red pen"), (1, "red pen"), (None, "blue"), (2, None)]), "t", "id")
+    plan = plan_of(made)
+    assert plan.count("Exchange") == 1 and plan.index("Generate") < plan.index("Exchange")
+    assert sorted((r["token"], r["pk"] or 0, r["sign"]) for r in made.collect()) == [("blue", 0, 1)] + [("pen", 1, 1)] * 2 + [("red", 1, 1)] * 2
+
+
 def test_entities_whose_source_row_is_gone_stay_in_the_layers(spark):
     kept, entities = indexes.entity_index(spark, SF)
     none = spark.createDataFrame([], "p_partkey bigint, brand string")
