@@ -242,6 +242,21 @@ def _rare_names(families: DataFrame, least: float) -> DataFrame:
         released(rarest), "a bigint, b bigint, total bigint, need double, over double, bits array<bigint>, rare array<struct<key:bigint,place:bigint>>")
 
 
+def _may_meet(named: DataFrame) -> DataFrame:
+    """Rows of ``named`` (group, total, need, over, key, place) that `_across` may join with another of their key.
+
+    Names of one group alone join no others, nor does a row whose place is too far back for whatever else has the name.
+    """
+    often = (named.groupBy("key").agg(
+        F.min("group").alias("low"), F.max("group").alias("high"), F.min("need").alias("least_need"),
+        F.min(F.when(F.col("over") > 0, F.col("over"))).alias("least_over")).where("low < high")
+        .select(F.col("key").alias("name"), "least_need", "least_over"))
+    room = F.col("total") - F.col("place") + 1
+    may = (((F.col("over") > 0) & (room >= F.ceil(F.col("least_need") + F.col("over") - 1e-6)))
+           | (room >= F.ceil(F.col("need") + F.col("least_over") - 1e-6)))
+    return named.join(often, (F.col("key") == F.col("name")) & may, "left_semi")
+
+
 def _across(rare: DataFrame, grouped: DataFrame, least: float) -> DataFrame:
     """Pairs of members of one large family that are in different groups (``grouped``: b, group) and may be similar enough.
 
@@ -253,9 +268,7 @@ def _across(rare: DataFrame, grouped: DataFrame, least: float) -> DataFrame:
     cols = ["group", "total", "need", "over", "bits"]
     named = rare.join(grouped, "b").select("b", *cols, F.explode("rare").alias("name"))
     named = stored(named.select("b", *cols, "name.key", "name.place"), "rare-names")
-    # Names of one group alone join no others.
-    often = (named.groupBy("key").agg(F.min("group").alias("low"), F.max("group").alias("high")).where("low < high").select("key"))
-    shared = named.join(often, "key", "left_semi")
+    shared = _may_meet(named)
 
     def side(name: str) -> DataFrame:
         return shared.select("key", *[F.col(c).alias(f"{c}_{name}") for c in ("b", *cols, "place")])

@@ -1,6 +1,7 @@
 """Operators on documents: against brute force, exact round trips and held-out rows, and on tables of odd rows."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -12,7 +13,7 @@ from pyspark.sql import functions as F
 
 import check
 import corpus_pipeline
-from casegrain.llm import bagminhash, chat, extract, language, mixing, packing, phrases, secrets, topk, toxicity
+from casegrain.llm import bagminhash, chat, common, extract, language, mixing, packing, phrases, secrets, topk, toxicity
 from casegrain.llm.queries import ORACLES, QUERIES
 
 SF = "/root/testdata/sf0.001"
@@ -516,6 +517,22 @@ def test_signatures_estimate_weighted_jaccard():
     assert (own[3] == bagminhash.signatures(hashes[offsets[3]:], offsets[3:] - offsets[3], 96)[0]).all()
 
 
+def test_only_rows_that_have_room_for_another_meet(spark):
+    schema = "b long, group long, total long, need double, over double, key long, place int"
+    draw = random.Random(3)
+    rows = [(i, draw.randrange(6), t := draw.randint(1, 12), n := draw.uniform(0, t), n - draw.uniform(0, 6), draw.randrange(9), draw.randint(1, t))
+            for i in range(200)]
+    kept = {r["b"] for r in bagminhash._may_meet(spark.createDataFrame(rows, schema)).collect()}
+    meet = set()
+    for x in rows:
+        for y in rows:
+            if x[5] == y[5] and x[1] != y[1] and x[4] > 0:
+                must = math.ceil(y[3] + x[4] - 1e-6)
+                if x[6] <= x[2] - must + 1 and y[6] <= y[2] - must + 1:
+                    meet |= {x[0], y[0]}
+    assert meet and meet <= kept and len(kept) < len({r[0] for r in rows if len({s[1] for s in rows if s[5] == r[5]}) > 1})
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert bagminhash.near_duplicates(none(spark)).collect() == []
 
