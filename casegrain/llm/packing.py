@@ -204,7 +204,7 @@ def pieces(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {kind}, piece int, start bigint, length bigint, ids_crc32 bigint, task int, rank bigint"
-    return docs.select("doc_id", "text").mapInArrow(released(cut), schema + (", ids array<int>" if keep_ids else ""))
+    return docs.select("doc_id", "text").mapInArrow(released(cut, remembers=True), schema + (", ids array<int>" if keep_ids else ""))
 
 
 def pack(docs: DataFrame, tokenizer: str, capacity: int = CAPACITY, keep_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:

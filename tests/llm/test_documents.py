@@ -533,6 +533,13 @@ def test_only_rows_that_have_room_for_another_meet(spark):
     assert meet and meet <= kept and len(kept) < len({r[0] for r in rows if len({s[1] for s in rows if s[5] == r[5]}) > 1})
 
 
+def test_a_worker_forgets_what_another_operator_remembered():
+    state = common.worker_state()
+    state["words"] = 1
+    assert list(common.released(lambda batches: iter(batches), remembers=True)([1])) == [1] and state == {"words": 1}
+    assert list(common.released(lambda batches: iter(batches))([2])) == [2] and state == {}
+
+
 def test_near_duplicates_of_no_rows(spark):
     assert bagminhash.near_duplicates(none(spark)).collect() == []
 
