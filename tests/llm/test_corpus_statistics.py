@@ -264,3 +264,21 @@ def test_held_out_documents_score_above_their_word_counts(spark):
     assert sums[0] > sums[1] and sums[2] > 10_000
     ids = {r["doc_id"] for r in out.where("held_out").collect()}
     assert ids == {r["doc_id"] for r in docs.collect() if zlib.crc32(str(r["doc_id"]).encode()) % 5 == 1}
+
+
+def test_every_text_fills_the_slots_and_fits_the_weights(spark):
+    draw = random.Random(12)
+    rows = [(i, " ".join(draw.choices(["one", "two", "three", "vier"], k=draw.randint(0, 30))), "en", "s", 1) for i in range(200)]
+    docs = spark.createDataFrame(rows, SCHEMA).coalesce(1)
+    trained = scoring.train(docs, BITS)
+    tally = scoring.Tally(trained.model.code, BITS)
+    tally.add_slots(scoring.stream([r[1] for r in rows]))
+    assert all(np.array_equal(a, scoring.states(b)) for a, b in zip(trained.model.tables, tally.tables))
+    assert np.abs(trained.model.weights - scoring.together(tally.fit.learned())).max() < 1e-4
+    less = scoring.Tally(trained.model.code, BITS)
+    less.add_slots(scoring.stream([r[1] for r in rows[:-1]]))
+    assert np.abs(trained.model.weights - scoring.together(less.fit.learned())).max() > 1e-4
+    # What parts of the rows learned adds up, whatever their order.
+    parts = np.array([tally.fit.learned(), less.fit.learned()])
+    assert np.array_equal(scoring.together(parts[0] + parts[1]), scoring.together(parts[1] + parts[0]))
+    assert np.allclose(scoring.together(np.zeros_like(parts[0])), scoring._EQUAL, atol=1e-5)
