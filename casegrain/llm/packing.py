@@ -9,6 +9,7 @@ from __future__ import annotations
 import re
 import zlib
 from collections.abc import Iterator
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -27,7 +28,8 @@ TOKENIZER = "word_bpe_49k.json"
 REMEMBERED = 400_000
 
 #: A run of these after a letter and before white space is a token of its own (apostrophes and marks of special ids are not in it).
-_TAIL = re.compile(rb"""([a-z])([.,;:!?)*#%&$"\]]++)(?=[ \n])""")
+#: The mark comes first and the letter is looked back for: the search then skips all bytes that are no marks.
+_TAIL = re.compile(rb"""[.,;:!?)*#%&$"\]](?<=[a-z].)[.,;:!?)*#%&$"\]]*+(?=[ \n])""")
 
 
 class WordEncoder:
@@ -72,18 +74,22 @@ class WordEncoder:
     def __call__(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """All ids in one array and the offsets of the texts, the end last."""
         joined = "\n".join([t.replace("\n", " ") for t in texts]) + "\n"
-        lines = _TAIL.sub(rb"\1 \2", joined.encode("utf-8", "surrogatepass").lower()).decode("utf-8", "surrogatepass")
+        lines = _TAIL.sub(rb" \g<0>", joined.encode("utf-8", "surrogatepass").lower()).decode("utf-8", "surrogatepass")
         lines = lines.replace("\t", " ").replace("\r", " ").split("\n")[:-1]
         words = " ".join(lines).split(" ")
         if len(self.known) > self.most or len(self.ids) > 8 * self.most:
             self.clear()
-        if fresh := list(set(words).difference(self.known)):
+        # Each word is looked up once, and those that were new then once more.
+        code = np.fromiter(map(self.known.get, words, repeat(-1)), dtype=np.int64, count=len(words))
+        if len(new := np.flatnonzero(code < 0)):
+            unknown = [words[i] for i in new.tolist()]
+            fresh = list(dict.fromkeys(unknown))
             for at in range(0, len(fresh), 8192):
                 some, made, sizes = self._encoded(fresh[at:at + 8192])
                 self.known.update(zip(some, range(len(self.known), len(self.known) + len(some))))
                 self.ids = np.concatenate([self.ids, made])
                 self.begins = np.append(self.begins, self.begins[-1] + np.cumsum(sizes))
-        code = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+            code[new] = np.fromiter(map(self.known.__getitem__, unknown), dtype=np.int64, count=len(new))
         sizes = self.begins[code + 1] - self.begins[code]
         upto = np.append(0, np.cumsum(sizes))
         ids = self.ids[np.repeat(self.begins[code] - upto[:-1], sizes) + np.arange(upto[-1])]

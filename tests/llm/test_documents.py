@@ -189,6 +189,10 @@ def test_words_encode_like_whole_texts():
             assert encode.tokenizer.encode(text, add_special_tokens=False).ids == ids[a:b].tolist()
 
 
+def test_marks_behind_letters_are_found_from_the_marks():
+    assert packing._TAIL.sub(rb" \g<0>", b"end.) x. y.z 1. a, b;;\n") == b"end .) x . y.z 1. a , b ;;\n"
+
+
 def test_packed_sequences_hold_the_documents(spark):
     path = packing.public_tokenizer()
     tokenizer = packing.WordEncoder(path).tokenizer
