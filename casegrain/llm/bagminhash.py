@@ -190,56 +190,117 @@ def _within(family: DataFrame) -> DataFrame:
     return x.join(y, "a").where("x < y and group_x <> group_y").select("x", "y")
 
 
-def _rare_names(families: DataFrame, least: float) -> DataFrame:
-    """Members (a, b, total, need, over, bits) with ``rare``: keys (name in family) and places of the rarest names of their differences.
+def _name_counters(families: DataFrame) -> np.ndarray:
+    """Three rows by hashed slot: how often its names occur in ``families`` (a, names, group, need, over), their least ``need`` and
+    their least positive ``over`` in eighths, rounded down; all up to 65,535.
 
-    Two members that are similar enough share a name among the rarest of both, at a place that leaves room for the rest (prefix
-    filter); any order that all members follow will do. Here names are ordered by how often a table of hashed counters has seen
-    them, which needs no join and has a fixed size. What a counter has seen once nobody else has, so it keeps its place and goes.
+    The first is 0 where all of them are in one group of one family: no member of another group has such a name.
     """
     bits = _COUNTER_BITS
 
-    def keys_of(batch) -> Iterator[np.ndarray]:
-        for family, names in zip(batch.column(0).to_pylist(), batch.column(1)):
-            seed = mixed(np.array([family], dtype=np.int64).view(np.uint64))
-            yield mixed(np.asarray(names.values).view(np.uint64) ^ seed) if names.is_valid else np.zeros(0, dtype=np.uint64)
+    def merged(parts: list) -> list:
+        slot, n, low, high, need, over = (np.concatenate(x) for x in zip(*parts))
+        order = np.argsort(slot, kind="stable")
+        slot = slot[order]
+        first = np.flatnonzero(np.append(True, np.diff(slot) != 0)[:len(slot)])
+        if not len(first):
+            return [(slot, n, low, high, need, over)]
+        return [(slot[first], np.add.reduceat(n[order], first), np.minimum.reduceat(low[order], first), np.maximum.reduceat(high[order], first),
+                 np.minimum.reduceat(need[order], first), np.minimum.reduceat(over[order], first))]
 
     def tally(batches) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(1 << bits, dtype=np.int64)
+        none = np.zeros(0, dtype=np.int64)
+        held = [(none,) * 6]
         for batch in batches:
-            slots = np.concatenate([*keys_of(batch), np.zeros(0, dtype=np.uint64)]) >> np.uint64(64 - bits)
-            slot, n = np.unique(slots.astype(np.int64), return_counts=True)
-            total[slot] += n
-        cut = total.reshape(-1, _COUNTER_SLICE)
-        some = np.flatnonzero(cut.any(axis=1))
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array([packed_block(cut[i]) for i in some], type=pa.binary())],
-                                         names=["slice", "block"])
-
-    counters = np.zeros(1 << bits, dtype=np.int32)
-    parts = families.select("a", "names").mapInArrow(released(tally), "slice int, block binary")
-    for r in summed_blocks(parts, "int64", "int64", _COUNTER_SLICE).toLocalIterator():
-        low = r["slice"] * _COUNTER_SLICE
-        counters[low:low + _COUNTER_SLICE] = np.minimum(unpacked_block(bytes(r["block"]), "int64", _COUNTER_SLICE), 1 << 30)
-    sent = families.sparkSession.sparkContext.broadcast(counters)
+            keys = [none.view(np.uint64), *_family_keys(batch)]
+            slot = (np.concatenate(keys) >> np.uint64(64 - bits)).astype(np.int64)
+            group, need, over = (np.asarray(batch.column(i)) for i in (2, 3, 4))
+            need, over = (np.floor(np.clip(8 * x, 0, 65_535)).astype(np.int64) for x in (need, np.where(over > 0, over, np.inf)))
+            group, need, over = (np.repeat(x, [len(k) for k in keys[1:]]) for x in (group, need, over))
+            held.append(merged([(slot, np.ones(len(slot), dtype=np.int64), group, group, need, over)])[0])
+            if sum(len(h[0]) for h in held[1:]) > max(500_000, len(held[0][0])):
+                held = merged(held)
+        slot, *values = merged(held)[0]
+        cuts = np.searchsorted(slot, np.arange(0, (1 << bits) + 1, _COUNTER_SLICE))
+        some = np.flatnonzero(np.diff(cuts))
+        blocks = [packed_block(np.concatenate([x[cuts[i]:cuts[i + 1]] for x in (slot - i * _COUNTER_SLICE, *values)])) for i in some]
+        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(np.diff(cuts)[some]), pa.array(blocks, type=pa.binary())],
+                                         names=["slice", "n", "block"])
+
+    def shared(batches) -> Iterator[pa.RecordBatch]:
+        def row():
+            several = np.stack([np.where(low < high, np.minimum(total, 65_535), 0), need, over]).astype(np.uint16)
+            return pa.RecordBatch.from_arrays([pa.array([at], type=pa.int32()), pa.array([packed_block(several)], type=pa.binary())],
+                                              names=["slice", "block"])
+
+        at = None
+        for batch in batches:
+            for key, n, block in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                if key != at:
+                    if at is not None:
+                        yield row()
+                    at, total = key, np.zeros(_COUNTER_SLICE, dtype=np.int64)
+                    low, high = (np.full(_COUNTER_SLICE, x, dtype=np.int64) for x in (np.iinfo(np.int64).max, np.iinfo(np.int64).min))
+                    need, over = (np.full(_COUNTER_SLICE, 65_535, dtype=np.int64) for _ in range(2))
+                slot, count, *values = unpacked_block(block.as_py(), "int64", 6 * n).reshape(6, n)
+                total[slot] += count
+                for known, better, value in zip((low, high, need, over), (np.minimum, np.maximum, np.minimum, np.minimum), values):
+                    known[slot] = better(known[slot], value)
+        if at is not None:
+            yield row()
+
+    counters = np.zeros((3, 1 << bits), dtype=np.uint16)
+    parts = families.select("a", "names", "group", "need", "over").mapInArrow(released(tally), "slice int, n bigint, block binary")
+    # Blocks of a slice follow each other in a task, which holds one slice at a time.
+    sums = parts.repartition("slice").sortWithinPartitions("slice").mapInArrow(released(shared), "slice int, block binary")
+    for r in sums.toLocalIterator():
+        at = r["slice"] * _COUNTER_SLICE
+        counters[:, at:at + _COUNTER_SLICE] = unpacked_block(bytes(r["block"]), "uint16", 3 * _COUNTER_SLICE).reshape(3, -1)
+    return counters
+
+
+def _family_keys(batch: pa.RecordBatch) -> Iterator[np.ndarray]:
+    """The keys (name in family) of every row of a batch whose first columns are the family and the names."""
+    for family, names in zip(batch.column(0).to_pylist(), batch.column(1)):
+        seed = mixed(np.array([family], dtype=np.int64).view(np.uint64))
+        yield mixed(np.asarray(names.values).view(np.uint64) ^ seed) if names.is_valid else np.zeros(0, dtype=np.uint64)
+
+
+def _rare_names(families: DataFrame, least: float) -> DataFrame:
+    """Members (a, b, total, need, over, bits, group) with ``rare``: keys (name in family) and places of the rarest names of their differences.
+
+    Two members that are similar enough share a name among the rarest of both, at a place that leaves room for the rest (prefix
+    filter); any order that all members follow will do. Here names are ordered by how often a table of hashed counters has seen
+    them, which needs no join and has a fixed size. Pairs inside a group are not asked for, so names of one group alone come first,
+    keep their places and go. So do names at places that leave no room for the least that another row of the name's slot asks for,
+    which `_may_meet` then does by the names themselves.
+    """
+    bits = _COUNTER_BITS
+    sent = families.sparkSession.sparkContext.broadcast(_name_counters(families))
 
     def rarest(batches) -> Iterator[pa.RecordBatch]:
         known = sent.value
         for batch in batches:
             found = []
-            for keys, total, need, over in zip(keys_of(batch), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
-                often = known[(keys >> np.uint64(64 - bits)).astype(np.int64)]
+            for keys, total, need, over in zip(_family_keys(batch), *(batch.column(i).to_pylist() for i in (3, 4, 5))):
+                often, least_need, least_over = known[:, (keys >> np.uint64(64 - bits)).astype(np.int64)]
                 order = np.lexsort((keys, often))
                 # What they must share at least: a member that is linked to the origin meets only such as are not, which adds to its need.
                 must = need if over <= 0 else min(need, over * (1 + least))
                 upto = total - int(np.ceil(max(must, 1.0) - 1e-6)) + 1
-                place = np.flatnonzero(often[order][:max(upto, 0)] > 1)
+                place = np.flatnonzero(often[order][:max(upto, 0)])
+                room, at = total - place, order[place]
+                may = room >= np.ceil(need + least_over[at] / 8 - 1e-6)
+                if over > 0:
+                    may |= room >= np.ceil(least_need[at] / 8 + over - 1e-6)
+                place = place[may]
                 found.append([{"key": k, "place": p} for k, p in zip(keys[order[place]].view(np.int64).tolist(), (place + 1).tolist())])
             rare = pa.array(found, type=pa.list_(pa.struct([("key", pa.int64()), ("place", pa.int64())])))
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, 7)], rare],
-                                             names=["a", "b", "total", "need", "over", "bits", "rare"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, 8)], rare],
+                                             names=["a", "b", "total", "need", "over", "bits", "group", "rare"])
 
-    return families.select("a", "names", "b", "total", "need", "over", "bits").mapInArrow(
-        released(rarest), "a bigint, b bigint, total bigint, need double, over double, bits array<bigint>, rare array<struct<key:bigint,place:bigint>>")
+    schema = "a bigint, b bigint, total bigint, need double, over double, bits array<bigint>, group bigint, rare array<struct<key:bigint,place:bigint>>"
+    return families.select("a", "names", "b", "total", "need", "over", "bits", "group").mapInArrow(released(rarest), schema)
 
 
 def _may_meet(named: DataFrame) -> DataFrame:
@@ -257,16 +318,16 @@ def _may_meet(named: DataFrame) -> DataFrame:
     return named.join(often, (F.col("key") == F.col("name")) & may, "left_semi")
 
 
-def _across(rare: DataFrame, grouped: DataFrame, least: float) -> DataFrame:
-    """Pairs of members of one large family that are in different groups (``grouped``: b, group) and may be similar enough.
+def _across(rare: DataFrame) -> DataFrame:
+    """Pairs of members of one large family (``rare``: see `_rare_names`) that are in different groups and may be similar enough.
 
     With the family's centre as origin, the intersection of two members follows from what their differences to it have in
-    common: similarity is at least ``least`` just if that is need(x) + over(y), where a member is linked to the origin if ``over``
+    common: similarity is at least what was asked just if that is need(x) + over(y), where a member is linked to the origin if ``over``
     is not positive. Only members that share a rare name meet, see `_rare_names`: near copies that were edited in different
     places do not. Where ``bits`` differ, so do the names, which caps what two members share before any text is looked at.
     """
     cols = ["group", "total", "need", "over", "bits"]
-    named = rare.join(grouped, "b").select("b", *cols, F.explode("rare").alias("name"))
+    named = rare.select("b", *cols, F.explode("rare").alias("name"))
     named = stored(named.select("b", *cols, "name.key", "name.place"), "rare-names")
     shared = _may_meet(named)
 
@@ -332,7 +393,7 @@ def near_duplicates(docs: DataFrame, least: float = LEAST, bands: int = BANDS, r
     links = first.where("linked").unionByName(second.where("linked")).select("a", "b")
     grouped = stored(groups(links).withColumnRenamed("node", "b"), "groups")
     few = first.join(size.where("not crowded").select("a"), "a", "left_semi")
-    more = (_within(few.join(grouped, "b")).unionByName(_across(_rare_names(second, least), grouped, least)).distinct()
+    more = (_within(few.join(grouped, "b")).unionByName(_across(_rare_names(second.join(grouped, "b"), least))).distinct()
             .select(F.col("x").alias("a"), F.col("y").alias("b"), F.lit(False).alias("large")))
     links = links.unionByName(stored(compared(more, contents, least).where("linked").select("a", "b"), "more-links"))
     classes = texts.select("node", "lead").join(groups(links), "node")

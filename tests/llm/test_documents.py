@@ -8,6 +8,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -521,6 +522,18 @@ def test_signatures_estimate_weighted_jaccard():
     assert (own[3] == bagminhash.signatures(hashes[offsets[3]:], offsets[3:] - offsets[3], 96)[0]).all()
 
 
+def test_names_of_one_group_or_without_room_are_not_listed(spark):
+    names = [[1, 2, 3, 4], [1, 2, 3, 5], [3, 4, 6], [7]]
+    rows = [(9, b, n, len(n), need, over, [0] * 8, group) for b, n, need, over, group in zip(range(4), names, (0.5, 0.5, 0.5, 90.0), (0.5, -1.0, 0.5, 0.5), (1, 1, 2, 2))]
+    families = spark.createDataFrame(rows, "a long, b long, names array<long>, total long, need double, over double, bits array<long>, group long")
+    keys = dict(zip((n for own in names for n in own), (k for own in bagminhash._family_keys(
+        pa.record_batch({"a": pa.array([9] * 4), "names": pa.array(names)})) for k in own.view(np.int64).tolist())))
+    rare = {r["b"]: {x["key"] for x in r["rare"]} for r in bagminhash._rare_names(families, 0.8).collect()}
+    assert rare == {0: {keys[3], keys[4]}, 1: {keys[3]}, 2: {keys[3], keys[4]}, 3: set()}  # 1 and 2 are in one group alone
+    far = families.withColumn("need", F.lit(50.0))
+    assert all(r["rare"] == [] for r in bagminhash._rare_names(far, 0.8).collect())
+
+
 def test_only_rows_that_have_room_for_another_meet(spark):
     schema = "b long, group long, total long, need double, over double, key long, place int"
     draw = random.Random(3)
