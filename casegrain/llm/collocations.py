@@ -34,6 +34,8 @@ GROUP_LEAVES = 200_000
 LEAST_BITS, MOST_BITS, SLICE_BITS = 24, 30, 18
 BYTES_A_SLOT = 24
 _CHUNK = 2_000_000
+#: Text of one task that adds up suffixes.
+TASK_BYTES = 1 << 28
 #: Different suffixes that a task adds up before it sends them on.
 _HELD = 1_000_000
 
@@ -229,8 +231,16 @@ def added_up(leaves: list[pa.Table]) -> pa.Table:
     return pa.concat_tables(leaves).group_by(["lang", "leaf"]).aggregate([("n", "sum")]).rename_columns({"n_sum": "n"}).select(["lang", "leaf", "n"])
 
 
+def fewer_tasks(docs: DataFrame, size: int) -> DataFrame:
+    """The rows in tasks of about `TASK_BYTES` of their ``size`` bytes of text, but two for each core at least: read as they lie, not shuffled."""
+    return docs.coalesce(max(size // TASK_BYTES, 2 * docs.sparkSession.sparkContext.defaultParallelism, 1))
+
+
 def leaves_of(docs: DataFrame, words: int, bits: int, known: list[bytes]) -> DataFrame:
-    """(lang, leaf, n): the different suffixes of at most ``words`` words and how often each begins."""
+    """(lang, leaf, n): the different suffixes of at most ``words`` words and how often each begins.
+
+    Every task sends on each suffix that it has once, so the fewer tasks there are, the fewer rows there are.
+    """
     sent = docs.sparkSession.sparkContext.broadcast(known)
 
     def suffixes(batches) -> Iterator[pa.RecordBatch]:
@@ -346,7 +356,7 @@ def counts(docs: DataFrame, least: int = LEAST, words: int = WORDS, budget: int
     bits = min(max((size // BYTES_A_SLOT).bit_length(), LEAST_BITS), MOST_BITS)
     totals, short = bounds(docs, least, words, bits, [])
     _, long = bounds(docs, least, words, bits, [short])
-    leaves = stored(leaves_of(docs, words, bits, [short, long]), "leaves")
+    leaves = stored(leaves_of(fewer_tasks(docs, size), words, bits, [short, long]), "leaves")
     return totals, stored(counted(grouped_by_prefix(leaves, budget, words), least, words), "phrases")
 
 

@@ -147,6 +147,18 @@ def test_large_counts_stay_exact():
         assert [int(columns[0][i]) for i in order] == [-1, 0, size, size] and new.tolist() == [True, True, True, False], kind
 
 
+def test_suffixes_are_added_up_in_few_tasks(spark, monkeypatch):
+    rows = [(i, "one two three. four five six", "en", "s", 1) for i in range(400)]
+    docs = spark.createDataFrame(rows, SCHEMA).repartition(40).select("lang", "text")
+    few = 2 * spark.sparkContext.defaultParallelism
+    assert collocations.fewer_tasks(docs, 10).rdd.getNumPartitions() == min(40, few)
+    assert collocations.fewer_tasks(docs, (few + 3) * collocations.TASK_BYTES).rdd.getNumPartitions() == min(40, few + 3)
+    seen, whole = [], collocations.leaves_of
+    monkeypatch.setattr(collocations, "leaves_of", lambda d, *rest: seen.append(d.rdd.getNumPartitions()) or whole(d, *rest))
+    _, found = collocations.counts(docs)
+    assert {(r["phrase"], r["a"]) for r in found.collect()} >= {("one two three", 400), ("five six", 400), ("four", 400)} and seen[0] <= few
+
+
 def test_texts_are_cut_at_piece_ends_alone():
     text = b"a b. " * 1000 + b"c" * 5000
     parts = list(collocations.cut_texts([text, b"d e"], 300))
