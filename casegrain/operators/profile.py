@@ -87,6 +87,21 @@ def case_list(cases: DataFrame, roles: DataFrame, max_items: int) -> Lists:
     return ordered_lists(linked, "entity_id", CASE_ORDER, fields, "cases", max_items)
 
 
+#: Rows of children whose entries, as text of 32 bytes each, fill half of the dictionary that a Parquet file keeps for a column.
+DICTIONARY_ROWS = 1 << 14
+
+
+def beside(rows: DataFrame, profiles: DataFrame, key: str, children: int) -> DataFrame:
+    """Every row of ``rows`` beside the whole profile of its key.
+
+    A profile comes back once for each of its rows. Tasks are made so small that what they hold of different lists, for ``children``
+    rows in all, fits the dictionary of a Parquet column (1 MB): a file then has each list once, instead of as often as it is returned.
+    """
+    usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    tasks = max(usual, -(-children // DICTIONARY_ROWS))
+    return rows.repartition(tasks, key).join(profiles.repartition(tasks, key), key)
+
+
 def entity_profile(entities: DataFrame, anchors: DataFrame, socials: DataFrame, banks: DataFrame, cases: DataFrame,
                    roles: DataFrame, unmask: bool = False, max_items: int = 10_000) -> DataFrame:
     """Every entity with its contact points, documents, social accounts, banks and live cases; masked unless ``unmask``."""

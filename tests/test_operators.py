@@ -280,3 +280,32 @@ def test_pairs_of_keys_that_repeat_are_dealt_before_they_are_made(spark):
     assert sorted((r["k"] or 0, r["token"]) for r in pairs.collect()) == [(0, "c"), (1, "a"), (1, "b"), (2, "a")]
     plan = pairs._jdf.queryExecution().executedPlan().toString().partition("Initial Plan")[0]
     assert plan.count("Exchange hash") == 1 and plan.index("Exchange hash") > plan.index("Generate")
+
+
+def test_case_profiles_write_each_list_once(spark, tmp_path):
+    from casegrain.plans.catalog import QUERIES
+
+    at = str(tmp_path)
+    tables = {
+        "region": "SELECT 0 AS r_regionkey, 'ASIA' AS r_name", "nation": "SELECT 0 AS n_nationkey, 0 AS n_regionkey, 'INDIA' AS n_name",
+        "customer": "SELECT id AS c_custkey, concat('Customer#', id) AS c_name, 'BUILDING' AS c_mktsegment, 0 AS c_nationkey, 1.0D AS c_acctbal FROM range(1000)",
+        "documents": "SELECT id AS doc_id, 'en' AS lang, concat('text ', id) AS text, 'src' AS source FROM range(10)",
+        "orders": """SELECT id * 50 + 1 AS o_orderkey, id % 1000 AS o_custkey, '1-URGENT' AS o_orderpriority, 'O' AS o_orderstatus, 1.0D AS o_totalprice,
+                     TIMESTAMP '1995-01-01' AS o_orderdate FROM range(14000)""",
+        "lineitem": "SELECT o.id * 50 + 1 AS l_orderkey, pmod(xxhash64(o.id, n.id), 1000) AS l_suppkey, 'O' AS l_linestatus FROM range(14000) o CROSS JOIN range(10) n",
+        "events": """SELECT id AS event_id, id AS user_id, 'login' AS event_type, 1.0D AS value, '{"k": 1}' AS props, TIMESTAMP '1995-01-01' AS ts FROM range(10)"""}
+    for name, text in tables.items():
+        spark.sql(text).write.parquet(f"{at}/{name}.parquet")
+    usual = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        QUERIES["case_profiles"](spark, at).write.parquet(f"{at}/out")
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", usual)
+    back = spark.read.parquet(f"{at}/out")
+    lists = back.groupBy("entity_id").agg(F.first("cases").alias("cases"), F.count(F.lit(1)).alias("n"), F.countDistinct("cases").alias("different"))
+    lists = lists.agg(F.sum(F.length("cases")), F.sum("n"), F.max("different"), F.sum(F.size(F.split("cases", ";")))).head()
+    roles = spark.read.parquet(f"{at}/lineitem.parquet").distinct().where("l_orderkey % 50 <> 0").count()
+    assert roles > 130_000 and lists[1:] == (roles, 1, roles)
+    files = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
+    assert lists[0] > 3 << 20 and files < lists[0]
