@@ -294,3 +294,29 @@ def test_every_text_fills_the_slots_and_fits_the_weights(spark):
     parts = np.array([tally.fit.learned(), less.fit.learned()])
     assert np.array_equal(scoring.together(parts[0] + parts[1]), scoring.together(parts[1] + parts[0]))
     assert np.allclose(scoring.together(np.zeros_like(parts[0])), scoring._EQUAL, atol=1e-5)
+
+
+def test_bytes_before_choose_the_code(spark):
+    draw = random.Random(13)
+    texts = [" ".join(draw.choices(["one", "two", "three", "vier", "\u00e9t\u00e9"], k=draw.randint(0, 30))) for _ in range(100)] + [None, "", "x" * 700]
+    docs = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    data = scoring.stream([t or "" for t in texts])
+    plain = scoring.prefix_code(np.bincount(data, minlength=256))
+    for most in (0, 3, 512):
+        code = scoring.byte_code(docs, most)
+        sizes, point, bit = code.decisions(data)
+        assert sizes.sum() < plain.decisions(data)[0].sum()
+        # Every byte has a path wherever it comes, and paths are complete.
+        assert all(sum(Fraction(1, 2 ** int(s)) for s in code.sizes[at:at + 256]) == 1 for at in set(code.choice.tolist()))
+        # The paths tell the bytes, from the two bytes of the word before alone.
+        paths = {at: {} for at in set(code.choice.tolist())}
+        for at, found in paths.items():
+            for byte in range(256):
+                low = int(code.begins[at + byte])
+                found[tuple(zip(code.points[low:low + code.sizes[at + byte]].tolist(), code.bits[low:low + code.sizes[at + byte]].tolist()))] = byte
+        back, steps = [], list(zip(point.tolist(), bit.tolist()))
+        upto = np.append(0, np.cumsum(sizes)).tolist()
+        for a, b in zip(upto[:-1], upto[1:]):
+            word = bytes(back).replace(b"\n", b" ").rsplit(b" ", 1)[-1][-2:].rjust(2, b"\0")
+            back.append(paths[int(code.choice[word[0] * 256 + word[1]])][tuple(steps[a:b])])
+        assert bytes(back) == data.tobytes()
