@@ -264,6 +264,24 @@ def test_name_joins_never_broadcast_exploded_names(spark):
         assert joins and all("SortMergeJoin" in line for line in joins), plan
 
 
+def test_similar_names_compare_letters_before_they_compare_names(spark):
+    draw = random.Random(9)
+    names = {"shared " + "".join(draw.choices("abcdefgh\u00df\U0001f600", k=draw.randint(6, 20))) for _ in range(60)}
+    for text in list(names):  # letters moved, doubled, cut off at either end
+        at, n = draw.randint(0, len(text)), draw.randint(1, 3)
+        names |= {text[n:] + text[:n], text[:at] + text[at:at + n] * 2 + text[at + n:], text[n:].strip(), text[:-n].strip(), text + text[-1] * n}
+    names = sorted({t.strip(" ").lower() for t in (*names, "a" * 12, "a" * 13, "a" * 9 + "b" * 3, "ab" * 6, "ba" * 6, "ba" * 7)})
+    df = spark.createDataFrame(list(enumerate(names)), "id bigint, name string")
+    for threshold in (0.4, 0.8):
+        edges = resolve.similar_name_edges(df, "id", "name", threshold)
+        expected = {(i, k) for (i, a), (k, b) in itertools.combinations(enumerate(names), 2)
+                    if levenshtein(a, b) <= max(len(a), len(b)) * (1 - threshold) + 1e-9}
+        assert {(r["entity_a"], r["entity_b"]) for r in edges.collect()} == expected and expected
+        plan = edges._jdf.queryExecution().optimizedPlan().toString()
+        met = next(line for line in plan.splitlines() if "Join Inner" in line and "levenshtein" in line)
+        assert met.index("bit_count") < met.index("levenshtein") and "lower(" not in plan  # names are made once
+
+
 def test_fuzzy_name_edges_move_no_names_that_are_further_apart(spark):
     # All of these meet in one cut or more; few are one edit apart.
     names = [f"{i:03d}" for i in range(200)]
