@@ -96,10 +96,12 @@ def beside(rows: DataFrame, profiles: DataFrame, key: str, children: int) -> Dat
 
     A profile comes back once for each of its rows. Tasks are made so small that what they hold of different lists, for ``children``
     rows in all, fits the dictionary of a Parquet column (1 MB): a file then has each list once, instead of as often as it is returned.
+    The profiles of a task, so few, are looked up, and rows stay in the order in which they come, those of many keys mixed. In the order
+    of their keys a list would also be the bounds of its page, with which a writer compares it in full, row by row.
     """
     usual = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     tasks = max(usual, -(-children // DICTIONARY_ROWS))
-    return rows.repartition(tasks, key).join(profiles.repartition(tasks, key), key)
+    return rows.repartition(tasks, key).join(profiles.repartition(tasks, key).hint("shuffle_hash"), key)
 
 
 def entity_profile(entities: DataFrame, anchors: DataFrame, socials: DataFrame, banks: DataFrame, cases: DataFrame,

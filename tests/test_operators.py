@@ -6,7 +6,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from casegrain.operators import index, paging, resolve, search, skew, tags
+from casegrain.operators import index, paging, profile, resolve, search, skew, tags
 from casegrain.operators.joins import insert_absent
 
 
@@ -327,3 +327,17 @@ def test_case_profiles_write_each_list_once(spark, tmp_path):
     assert roles > 130_000 and lists[1:] == (roles, 1, roles)
     files = sum(f.stat().st_size for f in (tmp_path / "out").glob("*.parquet"))
     assert lists[0] > 3 << 20 and files < lists[0]
+
+
+def test_rows_beside_profiles_do_not_come_in_the_order_of_their_keys(spark):
+    rows = spark.range(4000).selectExpr("id AS case_id", "id % 40 AS entity_id")
+    rows = rows.unionByName(spark.createDataFrame([(5000, None), (5001, 99)], "case_id bigint, entity_id bigint"))
+    profiles = spark.sql("SELECT id % 40 AS entity_id, id DIV 40 AS part, concat('list of ', id) AS cases FROM range(43)")
+    usual = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # as if there were many
+    try:
+        found = [tuple(r) for r in profile.beside(rows, profiles, "entity_id", 0).select("case_id", "entity_id", "part", "cases").collect()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", usual)
+    assert sorted(found) == sorted((i, i % 40, k // 40, f"list of {k}") for i in range(4000) for k in (i % 40, i % 40 + 40) if k < 43)
+    assert sum(a[1] == b[1] for a, b in itertools.pairwise(found)) < 0.2 * len(found)
